@@ -29,6 +29,17 @@ _PIECES = re.compile(r"[^\W_]+(?=[ !-&(-/:-@\[-`{-~]|\Z)|[!-&(-/:-@\[-^`{-~]+(?=
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+class _Chunks(dict):
+    """What is remembered, and beside it what the texts at hand have besides."""
+
+    def __init__(self):
+        super().__init__()
+        self.passing: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.passing[chunk]
+
+
 class WordEncoder:
     """Encodes texts through ``tokenizers``, each distinct piece once while it is remembered.
 
@@ -41,7 +52,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks()
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -51,7 +62,7 @@ class WordEncoder:
         cut = [_PIECES.findall(c.translate(_LOWER)) for c in chunks]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        new = list({p for ps in cut for p in ps} - self.pieces.keys())
+        new = list(set().union(*cut).difference(self.pieces))
         self.pieces.update(zip(new, self._ids(new), strict=True))
         get = self.pieces.__getitem__
         return {c: b"".join(map(get, ps)) for c, ps in zip(chunks, cut, strict=True)}
@@ -60,13 +71,10 @@ class WordEncoder:
         last = np.array([end], "<u4").tobytes()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks
-        new = list({w for ws in split for w in ws if w not in known})
-        made = self._encode_chunks(new)
+        known.passing = self._encode_chunks(list(set().union(*split).difference(known)))
         if len(known) < WHOLE_CHUNKS:
-            known.update(made)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) or made.get(w, b"")
+            known.update(known.passing)
+        get = known.__getitem__
         return [np.frombuffer((self._ids([t])[0] if any(x in t for x in self.special) else b"".join(map(get, ws))) + last, "<u4") for t, ws in zip(texts, split, strict=True)]
 
 
