@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bit_filter, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
@@ -28,6 +28,7 @@ from loomgraph.llm.components import components
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = (16, 23)  # counters of the frequency sketch: as many as the text asks for, within these
 FILTER_BITS = (15, 28)
+SLACK = 4  # tokens of one set whose upper halves may be equal, and so count once
 LOCAL_GROUP = 256  # a task sends on no more members of one token's group than these
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 
@@ -238,11 +239,8 @@ def _unpacked(rows: DataFrame, kind: str) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-_RECORD = "node long, n int, second array<int>, third array<int>, items array<long>"
-
-
-def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: int) -> DataFrame:
-    """Whole sets, and prefixes under the other orders, of the nodes in ``needed``.
+def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: int, whole: bool) -> DataFrame:
+    """Of the nodes in ``needed``: n and prefixes under the other orders (upper halves of the tokens), or n and the ``whole`` sets.
 
     Texts are read again, and a filter of fixed size lets few others through; so no
     text is shuffled.
@@ -250,18 +248,19 @@ def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: in
     spark = docs.sparkSession
     bits = int(np.clip(np.ceil(np.log2(max(1, needed.count()))) + 5, *FILTER_BITS))
     held = spark.sparkContext.broadcast(bit_filter(needed, "node", bits))
+    lists = ["items"] if whole else ["second", "third"]
+    kind = pa.int64() if whole else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = orders.value, set()
-        names = [x.split(" ")[0] for x in _RECORD.split(", ")]
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            def lists(k: int, kind: pa.DataType) -> pa.Array:
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
+            for k in range(2, 2 + len(lists)):
                 at = np.r_[0, np.cumsum([len(r[k]) for r in rows])].astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([r[k] for r in rows]), kind))
-
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists(2, pa.int32()), lists(3, pa.int32()), lists(4, pa.int64())], names=names)
+                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([r[k] for r in rows]), kind)))
+            return pa.record_batch(columns, names=["node", "n", *lists])
 
         for batch in batches:
             for _, items in _sets(batch.column(0), words):
@@ -271,33 +270,48 @@ def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: in
                 if node in seen or not passes(held.value, bits, np.array([node], np.int64).astype(np.uint64))[0]:
                     continue
                 seen.add(node)
-                short = [np.sort((order.prefix(items, k, percent) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for k in (1, 2)]
-                rows.append((node, len(items), *short, items.view(np.int64)))
+                if whole:
+                    rows.append((node, len(items), items.view(np.int64)))
+                else:
+                    rows.append((node, len(items), *[(order.prefix(items, k, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in (1, 2)]))
                 if len(rows) == 200:
                     yield flush()
                     rows.clear()
         if rows:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, _RECORD)
-    whole = found.join(needed, "node", "left_semi")
-    return whole.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "second", "third", "items")])
+    found = docs.select("text").mapInArrow(run, "node long, n int" + "".join(f", {c} array<{'long' if whole else 'int'}>" for c in lists))
+    return found.join(needed, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *lists)])
+
+
+def _side(records: DataFrame, name: str) -> DataFrame:
+    return records.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in records.columns if c != "node"])
+
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-def _linked(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those of similarity ``percent`` or more: other orders first, then whole sets."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return records.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def _linked(docs: DataFrame, pairs: DataFrame, orders, words: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those of similarity ``percent`` or more.
 
-    share = F.lit(percent)
-    sized = pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b")
-    filtered = sized.where(
-        (100 * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")) & F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")
-    ).select("a", "b")
-    both = filtered.join(side("a", "n", "items"), "a").join(side("b", "n", "items"), "b")
+    First every other order has its say: of sets that overlap in c tokens, the
+    prefixes of p and q tokens share the lesser of p + c - n and q + c - m at least,
+    under any order. Whole sets are fetched for the pairs that all orders let through.
+    """
+    light = stored(_records(docs, stored(_nodes(pairs), "nodes"), orders, words, percent, False), "prefixes")
+    both = pairs.join(_side(light, "a"), "a").join(_side(light, "b"), "b")
+    overlap = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
+
+    def agrees(order: str) -> Column:
+        bound = F.least(*[F.size(f"{s}_{order}") + overlap - F.col(f"{s}_n") for s in "ab"])
+        return F.size(F.array_intersect(f"a_{order}", f"b_{order}")) + F.lit(SLACK) >= bound
+
+    passed = stored(both.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & agrees("second") & agrees("third")).select("a", "b"), "passed")
+    whole = stored(_records(docs, stored(_nodes(passed), "nodes"), orders, words, percent, True), "sets")
+    both = passed.join(_side(whole, "a"), "a").join(_side(whole, "b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    return both.where(100 * common >= share * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,18 +341,15 @@ def similar_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     stars = stored(_unpacked(grouped, "star").where("a <> b").distinct(), "pairs")
     members = _unpacked(grouped, "member").distinct()
 
-    links = stored(_linked(stars, _needed(docs, stars, orders, words, percent), percent), "links")
-    labels = components(links)
+    links = stored(_linked(docs, stars, orders, words, percent), "links")
+    labels = stored(components(links), "labels")
     rest = stored(_across(members, labels).join(stars, ["a", "b"], "left_anti"), "pairs")
     if rest.isEmpty():
         return ids, labels
-    more = _linked(rest, _needed(docs, rest, orders, words, percent), percent)
-    return ids, components(links.unionByName(stored(more, "links")))
-
-
-def _needed(docs: DataFrame, pairs: DataFrame, orders, words: int, percent: int) -> DataFrame:
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    return stored(_records(docs, needed, orders, words, percent), "records")
+    more = stored(_linked(docs, rest, orders, words, percent), "links")
+    if more.isEmpty():
+        return ids, labels
+    return ids, components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
