@@ -292,13 +292,15 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, orders, words: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, orders, words: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those of similarity ``percent`` or more.
 
-    First every other order has its say: of sets that overlap in c tokens, the
+    Sizes too far apart go first, by the small table of ``sizes``. Then every other order has its say: of sets that overlap in c tokens, the
     prefixes of p and q tokens share the lesser of p + c - n and q + c - m at least,
     under any order. Whole sets are fetched for the pairs that all orders let through.
     """
+    near = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    pairs = stored(near.select("a", "b"), "near")
     light = stored(_records(docs, stored(_nodes(pairs), "nodes"), orders, words, percent, False), "prefixes")
     both = pairs.join(_side(light, "a"), "a").join(_side(light, "b"), "b")
     overlap = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
@@ -307,7 +309,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, orders, words: int, percent: int)
         bound = F.least(*[F.size(f"{s}_{order}") + overlap - F.col(f"{s}_n") for s in "ab"])
         return F.size(F.array_intersect(f"a_{order}", f"b_{order}")) + F.lit(SLACK) >= bound
 
-    passed = stored(both.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & agrees("second") & agrees("third")).select("a", "b"), "passed")
+    passed = stored(both.where(agrees("second") & agrees("third")).select("a", "b"), "passed")
     whole = stored(_records(docs, stored(_nodes(passed), "nodes"), orders, words, percent, True), "sets")
     both = passed.join(_side(whole, "a"), "a").join(_side(whole, "b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
@@ -341,12 +343,13 @@ def similar_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     stars = stored(_unpacked(grouped, "star").where("a <> b").distinct(), "pairs")
     members = _unpacked(grouped, "member").distinct()
 
-    links = stored(_linked(docs, stars, orders, words, percent), "links")
+    sizes = ids.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    links = stored(_linked(docs, stars, sizes, orders, words, percent), "links")
     labels = stored(components(links), "labels")
     rest = stored(_across(members, labels).join(stars, ["a", "b"], "left_anti"), "pairs")
     if rest.isEmpty():
         return ids, labels
-    more = stored(_linked(docs, rest, orders, words, percent), "links")
+    more = stored(_linked(docs, rest, sizes, orders, words, percent), "links")
     if more.isEmpty():
         return ids, labels
     return ids, components(links.unionByName(more))
