@@ -26,7 +26,7 @@ WINDOW = 50
 ANCHOR = 8
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
 LABEL, PLACES = 17, (0, 17, 33)
-GROUP_SUFFIXES = 1_000_000
+GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 1_000_000, 250_000, 1 << 15  # in a group, in a task at a time, in a packed row
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
 FILTER_KEYS = 1 << 24
@@ -184,7 +184,7 @@ def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets:
         for batch in batches:
             for doc, words in _long_texts(batch):
                 rows += [(_run_key(words, r), doc, *r) for r in _runs(words, known.value, bits, part, parts)]
-                if len(rows) > 1 << 19:
+                if len(rows) > 1 << 17:
                     yield flush()
                     rows.clear()
         if rows:
@@ -206,15 +206,15 @@ def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets:
 # ---------------------------------------------------------------- suffixes and their subtrees
 
 
-def _subtree(labels: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _subtree(labels: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts suffixes by their labels; (order, depth shared with the neighbour before, whether a smaller doc_id starts the same 50 words)."""
-    order = np.lexsort((place, doc, *labels.T[::-1]))
+    order = np.lexsort(labels.T[::-1])
     sorted_labels = labels[order]
     same = sorted_labels[1:] == sorted_labels[:-1]
     shared = np.r_[0, np.cumprod(same, axis=1).sum(axis=1)]  # labels, so 0, 17, 33 or 50 words
-    node = np.cumsum(shared < len(PLACES)) - 1
-    least = doc[order][np.flatnonzero(shared < len(PLACES))]  # a node's leaves are sorted by doc_id
-    return order, shared, doc[order] > least[node]
+    starts = np.flatnonzero(shared < len(PLACES))  # leaves of one deep node follow each other
+    least = np.minimum.reduceat(doc[order], starts)
+    return order, shared, doc[order] > np.repeat(least, np.diff(np.r_[starts, len(order)]))
 
 
 def _spans(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,13 +235,14 @@ def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, par
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids, places, held = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             label, doc, place = np.concatenate(labels), np.concatenate(ids), np.concatenate(places)
-            order, _, gone = _subtree(label, doc, place)
-            stay, lost = order[~gone], order[gone]
-            spans = _spans(doc[lost], place[lost])
-            columns = [label[stay], doc[stay], place[stay], *spans]
-            return pa.record_batch([pa.array([c.tobytes()], pa.binary()) for c in columns], names=names)
+            order, _, gone = _subtree(label, doc)
+            stay, spans = order[~gone], _spans(doc[order[gone]], place[order[gone]])
+            for k in range(0, max(len(stay), len(spans[0])), ROW_SUFFIXES):
+                part = stay[k : k + ROW_SUFFIXES]
+                columns = [label[part], doc[part], place[part], *[c[k : k + ROW_SUFFIXES] for c in spans]]
+                yield pa.record_batch([pa.array([c.tobytes()], pa.binary()) for c in columns], names=names)
 
         for batch in batches:
             for doc, words in _long_texts(batch):
@@ -252,18 +253,18 @@ def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, par
                 own = passes(owners.value, owner_bits, _owned(keys, np.full(len(keys), doc, np.int64)))
                 if not own.any():
                     continue
-                hashes = sequence_hashes(words, LABEL)
                 for (a, b), mine in zip(runs, own, strict=True):
                     if mine:
-                        labels.append(np.stack([hashes[a + p : b + p] for p in PLACES], axis=1))
+                        hashes = sequence_hashes(words[a : b + WINDOW - 1], LABEL)
+                        labels.append(np.stack([hashes[p : p + b - a] for p in PLACES], axis=1))
                         ids.append(np.full(b - a, doc, np.int64))
                         places.append(np.arange(a, b, dtype=np.int32))
                         held += b - a
-                if held > GROUP_SUFFIXES // 2:
-                    yield flush()
+                if held > TASK_SUFFIXES:
+                    yield from flush()
                     labels, ids, places, held = [], [], [], 0
         if labels:
-            yield flush()
+            yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SUFFIXES)
 
@@ -337,7 +338,7 @@ def _tree_rows(suffixes: DataFrame, plan: list[np.ndarray]) -> DataFrame:
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         labels, doc, place = _joined(frame, "labels", np.uint64).reshape(-1, len(PLACES)), _joined(frame, "docs", np.int64), _joined(frame, "places", np.int32)
-        order, _, gone = _subtree(labels, doc, place)
+        order, _, gone = _subtree(labels, doc)
         spans = _spans(doc[order[gone]], place[order[gone]])
         return pd.DataFrame({"docs": [spans[0].tobytes()], "starts": [spans[1].tobytes()], "stops": [spans[2].tobytes()]})
 
