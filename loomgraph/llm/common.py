@@ -53,15 +53,15 @@ def text_bytes(text: str) -> Column:
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of ``2**bits`` bits over the top bits of the 64-bit keys in ``column``.
+    """Bitmap of ``2**bits`` bits in which each hashed 64-bit key of ``column`` sets two: by its top and its low bits.
 
     Its size is fixed by ``bits``, whatever the number of keys: it may be sent to
-    every executor. A set bit can also come from another key, so what passes
-    has to be joined with the keys themselves.
+    every executor. Set bits can also come from other keys, so what passes may have
+    to be joined with the keys themselves.
     """
     low = min(bits, 15)  # bits within one word of the map: 4 KB blocks
     rows = (
-        keys.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("slot"))
+        keys.select(F.explode(F.array(F.shiftrightunsigned(F.col(column), 64 - bits), F.col(column).bitwiseAND((1 << bits) - 1))).alias("slot"))
         .select(F.shiftright("slot", low).alias("block"), F.col("slot").bitwiseAND((1 << low) - 1).cast("int").alias("bit"))
     )
 
@@ -86,8 +86,15 @@ def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
 
 def passes(filter_map: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned 64-bit ``keys`` may be in a ``bit_filter``."""
-    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    return (filter_map[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+    def is_set(slot: np.ndarray) -> np.ndarray:
+        slot = slot.astype(np.int64)
+        return (filter_map[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+    out = is_set(keys >> np.uint64(64 - bits))
+    at = np.flatnonzero(out)
+    out[at] = is_set(keys[at] & np.uint64((1 << bits) - 1))
+    return out
 
 
 # ---------------------------------------------------------------- texts as byte buffers

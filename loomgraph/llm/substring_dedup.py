@@ -1,9 +1,9 @@
 """Exact substring dedup by prefix-partitioned suffix trees.
 
 A suffix is the text from some word on, read to a depth of 50 words in three labels
-(of 17 words each, at 0, 17 and 33). Only suffixes that may repeat are kept: any 50
-words hold an anchor, an 8-word run whose hash is least in some window, and an anchor
-met in one document alone belongs to nothing that repeats. Runs of such suffixes that
+(of 17 words each, at 0, 17 and 33). Only suffixes that may
+repeat are kept: a window's anchor is the least hash of its 8-word runs, and a window
+whose anchor is met in one document alone does not repeat. Runs of such suffixes that
 are equal as a whole (copies of documents) are one. What is left is dealt by prefixes
 of variable length, as many labels as it takes for a group to fit into memory, and
 each group's subtree is made by sorting: neighbours that agree to depth 50 are a deep
@@ -29,7 +29,7 @@ LABEL, PLACES = 17, (0, 17, 33)
 GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 1_000_000, 250_000, 1 << 15  # in a group, in a task at a time, in a packed row
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
-FILTER_KEYS = 1 << 24
+FILTER_KEYS = 1 << 23
 
 _RUNS = "doc_id long, start int, stop int"
 
@@ -43,13 +43,9 @@ def _sliding(x: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
     return op(right[:n], left[size - 1 : size - 1 + n])
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the 8-word runs that are least in some window of 50 words; equal windows have equal anchors."""
-    grams = sequence_hashes(words, ANCHOR)
-    least = _sliding(grams, SPAN, np.minimum)
-    edge = np.zeros(SPAN - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.r_[edge, least, edge], SPAN, np.maximum) == grams)
-    return at, grams[at]
+def anchors(words: np.ndarray) -> np.ndarray:
+    """Each window's anchor: the least hash of its 8-word runs. Equal windows have equal anchors, and neighbours mostly share theirs."""
+    return _sliding(sequence_hashes(words, ANCHOR), SPAN, np.minimum)
 
 
 def _long_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,7 +106,8 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for doc, words in _long_texts(batch):
-                key = np.unique(anchors(words)[1])
+                least = anchors(words)
+                key = np.unique(least[np.r_[True, least[1:] != least[:-1]]])
                 found.append(key)
                 ids.append(np.full(len(key), doc, np.int64))
                 held += len(key)
@@ -144,18 +141,13 @@ def _with_sure(key: np.ndarray, doc: np.ndarray, sure: np.ndarray, buckets: int)
 
 
 def _runs(words: np.ndarray, known: np.ndarray, bits: int, part: int, parts: int) -> list[tuple[int, int]]:
-    """[start, stop) of the windows that hold a shared anchor."""
-    at, keys = anchors(words)
+    """[start, stop) of the windows whose anchor is shared."""
+    keys = anchors(words)
     hit = passes(known, bits, keys)
     if parts > 1:
         hit &= (keys >> np.uint64(1)) % np.uint64(parts) == part
-    at = at[hit]
-    if not len(at):
-        return []
-    first, last = np.maximum(0, at - SPAN + 1), np.minimum(at, len(words) - WINDOW)
-    cut = np.flatnonzero(first[1:] > last[:-1] + 1) + 1
-    starts, stops = first[np.r_[0, cut]], last[np.r_[cut, len(at)] - 1] + 1
-    return [(int(a), int(b)) for a, b in zip(starts, stops, strict=True)]
+    edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def _run_key(words: np.ndarray, run: tuple[int, int]) -> np.uint64:
@@ -358,7 +350,7 @@ def _unpacked(rows: DataFrame) -> DataFrame:
 
 
 def _held(docs: DataFrame, keys: DataFrame) -> tuple[object, int]:
-    bits = int(np.clip(np.ceil(np.log2(max(1, keys.count()))) + 4, *FILTER_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, keys.count()))) + 5, *FILTER_BITS))
     return docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key", bits)), bits
 
 
@@ -406,7 +398,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spans = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = stored(spans, "removed")
     keyed = spans.select(F.xxhash64("doc_id").alias("key"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, keyed.count()))) + 4, *FILTER_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, keyed.count()))) + 5, *FILTER_BITS))
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, "key", bits))
     names = docs.columns
     added = "kept string, n_words long, n_removed long"
