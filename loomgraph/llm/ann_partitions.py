@@ -22,9 +22,9 @@ from loomgraph.llm.common import stored
 TOP, EVERY = 20, 20
 SAMPLE = 8_000  # vectors that the partition and the router are learned from, at most
 NEIGHBOURS = 16
-PART_ROWS = 1_500  # rows a part should have
+PART_ROWS = 5_000  # rows a part should have
 PARTS = (4, 256)
-MASS = 0.985  # probability that the parts searched for a query make up
+MASS = 0.95  # probability that the parts searched for a query make up
 BLOCK_ROWS = 20_000  # rows of one part that one task ranks
 ASKED_BLOCKS = 8  # its queries are those of so many blocks at most, a twentieth of their rows
 
@@ -219,7 +219,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = TOP, router: Router |
     n_blocks = counts[F.col("part")]
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
     asked = _placed(rows.where(is_query), router, mass).where(n_blocks.isNotNull())
-    found = _search(asked, dealt, n_blocks, top)
+    found = stored(_search(asked, dealt, n_blocks, top), "found")
     if router is not None:
         # a query whose parts hold too few rows for a full answer gets all the other rows
         have = found.groupBy("query_id").agg(F.count("*").alias("n"))
