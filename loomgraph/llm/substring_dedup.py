@@ -26,7 +26,7 @@ WINDOW = 50
 ANCHOR = 8
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
 LABEL, PLACES = 17, (0, 17, 33)
-GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 1_000_000, 250_000, 1 << 15  # in a group, in a task at a time, in a packed row
+GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 400_000, 200_000, 1 << 15  # in a group, in a task at a time, in a packed row
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
 FILTER_KEYS = 1 << 23
@@ -50,12 +50,12 @@ def anchors(words: np.ndarray) -> np.ndarray:
 
 def _long_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """(doc_id, word hashes) of the texts of a window or more; a null doc_id neither removes nor loses words."""
-    data, offsets = text_buffers(batch.column(1))
     ids = batch.column(0).to_pylist()
-    for first, hashes, at in hashed_words(data, offsets, lower=False):
-        for i in range(len(at) - 1):
-            if at[i + 1] - at[i] >= WINDOW and ids[first + i] is not None:
-                yield ids[first + i], hashes[at[i] : at[i + 1]]
+    for k in range(0, len(ids), 512):
+        for first, hashes, at in hashed_words(*text_buffers(batch.column(1).slice(k, 512)), lower=False):
+            for i in range(len(at) - 1):
+                if at[i + 1] - at[i] >= WINDOW and ids[k + first + i] is not None:
+                    yield ids[k + first + i], hashes[at[i] : at[i + 1]]
 
 
 def _packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
