@@ -35,17 +35,17 @@ SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes); a text of fewer words has one for the whole."""
-    data, offsets = text_buffers(column)
-    for first, hashes, at in hashed_words(data, offsets, lower=True):
-        grams = sequence_hashes(hashes, words)
-        for i in range(len(at) - 1):
-            a, b = at[i], at[i + 1]
-            if b - a >= words:
-                yield first + i, np.unique(grams[a : b - words + 1])
-            elif b > a:
-                yield first + i, sequence_hashes(hashes[a:b], int(b - a))
-            else:
-                yield first + i, np.zeros(0, np.uint64)
+    for k in range(0, len(column), 512):
+        for first, hashes, at in hashed_words(*text_buffers(column.slice(k, 512)), lower=True):
+            grams = sequence_hashes(hashes, words)
+            for i in range(len(at) - 1):
+                a, b = at[i], at[i + 1]
+                if b - a >= words:
+                    yield k + first + i, np.unique(grams[a : b - words + 1])
+                elif b > a:
+                    yield k + first + i, sequence_hashes(hashes[a:b], int(b - a))
+                else:
+                    yield k + first + i, np.zeros(0, np.uint64)
 
 
 def _node(items: np.ndarray) -> int:
