@@ -168,8 +168,8 @@ def classify(blocks: list[Block]) -> None:
 def resolve(blocks: list[Block]) -> None:
     """Pass two: undecided blocks take the label of the nearest decided neighbours.
 
-    Within an article only the article's own blocks are neighbours, and where none
-    of them is decided its blocks are good. Elsewhere the page's ends are bad. Of two
+    Within an article only the article's own blocks are neighbours (an advert in its
+    midst is none), and where none of them is decided its blocks are good. Elsewhere the page's ends are bad. Of two
     neighbours as near, a heading follows the next, other blocks the good one if
     they hold a stop word.
     """
@@ -178,14 +178,14 @@ def resolve(blocks: list[Block]) -> None:
     last: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(blocks):
         before.append(last.get(b.article, (-1, "") if b.article else (-1, "bad")))
-        if b.label:
+        if b.label and not (b.boiler and b.article):
             last[b.article] = (i, b.label)
     after: list[tuple[int, str]] = []
     last = {}
     for i in range(n - 1, -1, -1):
         b = blocks[i]
         after.append(last.get(b.article, (n, "") if b.article else (n, "bad")))
-        if b.label:
+        if b.label and not (b.boiler and b.article):
             last[b.article] = (i, b.label)
     after.reverse()
     for i, b in enumerate(blocks):
