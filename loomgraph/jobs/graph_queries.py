@@ -451,3 +451,45 @@ def stale_join(g: Graph) -> DataFrame:
     """Symbols whose file has changed since it was indexed."""
     changed = K.changed_files(*_scans(g)).where("state = 'changed'").select(F.col("id").alias("changed_id"))
     return g.symbols.join(changed, F.col("file_id") == F.col("changed_id")).select("changed_id", F.col("id").alias("symbol_id"))
+
+
+# ---------------------------------------------------------------- extraction, over sources written from the tables
+
+_SOURCES = """
+blocks AS (SELECT s.file_id, s.id, s.qualified_name AS name, coalesce(c.n, 0) AS n FROM symbols s LEFT JOIN (SELECT source_id, count(*) AS n FROM calls GROUP BY 1) c ON c.source_id = s.id),
+spans AS (SELECT file_id, id, name, CAST(1 + sum(n + 2) OVER (PARTITION BY file_id ORDER BY id ROWS UNBOUNDED PRECEDING) - (n + 2) AS BIGINT) AS start_line, CAST(sum(n + 2) OVER (PARTITION BY file_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_line FROM blocks)"""
+
+
+def _sources(g: Graph) -> DataFrame:
+    """Each file as Python source: a function for every symbol of it, with a line for every call."""
+    names = g.symbols.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("callee"))
+    called = g.calls.join(names, "target_id").groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("    "), "callee", F.lit("()\n")))), "").alias("body"))
+    block = F.concat(F.lit("def "), "qualified_name", F.lit("():\n"), F.coalesce("body", F.lit("")), F.lit("    return 1\n"))
+    written = g.symbols.join(called, "id", "left").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", block.alias("text")))), lambda b: b["text"]), "").alias("text"))
+    return written.join(g.file_refs.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", F.lit("python").alias("lang"), "text", F.md5(F.col("text").cast("binary")).alias("content_hash"))
+
+
+@query("SELECT f.path, s.name, 'function' AS kind, s.start_line, s.end_line FROM spans s JOIN files f ON f.id = s.file_id", _SOURCES)
+def extract_symbols(g: Graph) -> DataFrame:
+    from loomgraph.sources import extract
+
+    return extract.symbols_of(_sources(g)).select("path", "name", "kind", "start_line", "end_line")
+
+
+@query("SELECT f.path, t.qualified_name AS callee, 'CALLS' AS edge_kind, count(*) AS sites FROM calls c JOIN symbols s ON s.id = c.source_id JOIN symbols t ON t.id = c.target_id JOIN files f ON f.id = s.file_id GROUP BY 1, 2", _SOURCES)
+def extract_calls(g: Graph) -> DataFrame:
+    from loomgraph.sources import extract
+
+    return extract.calls_of(_sources(g)).groupBy("path", "callee", "edge_kind").agg(F.count("*").alias("sites"))
+
+
+@query("SELECT s.qualified_name AS source, t.qualified_name AS target, 'CALLS' AS kind, CASE WHEN s.file_id = t.file_id THEN 'exact' ELSE 'name_match' END AS confidence FROM calls c JOIN symbols s ON s.id = c.source_id JOIN symbols t ON t.id = c.target_id WHERE s.id <> t.id")
+def st_incremental_index(g: Graph) -> DataFrame:
+    """The index job from sources to edges, in two runs: a part of the files first, then all."""
+    from loomgraph.jobs import index
+
+    files = _sources(g)
+    first = index.build(files.where(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(3)) != 0))
+    out = index.build(files, first)
+    a, b = (out.symbols.select(F.col("id").alias(k), F.col("name").alias(n)) for k, n in (("source_id", "source"), ("target_id", "target")))
+    return out.edges.join(a, "source_id").join(b, "target_id").select("source", "target", "kind", "confidence")

@@ -141,7 +141,7 @@ def fn_tier_constraints(g: Graph) -> DataFrame:
     return at.select(F.col("p_partkey").alias("id"), "tier", "max_lines", (F.col("p_size") * 10 > F.col("max_lines")).alias("too_long"))
 
 
-@query("SELECT id, epoch(ts)::BIGINT AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM tool_calls")
+@query("SELECT id, epoch(date_trunc('second', ts))::BIGINT AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM tool_calls")
 def fn_parse_iso(g: Graph) -> DataFrame:
     """Time as text, and read from the text again."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
