@@ -6,8 +6,8 @@ each, whatever the order of tokens. Pairs that share one under the first order
 compared.
 
 Documents with equal sets are one node. Groups of near copies aren't expanded into
-pairs: a first round links every member of a token's group to the group's least
-node; what is then in one component needs no further comparison, and a second round
+pairs: a first round compares every member of a token's group with the group's least
+node. What is then in one component needs no further comparison, and the last round
 compares the members of different components, those of the group's largest component
 against the others only. So no link between components is lost.
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bit_filter, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
@@ -292,35 +292,41 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, orders, words: int, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the similarity."""
+    both = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b")
+    return both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, light: DataFrame, orders, words: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those of similarity ``percent`` or more.
 
-    Sizes too far apart go first, by the small table of ``sizes``. Then every other order has its say: of sets that overlap in c tokens, the
+    First every other order has its say: of sets that overlap in c tokens, the
     prefixes of p and q tokens share the lesser of p + c - n and q + c - m at least,
     under any order. Whole sets are fetched for the pairs that all orders let through.
     """
-    near = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    pairs = stored(near.select("a", "b"), "near")
-    light = stored(_records(docs, stored(_nodes(pairs), "nodes"), orders, words, percent, False), "prefixes")
-    both = pairs.join(_side(light, "a"), "a").join(_side(light, "b"), "b")
-    overlap = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
-
-    def agrees(order: str) -> Column:
-        bound = F.least(*[F.size(f"{s}_{order}") + overlap - F.col(f"{s}_n") for s in "ab"])
-        return F.size(F.array_intersect(f"a_{order}", f"b_{order}")) + F.lit(SLACK) >= bound
-
-    passed = stored(both.where(agrees("second") & agrees("third")).select("a", "b"), "passed")
+    passed = pairs
+    for order in ("second", "third"):  # one by one: few pairs are left for the next
+        own = light.select("node", "n", F.col(order).alias("first"))
+        both = passed.join(_side(own, "a"), "a").join(_side(own, "b"), "b")
+        overlap = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
+        bound = F.least(*[F.size(f"{x}_first") + overlap - F.col(f"{x}_n") for x in "ab"])
+        passed = stored(both.where(F.size(F.array_intersect("a_first", "b_first")) + F.lit(SLACK) >= bound).select("a", "b"), "passed")
     whole = stored(_records(docs, stored(_nodes(passed), "nodes"), orders, words, percent, True), "sets")
     both = passed.join(_side(whole, "a"), "a").join(_side(whole, "b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
     return both.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one group whose nodes are in different components; those of the group's largest are not paired with each other."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, node, label) of the groups whose nodes are in several components."""
     at = members.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     mixed = at.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
-    at = stored(at.join(mixed, "token", "left_semi"), "mixed")
+    return stored(at.join(mixed, "token", "left_semi"), "mixed")
+
+
+def _across(at: DataFrame) -> DataFrame:
+    """Pairs of one group whose nodes are in different components; those of the group's largest are not paired with each other."""
     sizes = at.groupBy("token", "label").agg(F.count("*").alias("c"))
     most = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
     few = at.join(most, "token").where("label <> most").select("token", F.col("node").alias("x"), F.col("label").alias("xl"))
@@ -340,19 +346,19 @@ def similar_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     buckets = max(n, int(size // (64 << 20)) + 1)
     packed = _prefix_rows(docs, orders, words, percent, buckets)
     grouped = stored(packed.groupBy("bucket").applyInPandas(_group, _GROUPED), "groups")
-    stars = stored(_unpacked(grouped, "star").where("a <> b").distinct(), "pairs")
-    members = _unpacked(grouped, "member").distinct()
-
     sizes = ids.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    links = stored(_linked(docs, stars, sizes, orders, words, percent), "links")
+    ordered = _unpacked(grouped, "star").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = stored(_near(ordered, sizes, percent), "pairs")
+    members = stored(_unpacked(grouped, "member").distinct(), "members")
+    nodes = stored(_nodes(pairs).union(members.select("node")).distinct(), "nodes")
+    light = stored(_records(docs, nodes, orders, words, percent, False), "prefixes")
+
+    links = stored(_linked(docs, pairs, light, orders, words, percent), "links")
     labels = stored(components(links), "labels")
-    rest = stored(_across(members, labels).join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(_near(_across(_mixed(members, labels)).join(pairs, ["a", "b"], "left_anti"), sizes, percent), "pairs")
     if rest.isEmpty():
         return ids, labels
-    more = stored(_linked(docs, rest, sizes, orders, words, percent), "links")
-    if more.isEmpty():
-        return ids, labels
-    return ids, components(links.unionByName(more))
+    return ids, components(links.unionByName(stored(_linked(docs, rest, light, orders, words, percent), "links")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
