@@ -26,7 +26,7 @@ WINDOW = 50
 ANCHOR = 8
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
 LABEL, PLACES = 17, (0, 17, 33)
-GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 400_000, 200_000, 1 << 15  # in a group, in a task at a time, in a packed row
+GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 250_000, 150_000, 1 << 14  # in a group, in a task at a time, in a packed row
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
 FILTER_KEYS = 1 << 23
@@ -257,6 +257,7 @@ def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, par
                     labels, ids, places, held = [], [], [], 0
         if labels:
             yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SUFFIXES)
 
@@ -401,22 +402,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(max(1, keyed.count()))) + 5, *FILTER_BITS))
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, "key", bits))
     names = docs.columns
-    added = "kept string, n_words long, n_removed long"
+    kept_names = [c for c in names if c not in ("kept", "n_words", "n_removed")]
+    at = kept_names.index("text")
 
     @F.pandas_udf("boolean")
     def may(keys: pd.Series) -> pd.Series:
         return pd.Series(passes(held.value, bits, keys.to_numpy(np.int64).astype(np.uint64)))
 
-    @F.pandas_udf(f"struct<{added.replace(' ', ':').replace(',:', ',')}>")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = [_cut(t, [(s["start"], s["stop"]) for s in ss] if ss is not None else None) for t, ss in zip(text, spans, strict=True)]
-        return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows = [_cut(t, s and [(x["start"], x["stop"]) for x in s]) for t, s in zip(part.column(at).to_pylist(), part.column(len(kept_names)).to_pylist(), strict=True)]
+                added = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
+                yield pa.record_batch([*part.columns[:-1], *added], names=[*kept_names, "kept", "n_words", "n_removed"])
+        pa.default_memory_pool().release_unused()
 
     key = F.xxhash64("doc_id")
     touched = docs.where(may(key)).join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left")
     whole = docs.where(~may(key)).withColumn("_spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    both = touched.select(*names, "_spans").unionByName(whole.select(*names, "_spans"))
-    return both.withColumn("_cut", cut("text", "_spans")).select(*[c for c in names if c not in ("kept", "n_words", "n_removed")], "_cut.*")
+    both = touched.select(*kept_names, "_spans").unionByName(whole.select(*kept_names, "_spans"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_names)
+    return both.mapInArrow(cut, f"{schema}, kept string, n_words long, n_removed long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
