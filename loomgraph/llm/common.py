@@ -155,6 +155,12 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator
     A word is a run of bytes other than space and 0x09-0x0D; ``lower`` maps A-Z to
     a-z first. Equal words have equal hashes everywhere.
     """
+    for first, _, _, _, hashes, at in placed_words(data, offsets, lower):
+        yield first, hashes, at
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``hashed_words``, with the bytes and each word's first and last place in them: (first text, bytes, starts, ends, hashes, offsets)."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _PIECE, "right")) - 1)
@@ -174,7 +180,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator
             cuts = [0, *np.searchsorted(starts, np.arange(_PIECE, len(part), _PIECE)), len(starts)]
             runs = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
             hashes = np.concatenate([_hash_words(part[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in runs]) if runs else np.zeros(0, np.uint64)
-        yield i, hashes, np.searchsorted(starts, bounds)
+        yield i, part, starts, ends, hashes, np.searchsorted(starts, bounds)
         i = j
 
 

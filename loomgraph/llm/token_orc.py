@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shuffle_partitions
+from loomgraph.llm.common import placed_words, shuffle_partitions, text_buffers
 
 STRIPE_BYTES = 16 << 20
-WHOLE_CHUNKS, PIECES = 300_000, 800_000  # what a worker remembers at most
+WORDS, PIECES = 1_500_000, 800_000  # what a worker remembers at most
 
 #: Cuts that no token spans: around white space, and between letters or digits and ASCII signs.
 #: What has other signs, marks or an apostrophe next to it stays in one piece.
@@ -29,53 +29,74 @@ _PIECES = re.compile(r"[^\W_]+(?=[ !-&(-/:-@\[-`{-~]|\Z)|[!-&(-/:-@\[-^`{-~]+(?=
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-class _Chunks(dict):
-    """What is remembered, and beside it what the texts at hand have besides."""
-
-    def __init__(self):
-        super().__init__()
-        self.passing: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.passing[chunk]
-
-
 class WordEncoder:
-    """Encodes texts through ``tokenizers``, each distinct piece once while it is remembered.
+    """Encodes texts through ``tokenizers``, each distinct word once while it is remembered.
 
     For vocabularies that lower-case, drop white space and split letters from signs
-    before they merge. A text with a special token's string is encoded as it is.
+    before they merge. Words are known by their 64-bit hashes, and a batch's ids are
+    put together from the remembered ones. Texts with a special token's string are
+    encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = _Chunks()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        # remembered words: sorted hashes, and where the ids of each begin in ``flat`` and how many they are
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        cut = [_PIECES.findall(c.translate(_LOWER)) for c in chunks]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        cut = [_PIECES.findall(w.translate(_LOWER)) for w in words]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         new = list(set().union(*cut).difference(self.pieces))
         self.pieces.update(zip(new, self._ids(new), strict=True))
         get = self.pieces.__getitem__
-        return {c: b"".join(map(get, ps)) for c, ps in zip(chunks, cut, strict=True)}
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        last = np.array([end], "<u4").tobytes()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        known.passing = self._encode_chunks(list(set().union(*split).difference(known)))
-        if len(known) < WHOLE_CHUNKS:
-            known.update(known.passing)
-        get = known.__getitem__
-        return [np.frombuffer((self._ids([t])[0] if any(x in t for x in self.special) else b"".join(map(get, ws))) + last, "<u4") for t, ws in zip(texts, split, strict=True)]
+        return [b"".join(map(get, ps)) for ps in cut]
+
+    def _found(self, keys: np.ndarray, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, begin, count) of the words with these distinct sorted hashes; ``starts`` and ``ends`` are one place of each."""
+        at = np.searchsorted(self.keys, keys)
+        inside = np.minimum(at, max(0, len(self.keys) - 1))
+        known = self.keys[inside] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        begin, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[known], count[known] = self.begin[inside[known]], self.count[inside[known]]
+        new = np.flatnonzero(~known)
+        raw = part.tobytes()
+        made = self._encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        count[new] = [len(m) // 4 for m in made]
+        begin[new] = len(self.flat) + np.cumsum(count[new]) - count[new]
+        flat = np.r_[self.flat, np.frombuffer(b"".join(made), "<u4")]
+        if len(self.keys) < WORDS and len(new):
+            self.flat = flat
+            self.keys, self.begin, self.count = (np.insert(old, at[new], x[new]) for old, x in ((self.keys, keys), (self.begin, begin), (self.count, count)))
+        return flat, begin, count
+
+    def encode(self, column: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of about 1 MB of texts at a time: all ids with ``end`` after each text, and how many each text has."""
+        data, offsets = text_buffers(column)
+        for first, part, starts, ends, hashes, at in placed_words(data, offsets, lower=False):
+            raw = part.tobytes()
+            if any(x in raw for x in self.special):
+                texts = [(t or "") for t in column.slice(first, len(at) - 1).to_pylist()]
+                ids = [np.frombuffer(i + np.array([end], "<u4").tobytes(), "<u4") for i in self._ids(texts)]
+                yield np.concatenate(ids), np.array([len(i) for i in ids])
+                continue
+            keys, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+            flat, begin, count = self._found(keys, part, starts[where], ends[where])
+            counts = count[which]
+            upto = np.r_[0, np.cumsum(counts)]
+            ids = flat[np.repeat(begin[which] - upto[:-1], counts) + np.arange(upto[-1])]
+            sizes = np.diff(upto[at])  # ids of each text
+            out = np.full(len(ids) + len(sizes), end, np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+            yield out, sizes + 1
 
 
 @functools.cache
@@ -91,12 +112,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()], end_id)
-                offsets = np.r_[0, np.cumsum([len(x) for x in ids])]
-                values = pa.array(np.concatenate(ids).astype(np.int32))
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["doc_id", "ids"])
+            at = 0
+            for ids, sizes in own.encode(batch.column(1), end_id):
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                yield pa.record_batch([batch.column(0).slice(at, len(sizes)), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))], names=["doc_id", "ids"])
+                at += len(sizes)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
