@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +51,13 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system: Spark keeps Python workers for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- fixed-size bit filters
 
 

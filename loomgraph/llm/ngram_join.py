@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bit_filter, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
+from loomgraph.llm.common import bit_filter, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
 from loomgraph.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -175,6 +175,7 @@ def _prefix_rows(docs: DataFrame, orders, words: int, percent: int, buckets: int
                     tokens, nodes, held = [], [], 0
         if tokens:
             yield from flush()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, more binary")
 
@@ -279,6 +280,7 @@ def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: in
                     rows.clear()
         if rows:
             yield flush()
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "node long, n int" + "".join(f", {c} array<{'long' if whole else 'int'}>" for c in lists))
     return found.join(needed, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *lists)])

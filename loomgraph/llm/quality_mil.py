@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hashed_words, text_buffers
+from loomgraph.llm.common import give_back, hashed_words, text_buffers
 
 PASSAGE_WORDS = 48
 #: Labelled documents that a model is learned from, at most; which ones follows from a hash of doc_id.
@@ -205,6 +205,7 @@ def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
                 bags = list(passage_features(part.column(at)))
                 scores = held.value.scores(bags) if held.value and bags else np.full(len(bags), 0.5)
                 yield pa.record_batch([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+        give_back()
 
     return docs.select(*names).mapInArrow(run, f"{schema}, score double, predicted int")
 

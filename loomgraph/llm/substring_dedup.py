@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import bit_filter, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
+from loomgraph.llm.common import bit_filter, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
 
 WINDOW = 50
 ANCHOR = 8
@@ -257,7 +258,7 @@ def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, par
                     labels, ids, places, held = [], [], [], 0
         if labels:
             yield from flush()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SUFFIXES)
 
@@ -405,25 +406,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept_names = [c for c in names if c not in ("kept", "n_words", "n_removed")]
     at = kept_names.index("text")
 
-    @F.pandas_udf("boolean")
-    def may(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(held.value, bits, keys.to_numpy(np.int64).astype(np.uint64)))
+    def chosen(batches: Iterator[pa.RecordBatch], may: bool) -> Iterator[pa.RecordBatch]:
+        """Rows that may lose something, or the others, without their key."""
+        for batch in batches:
+            keys = batch.column(len(kept_names)).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+            yield pa.record_batch(batch.columns[:-1], names=kept_names).filter(pa.array(passes(held.value, bits, keys) == may))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows = [_cut(t, s and [(x["start"], x["stop"]) for x in s]) for t, s in zip(part.column(at).to_pylist(), part.column(len(kept_names)).to_pylist(), strict=True)]
+                spans = part.column(len(kept_names)).to_pylist() if part.num_columns > len(kept_names) else [None] * part.num_rows
+                rows = [_cut(t, s and [(x["start"], x["stop"]) for x in s]) for t, s in zip(part.column(at).to_pylist(), spans, strict=True)]
                 added = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
-                yield pa.record_batch([*part.columns[:-1], *added], names=[*kept_names, "kept", "n_words", "n_removed"])
-        pa.default_memory_pool().release_unused()
+                yield pa.record_batch([*part.columns[: len(kept_names)], *added], names=[*kept_names, "kept", "n_words", "n_removed"])
+        give_back()
 
-    key = F.xxhash64("doc_id")
-    touched = docs.where(may(key)).join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    whole = docs.where(~may(key)).withColumn("_spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    both = touched.select(*kept_names, "_spans").unionByName(whole.select(*kept_names, "_spans"))
+    keyed_docs = docs.select(*kept_names, F.xxhash64("doc_id").alias("_key"))
+    plain = T.StructType([docs.schema[c] for c in kept_names])
+    touched = keyed_docs.mapInArrow(lambda batches: chosen(batches, True), plain).join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*kept_names, "_spans")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_names)
-    return both.mapInArrow(cut, f"{schema}, kept string, n_words long, n_removed long")
+    out = f"{schema}, kept string, n_words long, n_removed long"
+    return touched.mapInArrow(cut, out).unionByName(keyed_docs.mapInArrow(lambda batches: cut(chosen(batches, False)), out))
 
 
 def digest(docs: DataFrame) -> DataFrame:
