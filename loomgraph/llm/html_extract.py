@@ -28,13 +28,19 @@ SHORT = 70  # characters: shorter blocks say little about themselves
 DENSE, SPARSE = 0.30, 0.10  # stop words among words: prose, and what isn't
 LINKED = 0.5  # share of a block's characters within links
 
-_RAW = "script|style|title|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|button|datalist"
+_RAW = "script|style|title|noscript|template|textarea|iframe"  # up to their end tag, as browsers read them
+_LEFT_OUT = "select|svg|math|object|canvas|audio|video|button|datalist"  # ordinary elements whose text is no reader's
+_BLOCK = "body|nav|header|footer|aside|form|article|main|div|section|ul|ol|li|dl|dt|dd|table|tr|td|th|thead|tbody|tfoot|blockquote|figure|figcaption|details|dialog|fieldset|center|menu|address|pre|p|hr|h[1-6]"
+_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|(?P<alone><(?:{_LEFT_OUT}|title|noscript|template|textarea|iframe)(?![\w:-]){_INSIDE}/>)"
+    rf"|<(?P<raw>{_RAW})(?![\w:-]){_INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)"
+    # closed: its end comes before another of its name and before an article; else it ends at the next block
+    rf"|<(?P<out>{_LEFT_OUT})(?![\w:-]){_INSIDE}>(?:[^<]*+(?:<(?!/?(?:(?P=out)|article|main|section|body)(?![\w:-]))[^<]*+)*+</(?P=out)\s*>|[^<]*+(?:<(?!/?(?:(?P=out)|{_BLOCK})(?![\w:-]))[^<]*+)*+)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*>?",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr acronym".split())
 _CONTAINERS = frozenset("head body nav header footer aside form article main div section ul ol dl table tr td th thead tbody tfoot blockquote figure details dialog fieldset center menu address pre figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -45,6 +51,11 @@ _BOILER_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead banner copyright disclaimer skip hidden form search".split()
 )
 _HEADER_NAMES = frozenset("header topbar".split())
+#: Words that a boilerplate name may have before and after it within one class or id, as in site-footer or share-buttons.
+_BEFORE = frozenset("site main top bottom page primary secondary global post article entry blog single web google mobile desktop sticky fixed floating js wp user left right email mail the in".split())
+_AFTER = frozenset("list item items box container wrapper wrap inner outer links link posts post articles stories block section area slot unit bar buttons button icons icon group panel body text title top bottom left right column col primary secondary thread count toggle msg message".split())
+#: Elements of these names hold articles of their own, which aren't the page's.
+_HOLDERS = frozenset("comment comments commentlist reply replies respond disqus sidebar side rail widget widgets related recommended recommendations sponsor sponsored promo promotion ad ads".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,37 +71,55 @@ class Block:
     stop: float = field(default=0.0)
 
 
-def _names(attrs: str) -> tuple[set[str], dict[str, str]]:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
-    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get("class", "") + " " + found.get("id", "")).lower()) if "class" in found or "id" in found else []
-    return set(words), found
+_OPEN, _NAMED, _HOLDER, _FIRM = range(4)  # no boilerplate; by a name, which an article within overrules; by a name that holds articles; by what it is
 
 
-def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _BOILER_TAGS or tag == "header" and not in_article:
-        return True
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+
+
+def _boiler_words(token: str, names: frozenset[str]) -> list[str]:
+    """The boilerplate names of one class or id that is such a name, or made of such names and words usual beside them."""
+    words = [w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w and not w.isdigit()]
+    held = [i for i, w in enumerate(words) if w in names]
+    if not held or not all(w in names or w in _BEFORE for w in words[: held[0]]) or not all(w in names or w in _AFTER for w in words[held[0] :]):
+        return []
+    return [words[i] for i in held]
+
+
+def _boiler(tag: str, attrs: str, in_article: bool) -> int:
+    if tag in _BOILER_TAGS and tag != "form" or tag == "header" and not in_article:
+        return _FIRM
     if tag in ("body", "main"):
-        return False
-    names, found = _names(attrs)
-    if names & _BOILER_NAMES or not in_article and names & _HEADER_NAMES:
-        return True
+        return _OPEN
+    found = _attributes(attrs)
     style = found.get("style", "").replace(" ", "").lower()
-    return found.get("role", "").lower() in _BOILER_ROLES or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true" or re.search(r"(^|\s)hidden(\s|$|=)", attrs) is not None
+    if found.get("role", "").lower() in _BOILER_ROLES or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true" or "hidden" in found:
+        return _FIRM
+    names = _BOILER_NAMES if in_article else _BOILER_NAMES | _HEADER_NAMES
+    words = [w for token in f"{found.get('class', '')} {found.get('id', '')}".split() for w in _boiler_words(token, names)]
+    if "hidden" in words:
+        return _FIRM
+    return _HOLDER if not _HOLDERS.isdisjoint(words) else _NAMED if words or tag == "form" else _OPEN
+
 
+def blocks_of(page: str, lift: bool = False) -> list[Block]:
+    """The page's blocks of text in order; what holds no text of a reader's (scripts, comments) is left out.
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order; what holds no text of a reader's (scripts, comments) is left out."""
+    A form or a boilerplate name around a main or article element doesn't make that
+    one boilerplate, save articles within comments, sidebars and the like; ``lift`` lets no name decide on articles.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, within boilerplate, article
+    stack: list[tuple[str, int, int]] = []  # tag, level of boilerplate, article
     parts: list[str] = []
     linked = heading = link = articles = 0
-    boiler, article, inline_boiler = False, 0, 0
+    boiler, article, inline_boiler = _OPEN, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                blocks.append(Block(text, linked, bool(heading), any(t[0] in ("ul", "ol", "dl", "table") for t in stack), boiler, article))
+                blocks.append(Block(text, linked, bool(heading), any(t[0] in ("ul", "ol", "dl", "table") for t in stack), boiler > _OPEN, article))
             parts.clear()
         linked = 0
 
@@ -107,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
         add(page[at : m.start()])
         at = m.end()
         if not m["tag"]:
-            if m["raw"] and m["raw"].lower() not in ("script", "style"):
+            if m["alone"] or m["out"] or m["raw"] and m["raw"].lower() not in ("script", "style"):
                 parts.append(" ")
             continue
         tag, closing = m["tag"].lower(), bool(m["end"])
@@ -130,15 +159,18 @@ def blocks_of(page: str) -> list[Block]:
         else:
             if tag == "body" and any(t[0] == "head" for t in stack):
                 stack.clear()
-            outer = stack[-1] if stack else ("", False, 0)
-            inner = outer[2]
-            is_boiler = outer[1] or _is_boiler(tag, m["attrs"], bool(inner))
-            if tag in ("article", "main") and not is_boiler and not inner:
+            outer = stack[-1] if stack else ("", _OPEN, 0)
+            inner, level, own = outer[2], outer[1], _boiler(tag, m["attrs"], bool(outer[2]))
+            if tag in ("article", "main") and not inner:
+                level = _OPEN if level <= (_HOLDER if tag == "main" or lift else _NAMED) else level
+                own = _OPEN if lift and own < _FIRM else own
+            level = max(level, own)
+            if tag in ("article", "main") and not level and not inner:
                 articles += 1
                 inner = articles
             if not m["attrs"].endswith("/"):
-                stack.append((tag, is_boiler, inner))
-        _, boiler, article = stack[-1] if stack else ("", False, 0)
+                stack.append((tag, level, inner))
+        _, boiler, article = stack[-1] if stack else ("", _OPEN, 0)
     add(page[at:])
     flush()
     return blocks
@@ -204,10 +236,15 @@ def resolve(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by one space; nothing of it is cut."""
-    blocks = blocks_of(page or "")
-    classify(blocks)
-    resolve(blocks)
-    return " ".join(b.text for b in blocks if b.label == "good")
+    text = ""
+    for lift in (False, True):  # once more where names left nothing
+        blocks = blocks_of(page or "", lift)
+        classify(blocks)
+        resolve(blocks)
+        text = " ".join(b.text for b in blocks if b.label == "good")
+        if text or not any(b.boiler for b in blocks):
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

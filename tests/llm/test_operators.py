@@ -70,6 +70,30 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="wrapper no-sidebar"><p>{}</p></div>',
+        '<article class="post category-search tag-promo"><p>{}</p></article>',
+        '<div class="sidebar-left"><main><p>{}</p></main></div>',
+        '<form id="aspnetForm"><div id="form"><article><p>{}</p></article></div></form>',
+        '<article class="social"><p>{}</p></article>',
+        '<article data-title="the hidden valley"><p>{}</p></article>',
+        '<svg class="icon"/><article><p>{}</p></article><svg><path/></svg>',
+        '<math/><article><p>{}</p></article>',
+        '<button>Menu<article><p>{}</p></article><button>Go</button>',
+        '<div><select><option>One</div><div><p>{}</p></div>',
+        '<object data="x"><div><p>{}</p></div>',
+        '<button-row><article><p>{}</p></article></button-row><button><div>No</div></button>',
+        '<article><p>{}</p></article><div id="comments"><article class="comment-body"><p>I read all of this and that is what it was for me and for her.</p></article></div>',
+        '<div><p>{}</p></div><div class="comments"><article><p>I read all of this and that is what it was for me and for her.</p></article></div>',
+        '<div hidden><p>No {}</p></div><div class="share-buttons"><p>No {}</p></div><div class="site-footer"><p>No {}</p></div><div data-v2="class=ad"><p>{}</p></div>',
+    ],
+)
+def test_markup_around_the_text_does_not_empty_the_page(body):
+    assert html_extract.main_text(page(body.replace("{}", LONG))) == LONG
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", page(f"<article>{LONG}</article>"), 5), (1, "u", None, 6), (None, None, "", 7)], "page_id long, url string, html string, text long")
     rows = sorted((r["n_chars"], r["text"]) for r in html_extract.extract(pages).collect())
