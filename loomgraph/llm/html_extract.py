@@ -27,6 +27,9 @@ STOP_WORDS = frozenset(
 SHORT = 70  # characters: shorter blocks say little about themselves
 DENSE, SPARSE = 0.30, 0.10  # stop words among words: prose, and what isn't
 LINKED = 0.5  # share of a block's characters within links
+FEW_LINKS = 0.2  # the same, of prose in any language
+_SENTENCE = re.compile(r"[.!?…][\"'»”’)\]]*(?:\s|$)|[。！？．…؟۔।॥።։]|[,;，、；،].*[,;，、；،]", re.S)
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts that say as much in half as many characters
 
 _RAW = "script|style|title|noscript|template|textarea|iframe"  # up to their end tag, as browsers read them
 _LEFT_OUT = "select|svg|math|object|canvas|audio|video|button|datalist"  # ordinary elements whose text is no reader's
@@ -176,8 +179,20 @@ def blocks_of(page: str, lift: bool = False) -> list[Block]:
     return blocks
 
 
+def _is_prose(b: Block, has_article: bool) -> bool:
+    """Prose in whatever language: long, hardly linked, in sentences or very long, and not boilerplate."""
+    if b.boiler or has_article and not b.article or len(b.text) < SHORT // 2 or b.linked > FEW_LINKS * len(b.text) or b.text.startswith(("©", "(c) ")) and not b.article:
+        return False
+    long = len(b.text) + len(_WIDE.findall(b.text))
+    return long >= 3 * SHORT or long >= SHORT and _SENTENCE.search(b.text) is not None
+
+
 def classify(blocks: list[Block]) -> None:
-    """Pass one: good, bad, or undecided (empty)."""
+    """Pass one: good, bad, or undecided (empty).
+
+    Where stop words find less than half of what reads as prose (other languages,
+    technical texts), all of that is good.
+    """
     has_article = any(b.article and not b.boiler for b in blocks)
     for b in blocks:
         words = _WORD.findall(b.text.lower())
@@ -195,6 +210,10 @@ def classify(blocks: list[Block]) -> None:
             b.label = "bad"
         else:
             b.label = ""
+    prose = [b for b in blocks if _is_prose(b, has_article)]
+    if 2 * sum(len(b.text) for b in prose if b.label == "good") < sum(len(b.text) for b in prose):
+        for b in prose:
+            b.label = "good"
 
 
 def resolve(blocks: list[Block]) -> None:

@@ -94,6 +94,24 @@ def test_markup_around_the_text_does_not_empty_the_page(body):
     assert html_extract.main_text(page(body.replace("{}", LONG))) == LONG
 
 
+POLISH = "Stary młynarz mieszkał samotnie przy rzece, gdzie wieczorami słuchał żab. Każdego ranka karmił kaczki."
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        POLISH, "Старый мельник жил один у реки, где вечерами слушал лягушек. Каждое утро он кормил уток и чинил колесо.", "老磨坊主独自住在河边，每天晚上都听青蛙叫。每天早上他喂鸭子，然后修理水车的轮子，直到太阳升起。",
+        "年老いた粉屋は川のほとりに一人で住んでいて、毎晩カエルの声を聞いていました。毎朝アヒルに餌をやりました。", "Kernel pages flush dirty buffers via writeback threads; tuning vm.dirty_ratio trades latency against throughput. Benchmarks show 12% gains.",
+    ],
+)
+def test_prose_without_listed_stop_words(text):
+    nav = "<ul><li><a href='/'>Start</a></li><li><a href='/o'>Info</a></li></ul>"
+    links = "<p><a href='/a'>Menu link number one of many others, with more words than usual</a></p>"
+    assert html_extract.main_text(page(f"{nav}<div><h1>Head</h1><p>{text}</p><p>{text}</p></div>{nav}")) == f"Head {text} {text}"
+    assert html_extract.main_text(page(f"<div><p>{text}</p><p>{text}</p><p>{text}</p></div><ul><li>{LONG}</li></ul>")).count(text) == 3
+    assert html_extract.main_text(page(f"<article><p>{text}</p>{nav}{links}<p>{text}</p></article>")) == f"{text} {text}"
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", page(f"<article>{LONG}</article>"), 5), (1, "u", None, 6), (None, None, "", 7)], "page_id long, url string, html string, text long")
     rows = sorted((r["n_chars"], r["text"]) for r in html_extract.extract(pages).collect())
