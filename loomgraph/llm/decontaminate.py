@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 WINDOW = 13
-#: Benchmark text that one automaton may hold; more is scanned in as many passes as it takes.
+#: Benchmark text that one automaton may hold; for more, each row is scanned by as many automata as it takes.
 AUTOMATON_BYTES = 32 << 20
+#: Rows that several automata scan in turn: each automaton is built once for so much of a task's input.
+HELD_BYTES = 64 << 20
 
 #: Bytes that separate words become a space, A-Z become a-z; digits, letters and all other bytes stay.
 _NORMAL = bytearray(b" " * 256)
@@ -89,34 +92,85 @@ def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS = "n_words long, runs array<struct<a:int,b:int>>, items array<string>"
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[object, str | None]], window: int, spans: bool) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def joined(runs: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of two automata over one text as those of a single one: in order and apart."""
+    if not runs or not more:
+        return runs or more
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(runs + more):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
 
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``limit`` bytes."""
+    group: list[pa.RecordBatch] = []
+    for batch in batches:
+        group.append(batch)
+        if sum(b.nbytes for b in group) >= limit:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def _automaton(part: Broadcast, window: int) -> WindowAutomaton:
+    automaton = WindowAutomaton(part.value, window)
+    if getattr(part, "_path", None):  # can be read again: a worker needn't hold the whole benchmark
+        vars(part).pop("_value", None)
+    return automaton
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], parts: list[Broadcast], window: int, at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], set[str]]]]]:
+    """Each batch with (words, runs, items met) of every row, whose text is column ``at``; one automaton is held at a time.
+
+    What the automata find is put together row by row, so ids decide nothing.
+    """
+    automaton = _automaton(parts[0], window) if len(parts) == 1 else None
+    for group in _groups(batches, HELD_BYTES if len(parts) > 1 else 0):
+        found: list[list] = [[(0, [], set())] * b.num_rows for b in group]
+        for part in parts:
+            if len(parts) > 1:
+                automaton = None  # freed before the next is built
+                automaton = _automaton(part, window)
+            for batch, rows in zip(group, found, strict=True):
+                for i, text in enumerate(batch.column(at).to_pylist()):
+                    words = _words(text)
+                    got, met = automaton.scan(words)
+                    rows[i] = (len(words), joined(rows[i][1], got), rows[i][2] | {str(automaton.items[k]) for k in met})
+        yield from zip(group, found, strict=True)
+
+
+def _scan(docs: DataFrame, parts: list[Broadcast], window: int, spans: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = WindowAutomaton(held.value, window)
         pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        for batch in batches:
-            n_words, runs, items, places = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = _words(text)
-                got, met = automaton.scan(words)
-                n_words.append(len(words))
-                runs.append([{"a": a, "b": b} for a, b in got])
-                items.append(sorted(str(automaton.items[i]) for i in met))
-                if spans:
-                    places.append([{"a": a, "b": b} for a, b in char_spans(text or "", got)])
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(runs, pair), pa.array(items, pa.list_(pa.string()))]
-            yield pa.record_batch(columns + [pa.array(places, pair)] * spans, names=["doc_id", "n_words", "runs", "items"] + ["spans"] * spans)
+
+        def pairs(runs: list[list[tuple[int, int]]]) -> pa.Array:
+            return pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], pair)
+
+        for batch, rows in _scanned(batches, parts, window, 1):
+            columns = [batch.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pairs([r for _, r, _ in rows]), pa.array([sorted(m) for _, _, m in rows], pa.list_(pa.string()))]
+            if spans:
+                columns.append(pairs([char_spans(t or "", r) for t, (_, r, _) in zip(batch.column(1).to_pylist(), rows, strict=True)]))
+            yield pa.record_batch(columns, names=["doc_id", "n_words", "runs", "items"] + ["spans"] * spans)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_HITS}" + ", spans array<struct<a:int,b:int>>" * spans)
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
+def _blocks(benchmark: DataFrame, limit: int) -> list[Broadcast]:
     """The benchmark in parts whose text fits one automaton, by a hash of the item."""
+    benchmark = benchmark.select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-2 * size // limit)) if size > limit else 1
     slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [benchmark.where(slot == p) if parts > 1 else benchmark for p in range(parts)]
+    held = []
+    for p in range(parts):
+        rows = (benchmark.where(slot == p) if parts > 1 else benchmark).collect()
+        held.append(benchmark.sparkSession.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (str(x[0]), x[1] or ""))))
+    return held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -124,23 +178,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Null and empty texts have no words; an item without words takes no part; one of
     fewer words than ``window`` is one window. An item that occurs twice counts
-    once. A benchmark beyond ``automaton_bytes`` is scanned in parts, and what a
-    document has in each is put together (then its doc_id has to be unique).
+    once. A benchmark beyond ``automaton_bytes`` is scanned in parts, one automaton
+    after another over each row, with the same result; ids may repeat or be null.
     """
-    found = []
-    for part in _blocks(benchmark.select("item_id", "text"), automaton_bytes):
-        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1] or ""))
-        found.append(_scan_block(docs, items, window, spans))
-    hits = found[0]
-    if len(found) > 1:
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        grouped = every.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            *([F.flatten(F.collect_list("spans")).alias("spans")] if spans else []),
-        )
-        hits = grouped
+    hits = _scan(docs, _blocks(benchmark, automaton_bytes), window, spans)
     words = F.aggregate(
         F.array_sort("runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
         lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["upto"]))).cast("long").alias("n"), F.greatest(s["upto"], r["b"]).alias("upto")),
@@ -156,25 +197,13 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The documents that aren't contaminated, unchanged; decided row by row, without a shuffle.
-
-    Only a benchmark that needs several automata is put together by doc_id.
-    """
-    blocks = _blocks(benchmark.select("item_id", "text"), automaton_bytes)
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, window, automaton_bytes=automaton_bytes).where("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in blocks[0].collect()])
+    """The documents that aren't contaminated, unchanged; decided row by row, without a shuffle."""
+    parts = _blocks(benchmark, automaton_bytes)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = WindowAutomaton(held.value, window)
-        for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                words = _words(text)
-                hit = sum(b - a for a, b in automaton.scan(words)[0])
-                keep.append(hit == 0 or 20 * hit < len(words))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, rows in _scanned(batches, parts, window, at):
+            hits = [(n, sum(b - a for a, b in runs)) for n, runs, _ in rows]
+            yield batch.filter(pa.array([hit == 0 or 20 * hit < n for n, hit in hits], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -322,6 +322,19 @@ def test_decontamination(spark):
     assert decontaminate.char_spans(text, [(3, 5)]) == [(6, 11)] or text[decontaminate.char_spans(text, [(2, 4)])[0][0] :] .startswith("it")
 
 
+@pytest.mark.parametrize("held", [0, 64 << 20])
+def test_decontamination_in_parts_takes_rows_one_by_one(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", held, raising=False)
+    one, two = words(31, 20), words(32, 20)
+    rows = [(7, " ".join(one)), (7, "clean text"), (7, " ".join(two)), (7, "clean text"), (None, " ".join(two + one)), (None, "also clean"), (None, None), (8, " ".join(one[:15] + two[5:] + ["x"] * 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(one[10:] + two)), (1, " ".join(two[:14]))], "item_id long, text string")
+    whole, parts = (Counter(map(repr, decontaminate.contamination(docs, bench, spans=True, automaton_bytes=n).collect())) for n in (1 << 20, 40))
+    assert parts == whole and sum(parts.values()) == len(rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in decontaminate.clean_documents(docs, bench, automaton_bytes=40).collect())
+    assert kept == Counter([(7, "clean text"), (7, "clean text"), (None, "also clean"), (None, None)])
+
+
 # ---------------------------------------------------------------- 8
 
 
