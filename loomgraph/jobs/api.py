@@ -37,7 +37,7 @@ class Workspace:
         return K.knowledge_score(counts, ("domains", "constraints", "decisions"))
 
     def build_graph(self, root: str, before: index.Index | None = None) -> index.Index:
-        return index.build(scan.scan_files(self.g.spark, root), before)
+        return index.build(scan.scan_files(self.g.spark, root), before, scan.tree_hints(self.g.spark, root))
 
     def lookup(self, text: str, kind: str | None = None, limit: int = 30) -> DataFrame:
         """Best symbols for a text: all words, the last as a prefix, or a keyword of its domain."""

@@ -40,8 +40,17 @@ def edges_of(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
     return local.unionByName(away)
 
 
-def build(files: DataFrame, before: Index | None = None) -> Index:
-    """Index of ``files`` (path, lang, content_hash, text).
+def macro_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
+    """MACRO_EXPAND edges: from the first symbol of each file to the symbols named by every hint (lang, pattern, resolves_to) of its language."""
+    named = hints.select("lang", F.explode(F.array("resolves_to", "pattern")).alias("target_name")).where("target_name is not null").distinct()
+    first = symbols.groupBy(F.col("path").alias("file_id")).agg(F.min(F.struct("start_line", "id")).alias("first"))
+    first = first.join(files.select(F.col("path").alias("file_id"), "lang"), "file_id").select(F.col("first.id").alias("source_id"), "file_id", "lang")
+    calls = first.join(named, "lang").select("source_id", "file_id", "target_name", F.lit("MACRO_EXPAND").alias("kind"))
+    return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"))
+
+
+def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None = None) -> Index:
+    """Index of ``files`` (path, lang, content_hash, text), with edges of ``hints`` (``scan.tree_hints``).
 
     With ``before`` only new and changed files are read; files that are gone take
     their symbols along, and all call sites are resolved again, so that the result is
@@ -59,4 +68,7 @@ def build(files: DataFrame, before: Index | None = None) -> Index:
         symbols = symbols.unionByName(before.symbols.join(same, "path", "left_semi").select(*symbols.columns))
         sites = sites.unionByName(before.call_sites.join(same, "path", "left_semi").select(*sites.columns))
     symbols, sites = checkpointed(symbols), checkpointed(sites)
-    return Index(checkpointed(state), symbols, sites, checkpointed(edges_of(symbols, sites)))
+    edges = edges_of(symbols, sites)
+    if hints is not None:
+        edges = edges.unionByName(macro_edges(symbols, state, hints))
+    return Index(checkpointed(state), symbols, sites, checkpointed(edges))

@@ -34,6 +34,25 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 }
 ALIKE = {"tsx": "typescript", "cpp": "c", "csharp": "java"}
 _CALL = re.compile(rf"{_WORD}\s*\(")
+
+#: Annotations that inject what they stand at.
+DI_ANNOTATIONS = frozenset("Autowired Inject Resource Provides Bean".split())
+_ARGS = r"(?:\s*\((?:[^()]|\([^()]*\))*\))?"
+_MARKS = rf"(?P<marks>(?:(?:@(?!interface\b)[\w.:]+{_ARGS}|\b(?:public|protected|private|internal|static|final|transient|volatile|lateinit|late|override|open|weak|lazy|const|var(?=\s+\w+\s+\w))\b)\s+)+)"
+#: For each language the pattern of what its framework links (marks: annotations, name: what the edge goes to), the annotations it needs, and the kind of edge.
+BRIDGES: dict[str, tuple[str, frozenset[str], str]] = {
+    "java": (rf"{_MARKS}(?P<name>[A-Za-z_$][\w$]*)\s+[\w$]+\s*[;=,]", DI_ANNOTATIONS, "DI_INJECT"),
+    "csharp": (r"(?P<marks>(?:\[[^\[\]]*\]\s*)+)(?:(?:public|protected|private|internal|static|readonly|virtual|override|required|sealed|new)\s+)*(?P<name>[A-Za-z_]\w*)\s+\w+\s*[{;=,]", DI_ANNOTATIONS, "DI_INJECT"),
+    "php": (r"(?P<marks>(?:#\[[^\]]*\]\s*)+)(?:(?:public|protected|private|static|readonly|var)\s+)+(?:[?\w\\|&]+\s+)?\$(?P<name>\w+)\s*[;=]", DI_ANNOTATIONS, "DI_INJECT"),
+    "kotlin": (rf"{_MARKS}(?:val|var)\s+(?P<name>\w+)", DI_ANNOTATIONS, "DI_INJECT"),
+    "dart": (rf"{_MARKS}(?:[\w<>?,.]+\s+)?(?P<name>[A-Za-z_]\w*)\s*[;=,]", DI_ANNOTATIONS, "DI_INJECT"),
+    "swift": (rf"{_MARKS}(?:var|let)\s+(?P<name>\w+)", DI_ANNOTATIONS | {"Environment", "EnvironmentObject"}, "FRAMEWORK_LINK"),
+    "ruby": (r"^[ \t]*(?P<marks>has_many|has_one|belongs_to|has_and_belongs_to_many|inject)\b[ \t(]+:(?P<name>\w+)", frozenset("has_many has_one belongs_to has_and_belongs_to_many inject".split()), "FRAMEWORK_LINK"),
+    "typescript": (r"(?<![\w$.])(?P<marks>require|import)\s*\(\s*([\"'])(?P<name>[^\"'\n]+)\2", frozenset(("require", "import")), "DYNAMIC_IMPORT"),
+}
+_NO_TYPES = frozenset("int long short byte char boolean float double bool string object decimal void class struct interface enum record return namespace var event delegate".split())
+_GO_STRUCT = re.compile(r"\bstruct\s*\{((?:[^{}]|\{[^{}]*\})*)\}")
+_GO_FIELD = re.compile(r"^\s*(?:\w+(?:\s*,\s*\w+)*[ \t]+|\*)?([A-Za-z_]\w*)\s*(?:`[^`]*`|\"[^\"]*\")?\s*(?://.*)?$")
 _COMMENT = re.compile(r"^\s*(?:///?|//!|/\*\*|\*/|\* |# )\s?(.*?)\s*(?:\*/)?$")
 _KEYWORDS = frozenset("if for while switch return catch match function fn def func fun class sizeof and or not in".split())
 
@@ -68,6 +87,26 @@ def python_symbols(text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, [c for c in calls if c[1]]
 
 
+def pattern_bridges(text: str, language: str) -> list[tuple]:
+    """((line, name, edge kind), ...) of annotations, imports, embedded fields and DSL calls, which no call site shows."""
+    language = "typescript" if language == "tsx" else language
+    text = re.sub(r"(?m)^[ \t]*(?://|\*(?=[\s/])|/\*|#(?!\[)).*$", "", text)  # lines of comment; the others keep their numbers
+    found = []
+    if language == "go":
+        plain = re.sub(r"\b(?:interface|struct)\{\}", lambda m: "[]" + " " * (len(m[0]) - 2), text)
+        for struct in _GO_STRUCT.finditer(plain):
+            at = plain.count("\n", 0, struct.start(1)) + 1
+            for i, line in enumerate(struct[1].split("\n")):
+                found += [(at + i, m[1], "DI_INJECT") for part in line.split(";") if (m := _GO_FIELD.match(part))]
+    elif language in BRIDGES:
+        pattern, wanted, kind = BRIDGES[language]
+        for m in re.finditer(pattern, text, re.M):
+            marks = re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", m["marks"])
+            if not wanted.isdisjoint(re.findall(r"\w+", marks)) and not (language in ("java", "csharp") and m["name"] in _NO_TYPES):
+                found.append((text.count("\n", 0, m.start("name")) + 1, m["name"], kind))
+    return found
+
+
 def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
     patterns = [(re.compile(p), kind) for p, kind in PATTERNS.get(ALIKE.get(language, language), [])]
     lines, starts, calls = text.split("\n"), [], []
@@ -85,7 +124,7 @@ def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]
         while end > i and not lines[end].strip():
             end -= 1
         symbols.append((name, kind, i + 1, end + 1, lines[i].strip()[:120], doc_above(lines, i)))
-    return symbols, calls
+    return symbols, calls + pattern_bridges(text, language)
 
 
 def _both(text: str | None, language: str) -> tuple[list[tuple], list[tuple]]:

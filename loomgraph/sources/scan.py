@@ -69,6 +69,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("code <> '' and statement <> ''").withColumn("severity", F.when(F.col("severity") == "", "INFO").otherwise(F.upper("severity")))
 
 
+def tree_hints(spark: SparkSession, root: str) -> DataFrame:
+    """lang, pattern and resolves_to of ``.fog-context/hints/{lang}.json`` below ``root``; none where there are no such files."""
+    where = f"{root.rstrip('/')}/.fog-context/hints/*.json"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return spark.createDataFrame([], "lang string, pattern string, resolves_to string")
+    schema = "macro_expansions array<struct<pattern:string,resolves_to:string>>"
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(where)
+    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1).alias("lang"), F.explode("macro_expansions").alias("m")).select("lang", "m.pattern", "m.resolves_to")
+
+
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
     """Macro expansions (pattern, resolves_to) of a JSON hint file; broken files give none."""
     schema = "macro_expansions array<struct<pattern:string,resolves_to:string>>, di_annotations array<string>, extra_calls array<struct<from:string,to:string>>"

@@ -56,6 +56,37 @@ def test_incremental_is_full(spark, tree):
     assert sorted(map(tuple, again.symbols.select(*full.symbols.columns).collect())) == sorted(map(tuple, full.symbols.collect()))
 
 
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("java", "class A {\n  @Autowired\n  private UserRepo repo;\n  @Inject(\"x\") @Lazy final Box b = null;\n  @Column\n  private Other o;\n  // @Inject Foo f;\n}\n", [(3, "UserRepo", "DI_INJECT"), (4, "Box", "DI_INJECT")]),
+        ("csharp", "class A {\n  [Inject] public IMail Mail { get; set; }\n  [Other] IFoo f;\n  [Inject]\n  private IBar _b;\n}\n", [(2, "IMail", "DI_INJECT"), (5, "IBar", "DI_INJECT")]),
+        ("php", "class A {\n  #[Inject]\n  private Mail $mail;\n  #[Id] private $n;\n}\n", [(3, "mail", "DI_INJECT")]),
+        ("kotlin", "class A {\n  @Inject lateinit var repo: Repo\n  @Other val x = 1\n}\n", [(2, "repo", "DI_INJECT")]),
+        ("dart", "class A {\n  @Inject()\n  final Repo repo;\n}\n", [(3, "repo", "DI_INJECT")]),
+        ("swift", "class A {\n  @Environment(\\.theme) private var theme\n  @State var x = 1\n}\n", [(2, "theme", "FRAMEWORK_LINK")]),
+        ("ruby", "class A\n  has_many :posts\n  belongs_to(:owner)\n  puts :x\nend\n", [(2, "posts", "FRAMEWORK_LINK"), (3, "owner", "FRAMEWORK_LINK")]),
+        ("go", "type A struct {\n\tBase\n\t*Log\n\tstore Store `json:\"s\"` // kept\n\tp *Far\n\tx interface{}\n}\n", [(2, "Base", "DI_INJECT"), (3, "Log", "DI_INJECT"), (4, "Store", "DI_INJECT")]),
+        ("tsx", "const a = require('./a');\nconst b = await import(\"lib/b\");\nload('c');\n", [(1, "./a", "DYNAMIC_IMPORT"), (2, "lib/b", "DYNAMIC_IMPORT")]),
+    ],
+)
+def test_bridges(language, text, want):
+    from loomgraph.sources import extract
+
+    sites = extract.pattern_symbols(text, language)[1]
+    assert [s for s in sites if s[2] != "CALLS" and s[1] != "require"] == want
+
+
+def test_macro_hints(spark, tree):
+    from loomgraph.jobs.api import Workspace
+
+    (tree / ".fog-context" / "hints").mkdir(parents=True)
+    (tree / ".fog-context" / "hints" / "rust.json").write_text('{"macro_expansions": [{"pattern": "no_such!", "resolves_to": "run_all"}]}')
+    found = Workspace.build_graph(type("W", (), {"g": type("G", (), {"spark": spark})})(), str(tree))
+    names = {r["id"]: r["name"] for r in found.symbols.collect()}
+    assert [(names[r["source_id"]], names[r["target_id"]]) for r in found.edges.where("kind = 'MACRO_EXPAND'").collect()] == [("say_it", "run_all")]
+
+
 def test_rules(spark, tmp_path):
     (tmp_path / "style.txt").write_text("# no\n\nAUTH_1: warn : Check it: twice\nhint_db: Use the pool\nPlain words\nNote: this one\n")
     got = sorted((r["code"], r["severity"], r["statement"]) for r in scan.read_rules(spark, str(tmp_path / "style.txt")).collect())
