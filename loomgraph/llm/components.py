@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import forget, stored
 
 _LIMIT = 100
 
@@ -38,7 +38,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(edges, "links")
     seen = None
     for _ in range(_LIMIT):
-        edges = stored(_star(_star(edges, True), False), "stars")
+        before, edges = edges, stored(_star(_star(edges, True), False), "stars")
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

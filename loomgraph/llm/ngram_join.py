@@ -1,36 +1,46 @@
 """N-gram Jaccard join by filters under several global token orders.
 
-Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of
-each, whatever the order of tokens. Pairs that share one under the first order
-(rare tokens first) are looked at under two other orders before their whole sets are
-compared.
+Two sets of n and m tokens, similar by t or more, overlap in c = ceil(t (n + m) / (1 + t))
+tokens at least. Whatever the order of tokens, they then share one among the first
+n - ceil(t n) + 1 of each, and the first that they share, at places i and j, leaves
+min(n - i, m - j) >= c. Under an order in which prefixes are p and q long, the prefixes
+share min(p + c - n, q + c - m) tokens or more.
+
+Three orders are used. Sets meet in the groups of the prefix tokens of the first order
+(rare tokens first, by a frequency sketch of fixed size). A pair comes out of a group
+only if its sizes and its places in the first order allow the similarity and if the
+prefixes under the second and third order (seeded hashes) can share enough: 128-bit
+maps of those prefixes bound from above what they share. What all three orders let
+through is verified on the whole sets.
 
 Documents with equal sets are one node. Groups of near copies aren't expanded into
-pairs: a first round compares every member of a token's group with the group's least
-node. What is then in one component needs no further comparison, and the last round
-compares the members of different components, those of the group's largest component
-against the others only. So no link between components is lost.
+pairs: a first round compares every member of a token's group with one hub, the member
+whose shared token stands first. What is then in one component needs no further
+comparison, and the last round compares members of different components, those of the
+group's largest component against the others only. So no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bit_filter, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
+from loomgraph.llm.common import bit_filter, forget, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
 from loomgraph.llm.components import components
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = (16, 23)  # counters of the frequency sketch: as many as the text asks for, within these
 FILTER_BITS = (15, 28)
-SLACK = 4  # tokens of one set whose upper halves may be equal, and so count once
 LOCAL_GROUP = 256  # a task sends on no more members of one token's group than these
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
+MAPS = [f"map{order}{half}" for order in (2, 3) for half in "ab"]  # 128 bits for each further order
+_BLOCK = 1 << 16  # counters in one row of the sketch
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,194 +64,289 @@ def _node(items: np.ndarray) -> int:
     return int(mix(np.array([mix(items ^ (ranks * np.uint64(SEEDS[0]))).sum(dtype=np.uint64) + np.uint64(len(items))]))[0].astype(np.int64))
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency classes 0-63: powers of two above the sketch's mean."""
-    mean = max(1.0, float(counts.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1.0))), 0, 63).astype(np.uint8)
+def _prefix_size(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
 
-class Orders:
-    """The global orders, as one sort key for each token."""
+def _prefix(items: np.ndarray, keys: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens by their ``keys``, and those keys; in no order."""
+    size = _prefix_size(len(items), percent)
+    if size >= len(items):
+        return items, keys
+    at = np.argpartition(keys, size - 1)[:size]
+    return items[at], keys[at]
 
-    def __init__(self, levels: np.ndarray, bits: int):
-        self.levels, self.shift = levels, np.uint64(64 - bits)
 
-    def key(self, items: np.ndarray, order: int) -> np.ndarray:
-        key = mix(items ^ np.uint64(SEEDS[order]))
-        if order < 2:  # rare before frequent, ties by a seeded hash; the last order is the hash alone
-            key = (key >> np.uint64(6)) | (self.levels[(items >> self.shift).astype(np.int64)].astype(np.uint64) << np.uint64(58))
-        return key
-
-    def prefix(self, items: np.ndarray, order: int, percent: int) -> np.ndarray:
-        size = len(items) + (-percent * len(items) // 100) + 1
-        if size >= len(items):
-            return items
-        return items[np.argpartition(self.key(items, order), size - 1)[:size]]
+def _maps(items: np.ndarray, percent: int) -> list[int]:
+    """128 bits for each of the second and third order: which of them the prefix's tokens set."""
+    out = []
+    for seed in SEEDS[1:]:
+        slot = _prefix(items, mix(items ^ np.uint64(seed)), percent)[1] & np.uint64(127)
+        for half in (slot[slot < 64], slot[slot >= 64] - np.uint64(64)):
+            out.append(int(np.bitwise_or.reduce(np.uint64(1) << half, initial=np.uint64(0)).astype(np.int64)))
+    return out
 
 
 # ---------------------------------------------------------------- sizes, nodes, frequency sketch
 
 
-def _measured(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node), and of sketch blocks (block, counts): one pass."""
-    size, block = 1 << bits, 1 << min(bits, 12)
+def _measured(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """Rows of documents (doc_id, copy, n, node, maps), and of sketch blocks (block, counts): one pass.
+
+    ``copy`` is a hash of the text, which tells rows of one doc_id apart.
+    """
+    shift = np.uint64(64 - bits)
+    names = ["doc_id", "copy", "n", "node", *MAPS, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "block", "counts"]
-        counts, pending, held = np.zeros(size, np.uint32), [], 0
+        counts, pending, held, seen = np.zeros(1 << bits, np.uint32), [], 0, set()
+
+        def count() -> None:
+            slots = np.sort((np.concatenate(pending) >> shift).astype(np.uint32))
+            starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+            counts[slots[starts]] += np.diff(np.r_[starts, len(slots)]).astype(np.uint32)
+
         for batch in batches:
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, items in _sets(batch.column(1), words):
-                n[row], node[row] = len(items), _node(items) if len(items) else 0
-                pending.append(items)
-                held += len(items)
+            n, node, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((len(MAPS), batch.num_rows), np.int64)
+            for row, items in _sets(batch.column(2), words):
+                if not len(items):
+                    continue
+                n[row], node[row], maps[:, row] = len(items), _node(items), _maps(items, percent)
+                if (key := int(node[row])) not in seen:
+                    seen.add(key)
+                    pending.append(items)
+                    held += len(items)
                 if held > 1 << 20:
-                    counts += np.bincount((np.concatenate(pending) >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
+                    count()
                     pending, held = [], 0
             none = batch.num_rows
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(node), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(node), *map(pa.array, maps), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
         if pending:
-            counts += np.bincount((np.concatenate(pending) >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
-        parts = [(i, counts[i * block : (i + 1) * block]) for i in range(size // block)]
-        parts = [(i, p.astype("<u4").tobytes()) for i, p in parts if p.any()]
-        yield pa.record_batch([pa.nulls(len(parts), pa.int64())] * 3 + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+            count()
+        blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, min(_BLOCK, 1 << bits))
+        parts = [(i, pa.compress(b.tobytes(), "zstd", asbytes=True)) for i, b in enumerate(blocks) if b.any()]
+        yield pa.record_batch([pa.nulls(len(parts), pa.int64())] * (4 + len(MAPS)) + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, block int, counts binary")
+    kinds = ", ".join(f"{c} long" for c in names[:-2])
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, f"{kinds}, block int, counts binary")
 
 
-def _sketch(measured: DataFrame, bits: int) -> np.ndarray:
-    """The sketch of all documents: its size is fixed by ``bits``."""
-    block = 1 << min(bits, 12)
+def _levels(measured: DataFrame, bits: int) -> np.ndarray:
+    """Frequency classes 0-63 of the sketch's counters, two for each power of two: as many bytes as ``bits`` say."""
+    size = min(_BLOCK, 1 << bits)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw, "<u4").astype(np.uint64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(pa.decompress(raw, 2 * size, "zstd"), "<u2").astype(np.int64)
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
+            levels = [np.clip(2 * np.log2(np.maximum(v, 1)), 0, 63).astype(np.uint8).tobytes() for v in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    for row in measured.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, levels binary").collect():
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["levels"], np.uint8)
+    return out
+
+
+# ---------------------------------------------------------------- groups of the first order
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _small(*columns: np.ndarray) -> bytes:
+    """Columns of small numbers, compressed."""
+    return pa.compress(b"".join(c.astype("<u4").tobytes() for c in columns), "zstd", asbytes=True)
 
-    counts = np.zeros(1 << bits, np.uint32)
-    for row in measured.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary").collect():
-        counts[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], "<u4")
-    return counts
 
+def _small_from(raw: bytes, columns: int, rows: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * columns * rows, "zstd"), "<u4").reshape(columns, rows).astype(np.int64)
 
-# ---------------------------------------------------------------- candidates
 
+def _fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m tokens whose first shared token is at i and j may be similar."""
+    need = (percent * (n + m) + 99 + percent) // (100 + percent)
+    return np.minimum(n - i, m - j) >= need
 
-def _prefix_rows(docs: DataFrame, orders, words: int, percent: int, buckets: int) -> DataFrame:
-    """First-order prefixes, packed: (bucket, tokens, nodes, more: which tokens are crowded).
 
-    Of a token that is crowded within a task its least node alone goes to the bucket;
-    all members and that node (``more``) are packed under a negative number.
+def _hubs(token: np.ndarray, node: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in any order: an order by token, then place and node; where tokens begin in it, each row's group and its hub's row."""
+    rank = np.lexsort((node, place, token))
+    new = np.r_[True, token[rank][1:] != token[rank][:-1]]
+    group = np.cumsum(new) - 1
+    return rank, new, group, np.flatnonzero(new)[group]
+
+
+def _prefix_rows(docs: DataFrame, levels, bits: int, words: int, percent: int, buckets: int) -> DataFrame:
+    """Packed rows of first-order prefixes: (bucket, rows, tokens, nodes, small: size and place, crowds, a and b: pairs of a crowd).
+
+    A token's upper half chooses the bucket, its lower half is sent. Of a token that is
+    crowded within a task its hub alone goes to the bucket; all its members, and their
+    pairs with the hub, are packed under a negative number and pass by the groups.
     """
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen, tokens, nodes, held = orders.value, set(), [], [], 0
+        level, seen, held, many = levels.value, set(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            token, node = np.concatenate(tokens), np.concatenate(nodes)
-            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-            rank = np.lexsort((node, token, bucket))
-            token, node, bucket = token[rank], node[rank], bucket[rank]
-            new = np.r_[True, token[1:] != token[:-1]]
-            group = np.cumsum(new) - 1
-            size = np.bincount(group)
-            crowded = size[group] > LOCAL_GROUP
-            hub = node[np.flatnonzero(new)][group]
-            send = ~crowded | new  # of a crowded group its least node stands for it
-            cuts = np.searchsorted(bucket[send], np.arange(buckets + 1, dtype=np.uint64))
-            t, v = token[send], node[send]
-            many = crowded[send]
-            rows = [(k, t[a:b].tobytes(), v[a:b].tobytes(), t[a:b][many[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            t, v, h = token[crowded], node[crowded], hub[crowded]
-            for i in range(0, len(t), 65536):  # these pass by the groups: each is a group of its own
-                key = int(mix(t[i : i + 1] ^ np.uint64(node[0] & (2**63 - 1)))[0] >> np.uint64(34))
-                rows.append((-1 - key, t[i : i + 65536].tobytes(), v[i : i + 65536].tobytes(), h[i : i + 65536].tobytes()))
-            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "nodes", "more"])
+            token, node, n, place = (np.concatenate([h[k] for h in held]) for k in range(4))
+            rank, new, group, hub = _hubs(token, node, place)
+            token, node, n, place = token[rank], node[rank], n[rank], place[rank]
+            crowded = np.bincount(group)[group] > LOCAL_GROUP
+            bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            send = np.flatnonzero(~crowded | new)
+            send = send[np.argsort(bucket[send], kind="stable")]
+            cuts = np.searchsorted(bucket[send], np.arange(buckets + 1))
+            rows = []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if b > a:
+                    at = send[a:b]
+                    short = (token[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    rows.append((k, b - a, _packed(short), _packed(node[at]), _small(n[at], place[at]), _packed(short[crowded[at]]), b"", b""))
+            at = np.flatnonzero(crowded)
+            for a in range(0, len(at), 65536):  # these pass by the groups: each is a group of its own
+                x = at[a : a + 65536]
+                pair = x[_fits(n[x], place[x], n[hub[x]], place[hub[x]], percent) & (x != hub[x])]
+                key = int(mix(token[x[:1]] ^ node[:1].astype(np.uint64))[0] >> np.uint64(34))
+                full = (bucket[x].astype(np.uint64) << np.uint64(32)) | (token[x] & np.uint64(0xFFFFFFFF))
+                rows.append((-1 - key, len(x), _packed(full), _packed(node[x]), _small(n[x], place[x]), b"", _packed(node[pair]), _packed(node[hub[pair]])))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "rows", "tokens", "nodes", "small", "crowds", "a", "b"])
 
         for batch in batches:
             for _, items in _sets(batch.column(0), words):
                 if not len(items) or (node := _node(items)) in seen:
                     continue
                 seen.add(node)
-                first = order.prefix(items, 0, percent)
-                tokens.append(first)
-                nodes.append(np.full(len(first), node, np.int64))
-                held += len(first)
-                if held > 1 << 21:
+                keys = (mix(items ^ np.uint64(SEEDS[0])) >> np.uint64(6)) | (level[(items >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58))
+                first, keys = _prefix(items, keys, percent)
+                place = np.empty(len(first), np.int64)
+                place[np.argsort(keys)] = np.arange(len(first))
+                held.append((first, np.full(len(first), node, np.int64), np.full(len(first), len(items), np.int64), place))
+                many += len(first)
+                if many > 1 << 20:
                     yield from flush()
-                    tokens, nodes, held = [], [], 0
-        if tokens:
+                    held, many = [], 0
+        if held:
             yield from flush()
         give_back()
 
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, more binary")
+    return docs.select("text").mapInArrow(run, "bucket int, rows int, tokens binary, nodes binary, small binary, crowds binary, a binary, b binary")
+
+
+_GROUPED = "rows int, tokens binary, nodes binary, small binary, a binary, b binary"
+
+
+def _grouped(percent: int):
+    def group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Of one bucket: pairs of members with their group's hub (a, b), and the members of groups of three or more."""
+        if key[0] < 0:
+            return frame[["rows", "tokens", "nodes", "small", "a", "b"]]
+
+        def joined(column: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, kind) for x in frame[column]])
+
+        token, node = joined("tokens", "<u4").astype(np.int64), joined("nodes", "<i8")
+        n, place = np.concatenate([_small_from(raw, 2, rows) for raw, rows in zip(frame["small"], frame["rows"], strict=True)], axis=1)
+        crowds = np.unique(joined("crowds", "<u4").astype(np.int64))
+        rank, new, _, _ = _hubs(token, node, place)
+        token, node, n, place = token[rank], node[rank], n[rank], place[rank]
+        keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a node that two tasks have seen
+        token, node, n, place, new = token[keep], node[keep], n[keep], place[keep], np.r_[True, token[keep][1:] != token[keep][:-1]]
+        group = np.cumsum(new) - 1
+        size, hub = np.bincount(group)[group], np.flatnonzero(new)[group]
+        near = np.flatnonzero(~new & (node != node[hub]) & _fits(n, place, n[hub], place[hub], percent))
+        pairs = np.unique(np.stack([node[near], node[hub[near]]]), axis=1)
+        # a crowded token has members elsewhere, and keeps its number; of other groups with the
+        # same members that of the first token says it all, under a number made from the members
+        crowded = np.isin(token, crowds)
+        kept, number = [np.flatnonzero(crowded)], [token[crowded] | (np.int64(key[0]) << np.int64(32))]
+        if (plain := np.flatnonzero((size > 2) & ~crowded)).size:
+            starts = np.flatnonzero(np.r_[True, group[plain][1:] != group[plain][:-1]])
+            sizes = np.diff(np.r_[starts, len(plain)])
+            sign = np.add.reduceat(mix(node[plain].astype(np.uint64)), starts)
+            first = np.lexsort((place[plain][starts], sign))
+            first = first[np.r_[True, sign[first][1:] != sign[first][:-1]]]
+            chosen = np.zeros(len(starts), bool)
+            chosen[first] = True
+            stay = np.repeat(chosen, sizes)
+            kept.append(plain[stay])
+            number.append(np.repeat(sign.astype(np.int64), sizes)[stay])
+        at = np.concatenate(kept)
+        return pd.DataFrame({"rows": [len(at)], "tokens": [_packed(np.concatenate(number))], "nodes": [_packed(node[at])], "small": [_small(n[at], place[at])], "a": [_packed(pairs[0])], "b": [_packed(pairs[1])]})
+
+    return group
+
+
+def _members(grouped: DataFrame) -> DataFrame:
+    """(token, node, n, place), a row for each; of one number's repeats those of its first token."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, tokens, nodes, small in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows:
+                    n, place = _small_from(small, 2, rows)
+                    columns = [np.frombuffer(tokens, "<i8"), np.frombuffer(nodes, "<i8"), n, place]
+                    for i in range(0, rows, 1 << 16):
+                        yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["token", "node", "n", "place"])
 
-_GROUPED = "kind string, tokens binary, a binary, b binary"
-
-
-def _group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: ``star`` pairs (member, least node) and ``member`` rows of groups of three or more."""
-
-    def joined(column: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in frame[column]])
+    rows = grouped.select("rows", "tokens", "nodes", "small").mapInArrow(run, "token long, node long, n long, place long")
+    return rows.groupBy("token", "node").agg(F.first("n").alias("n"), F.min("place").alias("place"))
 
-    token, node = joined("tokens", np.uint64), joined("nodes", np.int64)
-    if key[0] < 0:
-        hub = joined("more", np.int64)
-        return pd.DataFrame({"kind": ["star", "member"], "tokens": [b"", token.tobytes()], "a": [node.tobytes()] * 2, "b": [hub.tobytes(), b""]})
-    crowds = np.unique(joined("more", np.uint64))
-    rank = np.lexsort((node, token))
-    token, node = token[rank], node[rank]
-    keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-    token, node = token[keep], node[keep]
-    new = np.r_[True, token[1:] != token[:-1]]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)[group]
-    hub = node[np.flatnonzero(new)][group]
-    spoke = (size > 1) & ~new
-    stars = np.unique(np.stack([node[spoke], hub[spoke]]), axis=1)
-    # a crowded token has members elsewhere, and keeps its number; of other groups with
-    # the same members one says it all, under a number made from the members
-    crowded = np.isin(token, crowds)
-    plain = (size > 2) & ~crowded
-    kept_token, kept_node = [token[crowded]], [node[crowded]]
-    if plain.any():
-        node, group = node[plain], group[plain]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        sizes = np.diff(np.r_[starts, len(node)])
-        sign = np.add.reduceat(mix(node.astype(np.uint64)), starts)
-        chosen = np.zeros(len(starts), bool)
-        chosen[np.unique(sign, return_index=True)[1]] = True
-        stay = np.repeat(chosen, sizes)
-        kept_token.append(np.repeat(sign, sizes)[stay])
-        kept_node.append(node[stay])
-    return pd.DataFrame({"kind": ["star", "member"], "tokens": [b"", np.concatenate(kept_token).tobytes()], "a": [stars[0].tobytes(), np.concatenate(kept_node).tobytes()], "b": [stars[1].tobytes(), b""]})
-
-
-def _unpacked(rows: DataFrame, kind: str) -> DataFrame:
-    """Packed rows of a kind, one by one: (a, b) of stars, (token, node) of members."""
-    names = ("a", "b") if kind == "star" else ("token", "node")
 
+def _hub_pairs(grouped: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                columns = [np.frombuffer(x.as_py(), np.int64) for x in (left, right)]
+            for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = [np.frombuffer(x, "<i8") for x in (left, right)]
                 for i in range(0, len(columns[0]), 1 << 16):
-                    yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=list(names))
+                    yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["a", "b"])
+
+    pairs = grouped.select("a", "b").mapInArrow(run, "a long, b long").where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+# ---------------------------------------------------------------- the orders' say on a pair
+
+
+def _need(percent: int) -> Column:
+    return F.expr(f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}")
 
-    columns = ("a", "b") if kind == "star" else ("tokens", "a")
-    return rows.where(F.col("kind") == kind).select(*columns).mapInArrow(run, f"{names[0]} long, {names[1]} long")
+
+def _other_orders(percent: int) -> Column:
+    """Whether the prefixes of a and b under the second and third order can share enough.
+
+    A bit that a's prefix sets and b's doesn't is a token of a's that b's lacks.
+    """
+    size = {x: F.expr(f"{x}_n - ({percent} * {x}_n + 99) div 100 + 1") for x in "ab"}
+    least = F.least(*[size[x] + _need(percent) - F.col(f"{x}_n") for x in "ab"])
+    out = F.lit(True)
+    for order in (2, 3):
+        halves = [f"map{order}{half}" for half in "ab"]
+        lacks = {x: sum((F.bit_count(F.col(f"{x}_{h}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{h}")))) for h in halves), F.lit(0)) for x, y in ("ab", "ba")}
+        out &= F.least(*[size[x] - lacks[x] for x in "ab"]) >= least
+    return out
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in ("node", "token", "part")], *[c for c in ("token", "part") if c in rows.columns])
+
+
+def _passed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the second and third order let through."""
+    return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_other_orders(percent)).select("a", "b")
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: int, whole: bool) -> DataFrame:
-    """Of the nodes in ``needed``: n and prefixes under the other orders (upper halves of the tokens), or n and the ``whole`` sets.
+def _whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(node, n, items) of the nodes in ``needed``.
 
     Texts are read again, and a filter of fixed size lets few others through; so no
     text is shuffled.
@@ -249,118 +354,101 @@ def _records(docs: DataFrame, needed: DataFrame, orders, words: int, percent: in
     spark = docs.sparkSession
     bits = int(np.clip(np.ceil(np.log2(max(1, needed.count()))) + 5, *FILTER_BITS))
     held = spark.sparkContext.broadcast(bit_filter(needed, "node", bits))
-    lists = ["items"] if whole else ["second", "third"]
-    kind = pa.int64() if whole else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = orders.value, set()
-        rows: list[tuple] = []
+        seen: set[int] = set()
+        rows: list[tuple[int, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
-            for k in range(2, 2 + len(lists)):
-                at = np.r_[0, np.cumsum([len(r[k]) for r in rows])].astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([r[k] for r in rows]), kind)))
-            return pa.record_batch(columns, names=["node", "n", *lists])
+            at = np.r_[0, np.cumsum([len(r[1]) for r in rows])].astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)))
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.diff(at).astype(np.int64)), items], names=["node", "n", "items"])
 
         for batch in batches:
             for _, items in _sets(batch.column(0), words):
-                if not len(items):
-                    continue
-                node = _node(items)
-                if node in seen or not passes(held.value, bits, np.array([node], np.int64).astype(np.uint64))[0]:
-                    continue
-                seen.add(node)
-                if whole:
-                    rows.append((node, len(items), items.view(np.int64)))
-                else:
-                    rows.append((node, len(items), *[(order.prefix(items, k, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in (1, 2)]))
-                if len(rows) == 200:
-                    yield flush()
-                    rows.clear()
+                if len(items) and (node := _node(items)) not in seen and passes(held.value, bits, np.array([node], np.int64).astype(np.uint64))[0]:
+                    seen.add(node)
+                    rows.append((node, items))
+                    if len(rows) == 200:
+                        yield flush()
+                        rows.clear()
         if rows:
             yield flush()
         give_back()
 
-    found = docs.select("text").mapInArrow(run, "node long, n int" + "".join(f", {c} array<{'long' if whole else 'int'}>" for c in lists))
-    return found.join(needed, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *lists)])
-
-
-def _side(records: DataFrame, name: str) -> DataFrame:
-    return records.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in records.columns if c != "node"])
-
+    found = docs.select("text").mapInArrow(run, "node long, n long, items array<long>")
+    return found.join(needed, "node", "left_semi").dropDuplicates(["node"])
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-
-def _near(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    both = pairs.join(_side(sizes, "a"), "a").join(_side(sizes, "b"), "b")
-    return both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b")
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, light: DataFrame, orders, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those of similarity ``percent`` or more.
-
-    First every other order has its say: of sets that overlap in c tokens, the
-    prefixes of p and q tokens share the lesser of p + c - n and q + c - m at least,
-    under any order. Whole sets are fetched for the pairs that all orders let through.
-    """
-    passed = pairs
-    for order in ("second", "third"):  # one by one: few pairs are left for the next
-        own = light.select("node", "n", F.col(order).alias("first"))
-        both = passed.join(_side(own, "a"), "a").join(_side(own, "b"), "b")
-        overlap = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent) - F.lit(1e-9))
-        bound = F.least(*[F.size(f"{x}_first") + overlap - F.col(f"{x}_n") for x in "ab"])
-        passed = stored(both.where(F.size(F.array_intersect("a_first", "b_first")) + F.lit(SLACK) >= bound).select("a", "b"), "passed")
-    whole = stored(_records(docs, stored(_nodes(passed), "nodes"), orders, words, percent, True), "sets")
-    both = passed.join(_side(whole, "a"), "a").join(_side(whole, "b"), "b")
+def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those of similarity ``percent`` or more, by their whole sets; stored."""
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    whole = stored(_whole_sets(docs, nodes, words), "sets")
+    both = pairs.join(_side(whole, "a"), "a").join(_side(whole, "b"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    return both.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+    out = stored(both.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b"), "links")
+    forget(nodes, whole)
+    return out
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, node, label) of the groups whose nodes are in several components."""
-    at = members.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
+def _mixed(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the groups whose nodes are in several components, with the maps of the other orders."""
+    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = at.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
-    return stored(at.join(mixed, "token", "left_semi"), "mixed")
+    return at.join(mixed, "token", "left_semi").join(nodes.drop("n"), "node")
+
 
+def _across(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one group whose nodes are in different components, as far as all orders let them through.
 
-def _across(at: DataFrame) -> DataFrame:
-    """Pairs of one group whose nodes are in different components; those of the group's largest are not paired with each other."""
+    Those of the group's largest component are not paired with each other. Sets meet
+    only in their own size class or the next: similar sizes are in such classes.
+    """
     sizes = at.groupBy("token", "label").agg(F.count("*").alias("c"))
     most = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
-    few = at.join(most, "token").where("label <> most").select("token", F.col("node").alias("x"), F.col("label").alias("xl"))
-    pairs = few.join(at, "token").where("label <> xl")
-    return pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(104 / percent)).cast("int")
+    every = at.withColumn("part", part)
+    few = every.join(most, "token").where("label <> most").drop("most").withColumn("part", F.explode(F.array(*[F.col("part") + k for k in (-1, 0, 1)])))
+    places = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= _need(percent)
+    pairs = _side(few, "a").join(_side(every, "b"), ["token", "part"]).where((F.col("a_label") != F.col("b_label")) & places & _other_orders(percent))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def similar_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, and (node, component) of the nodes that have links."""
+    """(doc_id, copy, n, node) of every row, and (node, component) of the nodes that have links."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, size / 500))), *SKETCH_BITS))
-    measured = stored(_measured(docs, words, bits), "measured")
-    orders = spark.sparkContext.broadcast(Orders(_levels(_sketch(measured, bits)), bits))
-    ids = measured.where("block is null").select("doc_id", "n", "node")
+    bits = int(np.clip(np.ceil(np.log2(max(1, size / 50))), *SKETCH_BITS))
+    measured = stored(_measured(docs, words, percent, bits), "measured")
+    levels = spark.sparkContext.broadcast(_levels(measured, bits))
+    ids = measured.where("block is null").select("doc_id", "copy", "n", "node")
+    nodes = measured.where("block is null and n > 0").select("node", "n", *MAPS).dropDuplicates(["node"])
 
     buckets = max(n, int(size // (64 << 20)) + 1)
-    packed = _prefix_rows(docs, orders, words, percent, buckets)
-    grouped = stored(packed.groupBy("bucket").applyInPandas(_group, _GROUPED), "groups")
-    sizes = ids.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    ordered = _unpacked(grouped, "star").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = stored(_near(ordered, sizes, percent), "pairs")
-    members = stored(_unpacked(grouped, "member").distinct(), "members")
-    nodes = stored(_nodes(pairs).union(members.select("node")).distinct(), "nodes")
-    light = stored(_records(docs, nodes, orders, words, percent, False), "prefixes")
-
-    links = stored(_linked(docs, pairs, light, orders, words, percent), "links")
+    packed = _prefix_rows(docs, levels, bits, words, percent, buckets)
+    grouped = stored(packed.groupBy("bucket").applyInPandas(_grouped(percent), _GROUPED), "groups")
+    pairs = stored(_passed(_hub_pairs(grouped), nodes, percent), "pairs")
+    members = stored(_members(grouped), "members")
+    forget(grouped)
+    links = _linked(docs, pairs, words, percent)
     labels = stored(components(links), "labels")
-    rest = stored(_near(_across(_mixed(members, labels)).join(pairs, ["a", "b"], "left_anti"), sizes, percent), "pairs")
+    mixed = stored(_mixed(members, labels, nodes), "mixed")
+    forget(members)
+    rest = stored(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    forget(mixed, pairs)
     if rest.isEmpty():
         return ids, labels
-    return ids, components(links.unionByName(stored(_linked(docs, rest, light, orders, words, percent), "links")))
+    more = _linked(docs, rest, words, percent)
+    return ids, components(links.unionByName(more))
+
+
+def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every row's doc_id, copy, n and the smallest doc_id of its component."""
+    ids, labels = similar_nodes(docs, words, percent)
+    at = ids.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    least = at.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    some = at.where("n > 0").join(least, "label").select("doc_id", "copy", "n", "least")
+    return some.unionByName(at.where("n = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("least")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -370,15 +458,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linked to each other; a null doc_id is never the smallest, so a component without
     any other has a null id. Repeated rows stay; an empty table gives an empty result.
     """
-    ids, labels = similar_nodes(docs, words, percent)
-    at = ids.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = at.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
-    out = at.where("n > 0").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
-    return out.unionByName(at.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _found(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the near copies: of each component the document with the smallest doc_id stays."""
-    found = near_duplicates(docs, words, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the near copies: of each component the document with the smallest doc_id stays.
+
+    Rows are known by doc_id and text together. Rows that repeat both are one document,
+    which stays or goes as a whole; a row without an id goes if its component has a row
+    with one. Wordless texts stay, and so do components without any id.
+    """
+    found = _found(docs, words, percent)
+    gone = found.where("least is not null and not doc_id <=> least").select(F.col("doc_id").alias("_gone_id"), F.col("copy").alias("_gone_copy")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_copy"]), "left_anti")
