@@ -69,6 +69,29 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+FEW_REPEATS = 200_000  # rows of hashes and counts that every executor may hold
+
+
+def counted_turns(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of the whole row, and ``_turn``, its number (0, 1, 2 ...) among rows equal to it.
+
+    Equal rows are counted, one of them is kept, and made as many again as there were:
+    no window, and nothing depends on how the rows lie. Rows count as equal by 128 bits.
+    """
+    hashes = {f"_row{k or ''}": F.xxhash64(F.lit(k), *docs.columns) for k in (0, 1)}
+    rows = docs.withColumns(hashes)
+    keys = list(hashes)
+    repeats = stored(rows.groupBy(*keys).agg(F.count("*").alias("_copies")).where("_copies > 1"), "repeats")
+    few = repeats.count()
+    if not few:
+        return rows.withColumn("_turn", F.lit(0).cast("long")).drop("_row1")
+    held = F.broadcast(repeats) if few <= FEW_REPEATS else repeats
+    once = rows.join(held, keys, "left_anti").withColumn("_turn", F.lit(0).cast("long"))
+    first = rows.join(held, keys, "left_semi").groupBy(*keys).agg(*[F.first(c).alias(c) for c in docs.columns])
+    many = first.join(held, keys).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    return once.select(*docs.columns, "_row", "_turn").unionByName(many.select(*docs.columns, "_row", "_turn"))
+
+
 # ---------------------------------------------------------------- fixed-size bit filters
 
 
@@ -80,28 +103,55 @@ def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     to be joined with the keys themselves.
     """
     low = min(bits, 15)  # bits within one word of the map: 4 KB blocks
-    rows = (
-        keys.select(F.explode(F.array(F.shiftrightunsigned(F.col(column), 64 - bits), F.col(column).bitwiseAND((1 << bits) - 1))).alias("slot"))
-        .select(F.shiftright("slot", low).alias("block"), F.col("slot").bitwiseAND((1 << low) - 1).cast("int").alias("bit"))
-    )
+    sparse = 1 << low >> 4  # set bits of a block that are no longer as places of two bytes than as a map
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task's keys set, one row a block: their union needs no key a second time."""
+        own = np.zeros(1 << max(0, bits - 3), np.uint8)
+
+        def take(keys: np.ndarray) -> None:
+            slots = np.unique(np.concatenate([keys >> np.uint64(64 - bits), keys & np.uint64((1 << bits) - 1)])).astype(np.int64)
+            if len(slots):
+                new = np.flatnonzero(np.r_[True, slots[1:] >> 3 != slots[:-1] >> 3])
+                own[slots[new] >> 3] |= np.bitwise_or.reduceat((128 >> (slots & 7)).astype(np.uint8), new)
+
+        held, many = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            many += batch.num_rows
+            if many > 1 << 20:
+                take(np.concatenate(held))
+                held, many = [], 0
+        if held:
+            take(np.concatenate(held))
+        parts = own.reshape(-1, max(1, (1 << low) // 8))
+        at = np.flatnonzero(parts.any(axis=1))
+        for k in range(0, len(at), 1024):
+            maps = []
+            for i in at[k : k + 1024]:
+                places = np.flatnonzero(np.unpackbits(parts[i]))
+                maps.append(places.astype("<u2").tobytes() if len(places) < sparse else parts[i].tobytes())
+            yield pa.record_batch([pa.array(at[k : k + 1024]), pa.array(maps, pa.binary())], names=["block", "map"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            block, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            order = np.argsort(block, kind="stable")
-            block, bit = block[order], bit[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.array([], int)
-            for a, b in zip(cuts, np.r_[cuts[1:], len(block)], strict=True):
-                seen.setdefault(int(block[a]), np.zeros(1 << low, bool))[bit[a:b]] = True
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = seen.setdefault(i, np.zeros(max(1, (1 << low) // 8), np.uint8))
+                if len(raw) == len(whole):
+                    whole |= np.frombuffer(raw, np.uint8)
+                else:
+                    places = np.zeros(len(whole) * 8, bool)
+                    places[np.frombuffer(raw, "<u2")] = True
+                    whole |= np.packbits(places)
         if seen:
-            yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array([np.packbits(v).tobytes() for v in seen.values()], pa.binary())], names=["block", "map"])
+            yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array([v.tobytes() for v in seen.values()], pa.binary())], names=["block", "map"])
 
-    out = np.zeros(1 << (bits - low), dtype=f"V{max(1, (1 << low) // 8)}")
-    whole = out.view(np.uint8).reshape(len(out), -1)
-    for row in rows.repartition("block").mapInArrow(blocks, "block long, map binary").collect():
-        whole[row["block"]] |= np.frombuffer(row["map"], np.uint8)
-    return whole.reshape(-1)
+    out = np.zeros((1 << (bits - low), max(1, (1 << low) // 8)), np.uint8)
+    rows = keys.select(F.col(column).cast("long")).mapInArrow(blocks, "block long, map binary")
+    for row in rows.repartition("block").mapInArrow(union, "block long, map binary").collect():
+        out[row["block"]] |= np.frombuffer(row["map"], np.uint8)
+    return out.reshape(-1)
 
 
 def passes(filter_map: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
