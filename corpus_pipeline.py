@@ -29,8 +29,8 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's pieces, in bins of the permitted lengths."""
-    return packing.pack(docs)
+    """Every kept document's pieces with their words, in bins of the permitted lengths."""
+    return packing.sequences(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contamination", contamination), ("packed", packed)]

@@ -13,9 +13,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import stored
+
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: Pieces that one task packs; each group leaves a few bins unfilled, so it is large.
 GROUP_PIECES = 40_000
@@ -76,37 +78,63 @@ def best_fit(sizes: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, np.
     return bins, offsets, [lengths[bisect.bisect_left(lengths, f)] for f in filled]
 
 
+_BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def _words() -> Column:
+    """The text's words; none of a null or blank text."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _BLANKS, " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """(doc_id, piece, size): a document's words and an end mark, cut at every ``longest``.
+    """(doc_id, copy, piece, size): a document's words and an end mark, cut at every ``longest``.
 
-    A null or wordless text has the end mark alone.
+    A null or wordless text has the end mark alone. ``copy`` is a hash of the text, which tells rows of one doc_id apart.
     """
-    words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " "))
-    empty = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")) == ""
-    sized = docs.select("doc_id", (F.when(empty, 0).otherwise(words) + 1).alias("n"), F.xxhash64("text").alias("tie"))
-    return sized.select("doc_id", "n", "tie", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest).cast("int"))).alias("piece")).select("doc_id", "piece", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int").alias("size"), "tie")
+    sized = docs.select("doc_id", F.xxhash64("text").alias("copy"), (F.size(_words()) + 1).alias("n"))
+    cut = sized.select("doc_id", "copy", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest).cast("int"))).alias("piece"))
+    return cut.select("doc_id", "copy", "piece", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int").alias("size"))
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Every piece with its bin: doc_id, piece, size, bin_id, bin_length, bin_offset.
+_PLAN = "doc_id long, copy long, turn long, piece int, size int, bin_id long, bin_length int, bin_offset int"
 
-    Pieces are dealt to groups of bounded size by a seeded hash, so one task never
-    holds more of them than fit, and however many rows share an id, a source or a
-    text, they are spread. No piece is dropped or cut further; an empty table has no bins.
-    """
-    rows = pieces(docs, max(lengths))
-    groups = max(1, -(-rows.count() // group_pieces))
-    # rows that can't be told apart are interchangeable; a running number deals them over the groups
-    seed = F.xxhash64("doc_id", "piece", "tie", F.lit(23)) + F.monotonically_increasing_id() % 1009
+
+def plan(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Every piece with its bin, as ``pack``, with the ``copy`` (hash of the text) and ``turn`` (number among equal rows) of its document."""
+    rows = pieces(docs, max(lengths)).groupBy("doc_id", "copy", "piece", "size").agg(F.count("*").alias("copies"))
+    rows = stored(rows, "pieces")
+    groups = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // group_pieces))
+    each = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    dealt = each.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece", "turn", F.lit(23)), F.lit(groups)).cast("int"))
     lengths = tuple(sorted(lengths))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["size", "doc_id", "piece", "copy", "turn"], kind="stable").reset_index(drop=True)
         bins, offsets, final = best_fit(frame["size"].to_numpy(), lengths)
-        return pd.DataFrame({
-            "doc_id": frame["doc_id"], "piece": frame["piece"], "size": frame["size"],
-            "bin_id": bins + (int(key[0]) << 32), "bin_length": np.array(final, np.int32)[bins], "bin_offset": offsets.astype(np.int32),
-        })
+        return frame.drop(columns="group").assign(bin_id=bins + (int(key[0]) << 32), bin_length=np.array(final, np.int32)[bins], bin_offset=offsets.astype(np.int32))[[x.split()[0] for x in _PLAN.split(", ")]]
+
+    return dealt.groupBy("group").applyInPandas(run, _PLAN)
 
-    dealt = rows.withColumn("group", F.pmod(seed, F.lit(groups)).cast("int"))
-    return dealt.groupBy("group").applyInPandas(run, "doc_id long, piece int, size int, bin_id long, bin_length int, bin_offset int")
+
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Every piece with its bin: doc_id, piece, size, bin_id, bin_length, bin_offset.
+
+    Pieces are dealt to groups of bounded size by a seeded hash of document, piece and
+    turn among equal rows, so one task never holds more of them than fit, however many
+    rows share an id, a source or a text, and the same rows in any files and partitions
+    get the same bins. No piece is dropped or cut further; an empty table has no bins.
+    """
+    return plan(docs, lengths, group_pieces).drop("copy", "turn")
+
+
+def sequences(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The rows of ``pack`` with the ``words`` of each piece, joined by one space; the last piece of a document ends with the end mark, which is no word.
+
+    Sort by bin_id and bin_offset to write the sequences.
+    """
+    longest = max(lengths)
+    placed = stored(plan(docs, lengths, group_pieces), "plan").withColumn("_key", F.xxhash64("doc_id", "copy"))
+    texts = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("_key"), "text").dropDuplicates(["_key"])
+    both = placed.join(texts, "_key")
+    return both.select("doc_id", "piece", "size", "bin_id", "bin_length", "bin_offset", F.array_join(F.slice(_words(), F.col("piece") * longest + 1, F.lit(longest)), " ").alias("words"))
