@@ -20,20 +20,26 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import stored
 
 TOP, EVERY = 20, 20
-SAMPLE = 8_000  # vectors that the partition and the router are learned from, at most
+SAMPLE, PART_SAMPLE = 8_000, 32  # vectors that partition and router are learned from, at most: so many, or so many for each part
 NEIGHBOURS = 16
 PART_ROWS = 5_000  # rows a part should have
-PARTS = (4, 256)
+PARTS = (4, 1_024)
 MASS = 0.95  # probability that the parts searched for a query make up
 BLOCK_ROWS = 20_000  # rows of one part that one task ranks
 ASKED_BLOCKS = 8  # its queries are those of so many blocks at most, a twentieth of their rows
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) without null, zero, or non-finite vectors; null ids take no part."""
+    """(vec_id, embedding as doubles) without null, zero, or non-finite vectors; null ids take no part.
+
+    Nor do vectors of another length than most; of lengths as frequent, the greatest
+    holds. Rows that repeat id and vector are one.
+    """
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)))
+    rows = vectors.select("vec_id", v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)))
+    lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+    return rows.where(F.size("embedding") == (lengths["n"] if lengths else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
 # ---------------------------------------------------------------- partition and router
@@ -130,12 +136,13 @@ def learn_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Router | None:
-    """Partition and router from at most about ``sample`` distinct vectors, chosen by a hash of their contents."""
+    """Partition and router from at most about ``sample`` distinct vectors (``PART_SAMPLE`` for each part, if that is more), chosen by a hash of their ids."""
     n = rows.count()
+    parts = int(np.clip(n // PART_ROWS, *PARTS))
+    sample = max(sample, PART_SAMPLE * parts)
     share = rows if n <= sample else rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     x = np.array([r["embedding"] for r in share.select("vec_id", "embedding").limit(2 * sample).collect()])
     x = np.unique(x, axis=0) if len(x) else x
-    parts = int(np.clip(n // PART_ROWS, *PARTS))
     if len(x) < 4 * parts:
         return None
     graph = neighbour_graph(x, NEIGHBOURS)
@@ -183,20 +190,24 @@ def _ranked(top: int):
         ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy())
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
+        begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # an id of several vectors counts by the nearest of them
+        every, ends = ids[begins], np.r_[begins[1:], len(ids)]
         out = []
         for a in range(0, len(queries), 256):
             q = queries.iloc[a : a + 256]
             own, y = q["vec_id"].to_numpy(), np.stack(q["embedding"].to_numpy())
             rough = y @ x.T
-            rough[own[:, None] == ids[None, :]] = -np.inf
-            k = min(top, len(ids))
+            if len(every) < len(ids):
+                rough = np.maximum.reduceat(rough, begins, axis=1)
+            rough[own[:, None] == every[None, :]] = -np.inf
+            k = min(top, len(every))
             # equal scores all come along, so that ties go to the smaller vec_id
             floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
             for i in range(len(own)):
                 near = np.flatnonzero((rough[i] >= floor[i] - 1e-9 * abs(floor[i])) & (rough[i] > -np.inf))
-                exact = (x[near] * y[i]).sum(axis=1)
-                best = near[np.lexsort((ids[near], -exact))[:k]]
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[best], "score": (x[best] * y[i]).sum(axis=1)}))
+                exact = np.array([(x[begins[j] : ends[j]] * y[i]).sum(axis=1).max() for j in near])
+                best = np.lexsort((every[near], -exact))[:k]
+                out.append(pd.DataFrame({"query_id": own[i], "vec_id": every[near[best]], "score": exact[best]}))
         return pd.concat(out, ignore_index=True)[columns]
 
     return run
@@ -217,7 +228,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = TOP, router: Router |
     if counts is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_blocks = counts[F.col("part")]
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), n_blocks).cast("int"))
     asked = _placed(rows.where(is_query), router, mass).where(n_blocks.isNotNull())
     found = stored(_search(asked, dealt, n_blocks, top), "found")
     if router is not None:
@@ -238,6 +249,7 @@ def _search(asked: DataFrame, dealt: DataFrame, n_blocks: Column, top: int) -> D
     asked = asked.withColumns({"block": F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))), "asked": F.pmod(F.xxhash64("vec_id"), n_asked).cast("int")})
     dealt = dealt.withColumn("asked", F.explode(F.sequence(F.lit(0), (n_asked - 1).cast("int"))))
     each = asked.groupBy("part", "block", "asked").cogroup(dealt.groupBy("part", "block", "asked")).applyInPandas(_ranked(top), "query_id long, vec_id long, score double")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
@@ -245,8 +257,9 @@ def _search(asked: DataFrame, dealt: DataFrame, n_blocks: Column, top: int) -> D
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, mass: float = MASS, sample: int = SAMPLE) -> DataFrame:
     """The contract's search: rows whose vec_id is divisible by ``every`` against all others.
 
-    Rows that repeat a vec_id are candidates each; none is a candidate of its own id.
-    Null, zero and non-finite vectors take no part; an empty table has no answers.
+    Rows that repeat a vec_id are one candidate and one query, near by the nearest of
+    their vectors; none is a candidate of its own id. Null, zero and non-finite vectors
+    and those of another length than most take no part; an empty table has no answers.
     """
     rows = usable(vectors)
     found = nearest(rows, F.col("vec_id") % every == 0, top, fit(rows, sample), mass)
