@@ -53,6 +53,14 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of ``taken`` equals, in capitals or not."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

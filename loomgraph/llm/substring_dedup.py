@@ -1,13 +1,18 @@
 """Exact substring dedup by prefix-partitioned suffix trees.
 
-A suffix is the text from some word on, read to a depth of 50 words in three labels
-(of 17 words each, at 0, 17 and 33). Only suffixes that may
-repeat are kept: a window's anchor is the least hash of its 8-word runs, and a window
-whose anchor is met in one document alone does not repeat. Runs of such suffixes that
-are equal as a whole (copies of documents) are one. What is left is dealt by prefixes
-of variable length, as many labels as it takes for a group to fit into memory, and
-each group's subtree is made by sorting: neighbours that agree to depth 50 are a deep
-internal node, and what a smaller doc_id also starts there is removed.
+A suffix is the text from some word on, read to a depth of 50 words. Only suffixes that
+may repeat are kept: a window's anchor is the least hash of its 16-word runs, and a
+window whose anchor is met in one document alone does not repeat. Runs of such suffixes
+that are equal as a whole (copies of documents) are one.
+
+What is left is split by prefixes of variable length into groups that fit into memory.
+The shortest is the anchor's run of words (equal suffixes have it at the same place, and
+neighbours mostly share it, so their words travel once); where too many suffixes have
+it, it is followed by the suffix's own first 1, 2, 4 ... words. Each group's subtree is
+made as a sorted suffix array over word numbers with the longest common prefix of
+neighbours: leaves between places where that is less than 50 hang from one deep
+internal node, a repeat, and all but those of its smallest doc_id are removed. Removed
+windows that follow each other make up the maximal repeats.
 """
 
 from __future__ import annotations
@@ -21,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import bit_filter, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
+from loomgraph.llm.common import bit_filter, forget, fresh, give_back, hashed_words, mix, passes, sequence_hashes, shuffle_partitions, stored, text_buffers
 
 WINDOW = 50
-ANCHOR = 8
+ANCHOR = 16
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
-LABEL, PLACES = 17, (0, 17, 33)
-GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 250_000, 150_000, 1 << 14  # in a group, in a task at a time, in a packed row
+PREFIXES = (0, 1, 2, 4, 8, 16, 32, WINDOW)  # words of its own by which a suffix may be dealt, after the anchor
+GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 100_000, 200_000, 1 << 14  # in a group, in a task at a time, in a packed row
+BUCKET_BYTES = 64 << 20  # text whose anchors one group takes
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
 FILTER_KEYS = 1 << 23
@@ -45,7 +51,7 @@ def _sliding(x: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
-    """Each window's anchor: the least hash of its 8-word runs. Equal windows have equal anchors, and neighbours mostly share theirs."""
+    """Each window's anchor: the least hash of its 16-word runs. Equal windows have equal anchors, and neighbours mostly share theirs."""
     return _sliding(sequence_hashes(words, ANCHOR), SPAN, np.minimum)
 
 
@@ -199,15 +205,26 @@ def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets:
 # ---------------------------------------------------------------- suffixes and their subtrees
 
 
-def _subtree(labels: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts suffixes by their labels; (order, depth shared with the neighbour before, whether a smaller doc_id starts the same 50 words)."""
-    order = np.lexsort(labels.T[::-1])
-    sorted_labels = labels[order]
-    same = sorted_labels[1:] == sorted_labels[:-1]
-    shared = np.r_[0, np.cumprod(same, axis=1).sum(axis=1)]  # labels, so 0, 17, 33 or 50 words
-    starts = np.flatnonzero(shared < len(PLACES))  # leaves of one deep node follow each other
+def suffix_array(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ``words[a : a + 50]`` in the order of their words: (order, words shared with the neighbour before)."""
+    ranks = np.unique(words, return_inverse=True)[1].astype(">u4")  # big-endian: bytes sort as numbers do
+    rows = np.lib.stride_tricks.sliding_window_view(ranks, WINDOW)[at]
+    order = np.argsort(rows.view(f"V{4 * WINDOW}").reshape(-1), kind="stable")
+    rows = rows[order]
+    differs = np.ones((len(rows), WINDOW + 1), bool)
+    np.not_equal(rows[1:], rows[:-1], out=differs[1:, :WINDOW])
+    shared = differs.argmax(axis=1)
+    shared[:1] = 0
+    return order, shared
+
+
+def _repeated(same: np.ndarray, order: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of sorted leaves, ``same`` where one hangs from the node of the one before: whether a smaller doc_id hangs there too."""
+    starts = np.flatnonzero(~same)
     least = np.minimum.reduceat(doc[order], starts)
-    return order, shared, doc[order] > np.repeat(least, np.diff(np.r_[starts, len(order)]))
+    gone = np.zeros(len(doc), bool)
+    gone[order] = doc[order] > np.repeat(least, np.diff(np.r_[starts, len(order)]))
+    return gone
 
 
 def _spans(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,24 +235,58 @@ def _spans(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[cut], place[cut], (place[np.r_[cut[1:], len(place)] - 1] + 1 if len(cut) else place)
 
 
-_SUFFIXES = "labels binary, docs binary, places binary, gone_docs binary, gone_starts binary, gone_stops binary"
+_SUFFIXES = "rows int, words binary, leaves binary, gone_docs binary, gone_starts binary, gone_stops binary"
+
+
+class Suffixes:
+    """Suffixes by the place of their first word in ``words``, with document, place there, and anchor."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, anchor: np.ndarray):
+        self.words, self.at, self.doc, self.place, self.anchor = words, at, doc, place, anchor
+
+    def taken(self, rows: np.ndarray) -> Suffixes:
+        """Some of the suffixes, in order, with no words but theirs."""
+        at = self.at[rows]
+        edges = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + WINDOW, -1)
+        held = np.cumsum(edges[:-1]) > 0
+        return Suffixes(self.words[held], (np.cumsum(held) - 1)[at], self.doc[rows], self.place[rows], self.anchor[rows])
+
+    def packed(self) -> tuple[int, bytes, bytes]:
+        """Rows, words, and the rest: what changes little from row to row is written as differences and compressed."""
+        columns = [self.doc, self.anchor.view(np.int64), self.at.astype(np.int64), self.place.astype(np.int64)]
+        leaves = b"".join(np.diff(c, prepend=np.int64(0)).astype("<i8").tobytes() for c in columns)
+        return len(self.at), pa.compress(self.words.astype("<u8").tobytes(), "zstd", asbytes=True) if len(self.words) else b"", pa.compress(leaves, "zstd", asbytes=True) if leaves else b""
+
+    @classmethod
+    def joined(cls, rows: list[tuple[int, int, bytes, bytes]]) -> Suffixes:
+        """Of packed ones, as (rows, words, ...)."""
+        parts, base = [], 0
+        for n, length, words, leaves in rows:
+            if n:
+                doc, anchor, at, place = np.cumsum(np.frombuffer(pa.decompress(leaves, 32 * n, "zstd"), "<i8").reshape(4, n), axis=1)
+                parts.append((np.frombuffer(pa.decompress(words, 8 * length, "zstd"), "<u8"), at + base, doc, place, anchor.view(np.uint64)))
+                base += length
+        return cls(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
 def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, part: int, parts: int) -> DataFrame:
     """Suffixes of the runs that stand for their equals, without those that the task itself finds to be removed."""
-    names = [x.split(" ")[0] for x in _SUFFIXES.split(", ")]
+    names = ["rows", "length", *[x.split(" ")[0] for x in _SUFFIXES.split(", ")[1:]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, ids, places, held = [], [], [], 0
+        held, hashes, many, base = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            label, doc, place = np.concatenate(labels), np.concatenate(ids), np.concatenate(places)
-            order, _, gone = _subtree(label, doc)
-            stay, spans = order[~gone], _spans(doc[order[gone]], place[order[gone]])
+            every, window = Suffixes(*(np.concatenate(c) for c in zip(*held, strict=True))), np.concatenate(hashes)
+            order = np.argsort(window, kind="stable")
+            gone = _repeated(np.r_[False, window[order][1:] == window[order][:-1]], order, every.doc)
+            stay, spans = np.flatnonzero(~gone), _spans(every.doc[gone], every.place[gone].astype(np.int32))
             for k in range(0, max(len(stay), len(spans[0])), ROW_SUFFIXES):
-                part = stay[k : k + ROW_SUFFIXES]
-                columns = [label[part], doc[part], place[part], *[c[k : k + ROW_SUFFIXES] for c in spans]]
-                yield pa.record_batch([pa.array([c.tobytes()], pa.binary()) for c in columns], names=names)
+                some = every.taken(stay[k : k + ROW_SUFFIXES])
+                n, words, leaves = some.packed()
+                yield pa.record_batch([pa.array([n], pa.int32()), pa.array([len(some.words)], pa.int32()), *[pa.array([c], pa.binary()) for c in (words, leaves, *[c[k : k + ROW_SUFFIXES].tobytes() for c in spans])]], names=names)
 
         for batch in batches:
             for doc, words in _long_texts(batch):
@@ -246,70 +297,73 @@ def _suffix_rows(docs: DataFrame, known, bits: int, owners, owner_bits: int, par
                 own = passes(owners.value, owner_bits, _owned(keys, np.full(len(keys), doc, np.int64)))
                 if not own.any():
                     continue
+                least = anchors(words)
                 for (a, b), mine in zip(runs, own, strict=True):
                     if mine:
-                        hashes = sequence_hashes(words[a : b + WINDOW - 1], LABEL)
-                        labels.append(np.stack([hashes[p : p + b - a] for p in PLACES], axis=1))
-                        ids.append(np.full(b - a, doc, np.int64))
-                        places.append(np.arange(a, b, dtype=np.int32))
-                        held += b - a
-                if held > TASK_SUFFIXES:
+                        text = words[a : b + WINDOW - 1]
+                        held.append((text, np.arange(base, base + b - a), np.full(b - a, doc, np.int64), np.arange(a, b), least[a:b]))
+                        hashes.append(sequence_hashes(text, WINDOW))
+                        base += len(text)
+                        many += b - a
+                if many > TASK_SUFFIXES:
                     yield from flush()
-                    labels, ids, places, held = [], [], [], 0
-        if labels:
+                    held, hashes, many, base = [], [], 0, 0
+        if held:
             yield from flush()
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SUFFIXES)
+    return docs.select("doc_id", "text").mapInArrow(run, _SUFFIXES.replace("rows int", "rows int, length int"))
 
 
-def _prefix_slots(labels: np.ndarray, depth: int, slots: int) -> np.ndarray:
-    """Slot of each suffix's prefix of ``depth`` labels."""
-    code = labels[:, 0]
-    for k in range(1, depth):
-        code = mix(code ^ labels[:, k] * np.uint64(0xD6E8FEB86659FD93))
-    return (code % np.uint64(slots)).astype(np.int64)
+def _prefix_slots(s: Suffixes, depth: int, slots: int) -> np.ndarray:
+    """Slot of each suffix's prefix: its anchor and as many words of its own as ``depth`` says."""
+    code = s.anchor
+    if n := PREFIXES[depth]:
+        code = code ^ sequence_hashes(s.words, n)[s.at]
+    return (mix(code) % np.uint64(slots)).astype(np.int64)
 
 
-def _group_of(labels: np.ndarray, plan: list[np.ndarray]) -> np.ndarray:
+def _group_of(s: Suffixes, plan: list[np.ndarray]) -> np.ndarray:
     """Group of each suffix: by the shortest prefix whose slot is no larger than a group; -1 while none of ``plan`` is."""
-    group = np.full(len(labels), -1, np.int64)
-    for depth, groups in enumerate(plan, 1):
+    group = np.full(len(s.at), -1, np.int64)
+    for depth, groups in enumerate(plan):
         left = group < 0
         if not left.any():
             break
-        group[left] = groups[_prefix_slots(labels[left], depth, len(groups))]
+        group[left] = groups[_prefix_slots(s, depth, len(groups))[left]]
     return group
 
 
 def _plan(suffixes: DataFrame, least: int) -> list[np.ndarray]:
-    """Groups by prefix slot, for prefixes of one label, and of more where a slot is too large.
+    """Groups by prefix slot, for the shortest prefixes, and for longer ones where a slot is too large.
 
-    Slots are counted, so what comes to the driver grows with the number of groups only.
+    Slots are counted, four for each group that the suffixes ask for, so what comes to
+    the driver is a number for tens of thousands of suffixes. The longest prefix is the
+    whole window, of which each task leaves one suffix for so many that it takes at a time.
     """
     plan: list[np.ndarray] = []
     groups = 0
-    for depth in range(1, len(PLACES) + 1):
+    total = suffixes.agg(F.sum("rows")).first()[0] or 0
+    slots = max(1 << 12, 1 << int(4 * total // GROUP_SUFFIXES).bit_length())
+    for depth in range(len(PREFIXES)):
         so_far = list(plan)
-        slots = 1 << 12
 
-        def count(batches: Iterator[pa.RecordBatch], depth=depth, so_far=so_far, slots=slots) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], depth=depth, so_far=so_far) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(slots, np.int64)
             for batch in batches:
-                for raw in batch.column(0):
-                    labels = np.frombuffer(raw.as_py(), np.uint64).reshape(-1, len(PLACES))
-                    if so_far:
-                        labels = labels[_group_of(labels, so_far) < 0]
-                    sums += np.bincount(_prefix_slots(labels, depth, slots), minlength=slots)
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[0]:
+                        s = Suffixes.joined([row])
+                        slot = _prefix_slots(s, depth, slots)
+                        sums += np.bincount(slot[_group_of(s, so_far) < 0] if so_far else slot, minlength=slots)
             at = np.flatnonzero(sums)
             yield pa.record_batch([pa.array(at), pa.array(sums[at])], names=["slot", "n"])
 
         sizes = np.zeros(slots, np.int64)
-        for row in suffixes.select("labels").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        for row in suffixes.select("rows", "length", "words", "leaves").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
             sizes[row["slot"]] = row["n"]
-        limit = max(1, min(GROUP_SUFFIXES, int(sizes.sum()) // least)) if depth == 1 else GROUP_SUFFIXES
-        last = depth == len(PLACES)
-        fits = (sizes <= GROUP_SUFFIXES) | last
+        limit = max(1, min(GROUP_SUFFIXES, int(sizes.sum()) // least)) if depth == 0 else GROUP_SUFFIXES
+        fits = (sizes <= GROUP_SUFFIXES) | (depth == len(PREFIXES) - 1)
         number = groups + np.cumsum(np.where(fits, sizes, 0)) // limit
         plan.append(np.where(fits, number, -1))
         groups = int(number.max()) + 1
@@ -323,20 +377,29 @@ def _tree_rows(suffixes: DataFrame, plan: list[np.ndarray]) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in zip(*(batch.column(i) for i in range(3)), strict=True):
-                labels = np.frombuffer(raw[0].as_py(), np.uint64).reshape(-1, len(PLACES))
-                doc, place = np.frombuffer(raw[1].as_py(), np.int64), np.frombuffer(raw[2].as_py(), np.int32)
-                group = _group_of(labels, plan)
-                out = list(_packed(group, int(group.max(initial=0)) + 1, labels, doc, place))
-                yield pa.record_batch([pa.array([k for k, _ in out], pa.int64())] + [pa.array([c[i] for _, c in out], pa.binary()) for i in range(3)], names=["group", "labels", "docs", "places"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not row[0]:
+                    continue
+                s = Suffixes.joined([row])
+                group = _group_of(s, plan)
+                order = np.argsort(group, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+                out = []
+                for a, b in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+                    some = s.taken(order[a:b])
+                    n, words, leaves = some.packed()
+                    out.append((group[order[a]], n, len(some.words), words, leaves))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["group", "rows", "length", "words", "leaves"])
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        labels, doc, place = _joined(frame, "labels", np.uint64).reshape(-1, len(PLACES)), _joined(frame, "docs", np.int64), _joined(frame, "places", np.int32)
-        order, _, gone = _subtree(labels, doc)
-        spans = _spans(doc[order[gone]], place[order[gone]])
+        s = Suffixes.joined(list(frame[["rows", "length", "words", "leaves"]].itertuples(index=False, name=None)))
+        order, shared = suffix_array(s.words, s.at)
+        gone = _repeated(shared >= WINDOW, order, s.doc)
+        spans = _spans(s.doc[gone], s.place[gone].astype(np.int32))
         return pd.DataFrame({"docs": [spans[0].tobytes()], "starts": [spans[1].tobytes()], "stops": [spans[2].tobytes()]})
 
-    dealt = suffixes.select("labels", "docs", "places").mapInArrow(deal, "group long, labels binary, docs binary, places binary")
+    dealt = suffixes.select("rows", "length", "words", "leaves").mapInArrow(deal, "group long, rows int, length int, words binary, leaves binary")
     return dealt.groupBy("group").applyInPandas(grow, "docs binary, starts binary, stops binary")
 
 
@@ -357,12 +420,17 @@ def _held(docs: DataFrame, keys: DataFrame) -> tuple[object, int]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop): windows of 50 words, by the place of their first word, that also start in a document with a smaller doc_id."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    """(doc_id, start, stop): windows of 50 words, by the place of their first word, that also start in a document with a smaller doc_id.
+
+    Windows that follow each other in a document are one row, so that ``start`` to
+    ``stop + 49`` is a maximal repeat, or the part of one that a task or a group has seen.
+    """
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), int(size // BUCKET_BYTES) + 1)
     shared = stored(_shared_anchors(docs, buckets), "anchors")
     keys = _keys(shared)
     parts = max(1, -(-keys.count() // FILTER_KEYS))
-    out = None
+    out, done = None, [shared]
     for part in range(parts):
         own = keys if parts == 1 else keys.where(F.pmod(F.shiftrightunsigned("key", 1), F.lit(parts)) == part)
         known, bits = _held(docs, own)
@@ -370,9 +438,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         owners, owner_bits = _held(docs, _keys(runs))
         suffixes = stored(_suffix_rows(docs, known, bits, owners, owner_bits, part, parts), "suffixes")
         packed = runs.select("docs", "starts", "stops").unionByName(suffixes.select(F.col("gone_docs").alias("docs"), F.col("gone_starts").alias("starts"), F.col("gone_stops").alias("stops")))
-        packed = packed.unionByName(_tree_rows(suffixes, _plan(suffixes, buckets)))
+        packed = packed.unionByName(_tree_rows(suffixes, _plan(suffixes, shuffle_partitions(docs.sparkSession))))
         out = packed if out is None else out.unionByName(packed)
-    return _unpacked(stored(out, "spans"))
+        done += [runs, suffixes]
+    spans = stored(out, "spans")
+    forget(*done)
+    return _unpacked(spans)
 
 
 def _cut(text: str | None, spans: list | None) -> tuple[str, int, int]:
@@ -390,43 +461,43 @@ def _cut(text: str | None, spans: list | None) -> tuple[str, int, int]:
 _BLANK = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``kept`` (its text without what is removed), ``n_words`` and ``n_removed``.
+def deduplicated(docs: DataFrame, names: tuple[str, str, str] = ("kept", "n_words", "n_removed")) -> DataFrame:
+    """Every row of ``docs`` with its text without what is removed, its words, and how many of them are removed.
 
-    A null text has no words; texts of fewer than 50 words lose none; a null doc_id
-    neither removes nor loses. Rows that repeat a doc_id are one document, and don't
-    remove from each other. Texts that surely lose nothing aren't shuffled.
+    They are called as ``names`` says, and replace columns of such names. A null text
+    has no words; texts of fewer than 50 words lose none; a null doc_id neither removes
+    nor loses. Rows that repeat a doc_id are one document, and don't remove from each
+    other. Texts that surely lose nothing aren't shuffled.
     """
-    spans = repeated_windows(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    own = [c for c in docs.columns if c not in names]
+    key, found = fresh("key", docs.columns), fresh("spans", docs.columns)
+    spans = repeated_windows(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(found))
     spans = stored(spans, "removed")
     keyed = spans.select(F.xxhash64("doc_id").alias("key"))
     bits = int(np.clip(np.ceil(np.log2(max(1, keyed.count()))) + 5, *FILTER_BITS))
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(keyed, "key", bits))
-    names = docs.columns
-    kept_names = [c for c in names if c not in ("kept", "n_words", "n_removed")]
-    at = kept_names.index("text")
+    at = own.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch], may: bool) -> Iterator[pa.RecordBatch]:
         """Rows that may lose something, or the others, without their key."""
         for batch in batches:
-            keys = batch.column(len(kept_names)).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-            yield pa.record_batch(batch.columns[:-1], names=kept_names).filter(pa.array(passes(held.value, bits, keys) == may))
+            keys = batch.column(len(own)).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+            yield pa.record_batch(batch.columns[:-1], names=own).filter(pa.array(passes(held.value, bits, keys) == may))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                spans = part.column(len(kept_names)).to_pylist() if part.num_columns > len(kept_names) else [None] * part.num_rows
+                spans = part.column(len(own)).to_pylist() if part.num_columns > len(own) else [None] * part.num_rows
                 rows = [_cut(t, s and [(x["start"], x["stop"]) for x in s]) for t, s in zip(part.column(at).to_pylist(), spans, strict=True)]
                 added = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
-                yield pa.record_batch([*part.columns[: len(kept_names)], *added], names=[*kept_names, "kept", "n_words", "n_removed"])
+                yield pa.record_batch([*part.columns[: len(own)], *added], names=[*own, *names])
         give_back()
 
-    keyed_docs = docs.select(*kept_names, F.xxhash64("doc_id").alias("_key"))
-    plain = T.StructType([docs.schema[c] for c in kept_names])
-    touched = keyed_docs.mapInArrow(lambda batches: chosen(batches, True), plain).join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*kept_names, "_spans")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_names)
-    out = f"{schema}, kept string, n_words long, n_removed long"
+    keyed_docs = docs.select(*own, F.xxhash64("doc_id").alias(key))
+    plain = T.StructType([docs.schema[c] for c in own])
+    touched = keyed_docs.mapInArrow(lambda batches: chosen(batches, True), plain).join(spans, "doc_id", "left").select(*own, found)
+    out = T.StructType([*plain.fields, T.StructField(names[0], T.StringType()), *[T.StructField(c, T.LongType()) for c in names[1:]]])
     return touched.mapInArrow(cut, out).unionByName(keyed_docs.mapInArrow(lambda batches: cut(chosen(batches, False)), out))
 
 
@@ -436,10 +507,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` whose texts have lost what repeats; texts that lose nothing stay as they are, byte by byte."""
-    rows = deduplicated(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    """``docs`` whose texts have lost what repeats; texts that lose nothing stay as they are, byte by byte, and so do all other columns but ``n_chars``."""
+    kept, words, removed = (fresh(c, docs.columns) for c in ("kept", "n_words", "n_removed"))
+    rows = deduplicated(docs, (kept, words, removed))
+    lost = F.col(removed) > 0
+    rows = rows.withColumn("text", F.when(lost, F.col(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
