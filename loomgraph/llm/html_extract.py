@@ -1,14 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one cuts a page into blocks and decides each from stop-word density, length,
-link density and the elements around it. Pass two gives every undecided block the
-label of its nearest decided neighbours.
+Pass one cuts a page into blocks and weighs each: stop-word density and length, link
+density (its own and its list's), and as further evidence the elements and names around
+it. Blocks of clear weight are good or bad; short and ambiguous ones stay undecided.
+Pass two gives every undecided block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,24 +30,39 @@ SHORT = 70  # characters: shorter blocks say little about themselves
 DENSE, SPARSE = 0.30, 0.10  # stop words among words: prose, and what isn't
 LINKED = 0.5  # share of a block's characters within links
 FEW_LINKS = 0.2  # the same, of prose in any language
+#: What each kind of evidence weighs. A block is good from +2 on, bad from -2 on, else undecided.
+WEIGHTS = {
+    "dense": 2,  # long, with many stop words
+    "prose": 2,  # long and in sentences, in a language or field without the listed stop words
+    "sparse": -2,  # long for a label, short for prose, and hardly a stop word
+    "linked": -3,  # mostly links, alone or with its list
+    "rights": -2,  # a copyright line
+    "article": 1,  # within the page's article
+    "outside": -4,  # outside it, where there is one
+    "boiler": -5,  # within an element or name of menus, adverts, comments and the like
+}
+CLEAR = 2
 _SENTENCE = re.compile(r"[.!?…][\"'»”’)\]]*(?:\s|$)|[。！？．…؟۔।॥።։]|[,;，、；،].*[,;，、；،]", re.S)
 _WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts that say as much in half as many characters
 
 _RAW = "script|style|title|noscript|template|textarea|iframe"  # up to their end tag, as browsers read them
-_LEFT_OUT = "select|svg|math|object|canvas|audio|video|button|datalist"  # ordinary elements whose text is no reader's
+_LEFT_OUT = "select|svg|math|object|canvas|audio|video|button|datalist|label|legend"  # ordinary elements whose text is no reader's
 _BLOCK = "body|nav|header|footer|aside|form|article|main|div|section|ul|ol|li|dl|dt|dd|table|tr|td|th|thead|tbody|tfoot|blockquote|figure|figcaption|details|dialog|fieldset|center|menu|address|pre|p|hr|h[1-6]"
-_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_INSIDE = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+"  # quotes count after an equals sign only, as browsers read tags
+_ALONE = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>/]|/(?!>))*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|(?P<alone><(?:{_LEFT_OUT}|title|noscript|template|textarea|iframe)(?![\w:-]){_INSIDE}/>)"
+    rf"<!--.*?(?:-->|\Z)|(?P<alone><(?:{_LEFT_OUT}|title|noscript|template|textarea|iframe)(?![\w:-]){_ALONE}/>)"
     rf"|<(?P<raw>{_RAW})(?![\w:-]){_INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)"
     # closed: its end comes before another of its name and before an article; else it ends at the next block
     rf"|<(?P<out>{_LEFT_OUT})(?![\w:-]){_INSIDE}>(?:[^<]*+(?:<(?!/?(?:(?P=out)|article|main|section|body)(?![\w:-]))[^<]*+)*+</(?P=out)\s*>|[^<]*+(?:<(?!/?(?:(?P=out)|{_BLOCK})(?![\w:-]))[^<]*+)*+)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*>?",
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_INSIDE})>|<[/!?a-zA-Z][^>]*>?",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr acronym".split())
-_CONTAINERS = frozenset("head body nav header footer aside form article main div section ul ol dl table tr td th thead tbody tfoot blockquote figure details dialog fieldset center menu address pre figcaption".split())
+_CONTAINERS = frozenset("head body nav header footer aside form article main div section ul ol dl table tr td th thead tbody tfoot blockquote figure details dialog fieldset center menu address pre figcaption p li dt dd h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl table".split())
+_ITEMS = frozenset("li dt dd".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILER_TAGS = frozenset("head nav footer aside form dialog fieldset menu".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -70,6 +87,7 @@ class Block:
     listed: bool
     boiler: bool
     article: int  # number of the enclosing article or main element, 0 if none
+    list: int = 0  # number of the enclosing list or table, 0 if none
     label: str = ""
     stop: float = field(default=0.0)
 
@@ -93,7 +111,7 @@ def _boiler_words(token: str, names: frozenset[str]) -> list[str]:
 def _boiler(tag: str, attrs: str, in_article: bool) -> int:
     if tag in _BOILER_TAGS and tag != "form" or tag == "header" and not in_article:
         return _FIRM
-    if tag in ("body", "main"):
+    if tag in ("body", "main") or not attrs and tag != "form":
         return _OPEN
     found = _attributes(attrs)
     style = found.get("style", "").replace(" ", "").lower()
@@ -113,27 +131,33 @@ def blocks_of(page: str, lift: bool = False) -> list[Block]:
     one boilerplate, save articles within comments, sidebars and the like; ``lift`` lets no name decide on articles.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, level of boilerplate, article
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, level of boilerplate, article, list, place of the item that an item of the same list ends
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = heading = link = articles = 0
-    boiler, article, inline_boiler = _OPEN, 0, 0
+    linked = link = articles = lists = 0
+    boiler, article, inside = _OPEN, 0, 0
+    passed, depth = "", 0  # an inline element whose text isn't read, and how many of its name are open
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                blocks.append(Block(text, linked, bool(heading), any(t[0] in ("ul", "ol", "dl", "table") for t in stack), boiler > _OPEN, article))
+                blocks.append(Block(text, linked, any(opened[h] for h in _HEADINGS), inside > 0, boiler > _OPEN, article, inside))
             parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not inline_boiler:
+        if raw and not passed:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if link:
                 linked += len(text.strip())
 
+    def close(size: int) -> None:
+        while len(stack) > size:
+            opened[stack.pop()[0]] -= 1
+
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -146,24 +170,35 @@ def blocks_of(page: str, lift: bool = False) -> list[Block]:
         if tag == "a":
             link = 0 if closing else 1
         if tag in _INLINE:
+            if passed:
+                depth += (tag == passed) * (-1 if closing else 1)
+                passed = passed if depth else ""
+            elif not closing and m["attrs"] and _boiler(tag, m["attrs"], True) > _OPEN:
+                passed, depth = tag, 1
             continue
         if tag in ("br", "hr", "img", "input"):
             parts.append(" ")
             continue
         flush()
-        link = 0 if tag in _CONTAINERS else link
-        heading = 0 if tag in _HEADINGS and closing else 1 if tag in _HEADINGS else 0
+        passed = ""
         if tag not in _CONTAINERS:
             continue
+        link = 0
         if closing:
-            places = [i for i, t in enumerate(stack) if t[0] == tag]
-            if places:
-                del stack[places[-1] :]
+            if opened[tag]:
+                size = len(stack)
+                while stack[size - 1][0] != tag:
+                    size -= 1
+                close(size - 1)
         else:
-            if tag == "body" and any(t[0] == "head" for t in stack):
-                stack.clear()
-            outer = stack[-1] if stack else ("", _OPEN, 0)
-            inner, level, own = outer[2], outer[1], _boiler(tag, m["attrs"], bool(outer[2]))
+            if tag == "body" and opened["head"]:
+                close(0)
+            if stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS and tag in _HEADINGS):
+                close(len(stack) - 1)  # paragraphs hold no other block
+            if tag in _ITEMS and stack and stack[-1][4] >= 0:
+                close(stack[-1][4])
+            outer = stack[-1] if stack else ("", _OPEN, 0, 0, -1)
+            level, inner, own = outer[1], outer[2], _boiler(tag, m["attrs"], bool(outer[2]))
             if tag in ("article", "main") and not inner:
                 level = _OPEN if level <= (_HOLDER if tag == "main" or lift else _NAMED) else level
                 own = _OPEN if lift and own < _FIRM else own
@@ -171,9 +206,12 @@ def blocks_of(page: str, lift: bool = False) -> list[Block]:
             if tag in ("article", "main") and not level and not inner:
                 articles += 1
                 inner = articles
+            lists += tag in _LISTS
             if not m["attrs"].endswith("/"):
-                stack.append((tag, level, inner))
-        _, boiler, article = stack[-1] if stack else ("", _OPEN, 0)
+                item = len(stack) if tag in _ITEMS else -1 if tag in _LISTS else outer[4]
+                stack.append((tag, level, inner, lists if tag in _LISTS else outer[3], item))
+                opened[tag] += 1
+        _, boiler, article, inside, _ = stack[-1] if stack else ("", _OPEN, 0, 0, -1)
     add(page[at:])
     flush()
     return blocks
@@ -187,33 +225,49 @@ def _is_prose(b: Block, has_article: bool) -> bool:
     return long >= 3 * SHORT or long >= SHORT and _SENTENCE.search(b.text) is not None
 
 
+def weight(b: Block, has_article: bool, listed_links: float) -> int:
+    """The block's evidence, added up; ``listed_links`` is the link density of its list."""
+    long, links = len(b.text) >= SHORT, b.linked / len(b.text)
+    found = {
+        "dense": long and b.stop >= DENSE,
+        "sparse": long and b.stop < SPARSE and not b.article and len(b.text) < 3 * SHORT,
+        "linked": links > LINKED and (listed_links > LINKED if b.listed else not long or not b.article),
+        "rights": b.text.startswith(("©", "(c) ")) and not b.article,
+        "article": bool(b.article),
+        "outside": has_article and not b.article,
+        "boiler": b.boiler,
+    }
+    return sum(WEIGHTS[k] for k, holds in found.items() if holds)
+
+
+def _label(evidence: int) -> str:
+    return "good" if evidence >= CLEAR else "bad" if evidence <= -CLEAR else ""
+
+
 def classify(blocks: list[Block]) -> None:
     """Pass one: good, bad, or undecided (empty).
 
     Where stop words find less than half of what reads as prose (other languages,
-    technical texts), all of that is good.
+    technical texts), sentences count in their place.
     """
     has_article = any(b.article and not b.boiler for b in blocks)
+    in_list: dict[int, list[int]] = {}
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         b.stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        links = b.linked / len(b.text)
-        if b.boiler or has_article and not b.article or links > LINKED and (b.listed or len(b.text) < SHORT or not b.article):
-            b.label = "bad"
-        elif b.text.startswith(("©", "(c) ")) and not b.article:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = ""
-        elif b.stop >= DENSE:
-            b.label = "good"
-        elif b.stop < SPARSE and not b.article and len(b.text) < 3 * SHORT:
-            b.label = "bad"
-        else:
-            b.label = ""
-    prose = [b for b in blocks if _is_prose(b, has_article)]
-    if 2 * sum(len(b.text) for b in prose if b.label == "good") < sum(len(b.text) for b in prose):
-        for b in prose:
-            b.label = "good"
+        sums = in_list.setdefault(b.list, [0, 0])
+        sums[0] += b.linked
+        sums[1] += len(b.text)
+    evidence = [weight(b, has_article, in_list[b.list][0] / in_list[b.list][1]) for b in blocks]
+    for b, e in zip(blocks, evidence, strict=True):
+        b.label = _label(e)
+    prose = [i for i, b in enumerate(blocks) if _is_prose(b, has_article)]
+    if 2 * sum(len(blocks[i].text) for i in prose if blocks[i].label == "good") < sum(len(blocks[i].text) for i in prose):
+        for i in prose:
+            b = blocks[i]
+            dense = len(b.text) >= SHORT and b.stop >= DENSE
+            sparse = len(b.text) >= SHORT and b.stop < SPARSE and not b.article and len(b.text) < 3 * SHORT
+            b.label = _label(evidence[i] + (0 if dense else WEIGHTS["prose"]) - (WEIGHTS["sparse"] if sparse else 0))
 
 
 def resolve(blocks: list[Block]) -> None:

@@ -112,6 +112,54 @@ def test_prose_without_listed_stop_words(text):
     assert html_extract.main_text(page(f"<article><p>{text}</p>{nav}{links}<p>{text}</p></article>")) == f"{text} {text}"
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><p>{LONG}</p><p class='advert'>Buy this and that of it.</p><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li class='comment'><p>{LONG}</p><p>And so on.</p><li>An item</ul></article>", f"{LONG} An item"),
+        (f"<article><p style='display: none'>{LONG}</p><p>{LONG} <span hidden>No <i>way</i> of it</span>Yes.</p></article>", f"{LONG} Yes."),
+        (f"<article><p>{LONG}</p><p><label>Your name</label><input></p><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><section class='related-work'><p>{LONG}</p></section><div id='share-prices'><p>{LONG}</p></div></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li>Some item of the list</li><li><a href='/x'>Linked item</a></li><li>The last of them</li></ul></article>", f"{LONG} Some item of the list Linked item The last of them"),
+        (f"<article><p title=it's>Keep me</p><p>{LONG} don't</p></article>", f"Keep me {LONG} don't"),
+        (f"<article><h2 class='newsletter-signup'>Join us</h2><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_own_attributes_and_lists(body, text):
+    assert html_extract.main_text(page(body)) == text
+
+
+def test_density_and_neighbours_decide(monkeypatch):
+    """Without elements or names that say anything, the text alone does; and each of the rules is missed when it is gone."""
+    junk = "zxcv qwer 88124 asdf yuio 9921 ghjk bnmz 3310 tyui vbnm 4412 plok mkij nhub"
+    body = f"<div><div>{junk}</div><div>Top stub</div><div>{junk}</div><div>{LONG}</div><div>Short one</div><div>{LONG}</div><div>{junk}</div></div>"
+    want = f"{LONG} Short one {LONG}"
+    assert html_extract.main_text(body) == want
+    with monkeypatch.context() as patch:
+        for kind in ("dense", "sparse", "prose"):
+            patch.setitem(html_extract.WEIGHTS, kind, 0)
+        assert html_extract.main_text(body) != want
+    with monkeypatch.context() as patch:
+        patch.setattr(html_extract, "resolve", lambda blocks: None)
+        assert html_extract.main_text(body) == f"{LONG} {LONG}"
+    links = f"<div>{LONG}</div><div><a href='/'>Some link</a></div><div>{LONG}</div>"
+    assert html_extract.main_text(links) == f"{LONG} {LONG}"
+    with monkeypatch.context() as patch:
+        patch.setitem(html_extract.WEIGHTS, "linked", 0)
+        assert "Some link" in html_extract.main_text(links)
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>" * 20_000 + LONG + "</div>" * 20_000
+    assert html_extract.main_text(deep) == LONG
+    assert html_extract.main_text("<ul>" + "<li><div>" * 20_000 + LONG) == LONG
+    assert html_extract.main_text("<article>" + f"<p>{LONG}</p>" * 5_000).count(LONG) == 5_000
+    assert time.perf_counter() - began < 5
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, "u", page(f"<article>{LONG}</article>"), 5), (1, "u", None, 6), (None, None, "", 7)], "page_id long, url string, html string, text long")
     rows = sorted((r["n_chars"], r["text"]) for r in html_extract.extract(pages).collect())
