@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import scratch_path, shuffle_partitions
+from loomgraph.llm.common import forget, scratch_path, shuffle_partitions, stored
 
 SMALLEST_SHARED = 100  # payloads of fewer bytes are never revisits
 BLOCK_LINES = 3000
-ARCHIVE_RECORDS = 5000  # an archive is read as a whole, so it has to stay small
+#: An archive is read as a whole, so it has to stay small: as many records as stay within these bytes, by classes
+#: of record sizes (up to 16 KB, 64 KB, 256 KB ...) that are written apart.
+ARCHIVE_BYTES, SMALL_RECORD = 80 << 20, 16 << 10
+DIRECTORY_ROWS = 1_000_000  # rows of a directory that every executor may hold
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -62,8 +66,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html").withColumns({"payload_bytes": F.length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
     large = rows.where(F.col("payload_bytes") >= SMALLEST_SHARED).select("page_id", "payload_digest")
     shared = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    revisits = large.join(shared, "payload_digest").where("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to")).persist()
-    if revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    revisits = large.join(shared, "payload_digest").where("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to"))
+    revisits = stored(revisits, "revisits")
+    if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
     return rows.join(revisits, ["page_id", "payload_digest"], "left")
 
@@ -86,11 +91,23 @@ def warc_rows(pages: DataFrame, date: str = DATE) -> DataFrame:
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block).alias("value"), _size_class("html").alias("size_class"))
+
+
+def _size_class(text: str) -> Column:
+    """0 for records of up to ``SMALL_RECORD`` bytes, then one more for each factor of four."""
+    over = F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(SMALL_RECORD)
+    return F.when(over <= 1, 0).otherwise(F.ceil(F.log(4.0, over))).cast("int")
 
 
 def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
-    warc_rows(pages, date).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Archives of at most about ``ARCHIVE_BYTES``, or of one record; records of very different sizes lie apart."""
+    classes = sorted(r["c"] for r in pages.select(_size_class("html").alias("c")).distinct().collect())  # a dozen at most
+    rows = warc_rows(pages, date)
+    for k in classes or [0]:
+        records = max(1, ARCHIVE_BYTES // (SMALL_RECORD * 4**k))
+        own = rows.where(F.col("size_class") == k) if len(classes) > 1 else rows
+        own.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
 
 
 def parse_record(data: bytes | memoryview, at: int) -> tuple[dict[str, str], int, int]:
@@ -185,15 +202,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column(0):
-                lines = zlib.decompress(body.as_py()).decode("utf-8", "surrogatepass").split("\n")
-                pairs = [x.partition("\t") for x in lines]
-                yield pa.record_batch([pa.array([p[0] for p in pairs]), pa.array([p[2] for p in pairs])], names=["key", "line"])
+            for body in batch.column(0).to_pylist():
+                lines = _unpacked_lines(body)
+                yield pa.record_batch([pa.array([x[i] for x in lines]) for i in (0, 1)], names=["key", "line"])
 
     lines = blocks.mapInArrow(unpack, "key string, line string")
     return lines.select("key", F.from_json("line", _CAPTURE).alias("c")).select("key", "c.*")
 
 
+def _span(firsts: list[str], key: str) -> range:
+    """Blocks that may hold ``key``: from the last that begins before it to the last that begins with it."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
+
+
 class CaptureIndex:
     """Look-ups in a written index: directory by binary search, one block a key, one range a record."""
 
@@ -204,22 +225,14 @@ class CaptureIndex:
         self.rows = rows
 
     def blocks_of(self, key: str) -> list[tuple[int, int]]:
-        """Blocks that may hold ``key``: from the last that begins before it to the last that begins with it."""
-        upto = bisect.bisect_right(self.firsts, key)
-        first = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        return [(r["part"], r["block"]) for r in self.rows[first:upto] if r["last"] >= key]
+        return [(r["part"], r["block"]) for r in (self.rows[i] for i in _span(self.firsts, key)) if r["last"] >= key]
 
     def lookup(self, url: str) -> list[dict]:
         key = self.spark.range(1).select(url_key(F.lit(url)).alias("k")).first()["k"]
         found = []
         for part, block in self.blocks_of(key):
             for row in self.spark.read.parquet(f"{self.path}/blocks").where((F.col("part") == part) & (F.col("block") == block)).select("packed").collect():
-                import json
-
-                for line in zlib.decompress(row["packed"]).decode("utf-8", "surrogatepass").split("\n"):
-                    k, _, rest = line.partition("\t")
-                    if k == key:
-                        found.append(json.loads(rest))
+                found += [json.loads(line) for k, line in _unpacked_lines(row["packed"]) if k == key]
         return found
 
     def record(self, capture: dict) -> bytes:
@@ -234,10 +247,46 @@ class CaptureIndex:
             stream.close()
 
 
+def _unpacked_lines(body: bytes) -> list[tuple[str, str]]:
+    return [tuple(x.split("\t", 1)) for x in zlib.decompress(body).decode("utf-8", "surrogatepass").split("\n")]
+
+
+def lookup_all(spark: SparkSession, path: str, urls: DataFrame, column: str = "url") -> DataFrame:
+    """Every capture of every url in ``urls``: key and capture columns. Urls that share a key are one question; null is one.
+
+    Each key binary-searches the directory for the blocks that may hold it, each block
+    that is asked for is opened once, and its lines are held against the keys asked of it.
+    A directory too large for every executor is left out, and keys are joined with all lines.
+    """
+    keys = urls.select(url_key(F.col(column)).alias("key")).distinct()
+    directory = spark.read.parquet(f"{path}/directory")
+    if directory.limit(DIRECTORY_ROWS + 1).count() > DIRECTORY_ROWS:
+        return read_index(spark, path).join(keys, "key", "left_semi")
+    rows = directory.orderBy("first", "part", "block").collect()
+    held = spark.sparkContext.broadcast(([r["first"] for r in rows], [r["last"] for r in rows], [(r["part"], r["block"]) for r in rows]))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, places = held.value
+        for batch in batches:
+            found = [(*places[i], key) for key in batch.column(0).to_pylist() for i in _span(firsts, key) if lasts[i] >= key]
+            yield pa.record_batch([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["part", "block", "key"])
+
+    def opened(key: tuple, questions: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        wanted = set(questions["key"])
+        lines = [x for body in blocks["packed"] if wanted for x in _unpacked_lines(body) if x[0] in wanted]
+        return pd.DataFrame({"key": [x[0] for x in lines], "line": [x[1] for x in lines]}, dtype=object)
+
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "block", "packed")
+    lines = keys.mapInArrow(asked, "part long, block long, key string").groupBy("part", "block").cogroup(blocks.groupBy("part", "block")).applyInPandas(opened, "key string, line string")
+    return lines.select("key", F.from_json("line", _CAPTURE).alias("c")).select("key", "c.*")
+
+
 def digest(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Writes archives and index to the shared folder; the contract's columns as the index gives them."""
+    """Writes archives and index to the shared folder; the contract's columns as look-ups of the pages' urls give them."""
     spark = pages.sparkSession
     root = scratch_path(spark, "warc")
     write_warc(pages, f"{root}/archives", date)
-    write_index(captures(spark, f"{root}/archives"), f"{root}/index")
-    return read_index(spark, f"{root}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stored(captures(spark, f"{root}/archives"), "captures")  # the archives are read once
+    write_index(found, f"{root}/index")
+    forget(found)
+    return lookup_all(spark, f"{root}/index", pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
