@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import give_back, hashed_words, text_buffers
+from loomgraph.llm.common import fresh, give_back, hashed_words, text_buffers
 
 PASSAGE_WORDS = 48
 #: Labelled documents that a model is learned from, at most; which ones follows from a hash of doc_id.
 SAMPLE = 12_000
+#: Passages of one document that are learned from, at most; they lie evenly over its text. Scores are of all passages.
+BAG = 400
 HIDDEN, GATES = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 128, 3e-3, 1e-4
 
@@ -33,7 +36,8 @@ for _k, _bytes in enumerate(_CLASSES):
     _CLASS[list(_bytes)] = _k
 _CLASS[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = len(_CLASSES) + 1
 _KINDS = len(_CLASSES) + 2
-FEATURES = _KINDS + 8
+HASHED = 48  # numbers into which a passage's words are hashed
+FEATURES = _KINDS + 8 + HASHED
 
 
 def _stop_hashes() -> np.ndarray:
@@ -45,7 +49,8 @@ def passage_features(column: pa.Array) -> Iterator[np.ndarray]:
     """Of each text in turn, a row of numbers a passage of 48 words; a text without words has one row of zeros.
 
     Shares of kinds of characters, word length, stop words, repetition, distinct
-    words, capitals, the ends of words, and the passage's length.
+    words, capitals, the ends of words, the passage's length, and its words: each is
+    added, with a sign, to one of ``HASHED`` numbers that its hash chooses.
     """
     data, offsets = text_buffers(column)
     stops = _stop_hashes()
@@ -86,7 +91,9 @@ def _features(raw: np.ndarray, words: np.ndarray, stop: np.ndarray) -> np.ndarra
     again2 = np.r_[[False] * min(2, n), words[2:] == words[:-2]] if n > 2 else np.zeros(n, bool)
     lengths = (ends - begins + 1)[:n]
     rest = [mean(lengths) / 10, mean(stop), mean(again), mean(again2), distinct / sizes, mean((kinds[begins] == 1)[:n]), mean((kinds[ends] > 2)[:n]), np.log1p(sizes) / 4]
-    return np.hstack([shares, np.stack(rest, axis=1)]).astype(np.float32)
+    sign = np.where(words >> np.uint64(63) != 0, 1.0, -1.0)
+    hashed = np.bincount(owner * HASHED + (words % np.uint64(HASHED)).astype(np.int64), sign, len(cuts) * HASHED).reshape(-1, HASHED) / np.sqrt(sizes)[:, None]
+    return np.hstack([shares, np.stack(rest, axis=1), hashed]).astype(np.float32)
 
 
 # ---------------------------------------------------------------- model
@@ -168,7 +175,9 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel | None:
     """Learns from at most about ``sample`` labelled documents outside fold 1.
 
-    Labels that repeat or disagree are averaged; null labels and ids count as none.
+    Labels that repeat or disagree are averaged; null labels and ids count as none. Of
+    rows that repeat an id the least text is learned from, and of a text ``BAG`` passages
+    at most, so that what comes to the driver is bounded.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     n = known.count()
@@ -177,26 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionMo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [x.tobytes() for x in passage_features(batch.column(1))]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
+            bags = [x[np.linspace(0, len(x) - 1, BAG).astype(int)] if len(x) > BAG else x for x in passage_features(batch.column(1))]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # the sample's size bounds what is sent
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     rows = chosen.mapInArrow(run, "doc_id long, quality double, bag binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
-    rows = rows[: 2 * sample]  # rows that repeat a doc_id can't make more of it
+    rows.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     return learn(bags, np.array([r["quality"] for r in rows]))
 
 
-def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``; without a model every score is 0.5.
+def score(docs: DataFrame, model: AttentionModel | None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with its score (0 to 1) and whether that is 0.5 or more, under ``names``; without a model every score is 0.5.
 
-    Null and empty texts are scored like a text of nothing. No shuffle.
+    Null and empty texts are scored like a text of nothing. Columns of such names are replaced. No shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    at = names.index("text")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    own = [c for c in docs.columns if c not in names]
+    at = own.index("text")
+    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +213,10 @@ def score(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
                 part = batch.slice(k, 500)
                 bags = list(passage_features(part.column(at)))
                 scores = held.value.scores(bags) if held.value and bags else np.full(len(bags), 0.5)
-                yield pa.record_batch([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.record_batch([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*own, *names])
         give_back()
 
-    return docs.select(*names).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*own).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,5 +225,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, unchanged."""
-    return score(docs, fit(docs, labels)).where("predicted = 1").select(*docs.columns)
+    """The documents that are not rejected, unchanged in every column."""
+    names = fresh("score", docs.columns), fresh("predicted", docs.columns)
+    return score(docs, fit(docs, labels), names).where(F.col(names[1]) == 1).select(*docs.columns)
