@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def line_count(text: Column) -> Column:
@@ -38,15 +41,21 @@ def node_tokens(name: Column, kind: Column, path: Column) -> Column:
     return estimated_tokens(name) + estimated_tokens(kind) + estimated_tokens(path) + 8
 
 
+ROUTE_LEAST = 8  # what a node of a trace costs at least
+
+
 def route_tokens(*parts: Column) -> Column:
     """Cost of a node of a trace: a token for four bytes of all parts together, rounded down, and 8."""
     total = sum((F.octet_length(p) for p in parts[1:]), F.octet_length(parts[0]))
-    return F.floor(total / 4).cast("long") + 8
+    return F.floor(total / 4).cast("long") + ROUTE_LEAST
 
 
 def truncate_tokens(text: Column, tokens: int) -> Column:
-    """At most ``tokens`` tokens' bytes of the text, marked where something is cut."""
-    return F.when(F.octet_length(text) > 4 * tokens, F.concat(F.substring(text, 1, 4 * tokens), F.lit("… [truncated]"))).otherwise(text)
+    """At most ``tokens`` tokens' bytes of the text, four each, up to the end of a character; marked where something is cut."""
+    raw, most = text.cast("binary"), 4 * tokens
+    ends = [F.when(~F.hex(F.substring(raw, most - k + 1, 1)).between("80", "BF"), most - k) for k in range(4)]  # no byte that goes on with a character follows
+    cut = F.substring(raw, F.lit(1), F.coalesce(*ends, F.lit(most))).cast("string")
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("… [truncated]"))).otherwise(text)
 
 
 def like_any_case(text: Column, pattern: str) -> Column:
@@ -54,9 +63,21 @@ def like_any_case(text: Column, pattern: str) -> Column:
     return text.ilike(pattern)
 
 
-def prefix_query(query: str) -> str:
+def prefix_query(query: Column) -> Column:
     """Marks the last word as a prefix."""
-    return query if query.endswith("*") else query + "*"
+    return F.when(F.endswith(query, F.lit("*")), query).otherwise(F.concat(query, F.lit("*")))
+
+
+@F.pandas_udf(T.BinaryType())
+def vector_bytes(vectors: pd.Series) -> pd.Series:
+    """A vector as little-endian 32-bit floats; null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def vector_from_bytes(raw: pd.Series) -> pd.Series:
+    """The vector of ``vector_bytes``; a last incomplete float is left out."""
+    return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
 
 def relevance(bm25: Column, centrality: Column) -> Column:

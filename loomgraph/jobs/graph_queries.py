@@ -9,6 +9,7 @@ from loomgraph.functions import scalars as S
 from loomgraph.jobs.catalogue import query
 from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
+from loomgraph.sources.tables import checkpointed
 from loomgraph.sources.views import Graph
 
 _TOP = """
@@ -51,8 +52,7 @@ def impact(g: Graph) -> DataFrame:
 
 @query("SELECT id, direction, depth FROM levels", f"{_TOP},{_LEVELS}")
 def impact_cte(g: Graph) -> DataFrame:
-    seeds = G.most_connected(g.edges)
-    return G.impact_levels(g.edges, seeds, 3, "upstream").withColumn("direction", F.lit("upstream")).unionByName(G.impact_levels(g.edges, seeds, 3, "downstream").withColumn("direction", F.lit("downstream")))
+    return G.impact_levels(g.edges, G.most_connected(g.edges), 3)
 
 
 @query("SELECT depth, direction, count(*) AS symbols FROM levels GROUP BY 1, 2", f"{_TOP},{_LEVELS}")
@@ -75,9 +75,10 @@ def agg_risk(g: Graph) -> DataFrame:
     f"{_TOP},{_LEVELS}",
 )
 def cap_impact(g: Graph) -> DataFrame:
-    rows = impact(g)
-    ranked = rows.withColumns({"total": F.count("*").over(Window.partitionBy("direction")), "r": F.row_number().over(Window.partitionBy("direction").orderBy("depth", "path", "id"))})
-    return ranked.where("r <= 100").select("direction", "id", "name", "path", "depth", "total")
+    rows = checkpointed(impact(g))
+    total = rows.groupBy("direction").agg(F.count("*").alias("total"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("direction").orderBy("depth", "path", "id"))).where("r <= 100")  # each task keeps its own first 100
+    return first.join(F.broadcast(total), "direction").select("direction", "id", "name", "path", "depth", "total")
 
 
 @query(
@@ -116,7 +117,7 @@ costed AS (SELECT w.id, w.depth, w.edge_kind, s.name, f.path, CAST(floor((strlen
 def win_token_budget(g: Graph) -> DataFrame:
     rows = trace(g)
     order = [F.col(c) for c in ("depth", "name", "path", "edge_kind", "id")]
-    return G.within_budget(rows, S.route_tokens(F.col("name"), F.col("kind"), F.col("path")), order, 120).select("id", "depth", "edge_kind", "running_cost")
+    return G.within_budget(rows, S.route_tokens(F.col("name"), F.col("kind"), F.col("path")), order, 120, least=S.ROUTE_LEAST).select("id", "depth", "edge_kind", "running_cost")
 
 
 @query(
@@ -180,12 +181,21 @@ def set_intersect(g: Graph) -> DataFrame:
     return G.shared_callers(g.calls, _called(g, 1), _called(g, 2))
 
 
-@query("SELECT a.target_id AS first_id, b.target_id AS second_id, count(*) AS shared_callers FROM calls a JOIN calls b ON a.source_id = b.source_id AND a.target_id < b.target_id GROUP BY 1, 2")
+@query(
+    """SELECT c.source_id, count(DISTINCT c.target_id) AS met FROM calls c JOIN symbols t ON t.id = c.target_id
+    WHERE t.name IN (SELECT name FROM symbols s JOIN two ON two.id = s.id) GROUP BY 1 HAVING count(DISTINCT CASE WHEN t.name = (SELECT name FROM symbols s JOIN two ON two.id = s.id AND r = 1) THEN 1 END) = 1
+      AND count(DISTINCT CASE WHEN t.name = (SELECT name FROM symbols s JOIN two ON two.id = s.id AND r = 2) THEN 1 END) = 1""",
+    _TWO,
+)
 def semi_shared_callers(g: Graph) -> DataFrame:
-    """Every pair of symbols with their number of shared callers; a caller's own list is short."""
-    a = g.calls.select("source_id", F.col("target_id").alias("first_id"))
-    b = g.calls.select("source_id", F.col("target_id").alias("second_id"))
-    return a.join(b, "source_id").where("first_id < second_id").groupBy("first_id", "second_id").agg(F.count("*").alias("shared_callers"))
+    """Callers of any symbol of one name and of any of another, with how many of those they call: two semi-joins, no pairs."""
+    def named(rank: int) -> DataFrame:
+        name = g.symbols.join(F.broadcast(_called(g, rank)), "id").select("name")
+        return g.symbols.join(F.broadcast(name), "name", "left_semi").select("id")
+
+    both = G.shared_callers(g.calls, named(1), named(2)).withColumnRenamed("id", "source_id")
+    asked = named(1).union(named(2)).distinct().withColumnRenamed("id", "target_id")
+    return g.calls.join(both, "source_id", "left_semi").join(asked, "target_id", "left_semi").groupBy("source_id").agg(F.countDistinct("target_id").alias("met"))
 
 
 @query(f"SELECT id, name FROM symbols WHERE id IN ({_SHARED})", _TWO)
@@ -443,14 +453,15 @@ def del_cascade(g: Graph) -> DataFrame:
 
 
 @query(
-    """SELECT c.id AS changed_id, s.id AS symbol_id FROM (SELECT n.id, n.path FROM now n JOIN before b ON b.path = n.path WHERE b.content_hash <> n.content_hash) c
-    JOIN symbols s ON s.file_id = c.id""",
-    _SCANS,
+    """SELECT DISTINCT t.target, c.path FROM (SELECT n.path FROM now n JOIN before b ON b.path = n.path WHERE b.content_hash <> n.content_hash) c
+    JOIN asked t ON contains(c.path, t.target) OR contains(t.target, c.path)""",
+    f"{_SCANS},\nasked AS (SELECT min(path) AS target FROM files UNION SELECT 'root/' || path FROM files WHERE id IN (5, 10, 16, 20) UNION SELECT '/' || lang || '/' FROM files WHERE id < 40)",
 )
 def stale_join(g: Graph) -> DataFrame:
-    """Symbols whose file has changed since it was indexed."""
-    changed = K.changed_files(*_scans(g)).where("state = 'changed'").select(F.col("id").alias("changed_id"))
-    return g.symbols.join(changed, F.col("file_id") == F.col("changed_id")).select("changed_id", F.col("id").alias("symbol_id"))
+    """Changed paths that hold a target that is asked about (a path, a folder of it), or that it holds."""
+    files = g.file_refs
+    asked = files.agg(F.min("path").alias("target")).union(files.where("id in (5, 10, 16, 20)").select(F.concat(F.lit("root/"), "path"))).union(files.where("id < 40").select(F.concat(F.lit("/"), "lang", F.lit("/"))))
+    return K.stale(K.changed_files(*_scans(g)).where("state = 'changed'"), asked.distinct())
 
 
 # ---------------------------------------------------------------- extraction, over sources written from the tables

@@ -27,21 +27,32 @@ def agg_catalog(g: Graph) -> DataFrame:
     return g.domain_symbols.groupBy("domain").agg(F.countDistinct("symbol_id").alias("symbol_count"), F.countDistinct("symbol_name").alias("name_count"))
 
 
-@query("SELECT DISTINCT c.code, s.symbol_id FROM constraints c JOIN domain_symbols s ON s.domain = c.domain")
+_LINKS = """
+links AS (SELECT domain, CASE WHEN symbol_id % 3 = 0 THEN NULL ELSE symbol_id END AS symbol_id, symbol_name FROM domain_symbols)"""
+
+
+def _links(g: Graph) -> DataFrame:
+    """Links of which a third were made before their symbol was known: they have its name only."""
+    return g.domain_symbols.withColumn("symbol_id", F.when(F.col("symbol_id") % 3 != 0, F.col("symbol_id")))
+
+
+@query("SELECT DISTINCT s.id, c.code FROM symbols s JOIN links l ON l.symbol_id = s.id OR l.symbol_name = s.name JOIN constraints c ON c.domain = l.domain", _LINKS)
 def inner_join_or(g: Graph) -> DataFrame:
-    return g.constraints.select("code", "domain").join(g.domain_symbols, "domain").select("code", "symbol_id").distinct()
+    """Rules of every symbol, by domains linked to its id or to its name."""
+    return K.rules_of(g.symbols, _links(g), g.constraints)
 
 
 @query(
-    """SELECT DISTINCT c.code, c.severity, s.symbol_id FROM constraints c LEFT JOIN domain_symbols s ON s.domain = c.domain
-    WHERE s.symbol_id IN (SELECT id FROM top) OR c.code LIKE 'NATION\\_U%' ESCAPE '\\'""",
-    "\ntop AS (SELECT source_id AS id FROM calls GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 1)",
+    """SELECT DISTINCT c.code, c.severity, c.statement FROM constraints c LEFT JOIN links l ON l.domain = c.domain
+    WHERE l.symbol_id IN (SELECT id FROM top) OR l.symbol_name IN (SELECT name FROM symbols WHERE id IN (SELECT id FROM top)) OR c.code LIKE 'NATION\\_U%' ESCAPE '\\'""",
+    f"{_LINKS},\ntop AS (SELECT source_id AS id FROM calls GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 1)",
 )
 def left_join_or(g: Graph) -> DataFrame:
-    """Rules of the domains that a symbol belongs to, and those with a code that always counts."""
-    top = F.broadcast(G.most_connected(g.edges).select("id", F.lit(True).alias("asked")))
-    linked = g.constraints.join(g.domain_symbols, "domain", "left").join(top, F.col("symbol_id") == top["id"], "left")
-    return linked.where(F.col("asked") | F.col("code").startswith("NATION_U")).select("code", "severity", "symbol_id").distinct()
+    """Rules of the domains that a symbol belongs to by id or name, and those with a code that always counts."""
+    asked = g.symbols.join(F.broadcast(G.most_connected(g.edges)), "id")
+    codes = K.rules_of(asked, _links(g), g.constraints).select("code", F.lit(True).alias("linked")).distinct()
+    rows = g.constraints.join(codes, "code", "left").where(F.col("linked") | F.col("code").startswith("NATION_U"))
+    return rows.select("code", "severity", "statement").distinct()
 
 
 _COUNTS = "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM domains) AS domains, (SELECT count(*) FROM constraints) AS constraints, (SELECT count(*) FROM decisions) AS decisions"
@@ -88,9 +99,14 @@ def topk_decisions(g: Graph) -> DataFrame:
     return K.newest(g.decisions, "domain", 10).select("domain", "id", "rank")
 
 
-@query("SELECT id, domain, lead(id) OVER w AS superseded_by, CASE WHEN lead(id) OVER w IS NULL THEN 'active' ELSE 'historical' END AS status FROM decisions WINDOW w AS (PARTITION BY domain ORDER BY created_at, id)")
+@query(
+    """SELECT d.id, d.domain, n.id AS superseded_by, CASE WHEN n.id IS NULL THEN 'active' ELSE 'historical' END AS status
+    FROM decisions d LEFT JOIN (SELECT supersedes_id, max(id) AS id FROM (SELECT id, id - id % 4 AS supersedes_id FROM decisions WHERE id % 4 > 1) GROUP BY 1) n ON n.supersedes_id = d.id"""
+)
 def win_supersede(g: Graph) -> DataFrame:
-    return K.superseded(g.decisions).select("id", "domain", "superseded_by", "status")
+    """Decisions that name an earlier one replace it, and no other of its domain."""
+    given = g.decisions.where("id % 4 > 1").select("id", (F.col("id") - F.col("id") % 4).alias("supersedes_id"))
+    return K.superseded(g.decisions, given).select("id", "domain", "superseded_by", "status")
 
 
 @query(
@@ -114,7 +130,7 @@ def agg_exists(g: Graph) -> DataFrame:
     return g.symbols.join(mentioned, "qualified_name", "left_semi").groupBy("name").agg((F.count("*") > 0).alias("mentioned"))
 
 
-@query("SELECT d.id, len(list_filter(d.functions, lambda f: f NOT LIKE 'a%')) > 0 AS validated FROM decisions d")
+@query("SELECT d.id, d.id IN (SELECT x.id FROM (SELECT id, unnest(functions) AS fn FROM decisions) x JOIN symbols s ON s.qualified_name = x.fn AND s.name NOT LIKE 'a%') AS validated FROM decisions d")
 def ins_decision(g: Graph) -> DataFrame:
     """A decision is valid if a symbol that it names is known; here those whose name begins with ``a`` are not."""
     return K.validated(g.decisions, g.symbols.where(~F.col("name").startswith("a")).select(F.col("qualified_name").alias("name"))).select("id", "validated")
@@ -139,11 +155,47 @@ def set_keywords_union(g: Graph) -> DataFrame:
     return K.merged_domains(g.domains, _given(g)).select("name", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("SELECT coalesce(o.name, n.name) AS name, o.name IS NULL AS is_new, count(s.symbol_id) AS linked FROM domains o FULL JOIN given n ON n.name = o.name LEFT JOIN domain_symbols s ON s.domain = coalesce(o.name, n.name) GROUP BY 1, 2", _NEW_DOMAINS)
+_GIVEN_LINKS = """
+given_links AS (SELECT 'Brand#' || (1 + r_regionkey) AS domain, symbol_name FROM region, (SELECT DISTINCT symbol_name FROM domain_symbols WHERE symbol_id < 30) UNION SELECT 'Market ' || c_mktsegment, lower(c_name) FROM customer WHERE c_custkey < 20)"""
+
+
+@query(
+    """SELECT DISTINCT domain, symbol_id, symbol_name FROM (SELECT domain, symbol_id, symbol_name FROM domain_symbols
+    UNION ALL SELECT g.domain, n.id, g.symbol_name FROM given_links g LEFT JOIN (SELECT name, min(id) AS id FROM symbols GROUP BY 1) n ON n.name = g.symbol_name)""",
+    _GIVEN_LINKS,
+)
+def domain_links(g: Graph) -> DataFrame:
+    """The next state of the links, with those of names: a name that no symbol has yet is linked without an id."""
+    names = g.domain_symbols.where("symbol_id < 30").select("symbol_name").distinct()
+    given = g.raw("region").select(F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 1).cast("string")).alias("domain")).crossJoin(F.broadcast(names))  # five domains
+    given = given.unionByName(g.raw("customer").where("c_custkey < 20").select(F.concat(F.lit("Market "), "c_mktsegment").alias("domain"), F.lower("c_name").alias("symbol_name")))
+    return K.inserted(g.domain_symbols, K.linked_symbols(given, g.symbols), ["domain", "symbol_id", "symbol_name"])
+
+
+@query(
+    """SELECT coalesce(o.name, n.name) AS name, o.name IS NULL AS is_new, coalesce(l.linked, 0) AS linked, coalesce(l.unknown, 0) AS unknown FROM domains o FULL JOIN given n ON n.name = o.name
+    LEFT JOIN (SELECT domain, count(*) AS linked, count(*) FILTER (symbol_id IS NULL) AS unknown FROM (SELECT DISTINCT domain, symbol_id, symbol_name FROM (SELECT * FROM domain_symbols
+      UNION ALL SELECT g.domain, n.id, g.symbol_name FROM given_links g LEFT JOIN (SELECT name, min(id) AS id FROM symbols GROUP BY 1) n ON n.name = g.symbol_name)) GROUP BY 1) l ON l.domain = coalesce(o.name, n.name)""",
+    f"{_NEW_DOMAINS},{_GIVEN_LINKS}",
+)
 def ups_domain(g: Graph) -> DataFrame:
+    """Domains after an upsert by name, with how many symbols are linked to each by then, known or not."""
     merged = K.merged_domains(g.domains, _given(g)).join(g.domains.select("name", F.lit(False).alias("is_new")), "name", "left").withColumn("is_new", F.coalesce("is_new", F.lit(True)))
-    linked = g.domain_symbols.groupBy(F.col("domain").alias("name")).agg(F.count("symbol_id").alias("linked"))
-    return merged.join(linked, "name", "left").select("name", "is_new", F.coalesce("linked", F.lit(0)).alias("linked"))
+    linked = domain_links(g).groupBy(F.col("domain").alias("name")).agg(F.count("*").alias("linked"), F.count(F.when(F.col("symbol_id").isNull(), 1)).alias("unknown"))
+    return merged.join(linked, "name", "left").select("name", "is_new", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+
+
+@query(
+    """SELECT DISTINCT k.domain, s.name AS symbol_name FROM symbols s JOIN (SELECT name AS domain, unnest(keywords) AS keyword FROM given) k
+    ON contains(lower(s.name), lower(k.keyword)) OR contains(coalesce(s.name_tokens, ''), lower(k.keyword))
+    UNION SELECT 'Colour', name FROM symbols WHERE contains(lower(name), 'al') OR contains(lower(name), 'green')""",
+    _NEW_DOMAINS,
+)
+def import_automap(g: Graph) -> DataFrame:
+    """Symbols that the keywords of given domains map to them."""
+    given = _given(g).select(F.col("name").alias("domain"), F.explode("keywords").alias("keyword"))
+    colours = g.raw("region").where("r_regionkey < 2").select(F.lit("Colour").alias("domain"), F.when(F.col("r_regionkey") == 0, "AL").otherwise("Green").alias("keyword"))
+    return K.keyword_symbols(given.unionByName(colours), g.symbols)
 
 
 @query(
@@ -180,8 +232,21 @@ def ups_scratchpad(g: Graph) -> DataFrame:
     return K.upserted(*_pads(g), "agent_role")
 
 
-@query("SELECT id AS event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM tool_calls")
+@query(
+    """SELECT agent_role, current_goal, array_to_string(list_sort(steps), '|') AS completed_steps, 0 AS errors FROM (
+      SELECT c_mktsegment AS agent_role, 'serve ' || min(c_name) AS current_goal, list(DISTINCT c_name) AS steps FROM customer GROUP BY 1 HAVING c_mktsegment = 'BUILDING')"""
+)
 def get_scratchpad(g: Graph) -> DataFrame:
+    """One role's row, whose lists are JSON; one of them is broken."""
+    pads = g.raw("customer").groupBy(F.col("c_mktsegment").alias("agent_role")).agg(
+        F.concat(F.lit("serve "), F.min("c_name")).alias("current_goal"), F.to_json(F.array_sort(F.collect_set("c_name"))).alias("completed_steps"), F.max(F.lit("[broken")).alias("current_errors"), F.max(F.lit(None).cast("string")).alias("blockers"),
+    )
+    row = K.scratchpad(pads, "BUILDING")
+    return row.select("agent_role", "current_goal", F.array_join("completed_steps", "|").alias("completed_steps"), (F.size("current_errors") + F.size("blockers")).alias("errors"))
+
+
+@query("SELECT id AS event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM tool_calls")
+def decode_props(g: Graph) -> DataFrame:
     """Decodes the JSON that a row carries."""
     return g.tool_calls.select(F.col("id").alias("event_id"), F.from_json("props", "k long")["k"].alias("k"))
 

@@ -35,7 +35,7 @@ def fn_node_tokens(g: Graph) -> DataFrame:
     return at.select("id", S.node_tokens(*parts).alias("node_tokens"), S.route_tokens(*parts).alias("route_tokens"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 400 THEN substr(text, 1, 400) || '… [truncated]' ELSE text END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 400 THEN substr(text, 1, CAST(list_max(list_filter(range(97, 401), lambda k: strlen(substr(text, 1, CAST(k AS INTEGER))) <= 400)) AS INTEGER)) || '… [truncated]' ELSE text END AS text FROM documents")
 def fn_truncate_tokens(g: Graph) -> DataFrame:
     return g.raw("documents").select("doc_id", S.truncate_tokens(F.col("text"), 100).alias("text"))
 
@@ -63,12 +63,56 @@ def fn_l2norm(g: Graph) -> DataFrame:
 
 
 @query("SELECT label, i, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2")
-def fn_mean_pool(g: Graph) -> DataFrame:
+def label_means(g: Graph) -> DataFrame:
     """Mean vector of each label, place by place."""
     at = g.raw("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return at.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
+@query(
+    """SELECT vec_id, i, round(CASE WHEN n = 0 THEN 0 ELSE x / n END, 6) AS mean FROM (
+      SELECT vec_id, i, (vec_id % 2) + (vec_id % 3 = 0)::INT + (vec_id % 5 = 0)::INT AS n,
+        embedding[1 + i]::DOUBLE * (vec_id % 2) + embedding[17 + i]::DOUBLE * (vec_id % 3 = 0)::INT + embedding[49 + i]::DOUBLE * (vec_id % 5 = 0)::INT AS x
+      FROM (SELECT vec_id, embedding, unnest(range(0, 16)) AS i FROM embeddings))"""
+)
+def fn_mean_pool(g: Graph) -> DataFrame:
+    """Each vector read as four token vectors of 16, of which a mask takes some, or none."""
+    at = g.raw("embeddings")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, F.lit(16)), lambda x: x.cast("double")))
+    mask = F.array(F.col("vec_id") % 2, (F.col("vec_id") % 3 == 0).cast("long"), F.lit(0).cast("long"), (F.col("vec_id") % 5 == 0).cast("long"))
+    pooled = at.select("vec_id", tokens.alias("tokens"), mask.alias("mask")).select("vec_id", S.mean_pooled(F.col("tokens"), F.col("mask"), 16).alias("pooled"))
+    return pooled.select("vec_id", F.posexplode("pooled").alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("mean"))
+
+
+@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def fn_vec_codec(g: Graph) -> DataFrame:
+    """Vectors as bytes and back."""
+    raw = g.raw("embeddings").select("vec_id", S.vector_bytes("embedding").alias("raw"))
+    back = raw.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), S.vector_from_bytes("raw").alias("v"))
+    return back.select("vec_id", "n_bytes", F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("SELECT DISTINCT p_name AS query, CASE WHEN p_name LIKE '%e' THEN p_name || '*' WHEN p_name LIKE '%*' THEN p_name ELSE p_name || '*' END AS prefixed FROM part UNION SELECT p_brand || '*', p_brand || '*' FROM part")
+def fn_prefix_query(g: Graph) -> DataFrame:
+    part = g.raw("part")
+    rows = part.select(F.col("p_name").alias("query")).union(part.select(F.concat("p_brand", F.lit("*")))).distinct()
+    return rows.select("query", S.prefix_query(F.col("query")).alias("prefixed"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN first > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(ws[first:first + 11], lambda w, i: CASE WHEN i + first - 1 = spot THEN '«' || w || '»' ELSE w END), ' ')
+      || CASE WHEN len(ws) >= first + 12 THEN ' …' ELSE '' END AS shown
+    FROM (SELECT doc_id, ws, spot, greatest(1, spot - 4) AS first FROM (SELECT doc_id, ws, list_position(list_transform(ws, lambda w: starts_with(lower(w), 'licen')), true) AS spot FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE contains(lower(text), 'licen'))) WHERE spot > 0)"""
+)
+def fn_snippet(g: Graph) -> DataFrame:
+    """Twelve words around the first that begins as asked, which is marked."""
+    from loomgraph.operators import retrieval as R
+
+    rows = g.raw("documents").where(F.contains(F.lower("text"), F.lit("licen"))).select("doc_id", R.snippet(F.col("text"), F.lit("licen")).alias("shown"))
+    return rows.where("shown is not null")
+
+
 @query("SELECT id, concat_ws(' ', name, signature, doc) AS text FROM symbols")
 def fn_embed_input(g: Graph) -> DataFrame:
     return g.symbols.select("id", S.embed_input(F.col("name"), F.col("signature"), F.col("doc")).alias("text"))

@@ -176,6 +176,26 @@ def grep_summary(g: Graph) -> DataFrame:
     return agg_dir_distribution(g).crossJoin(F.broadcast(total))  # one row
 
 
+_LINES = """
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"""
+
+
+@query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM ln WHERE regexp_matches(line, '^[A-Z][a-z]+ [a-z]+')", _LINES)
+def grep_line_start(g: Graph) -> DataFrame:
+    """An expression that looks at a line's begin finds lines anywhere in a text."""
+    return R.grep(g.raw("documents"), "^[A-Z][a-z]+ [a-z]+", is_regex=True, case_sensitive=True)
+
+
+@query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM ln WHERE regexp_matches(line, '[^.]$')", _LINES)
+def grep_line_end(g: Graph) -> DataFrame:
+    return R.grep(g.raw("documents"), "[^.]$", is_regex=True)
+
+
+@query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM ln WHERE contains(lower(line), 'licensed under the')", _LINES)
+def grep_literal(g: Graph) -> DataFrame:
+    return R.grep(g.raw("documents"), "Licensed under the")
+
+
 @query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM hit ORDER BY doc_id, line_no LIMIT 20", _GREP)
 def cap_search(g: Graph) -> DataFrame:
     return _grep(g).select("doc_id", "line_no").orderBy("doc_id", "line_no").limit(20)

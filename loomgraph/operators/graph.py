@@ -18,22 +18,42 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "kind")
 
 
-def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
-    """(id, depth): least level of every symbol within ``depth`` further steps of the seeds' neighbours.
+def _depth(depth: int, least: int) -> int:
+    if not least <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be {least} to {MAX_DEPTH}")
+    return depth
+
+
+FRONTIER_ROWS = 100_000  # rows of a walk's level that every executor may hold
+
+
+def _step(level: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """A level joined with the steps from it; few rows go to where the steps are, more are shuffled."""
+    return steps.join(F.broadcast(level) if level.limit(FRONTIER_ROWS + 1).count() <= FRONTIER_ROWS else level, keys)
+
+
+def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, *directions: str) -> DataFrame:
+    """(direction, id, depth): least level of every symbol within ``depth`` further steps of the seeds' neighbours.
 
     Level 0 are the neighbours over edges of any kind; further levels follow calls
     only. A symbol that was met isn't walked from again: its first arrival has most
-    steps left. Each level is one join whose state lies in the shared folder.
+    steps left. The edges are read once and all directions are walked together; each
+    level is one join whose state lies in the shared folder.
     """
-    if not 0 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
-    steps = oriented(edges, direction)
-    calls = steps.where("kind = 'CALLS'").select("at", "to")
-    level = checkpointed(seeds.select(F.col("id").alias("at")).distinct().join(steps, "at").select(F.col("to").alias("id")).distinct())
+    _depth(depth, 0)
+    directions = directions or (UPSTREAM, DOWNSTREAM)
+    steps = None
+    for d in directions:
+        one = oriented(edges, d).withColumn("direction", F.lit(d))
+        steps = one if steps is None else steps.unionByName(one)
+    steps = checkpointed(steps)
+    calls = steps.where("kind = 'CALLS'").select("direction", "at", "to")
+    seeds = seeds.select(F.col("id").alias("at")).distinct()
+    level = checkpointed(_step(seeds, steps, ["at"]).select("direction", F.col("to").alias("id")).distinct())
     found = level.withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
-        level = level.select(F.col("id").alias("at")).join(calls, "at").select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti")
-        level = checkpointed(level)
+        met = _step(level.select("direction", F.col("id").alias("at")), calls, ["direction", "at"]).select("direction", F.col("to").alias("id")).distinct()
+        level = checkpointed(met.join(found, ["direction", "id"], "left_anti"))
         if level.isEmpty():
             break
         found = found.unionByName(level.withColumn("depth", F.lit(k)))
@@ -42,11 +62,7 @@ def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
 
 def impact(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """direction, id, name, kind, path, start_line, depth of all that the seeds' change reaches."""
-    both = None
-    for direction in (UPSTREAM, DOWNSTREAM):
-        at = impact_levels(edges, seeds, depth, direction).withColumn("direction", F.lit(direction))
-        both = at if both is None else both.unionByName(at)
-    return both.join(with_files(symbols, files), "id").select("direction", "id", "name", "kind", "path", "start_line", "depth")
+    return impact_levels(edges, seeds, depth).join(with_files(symbols, files), "id").select("direction", "id", "name", "kind", "path", "start_line", "depth")
 
 
 def impact_risk(levels: DataFrame) -> DataFrame:
@@ -56,22 +72,28 @@ def impact_risk(levels: DataFrame) -> DataFrame:
 
 
 def trace(symbols: DataFrame, files: DataFrame, edges: DataFrame, entry: DataFrame, depth: int = 4, direction: str = DOWNSTREAM) -> DataFrame:
-    """Levels 1 to ``depth`` of a walk over edges of every kind; a symbol comes once for each level and edge kind it is met at."""
-    steps = oriented(edges, direction)
-    level = entry.select(F.col("id")).distinct()
-    found = None
+    """Levels 1 to ``depth`` of a walk over edges of every kind; a symbol comes once for each level and edge kind it is met at. Depth 0 meets none."""
+    _depth(depth, 0)
+    steps = checkpointed(oriented(edges, direction))
+    level = entry.select("id").distinct()
+    found = steps.select(F.col("to").alias("id"), F.col("kind").alias("edge_kind"), F.lit(0).alias("depth")).limit(0)
     for k in range(1, depth + 1):
-        met = level.select(F.col("id").alias("at")).join(steps, "at").select(F.col("to").alias("id"), F.col("kind").alias("edge_kind")).distinct()
+        met = _step(level.select(F.col("id").alias("at")), steps, ["at"]).select(F.col("to").alias("id"), F.col("kind").alias("edge_kind")).distinct()
         met = checkpointed(met.withColumn("depth", F.lit(k)))
-        found = met if found is None else found.unionByName(met)
+        found = met if k == 1 else found.unionByName(met)
         level = met.select("id").distinct()
         if level.isEmpty():
             break
     return found.join(with_files(symbols, files), "id").select("id", "name", "kind", "path", "start_line", "depth", "edge_kind")
 
 
-def within_budget(rows: DataFrame, cost: Column, order: list[Column], budget: int, by: list[str] | None = None) -> DataFrame:
-    """The first rows, in ``order``, whose costs add up to no more than ``budget``; ``by`` gives each key its own."""
+def within_budget(rows: DataFrame, cost: Column, order: list[Column], budget: int, by: list[str] | None = None, least: int = 0) -> DataFrame:
+    """The first rows, in ``order``, whose costs add up to no more than ``budget``; ``by`` gives each key its own.
+
+    If no row costs less than ``least``, the budget bounds how many rows can come, and only so many are looked at.
+    """
+    if least and not by:
+        rows = rows.orderBy(*order).limit(budget // least + 1)
     window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("running_cost", F.sum(cost).over(window)).where(F.col("running_cost") <= budget)
 
@@ -108,11 +130,15 @@ def shared_callers(calls: DataFrame, first: DataFrame, second: DataFrame) -> Dat
 
 def path_exists(edges: DataFrame, first: DataFrame, second: DataFrame, hops: int = 1) -> DataFrame:
     """One row: whether up to ``hops`` edges of any kind lead from a symbol of ``first`` to one of ``second``."""
-    steps = edges.select(F.col("source_id").alias("id"), "target_id")
-    at, seen = first.select("id").distinct(), None
-    for _ in range(hops):
-        at = checkpointed(at.join(steps, "id").select(F.col("target_id").alias("id")).distinct())
-        seen = at if seen is None else seen.union(at).distinct()
+    _depth(hops, 0)
+    steps = checkpointed(edges.select(F.col("source_id").alias("id"), "target_id")) if hops > 1 else edges.select(F.col("source_id").alias("id"), "target_id")
+    at = first.select("id").distinct()
+    seen = at.limit(0)
+    for k in range(hops):
+        at = checkpointed(_step(at, steps, ["id"]).select(F.col("target_id").alias("id")).distinct().join(seen, "id", "left_anti"))  # what was met leads nowhere new
+        seen = at if not k else seen.union(at)
+        if at.isEmpty():
+            break
     return seen.join(second.select("id"), "id", "left_semi").agg((F.count("*") > 0).alias("path_exists"))
 
 
@@ -129,9 +155,9 @@ def most_connected(edges: DataFrame, kind: str | None = "CALLS") -> DataFrame:
     return own.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-def resolve_names(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Deferred calls (source_id, target_name, kind) to the first symbol of that name, each edge once."""
-    first = symbols.groupBy(F.col("name").alias("target_name")).agg(F.min("id").alias("target_id"))
+def resolve_names(unresolved: DataFrame, symbols: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Deferred calls (source_id, target_name, kind) to the first symbol of that name in ``order`` (then by id), each edge once."""
+    first = symbols.groupBy(F.col("name").alias("target_name")).agg(F.min(F.struct(*order, "id"))["id"].alias("target_id"))
     return unresolved.join(first, "target_name").select("source_id", "target_id", "kind").distinct().withColumn("confidence", F.lit("name_match"))
 
 
@@ -141,14 +167,19 @@ def resolve_local(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
     return unresolved.join(last, ["file_id", "target_name"]).where("source_id <> target_id").select("source_id", "target_id", "kind").distinct().withColumn("confidence", F.lit("exact"))
 
 
-def enclosing(places: DataFrame, symbols: DataFrame) -> DataFrame:
+def enclosing(places: DataFrame, symbols: DataFrame, block: int = 64) -> DataFrame:
     """Places (place_id, file_id, line) with the innermost symbol around them, or the file's first one.
 
-    Ties go to the smaller span, then the smaller id; a file without symbols gives none.
+    Places meet only the symbols that reach into their block of lines, so a long file
+    is many keys. Ties go to the smaller span, then the smaller id; a file without
+    symbols gives none. A null line is within no symbol.
     """
     spans = symbols.select("file_id", F.col("id").alias("symbol_id"), "start_line", "end_line")
+    blocks = F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))
+    laid = spans.where("start_line <= end_line").withColumn("block", F.explode(blocks))
     around = (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line"))
-    best = F.min(F.when(around, F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("symbol_id").alias("id"))))
-    first = F.min(F.struct(F.col("start_line").alias("line"), F.col("symbol_id").alias("id")))
-    picked = places.join(spans, "file_id").groupBy("place_id", "file_id", "line").agg(best.alias("inner"), first.alias("first"))
-    return picked.select("place_id", "file_id", "line", F.coalesce("inner.id", "first.id").alias("symbol_id"), F.col("inner").isNotNull().alias("enclosed"))
+    at = places.withColumn("block", F.floor(F.col("line") / block)).join(laid, ["file_id", "block"]).where(around)
+    inner = at.groupBy("place_id", "file_id", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("symbol_id").alias("id")))["id"].alias("inner"))
+    first = spans.groupBy("file_id").agg(F.min(F.struct(F.col("start_line").alias("line"), F.col("symbol_id").alias("id")))["id"].alias("first"))
+    picked = places.select("place_id", "file_id", "line").distinct().join(first, "file_id").join(inner, ["place_id", "file_id", "line"], "left")
+    return picked.select("place_id", "file_id", "line", F.coalesce("inner", "first").alias("symbol_id"), F.col("inner").isNotNull().alias("enclosed"))

@@ -37,10 +37,48 @@ def newest(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def superseded(decisions: DataFrame, by: str = "domain") -> DataFrame:
-    """Every decision with what followed it under the same key, and its status."""
-    after = F.lead("id").over(Window.partitionBy(by).orderBy("created_at", "id"))
-    return decisions.withColumn("superseded_by", after).withColumn("status", F.when(F.col("superseded_by").isNull(), "active").otherwise("historical"))
+def superseded(decisions: DataFrame, given: DataFrame) -> DataFrame:
+    """``decisions`` after ``given`` (id, supersedes_id) were recorded: those that one of them names are historical, by the last that does.
+
+    A decision that was historical before stays so; names of unknown decisions change nothing.
+    """
+    by = given.where("supersedes_id is not null").groupBy(F.col("supersedes_id").alias("id")).agg(F.max(F.col("id")).alias("by"))
+    had = F.col("superseded_by") if "superseded_by" in decisions.columns else F.lit(None).cast("long")
+    status = F.col("status") if "status" in decisions.columns else F.lit("active")
+    out = decisions.join(by, "id", "left")
+    return out.withColumns({"superseded_by": F.coalesce("by", had), "status": F.when(F.col("by").isNotNull(), "historical").otherwise(status)}).drop("by")
+
+
+def rules_of(asked: DataFrame, links: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(id, code) of the rules of every domain that an ``asked`` symbol (id, name) is linked to by its id or by its name.
+
+    An OR of two keys is two equi-joins; names are joined once each, however many symbols have one.
+    """
+    by_id = asked.select("id").join(links.where("symbol_id is not null").select(F.col("symbol_id").alias("id"), "domain"), "id")
+    named = links.select(F.col("symbol_name").alias("name"), "domain").distinct()
+    both = by_id.unionByName(asked.select("id", "name").join(named, "name").select("id", "domain")).distinct()
+    return both.join(constraints.select("domain", "code"), "domain").select("id", "code").distinct()
+
+
+def linked_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Links of ``given`` (domain, symbol_name), with the first symbol of that name or null: one may be linked before it is known."""
+    first = symbols.groupBy(F.col("name").alias("symbol_name")).agg(F.min("id").alias("symbol_id"))
+    return given.select("domain", "symbol_name").distinct().join(first, "symbol_name", "left").select("domain", "symbol_id", "symbol_name")
+
+
+def keyword_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(domain, symbol_name) of the symbols whose name or name's words hold a keyword of ``given`` (domain, keyword), in any case.
+
+    The keywords are those of a file that is read, and sent to every executor; symbols' distinct names are scanned once.
+    """
+    names = symbols.select(F.col("name").alias("symbol_name"), F.lower(F.concat_ws("\n", "name", "name_tokens")).alias("held")).distinct()
+    return names.join(F.broadcast(given.select("domain", F.lower("keyword").alias("keyword"))), F.contains("held", F.col("keyword"))).select("domain", "symbol_name").distinct()
+
+
+def stale(changed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(target, path): changed paths that hold an ``asked`` target or that it holds. Targets are what a user asks about, so they are sent to every executor."""
+    hit = F.contains("path", F.col("target")) | F.contains("target", F.col("path"))
+    return changed.select("path").join(F.broadcast(asked.select("target")), hit).select("target", "path").distinct()
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str | list[str], keep_null: bool = True) -> DataFrame:
@@ -92,6 +130,12 @@ def validated(decisions: DataFrame, names: DataFrame) -> DataFrame:
     return decisions.join(known, "id", "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
 
 
+def scratchpad(pads: DataFrame, role: str) -> DataFrame:
+    """The role's row, its JSON lists decoded; a list that is none is empty."""
+    rows = pads.where(F.col("agent_role") == role)
+    return rows.withColumns({c: S.json_strings(F.col(c)) for c in ("completed_steps", "current_errors", "blockers") if c in rows.columns})
+
+
 def resolve_project(projects: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, id) of the project that each key means; null if none or if several do.
 

@@ -56,6 +56,16 @@ def bm25(rows: DataFrame, queries: DataFrame, fields: Mapping[str, float] = WEIG
     return total.join(F.broadcast(needed), "query").where(((F.col("have") == F.col("needed")) & (F.col("needed") > 0)) | (F.col("extra") > 0)).select("query", key, "bm25")
 
 
+def snippet(text: Column, term: Column, width: int = 12, before: int = 4) -> Column:
+    """``width`` words of a text from ``before`` words ahead of the first that begins with ``term``, which is marked; … stands for what is left out. Null without such a word."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, lambda w: F.startswith(F.lower(w), F.lower(term))), F.lit(True))
+    first = F.greatest(F.lit(1), at - before)
+    shown = F.transform(F.slice(words, first.cast("int"), width), lambda w, i: F.when(i + first == at, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    out = F.concat(F.when(first > 1, "… ").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) >= first + width, " …").otherwise(""))
+    return F.when(at > 0, out)
+
+
 def query_terms(text: Column) -> Column:
     """Words of a query; the last one is a prefix."""
     words = words_of(text)
@@ -79,31 +89,44 @@ def cosine_to(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(query)).select("symbol_id", S.cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no from 1, line)."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
+def _wanted(pattern: str, is_regex: bool, case_sensitive: bool) -> str:
+    wanted = pattern if is_regex else re.escape(pattern)
+    return wanted if case_sensitive else f"(?i){wanted}"
 
 
-def grep(docs: DataFrame, pattern: str, is_regex: bool = False, case_sensitive: bool = False, key: str = "doc_id") -> DataFrame:
-    """Lines that match: (key, line_no, line). Literal patterns are escaped; case counts only on request.
+def _matches(docs: DataFrame, pattern: str, is_regex: bool, case_sensitive: bool, around: int) -> Column:
+    """Of a text's lines those that match, each with its number (from 1) and the lines around it; lines that don't are never rows."""
+    wanted, ls = _wanted(pattern, is_regex, case_sensitive), F.split("text", "\n")
 
-    Texts without a match are left before they are split.
-    """
-    wanted = pattern if is_regex else re.escape(pattern)
-    wanted = wanted if case_sensitive else f"(?i){wanted}"
-    return lines(docs.where(F.col("text").rlike(wanted)), key).where(F.col("line").rlike(wanted))
+    def near(i: Column) -> Column:
+        first = F.greatest(F.lit(0), i - around)
+        return F.slice(ls, first + 1, F.least(F.size(ls), i + around + 1) - first)
+
+    numbered = F.transform(ls, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    hits = F.filter(numbered, lambda x: x["line"].rlike(wanted))
+    return hits if not around else F.transform(hits, lambda x: F.struct(x["line_no"].alias("match_line"), F.greatest(F.lit(1), x["line_no"] - around).alias("first"), near(x["line_no"] - 1).alias("near")))
+
+
+def _may_match(docs: DataFrame, pattern: str, is_regex: bool, case_sensitive: bool) -> DataFrame:
+    """Texts that hold a literal pattern; what an expression says of a line says nothing about the text."""
+    return docs if is_regex else docs.where(F.col("text").rlike(_wanted(pattern, False, case_sensitive)))
+
+
+def grep(docs: DataFrame, pattern: str, is_regex: bool = False, case_sensitive: bool = False, key: str = "doc_id") -> DataFrame:
+    """Lines that match: (key, line_no, line). Literal patterns are escaped; case counts only on request."""
+    rows = _may_match(docs, pattern, is_regex, case_sensitive)
+    return rows.select(key, F.inline(_matches(docs, pattern, is_regex, case_sensitive, 0)))
 
 
-def grep_context(docs: DataFrame, pattern: str, around: int = 2, key: str = "doc_id", **options) -> DataFrame:
+def grep_context(docs: DataFrame, pattern: str, around: int = 2, key: str = "doc_id", is_regex: bool = False, case_sensitive: bool = False) -> DataFrame:
     """Matches with the ``around`` lines before and after each: (key, match_line, line_no, line)."""
     if not 0 <= around <= 10:
         raise ValueError("context is 0 to 10 lines")
-    wanted = pattern if options.get("is_regex") else re.escape(pattern)
-    wanted = wanted if options.get("case_sensitive") else f"(?i){wanted}"
-    at = docs.where(F.col("text").rlike(wanted)).select(key, F.split("text", "\n").alias("ls"))
-    hits = at.select(key, "ls", F.posexplode("ls").alias("i", "hit")).where(F.col("hit").rlike(wanted))
-    near = F.sequence(F.greatest(F.lit(0), F.col("i") - around), F.least(F.size("ls") - 1, F.col("i") + around))
-    return hits.select(key, (F.col("i") + 1).alias("match_line"), "ls", F.explode(near).alias("j")).select(key, "match_line", (F.col("j") + 1).alias("line_no"), F.element_at("ls", F.col("j") + 1).alias("line"))
+    rows = _may_match(docs, pattern, is_regex, case_sensitive)
+    if not around:
+        return grep(docs, pattern, is_regex, case_sensitive, key).select(key, F.col("line_no").alias("match_line"), "line_no", "line")
+    hits = rows.select(key, F.inline(_matches(docs, pattern, is_regex, case_sensitive, around)))
+    return hits.select(key, "match_line", "first", F.posexplode("near").alias("at", "line")).select(key, "match_line", (F.col("first") + F.col("at")).alias("line_no"), "line")
 
 
 def by_directory(matches: DataFrame, path: str = "path") -> DataFrame:
