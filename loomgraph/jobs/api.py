@@ -12,7 +12,7 @@ from loomgraph.jobs import index
 from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
 from loomgraph.operators import retrieval as R
-from loomgraph.sources import scan
+from loomgraph.sources import imports, scan
 from loomgraph.sources.views import Graph
 
 
@@ -39,14 +39,20 @@ class Workspace:
     def build_graph(self, root: str, before: index.Index | None = None) -> index.Index:
         return index.build(scan.scan_files(self.g.spark, root), before, scan.tree_hints(self.g.spark, root))
 
-    def lookup(self, text: str, kind: str | None = None, limit: int = 30) -> DataFrame:
-        """Best symbols for a text: all words, the last as a prefix, or a keyword of its domain."""
+    def text_index(self, path: str, stems: bool = False) -> R.TextIndex:
+        """The stored index of all symbols' names, signatures and comments, made anew."""
+        return R.TextIndex(self.g.spark, path, stems=stems).write(self.g.symbols)
+
+    def lookup(self, text: str, kind: str | None = None, limit: int = 30, index: R.TextIndex | None = None) -> DataFrame:
+        """Best symbols for a text: all words, the last as a prefix, or a keyword of its domain; from a stored ``index``, if there is one."""
         asked = self.g.spark.createDataFrame([(text,)], "query string")
         terms = asked.select("query", F.explode(R.query_terms(F.col("query"))).alias("t")).select("query", "t.*")
         extra = R.synonyms(self.g.domains, asked).select("query", F.explode(R.words_of(F.col("term"))).alias("term")).distinct()
         extra = extra.select("query", (F.lit(1000) + F.row_number().over(_by_term())).alias("slot"), "term", F.lit(False).alias("prefix"), F.lit(False).alias("required"))
         rows = self.g.symbols.where(F.col("kind") == kind) if kind else self.g.symbols
-        found = R.top_by(R.bm25(rows, terms.unionByName(extra)), "bm25", "id", min(limit, 100))
+        asked = terms.unionByName(extra)
+        hits = index.search(asked).join(rows.select("id"), "id", "left_semi") if index else R.bm25(rows, asked)
+        found = R.top_by(hits, "bm25", "id", min(limit, 100))
         return found.join(G.with_files(rows, self.g.file_refs), "id").select("rank", "id", "name", "kind", "path", "start_line", "bm25")
 
     def outline(self, path: str, kinds: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -63,10 +69,12 @@ class Workspace:
     def inspect(self, name: str, file: str | None = None) -> dict[str, DataFrame]:
         """A symbol with its callers, callees, decisions and rules; several of the name come all, to choose from."""
         of = self.named(name, file)
+        called = of.select(F.col("id").alias("symbol_id"), F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("function"))
+        decisions = self.g.decisions.withColumn("function", F.explode("functions")).join(called, "function").drop("function").dropDuplicates(["symbol_id", "id"])
         return {
             "symbols": G.with_files(of, self.g.file_refs), "callers": G.neighbours(self.g.symbols, self.g.file_refs, self.g.edges, of, "upstream"), "callees": G.neighbours(self.g.symbols, self.g.file_refs, self.g.edges, of, "downstream"),
-            "decisions": self.g.decisions.join(F.broadcast(of.select("qualified_name")), F.array_contains("functions", F.col("qualified_name"))).orderBy(F.desc("created_at"), F.desc("id")).limit(10),
-            "constraints": self.g.constraints.join(of.select(F.col("brand").alias("domain")).distinct(), "domain"),
+            "decisions": K.newest(decisions, "symbol_id", 10),
+            "constraints": K.rules_of(of, self.g.domain_symbols, self.g.constraints).withColumnRenamed("id", "symbol_id").join(self.g.constraints, "code"),
         }
 
     def impact(self, target: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +86,24 @@ class Workspace:
         rows = G.trace(self.g.symbols, self.g.file_refs, self.g.edges, first, depth, direction)
         if budget is None:
             return rows
-        return G.within_budget(rows, S.route_tokens(F.col("name"), F.col("kind"), F.col("path")), [F.col(c) for c in ("depth", "name", "path", "edge_kind", "id")], budget)
-
-    def grep(self, pattern: str, **options) -> DataFrame:
-        return R.grep(self.g.raw("documents"), pattern, **options)
+        return G.within_budget(rows, S.route_tokens(F.col("name"), F.col("kind"), F.col("path")), [F.col(c) for c in ("depth", "name", "path", "edge_kind", "id")], budget, least=S.ROUTE_LEAST)
+
+    def grep(self, pattern: str, path: str | None = None, includes: list[str] | None = None, context: int = 0, limit: int = 50, **options) -> tuple[DataFrame, DataFrame]:
+        """Lines that match (path, match_line, line_no, line), the first ``limit`` matches with ``context`` lines around, and how many files of each folder have one.
+
+        ``path`` is a folder or file, ``includes`` are globs of paths or of file names.
+        """
+        files = self.g.file_refs.select(F.col("id").alias("doc_id"), "path")
+        if path:
+            files = files.where((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
+        if includes:
+            globs = [scan.glob_pattern(g if "/" in g else f"**/{g}") for g in includes]
+            files = files.where(F.greatest(F.lit(False), *[F.col("path").rlike(g) for g in globs]))
+        docs = self.g.raw("documents").select("doc_id", "text").join(files, "doc_id")
+        every = R.grep(docs, pattern, key="path", **options)
+        first = every.select("path", "line_no").orderBy("path", "line_no").limit(limit).withColumnRenamed("line_no", "match_line")
+        near = R.grep_context(docs.join(F.broadcast(first.select("path").distinct()), "path", "left_semi"), pattern, context, key="path", **options)
+        return near.join(F.broadcast(first), ["path", "match_line"], "left_semi"), R.by_directory(every)
 
     def gaps(self, template: str, **names: str) -> DataFrame:
         """``orphans``, ``self_loops``, ``path`` or ``shared_callers`` (first, second)."""
@@ -98,9 +120,14 @@ class Workspace:
         rows = K.catalog(self.g.domains, self.g.domain_symbols, self.g.constraints)
         return rows if name is None else rows.where(F.col("name") == name)
 
-    def assign(self, given: DataFrame) -> DataFrame:
-        """The next state of the domains, with ``given`` (name, keywords) merged in."""
-        return K.merged_domains(self.g.domains.select("name", "keywords"), given)
+    def assign(self, given: DataFrame, links: DataFrame | None = None, rules: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The next states of the domains, with ``given`` (name, keywords) merged in, of their ``links`` (domain, symbol_name) and of the ``rules`` (code, severity, statement, domain)."""
+        out = {"domains": K.merged_domains(self.g.domains.select("name", "keywords"), given)}
+        if links is not None:
+            out["domain_symbols"] = K.inserted(self.g.domain_symbols, K.linked_symbols(links, self.g.symbols), ["domain", "symbol_id", "symbol_name"])
+        if rules is not None:
+            out["constraints"] = K.upserted(self.g.constraints.select("code", "severity", "statement", "domain"), rules.select("code", "severity", "statement", "domain"), "code")
+        return out
 
     def constraints_from(self, path: str) -> DataFrame:
         """The next state of the rules, with those of a text file merged in."""
@@ -108,17 +135,28 @@ class Workspace:
         return K.upserted(self.g.constraints.select("code", "severity", "statement"), read, "code")
 
     def record_decision(self, new: DataFrame) -> DataFrame:
-        """Decisions with ``new`` ones added and validated; older ones of the same domain are historical."""
+        """Decisions with ``new`` ones added and validated; those that a new one's ``supersedes_id`` names are historical, and no others."""
         names = self.g.symbols.select(F.col("qualified_name").alias("name")).unionByName(self.g.symbols.select("name"))
         columns = ["id", "domain", "reason", "revert_risk", "created_at", "functions"]
-        return K.superseded(K.validated(self.g.decisions.select(*columns).unionByName(new.select(*columns)), names))
-
-    def import_knowledge(self, domains: DataFrame, constraints: DataFrame, dry_run: bool = False) -> dict[str, DataFrame]:
-        """What another store has and this one lacks is added; a dry run gives the counts alone."""
-        tables = {"domains": (self.g.domains.select("name", "keywords"), domains, ["name"]), "constraints": (self.g.constraints.select("code", "severity", "statement"), constraints, ["code"])}
+        given = new.withColumn("revert_risk", F.coalesce("revert_risk", F.lit("LOW")))
+        return K.superseded(K.validated(self.g.decisions.select(*columns).unionByName(given.select(*columns)), names), new.select("id", "supersedes_id"))
+
+    def import_tree(self, root: str) -> dict[str, DataFrame]:
+        """The next states of domains, links and rules, with those of a Markdown tree."""
+        domains, rules = imports.tree_domains(self.g.spark, root), imports.tree_rules(self.g.spark, root)
+        mapped = K.keyword_symbols(domains.select(F.col("name").alias("domain"), F.explode("keywords").alias("keyword")), self.g.symbols)
+        out = self.assign(domains, mapped, rules.dropDuplicates(["code"]).withColumn("domain", F.lit(None).cast("string")))
+        return out
+
+    def import_knowledge(self, tables: dict[str, DataFrame], dry_run: bool = False) -> dict[str, DataFrame]:
+        """What another store's domains, constraints and decisions have and this one lacks is added; a dry run gives the counts alone."""
+        given = imports.from_store(tables)
+        own = {"domains": (self.g.domains.select("name", "keywords"), ["name"]), "constraints": (self.g.constraints.select("code", "severity", "statement"), ["code"])}
+        own["decisions"] = (self.g.decisions.select("domain", "functions", "reason", "revert_risk", F.lit("active").alias("status"), "created_at"), ["domain", "reason", "created_at"])
+        tables = {k: (own[k][0], rows.select(*own[k][0].columns), own[k][1]) for k, rows in given.items()}
         if dry_run:
             return {k: new.join(old, key, "left_anti").select(*key).distinct().agg(F.count("*").alias("added")) for k, (old, new, key) in tables.items()}
-        return {k: K.inserted(old, new.select(*old.columns), key) for k, (old, new, key) in tables.items()}
+        return {k: K.inserted(old, new, key) for k, (old, new, key) in tables.items()}
 
 
 def _by_term():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from loomgraph.jobs.graph_queries import NOISE
 from loomgraph.operators import graph as G
@@ -20,6 +22,7 @@ class Index:
     symbols: DataFrame  # id, path, name, kind, start_line, end_line, signature, doc
     call_sites: DataFrame  # path, line, callee, edge_kind
     edges: DataFrame  # source_id, target_id, kind, confidence
+    errors: DataFrame  # path, lang, error, line, message
 
 
 def symbol_id(*columns: str) -> Column:
@@ -36,7 +39,7 @@ def edges_of(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
     calls = at.select(F.col("symbol_id").alias("source_id"), "file_id", F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"))
     own = symbols.select(F.col("path").alias("file_id"), F.col("name").alias("target_name")).distinct()
     local = G.resolve_local(calls, ids)
-    away = G.resolve_names(calls.join(own, ["file_id", "target_name"], "left_anti"), ids)
+    away = G.resolve_names(calls.join(own, ["file_id", "target_name"], "left_anti"), ids, ("file_id", "start_line"))
     return local.unionByName(away)
 
 
@@ -46,7 +49,31 @@ def macro_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataF
     first = symbols.groupBy(F.col("path").alias("file_id")).agg(F.min(F.struct("start_line", "id")).alias("first"))
     first = first.join(files.select(F.col("path").alias("file_id"), "lang"), "file_id").select(F.col("first.id").alias("source_id"), "file_id", "lang")
     calls = first.join(named, "lang").select("source_id", "file_id", "target_name", F.lit("MACRO_EXPAND").alias("kind"))
-    return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"))
+    return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"), ("file_id", "start_line"))
+
+
+def build_stream(files: DataFrame, keep: Callable[[Index], None], before: Index | None = None, hints: DataFrame | None = None) -> DataStreamWriter:
+    """A stream of file versions (path, lang, content_hash, text) indexed batch by batch; ``keep`` gets each next index.
+
+    The versions of a batch are laid over the files known so far; of a path that comes twice the greater hash counts.
+    A null text says that the file is gone.
+    """
+    state: dict[str, Index | None] = {"index": before}
+
+    def step(batch: DataFrame, _: int) -> None:
+        rows = batch.select("path", "lang", "content_hash", "text")
+        new = rows.groupBy("path").agg(F.max(F.struct("content_hash", "lang", "text")).alias("v")).select("path", "v.lang", "v.content_hash", "v.text")
+        last = state["index"]
+        if last is not None:
+            kept = last.files.join(new.select("path"), "path", "left_anti")
+            new = new.unionByName(kept.withColumn("text", F.lit(None).cast("string")).withColumn("known", F.lit(True)), allowMissingColumns=True)
+            new = new.where("text is not null or known").drop("known")
+        else:
+            new = new.where("text is not null")
+        state["index"] = build(checkpointed(new), last, hints)
+        keep(state["index"])
+
+    return files.writeStream.foreachBatch(step)
 
 
 def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None = None) -> Index:
@@ -61,14 +88,16 @@ def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None
         todo = files
     else:
         todo = files.join(K.changed_files(before.files, state).select("path"), "path", "left_semi")
-    symbols = extract.symbols_of(todo).withColumn("id", symbol_id("path", "start_line", "name", "kind"))
-    sites = extract.calls_of(todo)
+    read = checkpointed(extract.parsed(todo))  # a source is parsed once
+    symbols = extract.symbols_in(read).withColumn("id", symbol_id("path", "start_line", "name", "kind"))
+    sites, errors = extract.calls_in(read), extract.errors_in(read)
     if before is not None:
         same = before.files.join(state, ["path", "content_hash"], "left_semi").select("path")
         symbols = symbols.unionByName(before.symbols.join(same, "path", "left_semi").select(*symbols.columns))
         sites = sites.unionByName(before.call_sites.join(same, "path", "left_semi").select(*sites.columns))
+        errors = errors.unionByName(before.errors.join(same, "path", "left_semi").select(*errors.columns))
     symbols, sites = checkpointed(symbols), checkpointed(sites)
     edges = edges_of(symbols, sites)
     if hints is not None:
         edges = edges.unionByName(macro_edges(symbols, state, hints))
-    return Index(checkpointed(state), symbols, sites, checkpointed(edges))
+    return Index(checkpointed(state), symbols, sites, checkpointed(edges), checkpointed(errors))

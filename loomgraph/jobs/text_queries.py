@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.jobs.catalogue import query
 from loomgraph.operators import retrieval as R
+from loomgraph.sources.tables import scratch
 from loomgraph.sources.views import Graph
 
 _WORDS = """
@@ -46,6 +47,13 @@ def bm25_search(g: Graph) -> DataFrame:
     return _hits(g).select("query", "id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("SELECT query, id, round(bm25, 6) AS bm25 FROM hits", f"{_WORDS},{_ASKED}")
+def bm25_stored(g: Graph) -> DataFrame:
+    """The same search in a stored index, of which only the queries' terms are read."""
+    index = R.TextIndex(g.spark, scratch(g.spark, "text-index")).write(g.symbols)
+    return index.search(_asked(g)).select("query", "id", F.round("bm25", 6).alias("bm25"))
+
+
 @query("SELECT query, h.id, s.name, f.path FROM hits h JOIN symbols s ON s.id = h.id JOIN files f ON f.id = s.file_id", f"{_WORDS},{_ASKED}")
 def join_fts(g: Graph) -> DataFrame:
     return _hits(g).join(g.symbols, "id").join(g.file_refs.select(F.col("id").alias("file_id"), "path"), "file_id").select("query", "id", "name", "path")

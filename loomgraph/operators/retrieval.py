@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.functions.stem import folded, stemmed
 
 #: Field weights, and the usual BM25 constants.
 WEIGHTS: Mapping[str, float] = {"name": 3.0, "name_tokens": 3.0, "signature": 2.0, "doc": 1.0}
@@ -40,22 +41,67 @@ def bm25(rows: DataFrame, queries: DataFrame, fields: Mapping[str, float] = WEIG
     query, met by its term, or by any term that begins with it if ``prefix``. A row must
     meet all required slots, or one that is not required.
     """
-    post = postings(rows, fields, key)
     size = lengths(rows, fields, key)
     corpus = size.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))
+    return _scored(postings(rows, fields, key).join(size, key), corpus, queries, key)
+
+
+def _scored(post: DataFrame, corpus: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """``post`` has (key, term, wtf, len): of all terms, or of those that the queries ask for."""
     asked = F.broadcast(queries)  # as many rows as a query has words
-    exact = post.join(asked.where("not prefix"), "term").select("query", "slot", "required", key, "wtf")
-    begins = post.join(asked.where("prefix").withColumnRenamed("term", "stem"), F.col("term").startswith(F.col("stem"))).select("query", "slot", "required", key, "wtf")
-    met = exact.unionByName(begins).groupBy("query", "slot", "required", key).agg(F.sum("wtf").alias("wtf"))
+    exact = post.join(asked.where("not prefix"), "term").select("query", "slot", "required", key, "wtf", "len")
+    begins = post.join(asked.where("prefix").withColumnRenamed("term", "stem"), F.col("term").startswith(F.col("stem"))).select("query", "slot", "required", key, "wtf", "len")
+    met = exact.unionByName(begins).groupBy("query", "slot", "required", key).agg(F.sum("wtf").alias("wtf"), F.first("len").alias("len"))
     df = met.groupBy("query", "slot").agg(F.count("*").alias("df"))
     needed = queries.groupBy("query").agg(F.count(F.when(F.col("required"), 1)).alias("needed"))
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     saturated = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = met.join(F.broadcast(df), ["query", "slot"]).join(size, key).crossJoin(F.broadcast(corpus)).withColumn("part", idf * saturated)
+    scored = met.join(F.broadcast(df), ["query", "slot"]).crossJoin(F.broadcast(corpus)).withColumn("part", idf * saturated)  # corpus has one row
     total = scored.groupBy("query", key).agg(F.sum("part").alias("bm25"), F.count(F.when(F.col("required"), 1)).alias("have"), F.count(F.when(~F.col("required"), 1)).alias("extra"))
     return total.join(F.broadcast(needed), "query").where(((F.col("have") == F.col("needed")) & (F.col("needed") > 0)) | (F.col("extra") > 0)).select("query", key, "bm25")
 
 
+class TextIndex:
+    """Postings as a table sorted by term: a look-up opens the files, and in them the row groups, that may hold its terms.
+
+    With ``stems`` terms are English stems without accents, as the queries' then are too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", stems: bool = False):
+        self.spark, self.path, self.key, self.stems = spark, path.rstrip("/"), key, stems
+
+    def _terms(self, rows: DataFrame, term: str = "term") -> DataFrame:
+        if not self.stems:
+            return rows
+        words = rows.select(term).distinct()
+        return rows.join(words.withColumn("_stem", stemmed(folded(F.col(term)))), term).withColumn(term, F.col("_stem")).drop("_stem")
+
+    def write(self, rows: DataFrame, fields: Mapping[str, float] = WEIGHTS) -> TextIndex:
+        """Makes the index of ``rows`` anew."""
+        post = self._terms(postings(rows, fields, self.key)).groupBy(self.key, "term").agg(F.sum("wtf").alias("wtf"))
+        size = lengths(rows, fields, self.key)
+        laid = post.join(size, self.key).repartitionByRange("term", self.key).sortWithinPartitions("term", self.key)
+        laid.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{self.path}/postings")
+        size.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        return self
+
+    def postings(self, exact: list[str], stems: list[str]) -> DataFrame:
+        """Postings of some terms, and of those that begin with some; both filters reach the files."""
+        held = self.spark.read.parquet(f"{self.path}/postings")
+        wanted = F.col("term").isin(exact) if exact else F.lit(False)
+        for s in stems:
+            wanted = wanted | F.col("term").startswith(s)
+        return held.where(wanted)
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """As ``bm25``; a query's words come to the driver, its postings don't."""
+        plain = self._terms(queries.where("not prefix")).select(*queries.columns)
+        queries = plain.unionByName(queries.where("prefix").withColumn("term", folded(F.col("term")) if self.stems else F.col("term")))
+        rows = queries.select("term", "prefix").distinct().collect()
+        post = self.postings(sorted(r["term"] for r in rows if not r["prefix"]), sorted(r["term"] for r in rows if r["prefix"]))
+        return _scored(post, self.spark.read.parquet(f"{self.path}/corpus"), queries, self.key)
+
+
 def snippet(text: Column, term: Column, width: int = 12, before: int = 4) -> Column:
     """``width`` words of a text from ``before`` words ahead of the first that begins with ``term``, which is marked; … stands for what is left out. Null without such a word."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -11,16 +11,17 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SYMBOL = "path string, name string, kind string, start_line long, end_line long, signature string, doc string"
-CALL = "path string, line long, callee string, edge_kind string"
 
 _WORD = r"([A-Za-z_$][\w$]*)"
 #: Definition patterns of each language, with the kind that they define.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "rust": [(rf"\bfn\s+{_WORD}", "function"), (rf"\bstruct\s+{_WORD}", "struct"), (rf"\benum\s+{_WORD}", "enum"), (rf"\btrait\s+{_WORD}", "trait"), (rf"\bmod\s+{_WORD}\s*\{{", "module")],
+    "rust": [(rf"\bfn\s+{_WORD}", "function"), (rf"\bstruct\s+{_WORD}", "struct"), (rf"\benum\s+{_WORD}", "enum"), (rf"\btrait\s+{_WORD}", "trait"), (rf"\bmod\s+{_WORD}\s*\{{", "module"),
+        (rf"^\s*(?:unsafe\s+)?impl\b(?:<[^{{]*?>)?\s+(?:[\w:<>,&' ]+\s+for\s+)?{_WORD}", "impl"), (rf"\btype\s+{_WORD}", "type_alias"), (rf"\bconst\s+(?!fn\b){_WORD}\s*:", "const")],
     "typescript": [(rf"\bfunction\s+{_WORD}", "function"), (rf"\bclass\s+{_WORD}", "class"), (rf"\binterface\s+{_WORD}", "interface"), (rf"\bconst\s+{_WORD}\s*=\s*(?:async\s*)?\(", "function")],
     "go": [(rf"^func\s+(?:\([^)]*\)\s*)?{_WORD}", "function"), (rf"^type\s+{_WORD}\s+struct", "struct"), (rf"^type\s+{_WORD}\s+interface", "interface")],
     "c": [(rf"^[A-Za-z_][\w\s*]*?\b{_WORD}\s*\([^;]*$", "function"), (rf"\bstruct\s+{_WORD}\s*\{{", "struct")],
@@ -34,6 +35,7 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 }
 ALIKE = {"tsx": "typescript", "cpp": "c", "csharp": "java"}
 _CALL = re.compile(rf"{_WORD}\s*\(")
+_MACRO = re.compile(rf"{_WORD}!\s*[\(\[{{]")
 
 #: Annotations that inject what they stand at.
 DI_ANNOTATIONS = frozenset("Autowired Inject Resource Provides Bean".split())
@@ -67,11 +69,8 @@ def doc_above(lines: list[str], at: int) -> str | None:
 
 
 def python_symbols(text: str) -> tuple[list[tuple], list[tuple]]:
-    """((name, kind, start, end, signature, doc), ...) and ((line, callee, edge kind), ...); a text that can't be parsed has none."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return [], []
+    """((name, kind, start, end, signature, doc), ...) and ((line, callee, edge kind), ...); raises what the parser does."""
+    tree = ast.parse(text)
     lines, symbols, calls = text.split("\n"), [], []
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
@@ -117,6 +116,8 @@ def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]
         for m in _CALL.finditer(line):
             if m[1] not in _KEYWORDS and not (defined and m[1] == defined[0]):
                 calls.append((i + 1, m[1], "DYNAMIC_IMPORT" if m[1] == "require" else "CALLS"))
+        if language == "rust":
+            calls += [(i + 1, m[1], "CALLS") for m in _MACRO.finditer(line)]
     depth = lambda i: len(lines[i]) - len(lines[i].lstrip())
     symbols = []
     for k, (i, name, kind) in enumerate(starts):
@@ -127,27 +128,52 @@ def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]
     return symbols, calls + pattern_bridges(text, language)
 
 
-def _both(text: str | None, language: str) -> tuple[list[tuple], list[tuple]]:
-    return python_symbols(text or "") if language == "python" else pattern_symbols(text or "", language)
+_PARSED = "what string, path string, name string, kind string, start_line long, end_line long, signature string, doc string"
 
 
-def symbols_of(files: DataFrame) -> DataFrame:
-    """Symbols of ``files`` (path, lang, text); each file on its own, nothing is shuffled."""
+def parsed(files: DataFrame) -> DataFrame:
+    """Of ``files`` (path, lang, text) all that one reading gives: ``symbol`` and ``call`` rows, and an ``error`` row for a text that its parser rejects.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, *s) for p, lang, t in zip(frame["path"], frame["lang"], frame["text"], strict=True) for s in _both(t, lang)[0]]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SYMBOL.split(", ")])
+    Each file on its own, nothing is shuffled. Null texts are empty, languages without patterns give nothing.
+    """
 
-    return files.select("path", "lang", "text").mapInPandas(run, SYMBOL)
+    def rows_of(path: str, lang: str | None, text: str | None) -> list[tuple]:
+        try:
+            symbols, calls = python_symbols(text or "") if lang == "python" else pattern_symbols(text or "", lang or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # deep nesting ends in one of the last two
+            line = getattr(e, "lineno", None)
+            return [("error", path, type(e).__name__, lang, line, line, str(e)[:200], None)]
+        return [("symbol", path, *s) for s in symbols] + [("call", path, callee, kind, line, line, None, None) for line, callee, kind in calls]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in _PARSED.split(", ")]
+        kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in _PARSED.split(", ")]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                rows = [r for x in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True) for r in rows_of(*x)]
+                yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-def calls_of(files: DataFrame) -> DataFrame:
-    """Call sites of ``files``: (path, line, callee, edge_kind), before names are resolved."""
+    return files.select("path", "lang", "text").mapInArrow(run, _PARSED)
+
+
+def symbols_in(rows: DataFrame) -> DataFrame:
+    return rows.where("what = 'symbol'").select(*[c.split(" ")[0] for c in SYMBOL.split(", ")])
+
+
+def calls_in(rows: DataFrame) -> DataFrame:
+    return rows.where("what = 'call'").select("path", F.col("start_line").alias("line"), F.col("name").alias("callee"), F.col("kind").alias("edge_kind"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, *c) for p, lang, t in zip(frame["path"], frame["lang"], frame["text"], strict=True) for c in _both(t, lang)[1]]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CALL.split(", ")])
 
-    return files.select("path", "lang", "text").mapInPandas(run, CALL)
+def errors_in(rows: DataFrame) -> DataFrame:
+    """(path, lang, error, line, message) of the texts that could not be parsed."""
+    return rows.where("what = 'error'").select("path", F.col("kind").alias("lang"), F.col("name").alias("error"), F.col("start_line").alias("line"), F.col("signature").alias("message"))
+
+
+def symbols_of(files: DataFrame) -> DataFrame:
+    """Symbols of ``files`` (path, lang, text)."""
+    return symbols_in(parsed(files))
+
+
+def calls_of(files: DataFrame) -> DataFrame:
+    """Call sites of ``files``: (path, line, callee, edge_kind), before names are resolved."""
+    return calls_in(parsed(files))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.sources.tables import exists, small_text
 
 #: Folders whose files are never indexed.
 DENIED: Sequence[str] = ("node_modules", "target", "dist", "build", ".git", ".venv", "venv", "__pycache__", ".cache", ".next", ".nuxt", "vendor", "tmp", "temp", ".tmp", "coverage", ".nyc_output")
@@ -26,17 +27,38 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def scan_files(spark: SparkSession, root: str, denied: Sequence[str] = DENIED) -> DataFrame:
+def ignore_patterns(spark: SparkSession, root: str, names: Sequence[str] = (".gitignore", ".ignore")) -> list[tuple[str, bool]]:
+    """Regular expressions of the lines of ignore files at ``root``, and whether each takes paths back (``!``); the last that matches counts."""
+    found = []
+    for name in names:
+        where = f"{root.rstrip('/')}/{name}"
+        for line in small_text(spark, where).splitlines() if exists(spark, where) else ():
+            line = line.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            back, line = line.startswith("!"), line.removeprefix("!")
+            rooted, body = "/" in line.rstrip("/"), line.strip("/")
+            inner = glob_pattern(body)[1:-1]
+            found.append((f"{'^' if rooted else '(^|/)'}{inner}{'/' if line.endswith('/') else '(/|$)'}", back))
+    return found
+
+
+def scan_files(spark: SparkSession, root: str, denied: Sequence[str] = DENIED, ignore_files: Sequence[str] = (".gitignore", ".ignore")) -> DataFrame:
     """path (relative), lang, size_bytes, line_count, content_hash and content of every source file below ``root``.
 
-    Hidden and denied folders and unknown extensions are left out.
+    Hidden and denied folders, what ignore files at the root name, and unknown extensions
+    are left out before any file is opened.
     """
     prefix = "^(file:)?/*" + re.escape(root.removeprefix("file:").strip("/")) + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(sorted(LANGUAGES))}}}").load(root)
     rows = raw.withColumn("path", F.regexp_replace("path", prefix, ""))
     hidden = rf"(^|/)(\.[^/]+|{'|'.join(re.escape(d) for d in denied)})(/|$)"
     langs = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     rows = rows.where(~F.col("path").rlike(hidden)).withColumn("lang", langs[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))])
+    ignored = F.lit(False)
+    for pattern, back in ignore_patterns(spark, root, ignore_files):
+        ignored = F.when(F.col("path").rlike(pattern), not back).otherwise(ignored)
+    rows = rows.where(~ignored)
     text = F.col("content").cast("string")
     return rows.where(F.col("lang").isNotNull()).select("path", "lang", F.col("length").alias("size_bytes"), S.line_count(text).alias("line_count"), F.md5("content").alias("content_hash"), text.alias("text"))
 
@@ -69,11 +91,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("code <> '' and statement <> ''").withColumn("severity", F.when(F.col("severity") == "", "INFO").otherwise(F.upper("severity")))
 
 
-def tree_hints(spark: SparkSession, root: str) -> DataFrame:
-    """lang, pattern and resolves_to of ``.fog-context/hints/{lang}.json`` below ``root``; none where there are no such files."""
-    where = f"{root.rstrip('/')}/.fog-context/hints/*.json"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+def tree_hints(spark: SparkSession, root: str, folder: str = ".context/hints") -> DataFrame:
+    """lang, pattern and resolves_to of the hint files ``{lang}.json`` in a folder of ``root``; none where there are no such files."""
+    where = f"{root.rstrip('/')}/{folder}/*.json"
+    if not exists(spark, where):
         return spark.createDataFrame([], "lang string, pattern string, resolves_to string")
     schema = "macro_expansions array<struct<pattern:string,resolves_to:string>>"
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(where)

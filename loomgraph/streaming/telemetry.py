@@ -44,8 +44,13 @@ def most_recent(calls: DataFrame, keep: int = 4) -> DataFrame:
     return last.orderBy(F.desc("last_ts"), "project").limit(keep).withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_ts"), "project")))
 
 
+def stream_most_recent(calls: DataFrame, keep: int = 4) -> DataFrame:
+    """The streaming form of ``most_recent``, in complete mode: state is one row a project."""
+    return calls.groupBy("project").agg(F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"), "project").limit(keep)
+
+
 def latest_state(calls: DataFrame) -> DataFrame:
-    """Each project's last call."""
+    """Each project's last call; of a stream too (complete or update mode)."""
     last = F.max(F.struct("ts", "id", "tool", "value"))
     return calls.groupBy("project").agg(last.alias("s")).select("project", F.col("s.id").alias("id"), F.col("s.tool").alias("tool"), F.col("s.value").alias("value"))
 
@@ -64,11 +69,28 @@ def running_cost(calls: DataFrame) -> DataFrame:
     return calls.select("id", "project", F.round(F.sum("value").over(order), 4).alias("running_cost"), F.count("*").over(order).alias("turn"))
 
 
-def event_kinds(calls: DataFrame, window: str = "1 day") -> DataFrame:
-    """Calls by day and kind."""
+def event_kinds(calls: DataFrame, window: str = "1 day", late: str | None = None) -> DataFrame:
+    """Calls by day and kind; ``late`` is the watermark of a stream, which then gives closed windows."""
+    calls = calls.withWatermark("ts", late) if late else calls
     return calls.groupBy(F.window("ts", window).alias("w"), "tool").agg(F.count("*").alias("calls")).select(F.col("w.start").alias("window_start"), "tool", "calls")
 
 
+def stream_running_cost(calls: DataFrame) -> DataFrame:
+    """The streaming form of ``running_cost``: each call with its project's cost and turns so far.
+
+    State is two numbers a project; the calls of a trigger are taken in their order of time.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cost, turn = state.get if state.exists else (0.0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
+        rows = rows.assign(running_cost=(cost + rows["value"].fillna(0).cumsum()).round(4), turn=range(turn + 1, turn + 1 + len(rows)))
+        state.update((cost + float(rows["value"].fillna(0).sum()), turn + len(rows)))
+        yield rows[["id", "project", "running_cost", "turn"]]
+
+    return calls.groupBy("project").applyInPandasWithState(step, "id long, project long, running_cost double, turn long", "cost double, turn long", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_repeats(calls: DataFrame, least: int = REPEATS) -> DataFrame:
     """The streaming form of ``repeated_calls``: a row when a run reaches ``least`` calls.
 

@@ -80,8 +80,8 @@ def test_bridges(language, text, want):
 def test_macro_hints(spark, tree):
     from loomgraph.jobs.api import Workspace
 
-    (tree / ".fog-context" / "hints").mkdir(parents=True)
-    (tree / ".fog-context" / "hints" / "rust.json").write_text('{"macro_expansions": [{"pattern": "no_such!", "resolves_to": "run_all"}]}')
+    (tree / ".context" / "hints").mkdir(parents=True)
+    (tree / ".context" / "hints" / "rust.json").write_text('{"macro_expansions": [{"pattern": "no_such!", "resolves_to": "run_all"}]}')
     found = Workspace.build_graph(type("W", (), {"g": type("G", (), {"spark": spark})})(), str(tree))
     names = {r["id"]: r["name"] for r in found.symbols.collect()}
     assert [(names[r["source_id"]], names[r["target_id"]]) for r in found.edges.where("kind = 'MACRO_EXPAND'").collect()] == [("say_it", "run_all")]
@@ -105,3 +105,80 @@ def test_globs():
     import re
 
     assert re.match(scan.glob_pattern("src/*.py"), "src/a.py") and not re.match(scan.glob_pattern("src/*.py"), "src/x/a.py") and re.match(scan.glob_pattern("src/**/*.py"), "src/x/y/a.py")
+
+
+def test_ignore_files(spark, tree):
+    (tree / ".gitignore").write_text("# made\nsub/\n*.rs\n!c.rs\n")
+    (tree / "d.rs").write_text("fn no() {}")
+    assert sorted(r["path"] for r in scan.scan_files(spark, str(tree)).collect()) == ["a.py", "c.rs"]
+
+
+def test_sources_that_cannot_be_parsed(spark, tree):
+    (tree / "deep.py").write_text("x = " + "-" * 20_000 + "1\n")
+    (tree / "broken.py").write_text("def f(:\n")
+    found = index.build(scan.scan_files(spark, str(tree)))
+    errors = {r["path"]: r for r in found.errors.collect()}
+    assert sorted(errors) == ["broken.py", "deep.py"] and errors["broken.py"]["error"] == "SyntaxError" and errors["broken.py"]["line"] == 1
+    assert len(edges(found)) == 4
+
+
+def test_rust_items():
+    from loomgraph.sources import extract
+
+    symbols, calls = extract.pattern_symbols("impl<T> Show for Box<T> {\n}\npub type Id = u64;\nconst MAX: usize = 3;\nfn go() {\n    println!(\"x\");\n}\n", "rust")
+    assert [s[:2] for s in symbols] == [("Box", "impl"), ("Id", "type_alias"), ("MAX", "const"), ("go", "function")] and (6, "println", "CALLS") in calls
+
+
+def test_stream_of_sources(spark, tmp_path):
+    schema = "path string, lang string, content_hash string, text string"
+    seen = []
+    for k, rows in enumerate([[("a.py", "python", "1", "def f():\n    g_one()\n"), ("b.py", "python", "1", "def g_one():\n    pass\n")], [("a.py", "python", "2", "def h():\n    pass\n"), ("b.py", "python", "2", None), ("c.py", "python", "1", "def k():\n    h_two()\n\ndef h_two():\n    pass\n")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        if k == 0:
+            kept = []
+        query = index.build_stream(stream, kept.append, kept[-1] if kept else None)
+        query.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted(r["name"] for r in kept[-1].symbols.collect()))
+    assert seen == [["f", "g_one"], ["h", "h_two", "k"]] and edges(kept[-1]) == [("k", "h_two", "exact")]
+
+
+def test_knowledge_of_a_tree(spark, tmp_path):
+    from loomgraph.sources import imports
+
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "_index.md").write_text("---\ncovers: [user_accounts/_index.md, 'billing/_index.md', _x/y]\n---\ncovers: [no/_index.md]\n")
+    (tmp_path / "rules" / "_index.md").write_text("* **Check-in first:** Do it\n- **Note:** no\n* **Empty:**\nplain\n- **Log all** : Always\n")
+    assert sorted((r["name"], list(r["keywords"])) for r in imports.tree_domains(spark, str(tmp_path)).collect()) == [("Billing", ["billing"]), ("User Accounts", ["user", "accounts"])]
+    assert sorted(tuple(r) for r in imports.tree_rules(spark, str(tmp_path)).collect()) == [("RULES.CHECK_IN_FIRST", "WARNING", "Do it"), ("RULES.LOG_ALL", "WARNING", ": Always")]
+    assert imports.tree_domains(spark, str(tmp_path / "none")).count() == imports.tree_rules(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registry_records_and_export(spark, tmp_path):
+    from loomgraph.sources import imports
+
+    where = str(tmp_path / "registry.json")
+    assert imports.load_registry(spark, where).count() == 0
+    given = spark.createDataFrame([("a", "/w/a", 3, "t0"), ("b", "/w/b", 0, None)], "name string, path string, symbol_count long, last_indexed string")
+    first = imports.registered(imports.load_registry(spark, where), given)
+    imports.save_registry(first, where)
+    again = imports.load_registry(spark, where)
+    assert sorted((r["name"], r["path"], r["symbol_count"]) for r in again.collect()) == [("a", "/w/a", 3), ("b", "/w/b", 0)]
+    next_one = imports.registered(again, given.where("name = 'a'").selectExpr("name", "path", "9L as symbol_count", "'t1' as last_indexed"))
+    assert sorted((r["name"], r["symbol_count"], r["last_indexed"]) for r in next_one.collect()) == [("a", 9, "t1"), ("b", 0, None)]
+    (tmp_path / "docs" / "adr").mkdir(parents=True)
+    (tmp_path / "own").mkdir()
+    root = str(tmp_path)
+    assert [p.removeprefix(root) for p in imports.record_folders(spark, root)] == ["/docs/adr"] and [p.removeprefix(root) for p in imports.record_folders(spark, root, configured=["own", "no"])] == ["/own"]
+    assert imports.record_folders(spark, root, given="no") == []
+    for form in ("json", "csv", "parquet"):
+        imports.export(spark.createDataFrame([(1, ["x", "y"])], "id long, names array<string>"), f"{root}/out-{form}", form)
+    assert spark.read.option("header", True).csv(f"{root}/out-csv").first()["names"] == '["x","y"]' and spark.read.parquet(f"{root}/out-parquet").count() == spark.read.json(f"{root}/out-json").count() == 1
+
+
+def test_stems():
+    from loomgraph.functions.stem import stem
+
+    want = dict(zip("caresses ponies ties cats feed agreed plastered motoring sing conflated hopping tanned falling hissing filing happy sky relational conditional valenci digitizer radically vileli operator feudalism decisiveness hopefulness formaliti sensitibiliti triplicate formative formalize electrical hopeful goodness revival allowance inference airliner adjustable replacement adoption communism activate effective probate rate cease controll roll is".split(),
+                    "caress poni ti cat feed agre plaster motor sing conflat hop tan fall hiss file happi sky relat condit valenc digit radic vile oper feudal decis hope formal sensit triplic form formal electr hope good reviv allow infer airlin adjust replac adopt commun activ effect probat rate ceas control roll is".split(), strict=True))
+    assert {w: stem(w) for w in want} == want

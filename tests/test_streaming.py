@@ -36,3 +36,16 @@ def test_sessions(spark, calls):
 def test_repeats(spark, calls):
     batch = sorted((r["project"], r["tool"]) for r in T.repeated_calls(calls).collect())
     assert [r[:2] for r in replay(spark, calls, T.stream_repeats, "append")] == batch and batch
+
+
+def test_running_cost_latest_and_recent(spark, calls):
+    batch = sorted((r["id"], r["project"], r["running_cost"], r["turn"]) for r in T.running_cost(calls).collect())
+    assert replay(spark, calls, T.stream_running_cost, "append") == batch
+    assert replay(spark, calls, T.latest_state, "complete") == sorted(tuple(r) for r in T.latest_state(calls).collect())
+    assert replay(spark, calls, T.stream_most_recent, "complete") == sorted(tuple(r)[:2] for r in T.most_recent(calls).collect())
+
+
+def test_closed_windows(spark, calls):
+    whole = sorted(tuple(r) for r in T.event_kinds(calls, "30 minutes").collect())
+    closed = replay(spark, calls, lambda c: T.event_kinds(c, "30 minutes", late="1 minute"), "append")
+    assert closed and set(closed) < set(whole)
