@@ -27,6 +27,8 @@ WORDS, PIECES = 1_500_000, 800_000  # what a worker remembers at most
 #: What has other signs, marks or an apostrophe next to it stays in one piece.
 _PIECES = re.compile(r"[^\W_]+(?=[ !-&(-/:-@\[-`{-~]|\Z)|[!-&(-/:-@\[-^`{-~]+(?=[^\W_]|\Z)|.+", re.S)
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: What shows whether a vocabulary's ids of a text are those of its words: cases, spaces, signs, digits, other scripts.
+PROBES = ("Hello WORLD hello", "two  spaces\n\tand\r\nlines ", " x", "it's (3.5%) e-mail: a_b #1,000!", "naïve Ärger ß 東京 Москва ½", "A.B.C. don't--stop ... 'quoted' \"text\"")
 
 
 class WordEncoder:
@@ -35,7 +37,8 @@ class WordEncoder:
     For vocabularies that lower-case, drop white space and split letters from signs
     before they merge. Words are known by their 64-bit hashes, and a batch's ids are
     put together from the remembered ones. Texts with a special token's string are
-    encoded as they are.
+    encoded as they are, and so are all texts with a vocabulary of another kind, which
+    shows on ``PROBES``.
     """
 
     def __init__(self, path: str):
@@ -47,6 +50,7 @@ class WordEncoder:
         # remembered words: sorted hashes, and where the ids of each begin in ``flat`` and how many they are
         self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.by_words = all(b"".join(self._encode_words(p.split())) == self._ids([p])[0] for p in PROBES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,7 +87,7 @@ class WordEncoder:
         data, offsets = text_buffers(column)
         for first, part, starts, ends, hashes, at in placed_words(data, offsets, lower=False):
             raw = part.tobytes()
-            if any(x in raw for x in self.special):
+            if not self.by_words or any(x in raw for x in self.special):
                 texts = [(t or "") for t in column.slice(first, len(at) - 1).to_pylist()]
                 ids = [np.frombuffer(i + np.array([end], "<u4").tobytes(), "<u4") for i in self._ids(texts)]
                 yield np.concatenate(ids), np.array([len(i) for i in ids])

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import ann_partitions, decontaminate, external_shuffle, html_extract, ngram_join, packing, quality_mil, substring_dedup, token_orc, warc_index
 from loomgraph.llm.common import scratch_path
@@ -230,6 +231,74 @@ def test_chains_and_groups_of_near_copies(spark, monkeypatch, crowd):
     assert found == plain_components(rows)
 
 
+def found_components(spark, rows, parts=3):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+
+
+def test_many_variants_just_below_the_threshold(spark):
+    """Two thousand texts from one template, most pairs of which lie just below 0.8."""
+    base, rng, rows = words(41, 110), np.random.default_rng(6), []
+    for k in range(2000):
+        w = list(base)
+        for p in rng.choice(110, rng.integers(1, 5), replace=False):
+            w[p] = f"v{rng.integers(0, 40)}x{p}"
+        rows.append((5000 - k, " ".join(w)))
+    sets = [{hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    number = {x: i for i, x in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number[y] for y in x]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    links = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    label = np.array([d for d, _ in rows])
+    while True:
+        new = np.array([label[near].min() for near in links])
+        if (new == label).all():
+            break
+        label = new
+    assert found_components(spark, rows) == Counter((d, int(k), int(c)) for (d, _), k, c in zip(rows, n, label, strict=True))
+
+
+def test_short_texts_and_very_different_lengths(spark):
+    pool, rng, rows = words(42, 12), np.random.default_rng(7), []
+    for k in range(150):
+        n = int(rng.integers(1, 14))
+        rows.append((k, " ".join(pool[(i * int(rng.integers(1, 3))) % 12] for i in range(n))))
+    long = words(43, 4000)
+    rows += [(200, " ".join(long)), (201, " ".join(long[:3300])), (202, " ".join(long[:3100])), (203, " ".join(long * 2)), (None, " ".join(long)), (205, None)]
+    assert found_components(spark, rows) == plain_components(rows)
+
+
+def test_each_order_rejects_pairs():
+    """Sets that share the rare tokens but too little else do not pass the maps of the other orders, similar ones always do."""
+    rng = np.random.default_rng(8)
+    kept = dropped = 0
+    for _ in range(300):
+        n = int(rng.integers(5, 120))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        share = int(rng.integers(0, len(a) + 1))
+        b = np.unique(np.r_[a[:share], rng.integers(0, 1 << 62, len(a) - share).astype(np.uint64)])
+        m, k, both = len(a), len(b), len(np.intersect1d(a, b))
+        maps = [[x & (2**64 - 1) for x in ngram_join._maps(z, 80)] for z in (a, b)]
+        need = -(-80 * (m + k) // 180)
+        p, q = ngram_join._prefix_size(m, 80), ngram_join._prefix_size(k, 80)
+        fits = all(min(p - sum((maps[0][h] & ~maps[1][h]).bit_count() for h in o), q - sum((maps[1][h] & ~maps[0][h]).bit_count() for h in o)) >= min(p + need - m, q + need - k) for o in ((0, 1), (2, 3)))
+        if 100 * both >= 80 * (m + k - both):
+            assert fits
+            kept += 1
+        else:
+            dropped += not fits
+    assert kept > 20 and dropped > 50
+
+
+def test_keep_one_by_id_and_text(spark):
+    a, b = " ".join(words(44, 60)), " ".join(words(45, 60))
+    rows = [(3, a, "x"), (3, b, "y"), (1, a, "z"), (None, a, "n"), (None, "alone", "m"), (7, None, None), (8, "", "e"), (8, "", "e")]
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _gone_id string")).collect())
+    assert kept == Counter([(3, b), (1, a), (None, "alone"), (7, None), (8, ""), (8, "")])
+
+
 def test_keep_one(docs):
     kept = Counter(r["doc_id"] for r in ngram_join.keep_one(docs).collect())
     assert 1 not in kept and 2 not in kept and kept[0] == kept[3] == 1 and 8 not in kept
@@ -254,6 +323,50 @@ def test_packing_loses_nothing(docs, texts, none):
     assert packing.pack(none).count() == 0
 
 
+def layouts(spark, rows, schema):
+    """The same rows in three orders and numbers of partitions."""
+    rng = np.random.default_rng(3)
+    for parts in (1, 3, 7):
+        yield spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], schema).repartition(parts)
+
+
+def test_bins_do_not_follow_the_layout(spark):
+    rows = [(i % 50, " ".join(words(i % 50, 5 + 7 * (i % 50)))) for i in range(120)] + [(None, None)] * 3 + [(60, "x " * 900)]
+    plans = [Counter(map(tuple, packing.pack(d, (8, 32, 128), 40).collect())) for d in layouts(spark, rows, "doc_id long, text string")]
+    assert plans[0] == plans[1] == plans[2] and len({r[3] >> 32 for r in plans[0]}) > 3
+
+
+def test_sequences_hold_every_word(docs, texts, none):
+    rows = packing.sequences(docs, (8, 32, 128), 50).collect()
+    assert Counter(w for r in rows for w in r["words"].split(" ") if w) == Counter(w for _, t in texts for w in split(t))
+    assert all(len([w for w in r["words"].split(" ") if w]) in (r["size"], r["size"] - 1) for r in rows)
+    assert packing.sequences(none).count() == 0
+
+
+def plain_best_fit(sizes, lengths, opening):
+    """Best fit by trying every open bin."""
+    rooms, placed = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r[0] >= size]
+        if fits:
+            i = min(fits, key=lambda i: rooms[i][0])
+        else:
+            rooms.append([opening[size], 0])
+            i = len(rooms) - 1
+        rooms[i][0] -= size
+        rooms[i][1] += size
+        placed.append(size)
+    return sorted(min(x for x in lengths if x >= f) for _, f in rooms)
+
+
+def test_best_fit_against_trying_every_bin():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 400):
+        sizes = rng.integers(1, 129, n)
+        bins, _, lengths = packing.best_fit(sizes, (16, 64, 128))
+        assert sorted(lengths) == plain_best_fit(sizes.tolist(), (16, 64, 128), packing.opening_sizes(sizes, (16, 64, 128)))
+
+
 def test_best_fit_fills_and_downsizes():
     sizes = np.array([60, 40, 30, 20, 10, 4])
     bins, offsets, lengths = packing.best_fit(sizes, (16, 64, 128))
@@ -288,6 +401,18 @@ def test_token_orc_round_trip(spark, docs, texts, none):
     assert token_orc.token_offsets(token_orc.read_token_orc(spark, empty)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_vocabulary(docs, texts, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(vocabulary)
+    assert token_orc.WordEncoder(vocabulary).by_words == (name == "word_bpe_49k.json")
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in token_orc.encoded(docs, vocabulary, 7).collect())
+    assert got == Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 7])) for d, t in texts)
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -315,6 +440,22 @@ def test_warc_round_trip_and_lookup(spark):
     assert warc_index.digest(pages.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes_and_every_url_is_found(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "ARCHIVE_BYTES", 64 << 10)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i % 40}", f"<p>{i}" + "x" * (100 if i % 9 else 200_000)) for i in range(90)] + [(200, None, "")], "page_id long, url string, html string").repartition(2)
+    root = scratch_path(spark, "warc")
+    warc_index.write_warc(pages, f"{root}/a")
+    found = warc_index.captures(spark, f"{root}/a")
+    sizes = [r["n"] for r in found.groupBy("archive").agg(F.sum("length").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 201_000
+    warc_index.write_index(found, f"{root}/i", block_lines=4)
+    asked = spark.createDataFrame([("http://h0.example/0",), ("h1.example/1",), (None,), ("http://none.example/",)], "url string")
+    hits = sorted(r["page_id"] for r in warc_index.lookup_all(spark, f"{root}/i", asked).collect())
+    assert hits == sorted([i for i in range(90) if (i % 7, i % 40) in ((0, 0), (1, 1))] + [200])
+    monkeypatch.setattr(warc_index, "DIRECTORY_ROWS", 1)
+    assert sorted(r["page_id"] for r in warc_index.lookup_all(spark, f"{root}/i", asked).collect()) == hits
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -343,6 +484,41 @@ def test_substring_dedup(docs, texts, none, monkeypatch, sizes):
     assert substring_dedup.digest(none).count() == 0
 
 
+def test_columns_of_any_name(spark, texts):
+    rows = [(i, t, "k", "s", 7, "w") for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, spans string, n_words long, kept string")
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == len(rows) and {(r["key"], r["spans"], r["n_words"], r["kept"]) for r in got} == {("k", "s", 7, "w")}
+    assert Counter(len(split(r["text"])) for r in got) == Counter(n - gone for (_, n, gone, _), k in plain_removal(texts).items() for _ in range(k))
+    scored = quality_mil.score(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, Score string"), None, ("score_", "predicted"))
+    assert scored.columns == ["doc_id", "text", "Score", "score_", "predicted"]
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(10)
+    text = rng.integers(0, 3, 400).astype(np.uint64) * np.uint64(7 << 40)
+    text[200:280] = text[20:100]
+    at = np.arange(0, 350)
+    order, shared = substring_dedup.suffix_array(text, at)
+    rows = [tuple(text[a : a + 50]) for a in at]
+    assert [rows[i] for i in order] == sorted(rows)
+    for k in range(1, len(at)):
+        x, y = rows[order[k - 1]], rows[order[k]]
+        assert shared[k] == next((i for i in range(50) if x[i] != y[i]), 50)
+    assert (shared == 50).sum() >= 31
+
+
+def test_passages_in_very_many_copies(spark, monkeypatch):
+    for name, value in (("GROUP_SUFFIXES", 40), ("TASK_SUFFIXES", 60), ("ROW_SUFFIXES", 16)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    passage = words(51, 55)
+    rows = [(i, " ".join(words(1000 + i, i % 9) + passage + words(2000 + i, i % 5))) for i in range(120)]
+    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert found == plain_removal(rows)
+
+
 def test_without_repeats_leaves_clean_texts_alone(docs, texts):
     out = {r["doc_id"]: r for r in substring_dedup.without_repeats(docs).collect()}
     assert out[0]["text"] == texts[0][1] and out[8]["text"] == "One  two\nthree" and out[1]["text"] == "" and out[1]["n_chars"] == 0 and out[4]["text"] is None
@@ -455,6 +631,26 @@ def test_nearest_neighbours(spark):
     assert ann_partitions.search(table.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)]
+    rows += [(20, [float(v) for v in x[399]]), (40, [float(v) for v in x[40]]), (500, [1.0] * 3), (520, [1.0] * 12), (7, [float(v) for v in 2 * x[7]])]
+    table = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(list)
+    for r in ann_partitions.search(table, mass=1.0).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    own = defaultdict(list)
+    for i, v in rows:
+        if len(v) == 8:
+            own[i].append(np.array(v))
+    assert sorted(found) == list(range(0, 400, 20))
+    for q, got in found.items():
+        best = sorted(((-max(float((a * b).sum()) for a in own[q] for b in own[c]), c) for c in own if c != q))[:20]
+        assert [g[1] for g in sorted(got)] == [c for _, c in best] and [g[0] for g in sorted(got)] == list(range(1, 21))
+        assert np.allclose([g[2] for g in sorted(got)], [-s for s, _ in best], rtol=1e-12)
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -475,3 +671,80 @@ def test_a_shard_is_not_in_order_of_id(spark):
     rows = external_shuffle.digest(spark.range(2000).selectExpr("id as doc_id", "'t' as text"), 2).collect()
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])) if r["shard"] == 0]
     assert order != sorted(order) and abs(len(order) - 1000) < 150
+
+
+def plain_shard(key, shards, seed=17):
+    """The shard by hand: Spark's xxhash64 of key, seed and shard, of which the highest wins."""
+    import struct
+
+    import xxhash
+
+    def chained(*parts):
+        h = 42
+        for form, value in parts:
+            h = h if value is None else xxhash.xxh64_intdigest(struct.pack(form, value), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return max((chained(("<q", key), ("<i", seed), ("<i", s)), s) for s in range(shards))[1]
+
+
+def test_shards_by_the_law_and_any_layout(spark, monkeypatch):
+    rows = [(i % 70, f"text {i % 70}", i % 70) for i in range(200)] + [(None, None, 1)] * 2 + [(5, "hot", 0)] * 150
+    schema = "doc_id long, text string, place long"
+    slots = []
+    for d in layouts(spark, rows, schema):
+        out = external_shuffle.external_shuffle(d, 8, bucket_bytes=200).collect()
+        assert Counter((r["doc_id"], r["text"], r["place"]) for r in out) == Counter(rows)
+        for r in out:
+            assert r["shard"] == plain_shard(r["doc_id"], 8) and r["grown_shard"] in (r["shard"], 8) and r["grown_shard"] == plain_shard(r["doc_id"], 9)
+        for shard in range(8):
+            assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+        slots.append(Counter(map(tuple, out)))
+    assert slots[0] == slots[1] == slots[2]
+
+
+def test_written_shards_are_in_slot_order(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string").repartition(4)
+    path = scratch_path(spark, "shards")
+    external_shuffle.write_shards(docs, path, shards=3)
+    back = spark.read.parquet(path)
+    assert back.count() == 100
+    for shard in range(3):
+        rows = [r["slot"] for r in spark.read.parquet(f"{path}/shard={shard}").coalesce(1).collect()]
+        assert rows == list(range(len(rows)))
+
+
+def test_pages_against_a_plain_reading(spark):
+    """The given pages hold one article each: its blocks, read by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.blocks.append("") if tag in ("p", "h1", "li", "article") else None
+            self.handle_data(" ") if tag == "br" else None
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.blocks.append("") if tag in ("p", "h1", "li", "article") else None
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"] or "")
+        assert got[r["page_id"]] == " ".join(x for b in plain.blocks if (x := " ".join(b.split())))
+
+
+def test_quality_on_the_held_out_third(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_mil.digest(docs, labels).join(labels.where("quality is not null"), "doc_id").where("held_out").collect()
+    assert len(rows) > 100 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
