@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.sources.tables import checkpointed
 
 
 def catalog(domains: DataFrame, links: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -142,13 +143,21 @@ def resolve_project(projects: DataFrame, keys: DataFrame) -> DataFrame:
     Tiers: id, path, name, end of path, unique part of name, unique part of the last
     path segment. The first tier that any project meets decides.
     """
-    low = F.lower("key")
-    tier = (
-        F.when(F.col("id") == F.col("key"), 1).when(F.col("path") == F.col("key"), 2).when(F.lower("name") == low, 3).when(F.col("path").endswith(F.concat(F.lit("/"), F.col("key"))), 4)
-        .when(F.contains(F.lower("name"), low), 5).when(F.contains(F.lower(F.element_at(F.split("path", "/"), -1)), low), 6)
+    keys = keys.select("key").distinct()
+    rows = projects.select("id", "path", "name")
+    ends = rows.select("id", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), k -> array_join(slice(split(path, '/'), k + 1, 1000000), '/'))")).alias("end"))
+    met = (
+        rows.join(keys, F.col("id") == F.col("key")).select("key", "id", F.lit(1).alias("tier"))
+        .unionByName(rows.join(keys, F.col("path") == F.col("key")).select("key", "id", F.lit(2).alias("tier")))
+        .unionByName(rows.join(keys, F.lower("name") == F.lower("key")).select("key", "id", F.lit(3).alias("tier")))
+        .unionByName(ends.join(keys, F.col("end") == F.col("key")).select("key", "id", F.lit(4).alias("tier")))
     )
-    at = projects.join(F.broadcast(keys), tier.isNotNull()).withColumn("tier", tier)
-    best = at.groupBy("key").agg(F.min("tier").alias("tier"))
-    met = at.join(F.broadcast(best), ["key", "tier"]).groupBy("key", "tier").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    chosen = met.select("key", F.when((F.col("n") == 1) | (F.col("tier") < 5), F.col("id")).alias("id"))
+    met = checkpointed(met.distinct())
+    # only what no equality finds is looked for within names: a few of the keys that a user asks for
+    left = keys.join(met, "key", "left_anti")
+    low, last = F.lower("key"), F.lower(F.element_at(F.split("path", "/"), -1))
+    tier = F.when(F.contains(F.lower("name"), low), 5).when(F.contains(last, low), 6)
+    at = met.unionByName(rows.join(F.broadcast(left), tier.isNotNull()).select("key", "id", tier.alias("tier")))
+    best = at.groupBy("key", "tier").agg(F.count("*").alias("n"), F.min("id").alias("id")).groupBy("key").agg(F.min(F.struct("tier", "n", "id")).alias("b"))
+    chosen = best.select("key", F.when((F.col("b.n") == 1) | (F.col("b.tier") < 5), F.col("b.id")).alias("id"))
     return keys.join(chosen, "key", "left").select("key", "id")
