@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import stored
 
 TOP, EVERY = 20, 20
-SAMPLE, PART_SAMPLE = 8_000, 32  # vectors that partition and router are learned from, at most: so many, or so many for each part
+SAMPLE, PART_SAMPLE = 12_000, 32  # vectors that partition and router are learned from, at most: so many, or so many for each part
 NEIGHBOURS = 16
-PART_ROWS = 5_000  # rows a part should have
+PART_ROWS = 1_000  # rows a part should have
 PARTS = (4, 1_024)
-MASS = 0.95  # probability that the parts searched for a query make up
+MASS = 0.93  # probability that the parts searched for a query make up
 BLOCK_ROWS = 20_000  # rows of one part that one task ranks
 ASKED_BLOCKS = 8  # its queries are those of so many blocks at most, a twentieth of their rows
 
