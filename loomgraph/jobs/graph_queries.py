@@ -47,12 +47,12 @@ _WITH_SYMBOL = "JOIN symbols s ON s.id = l.id JOIN files f ON f.id = s.file_id"
 
 @query(f"SELECT l.direction, l.id, s.name, s.kind, f.path, s.start_line, l.depth FROM levels l {_WITH_SYMBOL}", f"{_TOP},{_LEVELS}")
 def impact(g: Graph) -> DataFrame:
-    return G.impact(g.symbols, g.file_refs, g.edges, G.most_connected(g.edges), 3)
+    return G.impact(g.symbols, g.file_refs, g.stored_edges, G.most_connected(g.stored_edges), 3)
 
 
 @query("SELECT id, direction, depth FROM levels", f"{_TOP},{_LEVELS}")
 def impact_cte(g: Graph) -> DataFrame:
-    return G.impact_levels(g.edges, G.most_connected(g.edges), 3)
+    return G.impact_levels(g.stored_edges, G.most_connected(g.stored_edges), 3)
 
 
 @query("SELECT depth, direction, count(*) AS symbols FROM levels GROUP BY 1, 2", f"{_TOP},{_LEVELS}")
@@ -96,7 +96,7 @@ walk(id, depth, edge_kind) AS (
 
 @query("SELECT w.id, s.name, s.kind, f.path, s.start_line, CAST(w.depth AS INTEGER) AS depth, w.edge_kind FROM walk w JOIN symbols s ON s.id = w.id JOIN files f ON f.id = s.file_id", f"{_TOP},{_TRACE}")
 def trace(g: Graph) -> DataFrame:
-    return G.trace(g.symbols, g.file_refs, g.edges, G.most_connected(g.edges), 4)
+    return G.trace(g.symbols, g.file_refs, g.stored_edges, G.most_connected(g.stored_edges), 4)
 
 
 @query("SELECT id, CAST(depth AS INTEGER) AS depth FROM (SELECT DISTINCT id, depth FROM walk)", f"{_TOP},{_TRACE}")
@@ -217,7 +217,7 @@ def self_path_1hop(g: Graph) -> DataFrame:
 
 @query("SELECT count(*) > 0 AS path_exists FROM walk WHERE id IN (SELECT id FROM two WHERE r = 1)", f"{_TOP},{_TWO},{_TRACE}")
 def path_khop(g: Graph) -> DataFrame:
-    return G.path_exists(g.edges, G.most_connected(g.edges), _called(g, 1), hops=4)
+    return G.path_exists(g.stored_edges, G.most_connected(g.stored_edges), _called(g, 1), hops=4)
 
 
 @query(

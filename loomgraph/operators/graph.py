@@ -42,11 +42,9 @@ def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, *directions: s
     """
     _depth(depth, 0)
     directions = directions or (UPSTREAM, DOWNSTREAM)
-    steps = None
-    for d in directions:
-        one = oriented(edges, d).withColumn("direction", F.lit(d))
-        steps = one if steps is None else steps.unionByName(one)
-    steps = checkpointed(steps)
+    ends = {UPSTREAM: ("target_id", "source_id"), DOWNSTREAM: ("source_id", "target_id")}
+    ways = F.array(*[F.struct(F.lit(d).alias("direction"), *[F.col(c).alias(n) for c, n in zip(ends[d], ("at", "to"), strict=True)]) for d in directions])
+    steps = checkpointed(edges.select("kind", F.inline(ways)))
     calls = steps.where("kind = 'CALLS'").select("direction", "at", "to")
     seeds = seeds.select(F.col("id").alias("at")).distinct()
     level = checkpointed(_step(seeds, steps, ["at"]).select("direction", F.col("to").alias("id")).distinct())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.sources.tables import checkpointed
 
 
 class Graph:
@@ -53,6 +54,11 @@ class Graph:
         b = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("target_id"))
         return a.join(b, ["k", "n"]).select("source_id", "target_id", "kind").distinct()
 
+    @cached_property
+    def stored_edges(self) -> DataFrame:
+        """The edges as a table of the shared folder, for walks that read them again and again."""
+        return checkpointed(self.edges)
+
     @cached_property
     def calls(self) -> DataFrame:
         return self.edges.where("kind = 'CALLS'")
