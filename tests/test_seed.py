@@ -110,8 +110,31 @@ def test_empty_tables_score_nothing(spark):
 
 def test_supersession(spark):
     t = datetime.datetime(2024, 1, 1)
-    rows = K.superseded(spark.createDataFrame([(1, "d", t), (2, "d", t), (3, "e", t)], "id long, domain string, created_at timestamp"))
-    assert ids(rows, "id", "status") == [(1, "historical"), (2, "active"), (3, "active")]
+    old = spark.createDataFrame([(1, "d", t), (2, "d", t), (3, "e", t), (None, "e", t)], "id long, domain string, created_at timestamp")
+    given = spark.createDataFrame([(4, 1), (5, 1), (6, None), (7, 99)], "id long, supersedes_id long")
+    rows = K.superseded(old, given)
+    assert ids(rows.where("id is not null"), "id", "superseded_by", "status") == [(1, 5, "historical"), (2, None, "active"), (3, None, "active")] and rows.count() == 4
+    again = K.superseded(rows, spark.createDataFrame([(8, 2)], "id long, supersedes_id long"))
+    assert ids(again.where("id < 3"), "id", "superseded_by", "status") == [(1, 5, "historical"), (2, 8, "historical")]
+
+
+def test_truncation_ends_with_a_character(spark):
+    rows = spark.createDataFrame([("é" * 300,), ("a" + "€" * 200,), ("x" * 400,), ("😀" * 101,), (None,)], "text string").select(S.truncate_tokens(F.col("text"), 100).alias("t"))
+    got = [r["t"] for r in rows.collect()]
+    assert got == ["é" * 200 + "… [truncated]", "a" + "€" * 133 + "… [truncated]", "x" * 400, "😀" * 100 + "… [truncated]", None]
+
+
+def test_line_expressions_see_lines(spark):
+    docs = spark.createDataFrame([(1, "x\ndef f():\n  y = 1:\nend"), (2, "abc"), (3, None), (4, "")], "doc_id long, text string")
+
+    def found(pattern, **options):
+        return ids(R.grep(docs, pattern, **options), "doc_id", "line_no")
+
+    assert found("^def", is_regex=True) == [(1, 2)] and found(":$", is_regex=True) == [(1, 2), (1, 3)]
+    assert found("^(?!x|def).", is_regex=True) == [(1, 3), (1, 4), (2, 1)] and found("DEF f()") == [(1, 2)] and found("DEF f()", case_sensitive=True) == []
+    near = R.grep_context(docs, "^def", 1, is_regex=True)
+    assert ids(near, "match_line", "line_no", "line") == [(2, 1, "x"), (2, 2, "def f():"), (2, 3, "  y = 1:")]
+    assert R.grep_context(docs, "abc", 0).first()["line_no"] == 1
 
 
 def test_links_may_come_before_symbols(spark):
