@@ -144,12 +144,13 @@ def learn(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Attentio
     if not bags:
         return None
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float64)
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+    every = np.concatenate(bags)
+    mean, scale = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
+    del every
     shapes = [(FEATURES, HIDDEN), (HIDDEN,), (HIDDEN, GATES), (HIDDEN, GATES), (GATES,), (HIDDEN,), (1,)]
     model = AttentionModel(mean, scale, [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or s[0] > 1 else np.zeros(s) for s in shapes])
     model.weights[1] = np.zeros(HIDDEN)
-    bags = [(b - mean) / scale for b in bags]
+    bags = [((b - mean) / scale).astype(np.float32) for b in bags]
     m, v, step = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
     for epoch in range(EPOCHS):
         rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
@@ -158,7 +159,7 @@ def learn(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Attentio
             pick = order[k : k + BATCH]
             starts = np.r_[0, np.cumsum([len(bags[i]) for i in pick])[:-1]]
             step += 1
-            for j, g in enumerate(model.gradients(np.concatenate([bags[i] for i in pick]), starts, labels[pick])):
+            for j, g in enumerate(model.gradients(np.concatenate([bags[i] for i in pick]).astype(np.float64), starts, labels[pick])):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.999 * v[j] + 0.001 * g**2
                 model.weights[j] = model.weights[j] - rate * (m[j] / (1 - 0.9**step) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8) + DECAY * model.weights[j])
