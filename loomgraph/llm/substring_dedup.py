@@ -32,7 +32,7 @@ WINDOW = 50
 ANCHOR = 16
 SPAN = WINDOW - ANCHOR + 1  # anchors in a window
 PREFIXES = (0, 1, 2, 4, 8, 16, 32, WINDOW)  # words of its own by which a suffix may be dealt, after the anchor
-GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 100_000, 200_000, 1 << 14  # in a group, in a task at a time, in a packed row
+GROUP_SUFFIXES, TASK_SUFFIXES, ROW_SUFFIXES = 60_000, 120_000, 1 << 14  # in a group, in a task at a time, in a packed row
 BUCKET_BYTES = 64 << 20  # text whose anchors one group takes
 FILTER_BITS = (18, 28)
 #: Keys that a filter of the largest size holds well; more are taken in as many slices.
