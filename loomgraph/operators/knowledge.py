@@ -67,19 +67,29 @@ def linked_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
     return given.select("domain", "symbol_name").distinct().join(first, "symbol_name", "left").select("domain", "symbol_id", "symbol_name")
 
 
+ASKED_ROWS = 10_000  # rows that a user asks with and that are held against every row of a table
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """Rows for every executor, counted first: what is held against every row of a table has to be few."""
+    if rows.limit(ASKED_ROWS + 1).count() > ASKED_ROWS:
+        raise ValueError(f"no more than {ASKED_ROWS} keywords or targets at a time")
+    return F.broadcast(rows)
+
+
 def keyword_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
     """(domain, symbol_name) of the symbols whose name or name's words hold a keyword of ``given`` (domain, keyword), in any case.
 
-    The keywords are those of a file that is read, and sent to every executor; symbols' distinct names are scanned once.
+    The keywords, ``ASKED_ROWS`` at most, are sent to every executor; symbols' distinct names are scanned once.
     """
     names = symbols.select(F.col("name").alias("symbol_name"), F.lower(F.concat_ws("\n", "name", "name_tokens")).alias("held")).distinct()
-    return names.join(F.broadcast(given.select("domain", F.lower("keyword").alias("keyword"))), F.contains("held", F.col("keyword"))).select("domain", "symbol_name").distinct()
+    return names.join(_asked(given.select("domain", F.lower("keyword").alias("keyword")).distinct()), F.contains("held", F.col("keyword"))).select("domain", "symbol_name").distinct()
 
 
 def stale(changed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(target, path): changed paths that hold an ``asked`` target or that it holds. Targets are what a user asks about, so they are sent to every executor."""
+    """(target, path): changed paths that hold an ``asked`` target or that it holds; ``ASKED_ROWS`` targets at most."""
     hit = F.contains("path", F.col("target")) | F.contains("target", F.col("path"))
-    return changed.select("path").join(F.broadcast(asked.select("target")), hit).select("target", "path").distinct()
+    return changed.select("path").join(_asked(asked.select("target").distinct()), hit).select("target", "path").distinct()
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str | list[str], keep_null: bool = True) -> DataFrame:
@@ -157,7 +167,8 @@ def resolve_project(projects: DataFrame, keys: DataFrame) -> DataFrame:
     left = keys.join(met, "key", "left_anti")
     low, last = F.lower("key"), F.lower(F.element_at(F.split("path", "/"), -1))
     tier = F.when(F.contains(F.lower("name"), low), 5).when(F.contains(last, low), 6)
-    at = met.unionByName(rows.join(F.broadcast(left), tier.isNotNull()).select("key", "id", tier.alias("tier")))
+    left = F.broadcast(left) if left.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS else left
+    at = met.unionByName(rows.join(left, tier.isNotNull()).select("key", "id", tier.alias("tier")))
     best = at.groupBy("key", "tier").agg(F.count("*").alias("n"), F.min("id").alias("id")).groupBy("key").agg(F.min(F.struct("tier", "n", "id")).alias("b"))
     chosen = best.select("key", F.when((F.col("b.n") == 1) | (F.col("b.tier") < 5), F.col("b.id")).alias("id"))
     return keys.join(chosen, "key", "left").select("key", "id")
