@@ -118,17 +118,18 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.R
         yield group
 
 
-_LAST: dict[tuple, WindowAutomaton] = {}  # the automaton that this worker built last: its next task may need the same
+#: What this worker built last, with what it was built from: its next task may need the same.
+_LAST: list[tuple[Broadcast, int, WindowAutomaton]] = []
 
 
 def _automaton(part: Broadcast, window: int) -> WindowAutomaton:
-    key = (getattr(part, "_path", None) or id(part), window)
-    if key not in _LAST:
+    path = getattr(part, "_path", None)
+    if not _LAST or _LAST[0][1] != window or not (_LAST[0][0] is part or path and getattr(_LAST[0][0], "_path", None) == path):
         _LAST.clear()  # freed before the next is built
-        _LAST[key] = WindowAutomaton(part.value, window)
-        if getattr(part, "_path", None):  # can be read again: a worker needn't hold the whole benchmark
+        _LAST.append((part, window, WindowAutomaton(part.value, window)))
+        if path:  # can be read again: a worker needn't hold the whole benchmark
             vars(part).pop("_value", None)
-    return _LAST[key]
+    return _LAST[0][2]
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], parts: list[Broadcast], window: int, at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], set[str]]]]]:
