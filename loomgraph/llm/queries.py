@@ -77,8 +77,26 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import line_dedup
+
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import lexical_rank
+
+    return lexical_rank.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import fill_middle
+
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_orc, op5_warc_capture_index, op6_substring_dedup, op7_decontamination, op8_quality_classifier, op9_nearest_neighbours, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_best_fit_packing, op4_token_orc, op5_warc_capture_index, op6_substring_dedup, op7_decontamination, op8_quality_classifier, op9_nearest_neighbours, op10_external_shuffle, op11_line_dedup, op12_lexical_search, op13_fill_middle)}
 
 
 _JACCARD = """
@@ -144,6 +162,49 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_LINES = """
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+_RANKED = """
+WITH dt AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term
+  FROM documents),
+it AS (
+  SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM it JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+_FILL_MIDDLE = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS us, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+f AS (
+  SELECT doc_id, text, n, array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:b], '') AS m, array_to_string(us[b + 1:], '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can state the result; the others are tested against plain versions in ``tests/llm``."""
-    return {"op2_ngram_jaccard_join": _JACCARD, "op5_warc_capture_index": _WARC, "op6_substring_dedup": _SUBSTRING, "op7_decontamination": _CONTAMINATION}
+    return {"op2_ngram_jaccard_join": _JACCARD, "op5_warc_capture_index": _WARC, "op6_substring_dedup": _SUBSTRING, "op7_decontamination": _CONTAMINATION, "op11_line_dedup": _LINES, "op12_lexical_search": _RANKED, "op13_fill_middle": _FILL_MIDDLE}
