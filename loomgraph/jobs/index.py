@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,6 +12,7 @@ from loomgraph.jobs.graph_queries import NOISE
 from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
 from loomgraph.sources import extract
+from loomgraph.sources.store import Store, StoreError, Table, newest
 from loomgraph.sources.tables import checkpointed
 
 
@@ -30,50 +30,35 @@ def symbol_id(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def edges_of(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
-    """Call sites resolved: the innermost symbol around the line calls a symbol of that name, of its own file first."""
-    ids = symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line")
+def attributed(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """(path, callee, edge_kind, source_id, own): call sites with the innermost symbol around each, and whether their own file defines what they call."""
+    ids = symbols.select(F.col("path").alias("file_id"), "id", "start_line", "end_line")
     wanted = call_sites.where(~F.lower("callee").isin(NOISE) & (F.octet_length("callee") >= 3))
     places = wanted.withColumn("place_id", F.xxhash64("path", "line", "callee", "edge_kind")).dropDuplicates(["place_id"])
-    at = G.enclosing(places.select("place_id", F.col("path").alias("file_id"), "line"), ids).join(places.select("place_id", "callee", "edge_kind"), "place_id")
-    calls = at.select(F.col("symbol_id").alias("source_id"), "file_id", F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"))
-    own = symbols.select(F.col("path").alias("file_id"), F.col("name").alias("target_name")).distinct()
-    local = G.resolve_local(calls, ids)
-    away = G.resolve_names(calls.join(own, ["file_id", "target_name"], "left_anti"), ids, ("file_id", "start_line"))
-    return local.unionByName(away)
+    at = G.enclosing(places.select("place_id", F.col("path").alias("file_id"), "line"), ids).select("place_id", F.col("symbol_id").alias("source_id"))
+    own = symbols.select("path", F.col("name").alias("callee")).distinct().withColumn("own", F.lit(True))
+    rows = at.join(places, "place_id").select("path", "callee", "edge_kind", "source_id").distinct()
+    return rows.join(own, ["path", "callee"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
 
 
-def macro_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
-    """MACRO_EXPAND edges: from the first symbol of each file to the symbols named by every hint (lang, pattern, resolves_to) of its language."""
-    named = hints.select("lang", F.explode(F.array("resolves_to", "pattern")).alias("target_name")).where("target_name is not null").distinct()
-    first = symbols.groupBy(F.col("path").alias("file_id")).agg(F.min(F.struct("start_line", "id")).alias("first"))
-    first = first.join(files.select(F.col("path").alias("file_id"), "lang"), "file_id").select(F.col("first.id").alias("source_id"), "file_id", "lang")
-    calls = first.join(named, "lang").select("source_id", "file_id", "target_name", F.lit("MACRO_EXPAND").alias("kind"))
-    return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"), ("file_id", "start_line"))
-
+def edges_of(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """Call sites resolved: the innermost symbol around the line calls a symbol of that name, of its own file first."""
+    ids = symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line")
+    calls = attributed(symbols, call_sites).select("source_id", F.col("path").alias("file_id"), F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"), "own")
+    return G.resolve_local(calls.where("own"), ids).unionByName(G.resolve_names(calls.where("not own"), ids, ("file_id", "start_line")))
 
-def build_stream(files: DataFrame, keep: Callable[[Index], None], before: Index | None = None, hints: DataFrame | None = None) -> DataStreamWriter:
-    """A stream of file versions (path, lang, content_hash, text) indexed batch by batch; ``keep`` gets each next index.
 
-    The versions of a batch are laid over the files known so far; of a path that comes twice the greater hash counts.
-    A null text says that the file is gone.
-    """
-    state: dict[str, Index | None] = {"index": before}
+def macro_sites(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
+    """(path, callee, edge_kind, source_id, own): as if the first symbol of each file called what every hint (lang, pattern, resolves_to) of its language names."""
+    named = hints.select("lang", F.explode(F.array("resolves_to", "pattern")).alias("callee")).where("callee is not null").distinct()
+    first = symbols.groupBy("path").agg(F.min(F.struct("start_line", "id"))["id"].alias("source_id"))
+    return first.join(files.select("path", "lang"), "path").join(named, "lang").select("path", "callee", F.lit("MACRO_EXPAND").alias("edge_kind"), "source_id", F.lit(False).alias("own"))
 
-    def step(batch: DataFrame, _: int) -> None:
-        rows = batch.select("path", "lang", "content_hash", "text")
-        new = rows.groupBy("path").agg(F.max(F.struct("content_hash", "lang", "text")).alias("v")).select("path", "v.lang", "v.content_hash", "v.text")
-        last = state["index"]
-        if last is not None:
-            kept = last.files.join(new.select("path"), "path", "left_anti")
-            new = new.unionByName(kept.withColumn("text", F.lit(None).cast("string")).withColumn("known", F.lit(True)), allowMissingColumns=True)
-            new = new.where("text is not null or known").drop("known")
-        else:
-            new = new.where("text is not null")
-        state["index"] = build(checkpointed(new), last, hints)
-        keep(state["index"])
 
-    return files.writeStream.foreachBatch(step)
+def macro_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
+    """MACRO_EXPAND edges: from the first symbol of each file to the first symbols that the hints of its language name."""
+    calls = macro_sites(symbols, files, hints).select("source_id", F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"))
+    return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"), ("file_id", "start_line"))
 
 
 def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None = None) -> Index:
@@ -101,3 +86,135 @@ def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None
     if hints is not None:
         edges = edges.unionByName(macro_edges(symbols, state, hints))
     return Index(checkpointed(state), symbols, sites, checkpointed(edges), checkpointed(errors))
+
+
+#: The stored index. A row counts if no later version of its path, or of the name it was resolved by, is known.
+TABLES = {
+    "files": Table("path string, lang string, content_hash string, names array<string>, gone boolean", "path", {"gone": "false"}),
+    "symbols": Table("id long, path string, name string, kind string, start_line long, end_line long, signature string, doc string", "name"),
+    "sites": Table("path string, callee string, edge_kind string, source_id long, own boolean", "callee"),
+    "edges": Table("path string, callee string, source_id long, target_id long, kind string, confidence string", "callee"),
+    "names": Table("name string", "name"),
+    "errors": Table("path string, lang string, error string, line long, message string", "path"),
+}
+
+
+class StoredIndex:
+    """An index in a folder, kept up by what changes.
+
+    Each batch of file versions is one version of the store: it is there whole or not at
+    all, and a batch that comes again after a restart is known by its stream and number.
+    A batch reads the call sites of its own files, and of other files only those that
+    call a name whose first symbol changes with it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, hints: DataFrame | None = None, **options):
+        self.spark, self.hints = spark, hints
+        self.store = Store(spark, path, TABLES, 1, **options)
+
+    def _files(self) -> DataFrame:
+        """Every path's last version, those that are gone too."""
+        return newest(self.store.read("files"), ["path"])
+
+    def _of_files(self, rows: DataFrame) -> DataFrame:
+        """Rows that their file's last version wrote, or a later one."""
+        last = self._files().select("path", F.col("_version").alias("_since"))
+        return rows.join(last, "path").where("_version >= _since").drop("_since")
+
+    @property
+    def files(self) -> DataFrame:
+        return self._files().where("not gone").select("path", "lang", "content_hash")
+
+    def symbols(self, names: DataFrame | None = None) -> DataFrame:
+        """Symbols of all files, or of some ``names`` (one column)."""
+        rows = self.store.read("symbols", names)
+        if names is not None:
+            rows = rows.join(names.toDF("name").distinct(), "name", "left_semi")
+        return self._of_files(rows).drop("_version")
+
+    @property
+    def errors(self) -> DataFrame:
+        return self._of_files(self.store.read("errors")).drop("_version")
+
+    @property
+    def edges(self) -> DataFrame:
+        rows = self._of_files(self.store.read("edges"))
+        again = self.store.read("names").groupBy(F.col("name").alias("callee")).agg(F.max("_version").alias("_since"))
+        held = rows.join(again, "callee", "left").where("_since is null or _version >= _since or confidence = 'exact'")
+        return held.select("source_id", "target_id", "kind", "confidence").distinct()
+
+    def _changed(self, batch: DataFrame) -> DataFrame:
+        """Of a batch's files those that differ from what is known: path, lang, content_hash, text (null: gone), old_names."""
+        new = batch.groupBy("path").agg(F.max(F.struct("content_hash", "lang", "text")).alias("v")).select("path", "v.lang", "v.content_hash", "v.text")
+        known = self._files().where("not gone").select("path", F.col("content_hash").alias("was"), F.col("names").alias("old_names"))
+        both = new.join(known, "path", "left")
+        return both.where(F.when(F.col("text").isNull(), F.col("was").isNotNull()).otherwise(~F.col("content_hash").eqNullSafe(F.col("was")))).drop("was")
+
+    def apply(self, batch: DataFrame, number: int | None = None, stream: str = "stream") -> dict:
+        """Lays file versions (path, lang, content_hash, text; null text: the file is gone) over the index; returns the version's manifest.
+
+        Of a path that comes twice in a batch the greater hash counts; a hash that is known
+        already changes nothing. ``number`` tells batches of ``stream`` apart, one that was
+        laid before changes nothing. Null paths are left out.
+        """
+        done = self.store.last.get("streams", {})
+        if number is not None and done.get(stream, -1) >= number:
+            return self.store.last
+        hinted = None
+        if self.hints is not None:
+            hinted = self.hints.agg(F.sum(F.xxhash64("lang", "pattern", "resolves_to").cast("decimal(38,0)")).cast("string")).first()[0]
+            if self.store.version and self.store.last.get("hints") != hinted:
+                raise StoreError("the hints are not those that the index was made with: make it anew")
+        changed = checkpointed(self._changed(batch.where("path is not null").select("path", "lang", "content_hash", "text")))
+        read = checkpointed(extract.parsed(changed.where("text is not null")))  # a source is parsed once
+        symbols = checkpointed(extract.symbols_in(read).withColumn("id", symbol_id("path", "start_line", "name", "kind")))
+        sites = attributed(symbols, extract.calls_in(read))
+        if self.hints is not None:
+            sites = sites.unionByName(macro_sites(symbols, changed, self.hints))
+        sites = checkpointed(sites)
+
+        touched = changed.select(F.explode("old_names").alias("name")).unionByName(symbols.select("name")).distinct()
+        needed = checkpointed(touched.withColumn("touched", F.lit(True)).unionByName(sites.where("not own").select(F.col("callee").alias("name"), F.lit(False).alias("touched"))).groupBy("name").agg(F.max("touched").alias("touched")))
+        first = F.min(F.struct("path", "start_line", "id"))["id"]
+        old = self.symbols(needed.select("name"))
+        staying = old.join(changed.select("path"), "path", "left_anti")
+        before = old.groupBy("name").agg(first.alias("was"))
+        after = staying.select("name", "path", "start_line", "id").unionByName(symbols.select("name", "path", "start_line", "id")).groupBy("name").agg(first.alias("target_id"))
+        firsts = checkpointed(needed.join(before, "name", "left").join(after, "name", "left"))
+        names = firsts.where(F.col("touched") & ~F.col("was").eqNullSafe(F.col("target_id"))).select("name")
+
+        held = self.store.read("sites", names)
+        elsewhere = self._of_files(held.where("not own").join(names.select(F.col("name").alias("callee")), "callee", "left_semi")).join(changed.select("path"), "path", "left_anti")
+        unresolved = sites.where("not own").unionByName(elsewhere.select(*sites.columns))
+        away = unresolved.join(firsts.where("target_id is not null").select(F.col("name").alias("callee"), "target_id"), "callee")
+        away = away.select("path", "callee", "source_id", "target_id", F.col("edge_kind").alias("kind"), F.lit("name_match").alias("confidence"))
+        ids = symbols.select(F.col("path").alias("file_id"), F.col("name").alias("target_name"), F.col("id").alias("target_id"))
+        last = ids.groupBy("file_id", "target_name").agg(F.max("target_id").alias("target_id"))
+        local = sites.where("own").join(last.toDF("path", "callee", "target_id"), ["path", "callee"]).where("source_id <> target_id")
+        local = local.select("path", "callee", "source_id", "target_id", F.col("edge_kind").alias("kind"), F.lit("exact").alias("confidence"))
+        files = changed.join(symbols.groupBy("path").agg(F.collect_set("name").alias("names")), "path", "left")
+        added = {
+            "files": files.select("path", "lang", "content_hash", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.col("text").isNull().alias("gone")), "symbols": symbols, "sites": sites,
+            "edges": local.unionByName(away).distinct(), "names": names, "errors": extract.errors_in(read),
+        }
+        added = {k: rows if k in ("symbols", "sites") else checkpointed(rows) for k, rows in added.items()}
+        counts = {"sites_new": sites.count(), "sites_read": held.count(), "sites_held": sum(s["rows"] for s in self.store.last.get("segments", {}).get("sites", []))}
+        self.store.commit(added, {"counts": counts, "hints": hinted, "streams": {**done, **({stream: number} if number is not None else {})}})
+        return self.store.last
+
+    def compact(self) -> int:
+        """Leaves one segment a table, without the rows that later versions have replaced."""
+        again = self.store.read("names").groupBy(F.col("name").alias("callee")).agg(F.max("_version").alias("_since"))
+        edges = self._of_files(self.store.read("edges")).join(again, "callee", "left").where("_since is null or _version >= _since or confidence = 'exact'")
+        live = {"files": self._files(), "edges": edges, "names": newest(self.store.read("names"), ["name"])}
+        live |= {t: self._of_files(self.store.read(t)) for t in ("symbols", "sites", "errors")}
+        return self.store.compact({t: checkpointed(rows.select(*self.store.read(t).columns)) for t, rows in live.items()})
+
+
+def index_stream(files: DataFrame, index: StoredIndex, name: str = "stream") -> DataStreamWriter:
+    """A stream of file versions (path, lang, content_hash, text) laid over a stored index batch by batch.
+
+    All state is in the store and the stream's checkpoint: after a loss the batch that was
+    under way is laid again, or found to be there.
+    """
+    return files.writeStream.foreachBatch(lambda batch, number: index.apply(batch, number, name) and None)

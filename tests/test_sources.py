@@ -129,20 +129,6 @@ def test_rust_items():
     assert [s[:2] for s in symbols] == [("Box", "impl"), ("Id", "type_alias"), ("MAX", "const"), ("go", "function")] and (6, "println", "CALLS") in calls
 
 
-def test_stream_of_sources(spark, tmp_path):
-    schema = "path string, lang string, content_hash string, text string"
-    seen = []
-    for k, rows in enumerate([[("a.py", "python", "1", "def f():\n    g_one()\n"), ("b.py", "python", "1", "def g_one():\n    pass\n")], [("a.py", "python", "2", "def h():\n    pass\n"), ("b.py", "python", "2", None), ("c.py", "python", "1", "def k():\n    h_two()\n\ndef h_two():\n    pass\n")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        if k == 0:
-            kept = []
-        query = index.build_stream(stream, kept.append, kept[-1] if kept else None)
-        query.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
-        seen.append(sorted(r["name"] for r in kept[-1].symbols.collect()))
-    assert seen == [["f", "g_one"], ["h", "h_two", "k"]] and edges(kept[-1]) == [("k", "h_two", "exact")]
-
-
 def test_knowledge_of_a_tree(spark, tmp_path):
     from loomgraph.sources import imports
 
