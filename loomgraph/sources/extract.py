@@ -1,8 +1,8 @@
 """Symbols and call sites of source texts.
 
-Python is parsed with the standard library; other languages are read line by line
-with patterns, which is an approximation: a definition reaches to the line before
-the next one that is no deeper indented.
+Python is parsed with the standard library. Other languages are read by a table of
+patterns over their code (``lexing``): strings and comments are none, and a definition
+reaches to the bracket or word that closes its block.
 """
 
 from __future__ import annotations
@@ -15,27 +15,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SYMBOL = "path string, name string, kind string, start_line long, end_line long, signature string, doc string"
+from loomgraph.sources.lexing import ALIKE, Code, code_of
 
-_WORD = r"([A-Za-z_$][\w$]*)"
-#: Definition patterns of each language, with the kind that they define.
+SYMBOL = "path string, name string, kind string, start_line long, end_line long, signature string, doc string, qualified_name string"
+
+_WORD = r"(?P<name>[A-Za-z_$][\w$]*)"
+_TYPE = r"(?P<name>[A-Za-z_]\w*)"
+#: For each language the patterns of definitions over code without strings and comments, and the kind each defines.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "rust": [(rf"\bfn\s+{_WORD}", "function"), (rf"\bstruct\s+{_WORD}", "struct"), (rf"\benum\s+{_WORD}", "enum"), (rf"\btrait\s+{_WORD}", "trait"), (rf"\bmod\s+{_WORD}\s*\{{", "module"),
-        (rf"^\s*(?:unsafe\s+)?impl\b(?:<[^{{]*?>)?\s+(?:[\w:<>,&' ]+\s+for\s+)?{_WORD}", "impl"), (rf"\btype\s+{_WORD}", "type_alias"), (rf"\bconst\s+(?!fn\b){_WORD}\s*:", "const")],
-    "typescript": [(rf"\bfunction\s+{_WORD}", "function"), (rf"\bclass\s+{_WORD}", "class"), (rf"\binterface\s+{_WORD}", "interface"), (rf"\bconst\s+{_WORD}\s*=\s*(?:async\s*)?\(", "function")],
-    "go": [(rf"^func\s+(?:\([^)]*\)\s*)?{_WORD}", "function"), (rf"^type\s+{_WORD}\s+struct", "struct"), (rf"^type\s+{_WORD}\s+interface", "interface")],
-    "c": [(rf"^[A-Za-z_][\w\s*]*?\b{_WORD}\s*\([^;]*$", "function"), (rf"\bstruct\s+{_WORD}\s*\{{", "struct")],
-    "java": [(rf"\b(?:class|record)\s+{_WORD}", "class"), (rf"\binterface\s+{_WORD}", "interface"), (rf"^\s+(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+{_WORD}\s*\(", "method")],
-    "ruby": [(rf"^\s*def\s+(?:self\.)?{_WORD}", "method"), (rf"^\s*class\s+{_WORD}", "class"), (rf"^\s*module\s+{_WORD}", "module")],
-    "php": [(rf"\bfunction\s+{_WORD}", "function"), (rf"\bclass\s+{_WORD}", "class")],
-    "kotlin": [(rf"\bfun\s+{_WORD}", "function"), (rf"\bclass\s+{_WORD}", "class")],
-    "swift": [(rf"\bfunc\s+{_WORD}", "function"), (rf"\b(?:class|struct)\s+{_WORD}", "class")],
-    "lua": [(rf"\bfunction\s+(?:[\w.]+[.:])?{_WORD}", "function")],
-    "dart": [(rf"\bclass\s+{_WORD}", "class"), (rf"^\s*[\w<>]+\s+{_WORD}\s*\([^;]*\{{", "function")],
+    "rust": [(rf"\bfn\s+{_WORD}", "function"), (rf"\bstruct\s+{_WORD}", "struct"), (rf"\benum\s+{_WORD}", "enum"), (rf"\btrait\s+{_WORD}", "trait"), (rf"^[ \t]*(?:unsafe\s+|default\s+)?impl\b(?:\s*<(?:[^<>{{}}]|<[^<>]*>)*>)?\s+(?:[\w:<>,&' ]+?\s+for\s+)?(?:\w+::)*{_WORD}", "impl"),
+        (rf"\bmod\s+{_WORD}", "module"), (rf"\btype\s+{_WORD}", "type_alias"), (rf"\bconst\s+(?!fn\b){_WORD}\s*:", "const")],
+    "typescript": [(rf"(?<![\w$.])function\b\s*\*?\s*{_WORD}", "function"), (rf"(?<![\w$.])class\s+(?!extends\b){_WORD}", "class"), (rf"(?<![\w$.])interface\s+{_WORD}", "interface"), (rf"(?<![\w$.])type\s+{_WORD}\s*(?:<[^=;]*>)?\s*=", "type_alias"),
+        (rf"(?<![\w$.])enum\s+{_WORD}", "enum"), (rf"(?<![\w$.])(?:const|let)\s+{_WORD}\s*(?::[^=;]*)?=\s*(?:async\b\s*)?(?:<[^>()]*>\s*)?(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?::[^=;{{}}]*)?|[\w$]+\s*)=>", "const")],
+    "go": [(rf"^func\s+{_WORD}", "function"), (rf"^func\s*\([^)]*\)\s*{_WORD}", "method"), (rf"\btype\s+{_WORD}", "type"), (rf"\bconst\s+{_WORD}", "const")],
+    "c": [(rf"\bstruct\s+{_TYPE}\s*{{", "struct"), (rf"\benum\s+{_TYPE}\s*{{", "enum"), (rf"\btypedef\b[^;{{}}()]*?(?:{{(?:[^{{}}]|{{[^{{}}]*}})*}})?[^;{{}}()]*?\b{_TYPE}\s*(?:\[[^\]]*\]\s*)?;", "type_alias")],
+    "cpp": [(rf"(?<!enum )\bclass\s+{_TYPE}\s*(?:final\s*)?(?::[^:;{{][^;{{]*)?{{", "class"), (rf"(?<!enum )\bstruct\s+{_TYPE}\s*(?:final\s*)?(?::[^:;{{][^;{{]*)?{{", "struct"), (rf"\benum\s+(?:class\s+|struct\s+)?{_TYPE}\s*(?::[^;{{]*)?{{", "enum"), (rf"\bnamespace\s+(?:\w+::)*{_TYPE}\s*{{", "namespace")],
+    "java": [(rf"(?<![\w.])class\s+{_WORD}", "class"), (rf"(?<![\w.@])@?interface\s+{_WORD}", "interface"), (rf"(?<![\w.])enum\s+{_WORD}", "enum"), (rf"(?<![\w.])record\s+{_WORD}\s*[(<]", "class")],
+    "csharp": [(rf"(?<![\w.])class\s+{_TYPE}", "class"), (rf"(?<![\w.])interface\s+{_TYPE}", "interface"), (rf"(?<![\w.])enum\s+{_TYPE}", "enum"), (rf"(?<=[\w>\]?])\s+{_TYPE}\s*(?:{{\s*(?:(?:private|protected|internal)\s+)*(?:get|set|init)\b|=>)", "property")],
+    "ruby": [(r"\bdef\s+(?:(?:self|\w+)\s*\.\s*)?(?P<name>[A-Za-z_]\w*[?!]?)(?![\w=?!])", "method"), (r"(?<![.\w:])class\s+(?:[A-Z]\w*::)*(?P<name>[A-Z]\w*)", "class"), (r"(?<![.\w:])module\s+(?:[A-Z]\w*::)*(?P<name>[A-Z]\w*)", "module")],
+    "php": [(rf"(?<![\w$>:])function\s*&?\s*{_WORD}", "function"), (rf"(?<![\w$>:])class\s+{_WORD}", "class"), (rf"(?<![\w$>:])interface\s+{_WORD}", "interface"), (rf"(?<![\w$>:])trait\s+{_WORD}", "trait")],
+    "kotlin": [(rf"(?<![\w.])fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?{_WORD}\s*\(", "function"), (rf"(?<![\w.:])(?:class|interface)\s+{_WORD}", "class"), (rf"(?<![\w.])companion\s+object\s+{_WORD}", "companion"), (rf"(?<![\w.])(?<!companion )object\s+{_WORD}", "object")],
+    "swift": [(rf"(?<![\w.])class\s+(?!func\b|var\b|let\b|subscript\b){_TYPE}", "class"), (rf"(?<![\w.])struct\s+{_TYPE}", "struct"), (rf"(?<![\w.])enum\s+{_TYPE}", "enum"), (rf"(?<![\w.])actor\s+{_TYPE}", "actor"), (rf"(?<![\w.])protocol\s+{_TYPE}", "protocol"), (rf"(?<![\w.])func\s+{_TYPE}", "function")],
+    "lua": [(rf"\bfunction\s+(?:[\w.]+[.:])?{_TYPE}", "function"), (rf"\b[\w.]+\.{_TYPE}\s*=\s*function\b", "method")],
+    "dart": [(rf"(?<![\w.])class\s+{_WORD}", "class"), (rf"(?<![\w.])mixin\s+(?!class\b){_WORD}", "mixin"), (rf"(?<![\w.])extension\s+(?:type\s+)?(?!on\b){_WORD}", "extension"), (rf"(?<![\w.])enum\s+{_WORD}", "enum")],
+}
+#: Kinds whose blocks hold members, by language.
+_HOLDERS: dict[str, frozenset[str]] = {k: frozenset("class interface enum struct trait".split()) for k in ("typescript", "java", "csharp", "php", "cpp")} | {"dart": frozenset("class mixin extension enum".split())}
+#: What follows the parameters where a name before them is defined; languages whose definitions have no word of their own.
+_AFTER: dict[str, str] = {
+    "typescript": r"\s*(?::[^;={}]*(?:\{[^{}]*\}[^;={}]*)?)?\{", "c": r"\s*(?:__\w+(?:\([^()]*\))?\s*)*\{", "cpp": r"\s*(?:const\b|noexcept\b(?:\([^()]*\))?|override\b|final\b|&&?|->\s*[\w:<>*& ]+?|\s)*(?::(?!:)(?:[^;{}]|\{[^{}]*\}(?=\s*[,{]))*)?\{",
+    "java": r"\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s]+?)?\s*(?:\{|;|default\b)", "csharp": r"\s*(?:where\s+[^{;]*)?(?::\s*(?:this|base)\s*\((?:[^()]|\([^()]*\))*\)\s*)?(?:\{|;|=>)", "dart": r"\s*(?:async\*?|sync\*)?\s*(?:\{|=>|;)",
+}
+_NAMED = re.compile(r"(?P<tilde>~\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*(?P<generic><[^()<>;{}]*(?:<[^<>]*>[^()<>;{}]*)*>\s*)?\(")
+_BEFORE = re.compile(r"(?:([\w$]+)|(\S))\s*$")
+_NOT_A_TYPE = frozenset("new return throw else case in is as await yield do goto typeof delete instanceof assert using not and or when if while for switch catch extends implements super this".split())
+#: Languages without semicolons, where the end of a line may end a definition without a block.
+_BY_LINE = frozenset("typescript tsx go kotlin swift".split())
+_KEYWORDS = frozenset("if for while switch return catch function fn def func fun class sizeof and or not in elseif foreach else super this typeof await".split())
+_OWN_KEYWORDS: dict[str, frozenset[str]] = {
+    k: frozenset(v.split()) for k, v in {"rust": "match", "php": "match until", "csharp": "lock fixed using when", "ruby": "unless until when then do end defined", "kotlin": "when", "lua": "until then do end", "swift": "guard", "c": "alignof", "cpp": "alignof decltype static_assert"}.items()
+}
+_RUBY_WORDS = frozenset("module class def begin rescue ensure elsif yield alias undef nil true false next break redo retry".split())
+_CALL = re.compile(rf"(?P<dot>(?:\.|->|::|:)\s*)?{_WORD}\s*(?:::\s*<(?:[^<>;{{}}]|<[^<>;{{}}]*>)*>\s*)?\(")
+_CALL_ALSO: dict[str, re.Pattern] = {
+    "rust": re.compile(rf"{_WORD}!\s*[\(\[{{]"), "kotlin": re.compile(rf"(?<![\w.])(?<!class )(?<!object )(?<!interface ){_WORD}[ \t]*\{{"), "ruby": re.compile(r"\.\s*(?P<name>[a-z_]\w*[?!]?)(?![\w(?!])|^[ \t]*(?P<bare>[a-z_]\w*[?!]?)[ \t]+(?=[\w:@\[\"'%])(?!(?:if|unless|while|until|do|and|or|in|then)\b)", re.M),
+    "lua": re.compile(rf"(?<![\w.:]){_TYPE}[ \t]*(?=[\"'{{])"),
 }
-ALIKE = {"tsx": "typescript", "cpp": "c", "csharp": "java"}
-_CALL = re.compile(rf"{_WORD}\s*\(")
-_MACRO = re.compile(rf"{_WORD}!\s*[\(\[{{]")
 
 #: Annotations that inject what they stand at.
 DI_ANNOTATIONS = frozenset("Autowired Inject Resource Provides Bean".split())
@@ -56,7 +81,6 @@ _NO_TYPES = frozenset("int long short byte char boolean float double bool string
 _GO_STRUCT = re.compile(r"\bstruct\s*\{((?:[^{}]|\{[^{}]*\})*)\}")
 _GO_FIELD = re.compile(r"^\s*(?:\w+(?:\s*,\s*\w+)*[ \t]+|\*)?([A-Za-z_]\w*)\s*(?:`[^`]*`|\"[^\"]*\")?\s*(?://.*)?$")
 _COMMENT = re.compile(r"^\s*(?:///?|//!|/\*\*|\*/|\* |# )\s?(.*?)\s*(?:\*/)?$")
-_KEYWORDS = frozenset("if for while switch return catch match function fn def func fun class sizeof and or not in".split())
 
 
 def doc_above(lines: list[str], at: int) -> str | None:
@@ -69,13 +93,16 @@ def doc_above(lines: list[str], at: int) -> str | None:
 
 
 def python_symbols(text: str) -> tuple[list[tuple], list[tuple]]:
-    """((name, kind, start, end, signature, doc), ...) and ((line, callee, edge kind), ...); raises what the parser does."""
+    """((name, kind, start, end, signature, doc, qualified name), ...) and ((line, callee, edge kind), ...); raises what the parser does."""
     tree = ast.parse(text)
-    lines, symbols, calls = text.split("\n"), [], []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+    lines, symbols, calls, within = text.split("\n"), [], [], {}
+    for node in ast.walk(tree):  # parents come before what they hold
+        own = isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)
+        name = f"{within.get(node, '')}.{node.name}".lstrip(".") if own else within.get(node, "")
+        within.update((child, name) for child in ast.iter_child_nodes(node))
+        if own:
             doc = ast.get_docstring(node) or doc_above(lines, node.lineno - 1)
-            symbols.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.end_lineno, lines[node.lineno - 1].strip()[:120], doc))
+            symbols.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.end_lineno, lines[node.lineno - 1].strip()[:120], doc, name))
             for mark in node.decorator_list:
                 name = mark.func if isinstance(mark, ast.Call) else mark
                 calls.append((node.lineno, name.attr if isinstance(name, ast.Attribute) else getattr(name, "id", ""), "DECORATES"))
@@ -106,44 +133,194 @@ def pattern_bridges(text: str, language: str) -> list[tuple]:
     return found
 
 
+def _end(code: Code, at: int, language: str) -> tuple[int, int]:
+    """(opener of the block or -1, last place) of a definition whose name ends at ``at``."""
+    text = code.text
+    for m in _STOPS[language in _BY_LINE].finditer(text, at):
+        place, token = m.start(), m[0]
+        if place < at:
+            continue
+        if token in "([":
+            at = code.ends.get(place, place) + 1
+        elif token == "{":
+            if language == "go" and re.search(r"\b(?:interface|struct)\s*$", text[max(0, place - 20) : place]) and re.match(r"\s*[{,)]", text[code.ends[place] + 1 :][:40]):
+                at = code.ends[place] + 1  # a type of the signature, not the body
+                continue
+            return place, code.ends.get(place, len(text) - 1)
+        elif token == "\n":
+            if not (re.search(r"(?:[=(,:|&<+.]|\bwhere)\s*$", text[max(0, place - 20) : place]) or re.match(r"\s*(?:[{=?:|&]|where\b|throws\b)", text[place : place + 200])):
+                return -1, place - 1
+        else:
+            return -1, place if token == ";" else place - 1
+    return -1, max(0, len(text.rstrip()) - 1)
+
+
+_STOPS = (re.compile(r"[(\[{};]"), re.compile(r"[(\[{};\n]"))
+
+
+def _word_block(code: Code, at: int, language: str) -> tuple[int, int]:
+    """As ``_end``, of a definition that a word opens at ``at`` and another closes."""
+    if at in code.ends:
+        return at, code.ends[at] + (3 if code.text.startswith("end", code.ends[at]) else 0) - 1
+    end = code.text.find("\n", at)
+    return -1, (end if end >= 0 else len(code.text)) - 1
+
+
+def _definitions(code: Code, language: str) -> list[tuple[int, int, int, str, str]]:
+    """(first place, last place, place of the name, name, kind), those that hold others first."""
+    found: dict[int, tuple[int, int, str, str]] = {}  # by the name's place
+    blocks: dict[int, tuple[str, str]] = {}  # opener: kind and name of its definition
+    text, words = code.text, _KEYWORDS | _OWN_KEYWORDS.get(language, frozenset())
+    family = language if language in PATTERNS else ALIKE.get(language, language)
+    for pattern, kind in [(re.compile(p, re.M), kind) for p, kind in PATTERNS[family]]:
+        for m in pattern.finditer(text):
+            first = m.start() + len(m[0]) - len(m[0].lstrip())
+            if m.start("name") in found or m["name"] in words:
+                continue
+            if language in ("ruby", "lua"):
+                opener = m.end() - len("function") if m[0].endswith("function") else first
+                block, last = _word_block(code, opener, language)
+            elif kind == "type_alias" and family == "c" or kind == "const" and family == "rust":
+                block, last = -1, _end(code, m.end() - 1 if family == "c" else m.end("name"), language)[1]
+            elif kind == "const" and family == "typescript":
+                block, last = _end(code, m.end(), language)
+            else:
+                block, last = _end(code, m.end("name"), language)
+            if kind == "function" and language == "swift" and block < 0:
+                continue  # a requirement of a protocol
+            found[m.start("name")] = (first, last, m["name"], kind)
+            if block >= 0:
+                blocks[block] = (kind, m["name"])
+    if language == "go":
+        for m in re.finditer(r"\b(type|const)\s*\(", text):
+            for line in re.finditer(r"^[ \t]*(?P<name>[A-Za-z_]\w*)", text[m.end() : code.ends.get(m.end() - 1, m.end())], re.M):
+                at = m.end() + line.start("name")
+                if at not in found and code.block_at(at) == code.block_at(m.start()) and not _within(code, at, m.end() - 1):
+                    found[at] = (at, _end(code, at + len(line["name"]), language)[1], line["name"], m[1])
+    holders = _HOLDERS.get(family if family != "c" else language, frozenset())
+    if language in ("php", "dart", "kotlin"):
+        for at, (first, last, name, kind) in found.items():
+            if language == "php" and kind == "function" and blocks.get(code.block_at(first), ("", ""))[0] in holders:
+                found[at] = (first, last, name, "method")
+    if after := _AFTER.get(language if language in _AFTER else family):
+        after = re.compile(after)
+        for m in _NAMED.finditer(text):
+            close = code.ends.get(m.end() - 1)
+            if close is None or m.start("name") in found or m["name"] in words or not (tail := after.match(text, close + 1)):
+                continue
+            if kind := _member(code, language, m, tail[0], blocks.get(block := code.block_at(m.start())), block, holders):
+                opener, last = _end(code, close + 1, language)
+                if tail[0].endswith("{"):
+                    opener = tail.end() - 1
+                    last = code.ends.get(opener, len(text) - 1)
+                elif tail[0].endswith("=>"):
+                    last = text.find(";", tail.end()) if ";" in text[tail.end() :] else len(text) - 1
+                found[m.start("name")] = (_statement(text, m.start()), last, m["name"], kind)
+    return sorted(((first, last, at, name, kind) for at, (first, last, name, kind) in found.items()), key=lambda d: (d[0], -d[1]))
+
+
+def _within(code: Code, place: int, opener: int) -> bool:
+    """Whether a bracket other than ``opener`` lies between it and ``place`` unclosed."""
+    return any(opener < o < place <= c for o, c in code.ends.items())
+
+
+def _statement(text: str, at: int) -> int:
+    """Where the statement begins that a definition's name stands in."""
+    first = max(text.rfind(c, 0, at) for c in ";{}") + 1
+    return first + re.match(r"\s*(?:(?:public|private|protected)\s*:(?!:)\s*)*", text[first:at]).end()
+
+
+def _member(code: Code, language: str, m: re.Match, tail: str, holder: tuple[str, str] | None, block: int, holders: frozenset[str]) -> str | None:
+    """The kind of what a name with parameters defines here, None if nothing."""
+    before = _BEFORE.search(code.text[max(0, m.start() - 200) : m.start()])
+    word, sign = (before[1], before[2]) if before else (None, None)
+    if word and language in ("java", "dart") and re.search(r"@(?:\w+\.)*\w+\s*$", code.text[max(0, m.start() - 200) : m.start()]):
+        word, sign = None, "@"  # an annotation is no type
+    typed = (word and word not in _NOT_A_TYPE) or (sign and sign in ">]?*&" and not re.search(r"[=-]>\s*$", code.text[max(0, m.start() - 20) : m.start()]))
+    held = holder is not None and holder[0] in holders
+    name = m["name"]
+    if language in ("typescript", "tsx"):
+        return "method" if not (word in ("function", "new") or sign in (".", ")", "=", "?", ">")) and (held or sign in (None, ",", "{", "}", ";", "*") or word in ("get", "set", "async", "static")) else None
+    if language == "c":
+        return "function" if typed and block < 0 and word not in ("else", "do") else None
+    if language == "cpp":
+        if not tail.endswith("{") or not (block < 0 or held or holder and holder[0] == "namespace" or re.search(r"\bextern\s+$", code.text[max(0, block - 20) : block])):
+            return None
+        if m["tilde"]:
+            return "destructor"
+        if re.search(r"::\s*$", code.text[max(0, m.start() - 20) : m.start()]):
+            return "method"
+        return ("method" if held else "function") if typed or held and name == holder[1] else None
+    if language == "dart":
+        if held and name == holder[1] or word == "new" or not (held or block < 0 and (typed or sign in (None, ";", "}"))) or tail.endswith(";") and not (held and typed):
+            return None
+        return ("method" if held else "function") if typed or sign in (None, ";", "{", "}") else None
+    if not held:
+        return None
+    if name == holder[1] and not (typed and word not in _MODIFIERS):
+        return "constructor" if tail.endswith("{") or tail.endswith("=>") else None
+    return "method" if typed and word not in _MODIFIERS else None
+
+
+_MODIFIERS = frozenset("public private protected internal static final abstract async".split())
+
+
+def source_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple], list[tuple[int, str]]]:
+    """Definitions (name, kind, start, end, signature, doc, qualified name), calls (line, callee, edge kind), and what doesn't fit (line, message)."""
+    if ALIKE.get(language, language) not in PATTERNS:
+        return [], [], []
+    code = code_of(text, language)
+    lines, symbols, calls, open_ = text.split("\n"), [], [], []
+    defined, words = set(), _KEYWORDS | _OWN_KEYWORDS.get(language, frozenset())
+    for first, last, at, name, kind in _definitions(code, language):
+        while open_ and open_[-1][0] < first:
+            open_.pop()
+        open_.append((last, name))
+        row = code.line(first)
+        defined.add(at)
+        symbols.append((name, kind, row, max(row, code.line(last)), lines[row - 1].strip()[:120], doc_above(lines, row - 1), ".".join(n for _, n in open_)))
+    for m in _CALL.finditer(code.text):
+        dot = (m["dot"] or "").strip()
+        if m.start("name") in defined or m["name"] in words or (language in ("java", "csharp", "php", "typescript", "tsx") and re.search(r"\bnew\s+(?:[\w.\\]*[.\\])?$", code.text[max(0, m.start("name") - 60) : m.start("name")])):
+            continue
+        if dot and (language == "kotlin" and dot == "." or language == "php" and dot == "::") or language == "java" and re.search(r"@\s*(?:\w+\.)*$", code.text[max(0, m.start("name") - 40) : m.start("name")]):
+            continue
+        calls.append((code.line(m.start("name")), m["name"], "DYNAMIC_IMPORT" if m["name"] == "require" and language != "ruby" else "CALLS"))
+    if also := _CALL_ALSO.get(language):
+        for m in also.finditer(text if language in ("lua", "ruby") else code.text):  # what follows the name may be a string
+            place = m.start("name") if m["name"] else m.start("bare")
+            name = m["name"] or m["bare"]
+            if place not in defined and name not in words and code.text[place] != " " and not (language == "ruby" and name in _RUBY_WORDS):
+                calls.append((code.line(place), name, "CALLS"))
+    return symbols, calls + pattern_bridges(text, language), code.errors
+
+
 def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
-    patterns = [(re.compile(p), kind) for p, kind in PATTERNS.get(ALIKE.get(language, language), [])]
-    lines, starts, calls = text.split("\n"), [], []
-    for i, line in enumerate(lines):
-        defined = next(((m[1], kind) for p, kind in patterns if (m := p.search(line))), None)
-        if defined:
-            starts.append((i, *defined))
-        for m in _CALL.finditer(line):
-            if m[1] not in _KEYWORDS and not (defined and m[1] == defined[0]):
-                calls.append((i + 1, m[1], "DYNAMIC_IMPORT" if m[1] == "require" else "CALLS"))
-        if language == "rust":
-            calls += [(i + 1, m[1], "CALLS") for m in _MACRO.finditer(line)]
-    depth = lambda i: len(lines[i]) - len(lines[i].lstrip())
-    symbols = []
-    for k, (i, name, kind) in enumerate(starts):
-        end = next((j for j, *_ in starts[k + 1 :] if depth(j) <= depth(i)), len(lines)) - 1
-        while end > i and not lines[end].strip():
-            end -= 1
-        symbols.append((name, kind, i + 1, end + 1, lines[i].strip()[:120], doc_above(lines, i)))
-    return symbols, calls + pattern_bridges(text, language)
-
-
-_PARSED = "what string, path string, name string, kind string, start_line long, end_line long, signature string, doc string"
+    symbols, calls, _ = source_symbols(text, language)
+    return symbols, calls
+
+
+_PARSED = f"what string, {SYMBOL}"
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Of ``files`` (path, lang, text) all that one reading gives: ``symbol`` and ``call`` rows, and an ``error`` row for a text that its parser rejects.
+    """Of ``files`` (path, lang, text) all that one reading gives: ``symbol`` and ``call`` rows, and ``error`` rows. What the Python parser rejects gives nothing else; in other languages an error row tells of what is not closed, or closes nothing.
 
     Each file on its own, nothing is shuffled. Null texts are empty, languages without patterns give nothing.
     """
 
     def rows_of(path: str, lang: str | None, text: str | None) -> list[tuple]:
+        errors: list[tuple] = []
         try:
-            symbols, calls = python_symbols(text or "") if lang == "python" else pattern_symbols(text or "", lang or "")
+            if lang == "python":
+                symbols, calls = python_symbols(text or "")
+            else:
+                symbols, calls, errors = source_symbols(text or "", lang or "")
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # deep nesting ends in one of the last two
             line = getattr(e, "lineno", None)
-            return [("error", path, type(e).__name__, lang, line, line, str(e)[:200], None)]
-        return [("symbol", path, *s) for s in symbols] + [("call", path, callee, kind, line, line, None, None) for line, callee, kind in calls]
+            return [("error", path, type(e).__name__, lang, line, line, str(e)[:200], None, None)]
+        found = [("symbol", path, *s) for s in symbols] + [("call", path, callee, kind, line, line, None, None, None) for line, callee, kind in calls]
+        return found + [("error", path, "SyntaxError", lang, line, line, message, None, None) for line, message in errors]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in _PARSED.split(", ")]
