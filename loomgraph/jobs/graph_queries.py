@@ -521,3 +521,67 @@ def st_stored_index(g: Graph) -> DataFrame:
     stored.apply(files.where(emptied | gone).withColumn("text", F.when(~gone, F.col("text"))).select(columns), 2)
     a, b = (stored.symbols().select(F.col("id").alias(k), F.col("name").alias(n)) for k, n in (("source_id", "source"), ("target_id", "target")))
     return stored.edges.join(a, "source_id").join(b, "target_id").select("source", "target", "kind", "confidence")
+
+
+# ---------------------------------------------------------------- other languages: each file in one of twelve, with decoys in comments and strings
+
+#: Language: comment with a decoy, first line, line with a decoy in a string, call, last line, kind; {0} is a name.
+_WRITTEN: dict[str, tuple[str, str, str, str, str, str]] = {
+    "rust": ("/* fn no_{0}() { /* } */ */", "fn {0}() {", '    let s = r#"fn fake() { " "#; // {', "    {0}();", "} // */", "function"),
+    "typescript": ("// function no_{0}() {", "export async function {0}(): Promise<void> {", "    const s = `function fake() {`; const r = /\\{\"/;", "    {0}();", "}", "function"),
+    "tsx": ("/* function no_{0}() { */", "function {0}() {", "    const s = 'class Fake {';", "    {0}();", "}", "function"),
+    "go": ("// func no_{0}() {", "func {0}() {", "    s := `func fake() {`", "    {0}()", "}", "function"),
+    "c": ("#define NO_{0}(x) int no_{0}(void) {", "static int {0}(void) {", '    char c = \'{\'; const char *s = "int fake(void) {";', "    {0}();", "}", "function"),
+    "cpp": ("// class no_{0} {", "int {0}() noexcept {", '    auto s = R"x(int fake() { )x";', "    {0}();", "}", "function"),
+    "php": ("<?php # function no_{0}() {", "function {0}() {", '    $s = "function fake() {";', "    {0}();", "}", "function"),
+    "kotlin": ("/* fun no_{0}() { /* } */ */", "fun {0}(): Int {", '    val s = """fun fake() { """', "    {0}()", "}", "function"),
+    "swift": ("// func no_{0}() {", "func {0}() {", '    let s = "func fake() {"', "    {0}()", "}", "function"),
+    "ruby": ("# def no_{0}", "def {0}", '    s = "def fake" if busy', "    {0}()", "end", "method"),
+    "lua": ("--[[ function no_{0}() ]]", "local function {0}()", "    local s = [[function fake()]]", "    {0}()", "end", "function"),
+    "dart": ("/* void no_{0}() { */", "void {0}() {", "    var s = 'void fake() {';", "    {0}();", "}", "function"),
+}
+_WRITTEN_SQL = (
+    "kinds AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{lang}', '{w[-1]}')" for k, (lang, w) in enumerate(_WRITTEN.items())) + f") k(k, lang, kind)), {_SOURCES.strip()},\n"
+    f"written AS (SELECT s.file_id, f.path, k.lang, k.kind, s.name, s.start_line + 2 * (row_number() OVER (PARTITION BY s.file_id ORDER BY s.id) - 1) + 1 AS start_line, s.n FROM (SELECT spans.*, blocks.n FROM spans JOIN blocks USING (id)) s JOIN files f ON f.id = s.file_id JOIN kinds k ON k.k = s.file_id % {len(_WRITTEN)})"
+)
+
+
+def _foreign_sources(g: Graph) -> DataFrame:
+    """As ``_sources``, in the language that a file's number picks; each symbol has a comment and a string that define nothing."""
+    which = F.col("file_id") % len(_WRITTEN)
+
+    def line(at: int, name: str | None = None):
+        texts = F.element_at(F.array(*[F.lit(w[at]) for w in _WRITTEN.values()]), (which + 1).cast("int"))
+        return F.replace(texts, F.lit("{0}"), F.col(name)) if name else texts
+
+    names = g.symbols.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("callee"))
+    called = g.calls.join(names, "target_id").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list("callee")).alias("callees"))
+    rows = g.symbols.join(called, "id", "left")
+    calls = F.transform(F.coalesce("callees", F.array().cast("array<string>")), lambda c: F.replace(line(3), F.lit("{0}"), c))
+    block = F.array_join(F.concat(F.array(line(0, "qualified_name"), line(1, "qualified_name"), line(2)), calls, F.array(line(4))), "\n")
+    written = rows.withColumn("block", block).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda b: b["block"]), "\n").alias("text"))
+    lang = F.element_at(F.array(*[F.lit(k) for k in _WRITTEN]), (which + 1).cast("int"))
+    return written.join(g.file_refs.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", lang.alias("lang"), "text", F.md5("text").alias("content_hash"))
+
+
+@query("SELECT path, name, kind, start_line, start_line + n + 2 AS end_line FROM written", _WRITTEN_SQL)
+def extract_symbols_languages(g: Graph) -> DataFrame:
+    from loomgraph.sources import extract
+
+    return extract.symbols_of(_foreign_sources(g)).select("path", "name", "kind", "start_line", "end_line")
+
+
+@query("SELECT f.path, t.qualified_name AS callee, 'CALLS' AS edge_kind, count(*) AS sites FROM calls c JOIN symbols s ON s.id = c.source_id JOIN symbols t ON t.id = c.target_id JOIN files f ON f.id = s.file_id GROUP BY 1, 2", _SOURCES)
+def extract_calls_languages(g: Graph) -> DataFrame:
+    from loomgraph.sources import extract
+
+    return extract.calls_of(_foreign_sources(g)).groupBy("path", "callee", "edge_kind").agg(F.count("*").alias("sites"))
+
+
+@query("SELECT path, lang, 'SyntaxError' AS error, start_line + n + 2 AS line FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start_line DESC) AS last FROM written) WHERE last = 1 AND lang NOT IN ('ruby', 'lua')", _WRITTEN_SQL)
+def extract_errors(g: Graph) -> DataFrame:
+    """Files that close one bracket more than they open, on their last line; in Ruby and Lua a word closes, so they don't."""
+    from loomgraph.sources import extract
+
+    broken = _foreign_sources(g).where(~F.col("lang").isin("ruby", "lua")).withColumn("text", F.regexp_replace("text", r"\}( // \*/)?$", "}}"))
+    return extract.errors_in(extract.parsed(broken)).select("path", "lang", "error", "line")

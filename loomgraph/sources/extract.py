@@ -58,7 +58,7 @@ _OWN_KEYWORDS: dict[str, frozenset[str]] = {
 _RUBY_WORDS = frozenset("module class def begin rescue ensure elsif yield alias undef nil true false next break redo retry".split())
 _CALL = re.compile(rf"(?P<dot>(?:\.|->|::|:)\s*)?{_WORD}\s*(?:::\s*<(?:[^<>;{{}}]|<[^<>;{{}}]*>)*>\s*)?\(")
 _CALL_ALSO: dict[str, re.Pattern] = {
-    "rust": re.compile(rf"{_WORD}!\s*[\(\[{{]"), "kotlin": re.compile(rf"(?<![\w.])(?<!class )(?<!object )(?<!interface ){_WORD}[ \t]*\{{"), "ruby": re.compile(r"\.\s*(?P<name>[a-z_]\w*[?!]?)(?![\w(?!])|^[ \t]*(?P<bare>[a-z_]\w*[?!]?)[ \t]+(?=[\w:@\[\"'%])(?!(?:if|unless|while|until|do|and|or|in|then)\b)", re.M),
+    "rust": re.compile(rf"{_WORD}!\s*[\(\[{{]"), "kotlin": re.compile(rf"(?<![\w.]){_WORD}[ \t]*\{{"), "ruby": re.compile(r"\.\s*(?P<name>[a-z_]\w*[?!]?)(?![\w(?!])|^[ \t]*(?P<bare>[a-z_]\w*[?!]?)[ \t]+(?=[\w:@\[\"'%])(?!(?:if|unless|while|until|do|and|or|in|then)\b)", re.M),
     "lua": re.compile(rf"(?<![\w.:]){_TYPE}[ \t]*(?=[\"'{{])"),
 }
 
@@ -290,6 +290,8 @@ def source_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple],
         for m in also.finditer(text if language in ("lua", "ruby") else code.text):  # what follows the name may be a string
             place = m.start("name") if m["name"] else m.start("bare")
             name = m["name"] or m["bare"]
+            if language == "kotlin" and re.search(r"\b(?:class|interface|object|fun)\b[^={]*$", code.text[code.text.rfind("\n", 0, place) + 1 : place]):
+                continue  # a type before a block
             if place not in defined and name not in words and code.text[place] != " " and not (language == "ruby" and name in _RUBY_WORDS):
                 calls.append((code.line(place), name, "CALLS"))
     return symbols, calls + pattern_bridges(text, language), code.errors

@@ -97,6 +97,9 @@ def code_of(text: str, language: str) -> Code:
         if groups.get("regex"):
             first = m.start("regex")
         out.append(text[at:first])
+        if family == "ruby" and not m[0].startswith(("#", "=begin", "__END__")):  # that a value is here decides what an if after it is
+            out.append("0")
+            first += 1
         out.append(_template(m[0], language) if m[0][:1] == "`" and family == "typescript" else _blank(text[first:last]))
         at = last
     out.append(text[at:])
