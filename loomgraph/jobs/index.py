@@ -48,19 +48,42 @@ def edges_of(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
     return G.resolve_local(calls.where("own"), ids).unionByName(G.resolve_names(calls.where("not own"), ids, ("file_id", "start_line")))
 
 
-def macro_sites(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
-    """(path, callee, edge_kind, source_id, own): as if the first symbol of each file called what every hint (lang, pattern, resolves_to) of its language names."""
-    named = hints.select("lang", F.explode(F.array("resolves_to", "pattern")).alias("callee")).where("callee is not null").distinct()
+def hinted_sites(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
+    """(path, callee, edge_kind, source_id, own): what hints (``scan.tree_hints``) add to the call sites of files.
+
+    A macro is as if the first symbol of each file of its language called both its names;
+    a call is one from every symbol of that name in the language's files.
+    """
+    if "hint" not in hints.columns:
+        hints = hints.withColumn("hint", F.lit("macro"))
+    macros = hints.where("hint = 'macro'").select("lang", F.explode(F.array("resolves_to", "pattern")).alias("callee")).where("callee is not null").distinct()
+    of = files.select("path", "lang")
     first = symbols.groupBy("path").agg(F.min(F.struct("start_line", "id"))["id"].alias("source_id"))
-    return first.join(files.select("path", "lang"), "path").join(named, "lang").select("path", "callee", F.lit("MACRO_EXPAND").alias("edge_kind"), "source_id", F.lit(False).alias("own"))
+    expanded = first.join(of, "path").join(macros, "lang").select("path", "callee", F.lit("MACRO_EXPAND").alias("edge_kind"), "source_id")
+    calls = hints.where("hint = 'call'").select("lang", F.col("pattern").alias("name"), F.col("resolves_to").alias("callee")).distinct()
+    called = symbols.select("path", "name", F.col("id").alias("source_id")).join(of, "path").join(calls, ["lang", "name"]).select("path", "callee", F.lit("CALLS").alias("edge_kind"), "source_id")
+    return expanded.unionByName(called).distinct().withColumn("own", F.lit(False))
 
 
-def macro_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
-    """MACRO_EXPAND edges: from the first symbol of each file to the first symbols that the hints of its language name."""
-    calls = macro_sites(symbols, files, hints).select("source_id", F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"))
+def hinted_edges(symbols: DataFrame, files: DataFrame, hints: DataFrame) -> DataFrame:
+    """Edges of hints, to the first symbol of each name."""
+    calls = hinted_sites(symbols, files, hints).select("source_id", F.col("callee").alias("target_name"), F.col("edge_kind").alias("kind"))
     return G.resolve_names(calls, symbols.select(F.col("path").alias("file_id"), "id", "name", "start_line", "end_line"), ("file_id", "start_line"))
 
 
+def annotations_of(hints: DataFrame | None) -> dict[str, frozenset[str]]:
+    """Annotations that inject, by language: settings of a tree, read by the driver."""
+    if hints is None or "hint" not in hints.columns:
+        return {}
+    rows = hints.where("hint = 'annotation'").select("lang", "pattern").distinct().limit(MOST_ANNOTATIONS + 1).collect()
+    if len(rows) > MOST_ANNOTATIONS:
+        raise ValueError(f"more than {MOST_ANNOTATIONS} annotations are hinted at")
+    return {lang: frozenset(r["pattern"] for r in rows if r["lang"] == lang) for lang in {r["lang"] for r in rows}}
+
+
+MOST_ANNOTATIONS = 10_000
+
+
 def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None = None) -> Index:
     """Index of ``files`` (path, lang, content_hash, text), with edges of ``hints`` (``scan.tree_hints``).
 
@@ -73,7 +96,7 @@ def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None
         todo = files
     else:
         todo = files.join(K.changed_files(before.files, state).select("path"), "path", "left_semi")
-    read = checkpointed(extract.parsed(todo))  # a source is parsed once
+    read = checkpointed(extract.parsed(todo, annotations_of(hints)))  # a source is parsed once
     symbols = extract.symbols_in(read).withColumn("id", symbol_id("path", "start_line", "name", "kind"))
     sites, errors = extract.calls_in(read), extract.errors_in(read)
     if before is not None:
@@ -84,7 +107,7 @@ def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None
     symbols, sites = checkpointed(symbols), checkpointed(sites)
     edges = edges_of(symbols, sites)
     if hints is not None:
-        edges = edges.unionByName(macro_edges(symbols, state, hints))
+        edges = edges.unionByName(hinted_edges(symbols, state, hints)).distinct()
     return Index(checkpointed(state), symbols, sites, checkpointed(edges), checkpointed(errors))
 
 
@@ -162,15 +185,15 @@ class StoredIndex:
             return self.store.last
         hinted = None
         if self.hints is not None:
-            hinted = self.hints.agg(F.sum(F.xxhash64("lang", "pattern", "resolves_to").cast("decimal(38,0)")).cast("string")).first()[0]
+            hinted = self.hints.agg(F.sum(F.xxhash64(*self.hints.columns).cast("decimal(38,0)")).cast("string")).first()[0]
             if self.store.version and self.store.last.get("hints") != hinted:
                 raise StoreError("the hints are not those that the index was made with: make it anew")
         changed = checkpointed(self._changed(batch.where("path is not null").select("path", "lang", "content_hash", "text")))
-        read = checkpointed(extract.parsed(changed.where("text is not null")))  # a source is parsed once
+        read = checkpointed(extract.parsed(changed.where("text is not null"), annotations_of(self.hints)))  # a source is parsed once
         symbols = checkpointed(extract.symbols_in(read).withColumn("id", symbol_id("path", "start_line", "name", "kind")))
         sites = attributed(symbols, extract.calls_in(read))
         if self.hints is not None:
-            sites = sites.unionByName(macro_sites(symbols, changed, self.hints))
+            sites = sites.unionByName(hinted_sites(symbols, changed, self.hints))
         sites = checkpointed(sites)
 
         touched = changed.select(F.explode("old_names").alias("name")).unionByName(symbols.select("name")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,7 +113,7 @@ def python_symbols(text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, [c for c in calls if c[1]]
 
 
-def pattern_bridges(text: str, language: str) -> list[tuple]:
+def pattern_bridges(text: str, language: str, annotations: frozenset[str] = frozenset()) -> list[tuple]:
     """((line, name, edge kind), ...) of annotations, imports, embedded fields and DSL calls, which no call site shows."""
     language = "typescript" if language == "tsx" else language
     text = re.sub(r"(?m)^[ \t]*(?://|\*(?=[\s/])|/\*|#(?!\[)).*$", "", text)  # lines of comment; the others keep their numbers
@@ -126,6 +126,7 @@ def pattern_bridges(text: str, language: str) -> list[tuple]:
                 found += [(at + i, m[1], "DI_INJECT") for part in line.split(";") if (m := _GO_FIELD.match(part))]
     elif language in BRIDGES:
         pattern, wanted, kind = BRIDGES[language]
+        wanted = wanted | annotations
         for m in re.finditer(pattern, text, re.M):
             marks = re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", m["marks"])
             if not wanted.isdisjoint(re.findall(r"\w+", marks)) and not (language in ("java", "csharp") and m["name"] in _NO_TYPES):
@@ -265,7 +266,7 @@ def _member(code: Code, language: str, m: re.Match, tail: str, holder: tuple[str
 _MODIFIERS = frozenset("public private protected internal static final abstract async".split())
 
 
-def source_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple], list[tuple[int, str]]]:
+def source_symbols(text: str, language: str, annotations: frozenset[str] = frozenset()) -> tuple[list[tuple], list[tuple], list[tuple[int, str]]]:
     """Definitions (name, kind, start, end, signature, doc, qualified name), calls (line, callee, edge kind), and what doesn't fit (line, message)."""
     if ALIKE.get(language, language) not in PATTERNS:
         return [], [], []
@@ -294,7 +295,7 @@ def source_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple],
                 continue  # a type before a block
             if place not in defined and name not in words and code.text[place] != " " and not (language == "ruby" and name in _RUBY_WORDS):
                 calls.append((code.line(place), name, "CALLS"))
-    return symbols, calls + pattern_bridges(text, language), code.errors
+    return symbols, calls + pattern_bridges(text, language, annotations), code.errors
 
 
 def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
@@ -305,19 +306,21 @@ def pattern_symbols(text: str, language: str) -> tuple[list[tuple], list[tuple]]
 _PARSED = f"what string, {SYMBOL}"
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, annotations: Mapping[str, frozenset[str]] | None = None) -> DataFrame:
     """Of ``files`` (path, lang, text) all that one reading gives: ``symbol`` and ``call`` rows, and ``error`` rows. What the Python parser rejects gives nothing else; in other languages an error row tells of what is not closed, or closes nothing.
 
-    Each file on its own, nothing is shuffled. Null texts are empty, languages without patterns give nothing.
+    ``annotations`` are those that inject besides the usual ones, by language. Each file on its own, nothing is shuffled. Null texts are empty, languages without patterns give nothing.
     """
 
+    more = dict(annotations or {})
+
     def rows_of(path: str, lang: str | None, text: str | None) -> list[tuple]:
         errors: list[tuple] = []
         try:
             if lang == "python":
                 symbols, calls = python_symbols(text or "")
             else:
-                symbols, calls, errors = source_symbols(text or "", lang or "")
+                symbols, calls, errors = source_symbols(text or "", lang or "", more.get(lang or "", frozenset()))
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # deep nesting ends in one of the last two
             line = getattr(e, "lineno", None)
             return [("error", path, type(e).__name__, lang, line, line, str(e)[:200], None, None)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.sources.tables import exists, small_text
+from loomgraph.sources import tree
+from loomgraph.sources.tables import exists
 
 #: Folders whose files are never indexed.
 DENIED: Sequence[str] = ("node_modules", "target", "dist", "build", ".git", ".venv", "venv", "__pycache__", ".cache", ".next", ".nuxt", "vendor", "tmp", "temp", ".tmp", "coverage", ".nyc_output")
@@ -27,40 +29,24 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def ignore_patterns(spark: SparkSession, root: str, names: Sequence[str] = (".gitignore", ".ignore")) -> list[tuple[str, bool]]:
-    """Regular expressions of the lines of ignore files at ``root``, and whether each takes paths back (``!``); the last that matches counts."""
-    found = []
-    for name in names:
-        where = f"{root.rstrip('/')}/{name}"
-        for line in small_text(spark, where).splitlines() if exists(spark, where) else ():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            back, line = line.startswith("!"), line.removeprefix("!")
-            rooted, body = "/" in line.rstrip("/"), line.strip("/")
-            inner = glob_pattern(body)[1:-1]
-            found.append((f"{'^' if rooted else '(^|/)'}{inner}{'/' if line.endswith('/') else '(/|$)'}", back))
-    return found
+#: Ignore files of a folder; later ones count more.
+IGNORE_FILES: Sequence[str] = (".gitignore", ".ignore")
 
 
-def scan_files(spark: SparkSession, root: str, denied: Sequence[str] = DENIED, ignore_files: Sequence[str] = (".gitignore", ".ignore")) -> DataFrame:
-    """path (relative), lang, size_bytes, line_count, content_hash and content of every source file below ``root``.
+def scan_files(spark: SparkSession, root: str, denied: Sequence[str] = DENIED, ignore_files: Sequence[str] = IGNORE_FILES, ignore_text: str = "", languages: Sequence[str] | None = None, below: str = "", partition_bytes: int = tree.PARTITION_BYTES) -> DataFrame:
+    """path (relative), lang, size_bytes, line_count, content_hash and text of every source file below ``root``.
 
-    Hidden and denied folders, what ignore files at the root name, and unknown extensions
-    are left out before any file is opened.
+    Hidden and denied folders, and what ignore files name, are never entered or opened;
+    an ignore file counts in its own folder and below, deeper ones count more, and what
+    lies in an ignored folder can't be taken back. ``ignore_text`` has rules of a user's
+    own, which count least; ``languages`` and ``below`` (a folder or file) keep the scan to
+    a part of the tree, with the ignore files of all of it. Files of unknown extension and links are left out.
     """
-    prefix = "^(file:)?/*" + re.escape(root.removeprefix("file:").strip("/")) + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(sorted(LANGUAGES))}}}").load(root)
-    rows = raw.withColumn("path", F.regexp_replace("path", prefix, ""))
-    hidden = rf"(^|/)(\.[^/]+|{'|'.join(re.escape(d) for d in denied)})(/|$)"
-    langs = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    rows = rows.where(~F.col("path").rlike(hidden)).withColumn("lang", langs[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))])
-    ignored = F.lit(False)
-    for pattern, back in ignore_patterns(spark, root, ignore_files):
-        ignored = F.when(F.col("path").rlike(pattern), not back).otherwise(ignored)
-    rows = rows.where(~ignored)
-    text = F.col("content").cast("string")
-    return rows.where(F.col("lang").isNotNull()).select("path", "lang", F.col("length").alias("size_bytes"), S.line_count(text).alias("line_count"), F.md5("content").alias("content_hash"), text.alias("text"))
+    spark.dataSource.register(tree.SourceTree)
+    known = {k: v for k, v in LANGUAGES.items() if languages is None or v in languages}
+    options = {"languages": json.dumps(known), "below": below, "denied": json.dumps(list(denied)), "ignore_files": json.dumps(list(ignore_files)), "ignore_text": ignore_text, "partition_bytes": str(partition_bytes)}
+    rows, text = spark.read.format("source_tree").options(**options).load(root), F.col("content").cast("string")
+    return rows.select("path", "lang", "size_bytes", S.line_count(text).alias("line_count"), F.md5("content").alias("content_hash"), text.alias("text"))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -91,17 +77,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("code <> '' and statement <> ''").withColumn("severity", F.when(F.col("severity") == "", "INFO").otherwise(F.upper("severity")))
 
 
+_HINTS = "macro_expansions array<struct<pattern:string,resolves_to:string>>, di_annotations array<string>, extra_calls array<struct<`from`:string,`to`:string>>"
+HINTS = "lang string, hint string, pattern string, resolves_to string"
+
+
 def tree_hints(spark: SparkSession, root: str, folder: str = ".context/hints") -> DataFrame:
-    """lang, pattern and resolves_to of the hint files ``{lang}.json`` in a folder of ``root``; none where there are no such files."""
+    """(lang, hint, pattern, resolves_to) of the hint files ``{lang}.json`` in a folder of ``root``; none where there are no such files.
+
+    ``hint`` is ``macro`` (pattern stands for what it resolves to), ``annotation`` (pattern
+    injects what it stands at) or ``call`` (symbols named pattern call what it resolves to).
+    """
     where = f"{root.rstrip('/')}/{folder}/*.json"
-    if not exists(spark, where):
-        return spark.createDataFrame([], "lang string, pattern string, resolves_to string")
-    schema = "macro_expansions array<struct<pattern:string,resolves_to:string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(where)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1).alias("lang"), F.explode("macro_expansions").alias("m")).select("lang", "m.pattern", "m.resolves_to")
+    return read_hints(spark, where) if exists(spark, where) else spark.createDataFrame([], HINTS)
 
 
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
-    """Macro expansions (pattern, resolves_to) of a JSON hint file; broken files give none."""
-    schema = "macro_expansions array<struct<pattern:string,resolves_to:string>>, di_annotations array<string>, extra_calls array<struct<from:string,to:string>>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).select(F.explode("macro_expansions").alias("m")).select("m.pattern", "m.resolves_to")
+    """Hints of JSON files, named by language; broken files and entries that lack a part give none."""
+    files = spark.read.schema(_HINTS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+
+    def pairs(column: str, hint: str, a: str, b: str):
+        return F.transform(F.coalesce(column, F.array().cast(files.schema[column].dataType)), lambda x: F.struct(F.lit(hint).alias("hint"), x[a].alias("pattern"), x[b].alias("resolves_to")))
+
+    marks = F.transform(F.coalesce("di_annotations", F.array().cast("array<string>")), lambda x: F.struct(F.lit("annotation").alias("hint"), F.regexp_replace(F.trim(x), "^@", "").alias("pattern"), F.lit(None).cast("string").alias("resolves_to")))
+    every = F.concat(pairs("macro_expansions", "macro", "pattern", "resolves_to"), pairs("extra_calls", "call", "from", "to"), marks)
+    rows = files.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1).alias("lang"), F.inline(every))
+    return rows.where("lang not like '\\_%' and pattern <> '' and (hint = 'annotation' or resolves_to <> '')")

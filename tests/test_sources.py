@@ -98,7 +98,7 @@ def test_records_and_hints(spark, tmp_path):
     (tmp_path / "two.md").write_text("nothing\n")
     (tmp_path / "h.json").write_text('{"macro_expansions": [{"pattern": "m!", "resolves_to": "f"}]}')
     assert [(r["code"], r["severity"], r["statement"]) for r in scan.read_records(spark, str(tmp_path)).collect()] == [("A-1", "INFO", "Do it")]
-    assert [tuple(r) for r in scan.read_hints(spark, str(tmp_path / "h.json")).collect()] == [("m!", "f")]
+    assert [tuple(r) for r in scan.read_hints(spark, str(tmp_path / "h.json")).collect()] == [("h", "macro", "m!", "f")]
 
 
 def test_globs():
