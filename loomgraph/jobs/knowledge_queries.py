@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from loomgraph.jobs.catalogue import query
 from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
 from loomgraph.sources.views import Graph
+from loomgraph.streaming import events as E
+from loomgraph.streaming import pool as P
 from loomgraph.streaming import telemetry as T
 
 _CATALOG = """SELECT d.name, coalesce(s.n, 0) AS symbol_count, coalesce(c.n, 0) AS constraint_count FROM domains d
@@ -359,3 +363,95 @@ def fit_to_budget(g: Graph) -> DataFrame:
     rows = g.raw("conversations").withColumn("text", F.coalesce("text", F.lit("")))
     order = [F.col(c) for c in ("turn", "role", "text")]
     return G.within_budget(rows, S.estimated_tokens(F.col("text")), order, 60, ["conv_id"]).select("conv_id", "turn", F.col("running_cost").alias("used"))
+
+
+# ---------------------------------------------------------------- pools of open projects: one for each kind of call, in which user 8 is the default and stays
+
+_POOL = """
+WITH RECURSIVE c AS (SELECT tool AS pool, project, ts, row_number() OVER (PARTITION BY tool ORDER BY ts, id) AS n FROM tool_calls),
+walk AS (
+  SELECT pool, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(p BIGINT, t TIMESTAMP)[]) AS opened, CAST([] AS STRUCT(p BIGINT, t TIMESTAMP, r VARCHAR, e TIMESTAMP)[]) AS ended FROM (SELECT DISTINCT pool FROM c)
+  UNION ALL
+  SELECT pool, n,
+    CASE WHEN project = 8 THEN fresh ELSE list_append(CASE WHEN len(others) < len(fresh) THEN others WHEN len(fresh) >= 3 THEN fresh[2:] ELSE fresh END, {'p': project, 't': ts}) END,
+    list_concat(list_transform(idle, lambda x: {'p': x.p, 't': x.t, 'r': 'idle', 'e': x.t + INTERVAL 6 HOUR}),
+      CASE WHEN project <> 8 AND len(others) = len(fresh) AND len(fresh) >= 3 THEN [{'p': fresh[1].p, 't': fresh[1].t, 'r': 'evicted', 'e': ts}] ELSE [] END)
+  FROM (
+    SELECT c.pool, c.n, c.project, c.ts, list_filter(w.opened, lambda x: x.t >= c.ts - INTERVAL 6 HOUR) AS fresh, list_filter(w.opened, lambda x: x.t < c.ts - INTERVAL 6 HOUR) AS idle,
+      list_filter(w.opened, lambda x: x.t >= c.ts - INTERVAL 6 HOUR AND x.p <> c.project) AS others
+    FROM walk w JOIN c ON c.pool = w.pool AND c.n = w.n + 1))
+"""
+
+
+@query(
+    f"""SELECT pool, e.p AS project, e.t AS last_at, e.r AS reason, e.e AS ended_at FROM ({_POOL} SELECT pool, unnest(ended) AS e FROM walk) UNION ALL
+    SELECT pool, o.p, o.t, 'idle', o.t + INTERVAL 6 HOUR FROM ({_POOL} SELECT pool, unnest(arg_max(opened, n)) AS o FROM walk GROUP BY pool) WHERE o.t < (SELECT max(ts) FROM tool_calls) - INTERVAL 6 HOUR"""
+)
+def st_pool_closings(g: Graph) -> DataFrame:
+    """What closes or makes room, and when; a user counts as a project."""
+    return P.closings(g.tool_calls.withColumn("pool", F.col("tool")), 6 * 3600, 4, 8)
+
+
+@query(
+    """SELECT pool, project, last_at, CAST(CASE WHEN project = 8 THEN 0 ELSE row_number() OVER (PARTITION BY pool, project = 8 ORDER BY last_at DESC) END AS INTEGER) AS place
+    FROM (SELECT tool AS pool, project, max(ts) AS last_at FROM tool_calls GROUP BY 1, 2) WHERE project = 8 OR last_at >= (SELECT max(ts) FROM tool_calls) - INTERVAL 6 HOUR
+    QUALIFY place <= 3"""
+)
+def win_lru_default(g: Graph) -> DataFrame:
+    """What is open in the end."""
+    return P.open_projects(g.tool_calls.withColumn("pool", F.col("tool")), 6 * 3600, 4, 8)
+
+
+# ---------------------------------------------------------------- events as a tagged union, written from the events' own values; some are made not to fit
+
+_PLAIN = {"text": "x", "flag": True, "u8": 7, "u32": 70, "u64": 700, "f64": 0.5}
+
+
+def _template(kind: str) -> str:
+    out: dict = {"type": kind}
+    for name, t in E.KINDS[kind]:
+        where, _, last = name.rpartition(".")
+        (out.setdefault(where, {}) if where else out)[last] = _PLAIN[t.rstrip("?")]
+    return json.dumps(out)
+
+
+_TEMPLATES = [_template(k) for k in E.KINDS]
+_EVENT_SQL = (
+    "fields AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, '{n}', '{t}')" for k, parts in E.KINDS.items() for i, (n, t) in enumerate(parts)) + ") f(kind, place, field, type)),\n"
+    "templates AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEMPLATES)) + ") t(i, template)),\n"
+    """payloads AS (
+  SELECT id, ts, CASE WHEN id % 11 = 0 THEN replace(p, '70', '-70') WHEN id % 13 = 0 THEN replace(p, '"x"', '17') WHEN id % 17 = 0 THEN replace(p, 'true', '"true"') WHEN id % 23 = 0 THEN substr(p, 1, length(p) - 1)
+    WHEN id % 29 = 0 THEN replace(p, '"type"', '"kind"') WHEN id % 31 = 0 THEN replace(p, '"type": "', '"type": "un') WHEN id % 37 = 0 THEN replace(p, '7', '7' || CAST(value AS BIGINT)) ELSE p END AS payload
+  FROM (SELECT id, ts, value, template AS p FROM tool_calls JOIN templates ON i = id % 19)),
+read AS (SELECT id, ts, payload, json_valid(payload) AS ok, CASE WHEN json_valid(payload) AND json_type(payload, '$.type') = 'VARCHAR' THEN payload ->> '$.type' END AS kind FROM payloads),
+wrong AS (
+  SELECT id, arg_min(field, place) AS field FROM (SELECT *, json_type(payload, '$.' || field) AS t, payload ->> ('$.' || field) AS v FROM read JOIN fields USING (kind) WHERE ok)
+  WHERE NOT coalesce(CASE WHEN type = 'text' THEN t = 'VARCHAR' WHEN type = 'flag' THEN t = 'BOOLEAN' WHEN type LIKE 'f64%' THEN t IN ('DOUBLE', 'UBIGINT', 'BIGINT') OR type LIKE '%?' AND t = 'NULL'
+    ELSE t = 'UBIGINT' AND CAST(v AS HUGEINT) <= CASE type WHEN 'u8' THEN 255 WHEN 'u32' THEN 4294967295 ELSE 18446744073709551615 END END, type LIKE '%?')
+  GROUP BY id),
+judged AS (
+  SELECT r.*, CASE WHEN NOT ok THEN 'not json' WHEN r.kind IS NULL THEN 'no type' WHEN r.kind NOT IN (SELECT kind FROM fields) THEN 'unknown type' WHEN w.field IS NOT NULL THEN 'field ' || w.field END AS reason
+  FROM read r LEFT JOIN wrong w USING (id))"""
+)
+
+
+def _events(g: Graph) -> DataFrame:
+    p, i = F.element_at(F.array(*[F.lit(t) for t in _TEMPLATES]), (F.col("id") % 19 + 1).cast("int")), F.col("id")
+    payload = (
+        F.when(i % 11 == 0, F.replace(p, F.lit("70"), F.lit("-70"))).when(i % 13 == 0, F.replace(p, F.lit('"x"'), F.lit("17"))).when(i % 17 == 0, F.replace(p, F.lit("true"), F.lit('"true"')))
+        .when(i % 23 == 0, F.substring(p, F.lit(1), F.length(p) - 1)).when(i % 29 == 0, F.replace(p, F.lit('"type"'), F.lit('"kind"'))).when(i % 31 == 0, F.replace(p, F.lit('"type": "'), F.lit('"type": "un')))
+        .when(i % 37 == 0, F.replace(p, F.lit("7"), F.concat(F.lit("7"), F.rint("value").cast("long").cast("string")))).otherwise(p)
+    )
+    return E.read_events(g.tool_calls.select("id", "ts", payload.alias("payload")))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, CASE WHEN kind IN (SELECT kind FROM fields) THEN kind END AS kind, reason, count(*) AS events FROM judged GROUP BY 1, 2, 3", _EVENT_SQL)
+def st_event_union(g: Graph) -> DataFrame:
+    """Events of all kinds by day, with those set aside and why."""
+    return E.counted(_events(g))
+
+
+@query("SELECT id, payload ->> '$.tool_name' AS tool_name, CAST(payload ->> '$.success' AS BOOLEAN) AS success, CAST(payload ->> '$.duration_ms' AS BIGINT) AS duration_ms FROM judged WHERE kind = 'tool_executed' AND reason IS NULL", _EVENT_SQL)
+def st_event_fields(g: Graph) -> DataFrame:
+    """One kind's own fields."""
+    return E.of_kind(_events(g), "tool_executed", "id").withColumn("duration_ms", F.col("duration_ms").cast("long"))
