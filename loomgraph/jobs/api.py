@@ -12,6 +12,7 @@ from loomgraph.jobs import index
 from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
 from loomgraph.operators import retrieval as R
+from loomgraph.operators.text_store import SegmentIndex
 from loomgraph.sources import imports, scan
 from loomgraph.sources.views import Graph
 
@@ -39,11 +40,26 @@ class Workspace:
     def build_graph(self, root: str, before: index.Index | None = None) -> index.Index:
         return index.build(scan.scan_files(self.g.spark, root), before, scan.tree_hints(self.g.spark, root))
 
+    def update_graph(self, root: str, store: str) -> index.StoredIndex:
+        """The stored index of a tree, brought up to what the tree is now: changed files are read, those that are gone leave."""
+        kept = index.StoredIndex(self.g.spark, store, scan.tree_hints(self.g.spark, root))
+        files = scan.scan_files(self.g.spark, root).select("path", "lang", "content_hash", "text")
+        gone = kept.files.join(files.select("path"), "path", "left_anti").withColumn("text", F.lit(None).cast("string"))
+        kept.apply(files.unionByName(gone.select(files.columns)))
+        return kept
+
     def text_index(self, path: str, stems: bool = False) -> R.TextIndex:
         """The stored index of all symbols' names, signatures and comments, made anew."""
         return R.TextIndex(self.g.spark, path, stems=stems).write(self.g.symbols)
 
-    def lookup(self, text: str, kind: str | None = None, limit: int = 30, index: R.TextIndex | None = None) -> DataFrame:
+    def kept_index(self, path: str) -> SegmentIndex:
+        """An index in segments, which ``update`` keeps up; where there is none yet it is made of all symbols."""
+        index = SegmentIndex(self.g.spark, path)
+        if not index.store.version:
+            index.update(self.g.symbols)
+        return index
+
+    def lookup(self, text: str, kind: str | None = None, limit: int = 30, index: R.TextIndex | SegmentIndex | None = None) -> DataFrame:
         """Best symbols for a text: all words, the last as a prefix, or a keyword of its domain; from a stored ``index``, if there is one."""
         asked = self.g.spark.createDataFrame([(text,)], "query string")
         terms = asked.select("query", F.explode(R.query_terms(F.col("query"))).alias("t")).select("query", "t.*")
@@ -51,7 +67,8 @@ class Workspace:
         extra = extra.select("query", (F.lit(1000) + F.row_number().over(_by_term())).alias("slot"), "term", F.lit(False).alias("prefix"), F.lit(False).alias("required"))
         rows = self.g.symbols.where(F.col("kind") == kind) if kind else self.g.symbols
         asked = terms.unionByName(extra)
-        hits = index.search(asked).join(rows.select("id"), "id", "left_semi") if index else R.bm25(rows, asked)
+        hits = index.search(asked) if index else R.bm25(self.g.symbols, asked)  # scores are those among all symbols
+        hits = hits.join(rows.select("id"), "id", "left_semi") if kind else hits
         found = R.top_by(hits, "bm25", "id", min(limit, 100))
         return found.join(G.with_files(rows, self.g.file_refs), "id").select("rank", "id", "name", "kind", "path", "start_line", "bm25")
 
@@ -77,8 +94,12 @@ class Workspace:
             "constraints": K.rules_of(of, self.g.domain_symbols, self.g.constraints).withColumnRenamed("id", "symbol_id").join(self.g.constraints, "code"),
         }
 
-    def impact(self, target: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-        rows = G.impact(self.g.symbols, self.g.file_refs, self.g.edges, self.named(target).select("id"), depth)
+    def impact(self, target: str, depth: int = 3, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+        """What a change reaches, ``upstream``, ``downstream`` or both, and its risk; a way that isn't walked counts as empty."""
+        ways = {"both": (G.UPSTREAM, G.DOWNSTREAM), G.UPSTREAM: (G.UPSTREAM,), G.DOWNSTREAM: (G.DOWNSTREAM,)}
+        if direction not in ways:
+            raise ValueError(f"no direction {direction!r}; there are {', '.join(ways)}")
+        rows = G.impact(self.g.symbols, self.g.file_refs, self.g.edges, self.named(target).select("id"), depth, *ways[direction])
         return rows, G.impact_risk(rows)
 
     def trace(self, entry: str, depth: int = 4, direction: str = "downstream", budget: int | None = None) -> DataFrame:
@@ -134,12 +155,12 @@ class Workspace:
         read = scan.read_rules(self.g.spark, path).dropDuplicates(["code"]).select("code", "severity", "statement")
         return K.upserted(self.g.constraints.select("code", "severity", "statement"), read, "code")
 
-    def record_decision(self, new: DataFrame) -> DataFrame:
-        """Decisions with ``new`` ones added and validated; those that a new one's ``supersedes_id`` names are historical, and no others."""
+    def record_decision(self, new: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+        """Decisions with ``new`` ones added and validated, by ``sources`` (path, text) too if there are some; those that a new one's ``supersedes_id`` names are historical, and no others."""
         names = self.g.symbols.select(F.col("qualified_name").alias("name")).unionByName(self.g.symbols.select("name"))
         columns = ["id", "domain", "reason", "revert_risk", "created_at", "functions"]
         given = new.withColumn("revert_risk", F.coalesce("revert_risk", F.lit("LOW")))
-        return K.superseded(K.validated(self.g.decisions.select(*columns).unionByName(given.select(*columns)), names), new.select("id", "supersedes_id"))
+        return K.superseded(K.validated(self.g.decisions.select(*columns).unionByName(given.select(*columns)), names, sources), new.select("id", "supersedes_id"))
 
     def import_tree(self, root: str) -> dict[str, DataFrame]:
         """The next states of domains, links and rules, with those of a Markdown tree."""

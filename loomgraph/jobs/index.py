@@ -113,7 +113,7 @@ def build(files: DataFrame, before: Index | None = None, hints: DataFrame | None
 
 #: The stored index. A row counts if no later version of its path, or of the name it was resolved by, is known.
 TABLES = {
-    "files": Table("path string, lang string, content_hash string, names array<string>, gone boolean", "path", {"gone": "false"}),
+    "files": Table("path string, lang string, content_hash string, names array<string>, gone boolean", "path"),
     "symbols": Table("id long, path string, name string, kind string, start_line long, end_line long, signature string, doc string, qualified_name string", "name"),
     "sites": Table("path string, callee string, edge_kind string, source_id long, own boolean", "callee"),
     "edges": Table("path string, callee string, source_id long, target_id long, kind string, confidence string", "callee"),

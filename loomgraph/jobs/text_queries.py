@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.jobs.catalogue import query
 from loomgraph.operators import retrieval as R
-from loomgraph.sources.tables import scratch
+from loomgraph.operators.grams import GramIndex, contained
+from loomgraph.operators.text_store import BlockIndex, SegmentIndex
+from loomgraph.sources.tables import checkpointed, scratch
 from loomgraph.sources.views import Graph
 
 _WORDS = """
@@ -54,6 +56,19 @@ def bm25_stored(g: Graph) -> DataFrame:
     return index.search(_asked(g)).select("query", "id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("SELECT query, id, round(bm25, 6) AS bm25 FROM hits", f"kept AS (SELECT * FROM symbols WHERE id % 7 <> 3), {_WORDS.replace('FROM symbols', 'FROM kept')},{_ASKED}")
+def bm25_segments(g: Graph) -> DataFrame:
+    """The search in an index of three segments: two thirds of the symbols; the rest, and a fifth with other words; those as they were, and a seventh of all gone."""
+    index = SegmentIndex(g.spark, scratch(g.spark, "segments"))
+    rows, part = checkpointed(g.symbols.select("id", *R.WEIGHTS)), F.col("id") % 3 != 0
+    other = part & (F.col("id") % 5 == 1)
+    index.update(rows.where(part))
+    index.update(rows.where(other | ~part).withColumn("doc", F.when(other, F.lit("other words than before")).otherwise(F.col("doc"))))
+    index.update(rows.where(other), rows.where("id % 7 = 3").select("id"))
+    index.update(None, rows.where("id % 7 = 3").select("id"))
+    return index.search(_asked(g)).select("query", "id", F.round("bm25", 6).alias("bm25"))
+
+
 @query("SELECT query, h.id, s.name, f.path FROM hits h JOIN symbols s ON s.id = h.id JOIN files f ON f.id = s.file_id", f"{_WORDS},{_ASKED}")
 def join_fts(g: Graph) -> DataFrame:
     return _hits(g).join(g.symbols, "id").join(g.file_refs.select(F.col("id").alias("file_id"), "path"), "file_id").select("query", "id", "name", "path")
@@ -68,6 +83,12 @@ def topk_bm25(g: Graph) -> DataFrame:
     return R.top_by(bm25_search(g), "bm25", "id", 30).select("query", "id", "rank")
 
 
+@query(_ranked_sql(30, "round(bm25, 9)"), f"{_WORDS},{_ASKED}")
+def topk_bm25_blocks(g: Graph) -> DataFrame:
+    """The best rows from the blocks of postings that can hold them."""
+    return BlockIndex(g.spark, scratch(g.spark, "blocks")).write(g.symbols).top(_asked(g), 30).select("query", "id", "rank")
+
+
 @query("SELECT term, count(*) AS df, round(sum(wtf), 3) AS wtf FROM post GROUP BY term", _WORDS)
 def text_index(g: Graph) -> DataFrame:
     return R.postings(g.symbols).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("wtf"), 3).alias("wtf"))
@@ -160,6 +181,24 @@ def grep(g: Graph) -> DataFrame:
     return _grep(g)
 
 
+@query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM hit", _GREP)
+def grep_grams(g: Graph) -> DataFrame:
+    """The same lines, of texts that have the expression's grams."""
+    docs = g.raw("documents")
+    return GramIndex(g.spark, scratch(g.spark, "grams")).write(docs).grep(docs, _PATTERN, is_regex=True)
+
+
+_NEEDLES = "needles AS (SELECT DISTINCT split_part(text, ' ', 1) AS needle FROM benchmark UNION SELECT r_name FROM region UNION SELECT lower(n_name) FROM nation UNION SELECT 'of ' || split_part(text, ' ', 2) FROM benchmark UNION SELECT substr(text, 1, 2) FROM benchmark)"
+
+
+@query("SELECT doc_id, needle FROM documents JOIN needles ON contains(text, needle)", _NEEDLES)
+def contains_join(g: Graph) -> DataFrame:
+    """Which of many strings each text holds."""
+    item, word = g.raw("benchmark"), lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    needles = item.select(word(1).alias("needle")).union(g.raw("region").select("r_name")).union(g.raw("nation").select(F.lower("n_name"))).union(item.select(F.concat(F.lit("of "), word(2)))).union(item.select(F.substring("text", 1, 2)))
+    return contained(g.raw("documents"), needles, "doc_id").withColumnRenamed("key", "doc_id")
+
+
 @query("SELECT hit.doc_id, CAST(hit.line_no AS INTEGER) AS match_line, CAST(ln.line_no AS INTEGER) AS line_no, ln.line FROM hit JOIN ln ON ln.doc_id = hit.doc_id AND ln.line_no BETWEEN hit.line_no - 2 AND hit.line_no + 2", _GREP)
 def grep_context(g: Graph) -> DataFrame:
     return R.grep_context(g.raw("documents"), _PATTERN, 2, is_regex=True)

@@ -58,9 +58,9 @@ def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, *directions: s
     return found
 
 
-def impact(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+def impact(symbols: DataFrame, files: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, *directions: str) -> DataFrame:
     """direction, id, name, kind, path, start_line, depth of all that the seeds' change reaches."""
-    return impact_levels(edges, seeds, depth).join(with_files(symbols, files), "id").select("direction", "id", "name", "kind", "path", "start_line", "depth")
+    return impact_levels(edges, seeds, depth, *directions).join(with_files(symbols, files), "id").select("direction", "id", "name", "kind", "path", "start_line", "depth")
 
 
 def impact_risk(levels: DataFrame) -> DataFrame:

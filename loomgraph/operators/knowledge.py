@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.operators.grams import contained
 from loomgraph.sources.tables import checkpointed
 
 
@@ -67,29 +68,24 @@ def linked_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
     return given.select("domain", "symbol_name").distinct().join(first, "symbol_name", "left").select("domain", "symbol_id", "symbol_name")
 
 
-ASKED_ROWS = 10_000  # rows that a user asks with and that are held against every row of a table
-
-
-def _asked(rows: DataFrame) -> DataFrame:
-    """Rows for every executor, counted first: what is held against every row of a table has to be few."""
-    if rows.limit(ASKED_ROWS + 1).count() > ASKED_ROWS:
-        raise ValueError(f"no more than {ASKED_ROWS} keywords or targets at a time")
-    return F.broadcast(rows)
+ASKED_ROWS = 10_000  # rows that every executor may hold
 
 
 def keyword_symbols(given: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(domain, symbol_name) of the symbols whose name or name's words hold a keyword of ``given`` (domain, keyword), in any case.
-
-    The keywords, ``ASKED_ROWS`` at most, are sent to every executor; symbols' distinct names are scanned once.
-    """
-    names = symbols.select(F.col("name").alias("symbol_name"), F.lower(F.concat_ws("\n", "name", "name_tokens")).alias("held")).distinct()
-    return names.join(_asked(given.select("domain", F.lower("keyword").alias("keyword")).distinct()), F.contains("held", F.col("keyword"))).select("domain", "symbol_name").distinct()
+    """(domain, symbol_name) of the symbols whose name or name's words hold a keyword of ``given`` (domain, keyword), in any case."""
+    held = symbols.select(F.col("name").alias("symbol_name"), F.lower(F.concat_ws("\n", "name", "name_tokens")).alias("held")).where("symbol_name is not null")
+    names = held.groupBy("symbol_name").agg(F.array_join(F.collect_set("held"), "\n").alias("held"))
+    asked = given.select("domain", F.lower("keyword").alias("keyword")).distinct()
+    found = contained(names, asked, "symbol_name", "held", "keyword").toDF("symbol_name", "keyword")
+    return found.join(asked, "keyword").select("domain", "symbol_name").distinct()
 
 
 def stale(changed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(target, path): changed paths that hold an ``asked`` target or that it holds; ``ASKED_ROWS`` targets at most."""
-    hit = F.contains("path", F.col("target")) | F.contains("target", F.col("path"))
-    return changed.select("path").join(_asked(asked.select("target").distinct()), hit).select("target", "path").distinct()
+    """(target, path): changed paths that hold an ``asked`` target or that it holds."""
+    paths, targets = changed.select("path").where("path is not null").distinct(), asked.select("target").where("target is not null").distinct()
+    held = contained(paths.withColumn("text", F.col("path")), targets, "path", "text", "target").toDF("path", "target")
+    holding = contained(targets.withColumn("text", F.col("target")), paths, "target", "text", "path").toDF("target", "path")
+    return held.select("target", "path").union(holding.select("target", "path")).distinct()
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str | list[str], keep_null: bool = True) -> DataFrame:
@@ -135,10 +131,16 @@ def deleted_files(before: DataFrame, now: DataFrame) -> DataFrame:
     return before.select("path").join(now.select("path"), "path", "left_anti")
 
 
-def validated(decisions: DataFrame, names: DataFrame) -> DataFrame:
-    """Decisions with whether any of their functions is a known symbol (name)."""
-    known = decisions.select("id", F.explode("functions").alias("name")).join(names.select("name").distinct(), "name", "left_semi").select("id").distinct().withColumn("validated", F.lit(True))
-    return decisions.join(known, "id", "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
+def validated(decisions: DataFrame, names: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Decisions with whether any of their functions is a known symbol (name) or, where ``sources`` (path, text) are given, stands in a source; ``validated_by`` then says which: index, text or null."""
+    asked = decisions.select("id", F.explode("functions").alias("name")).distinct()
+    known = asked.join(names.select("name").distinct(), "name", "left_semi").select("id").distinct()
+    if sources is None:
+        return decisions.join(known.withColumn("validated", F.lit(True)), "id", "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
+    rest = asked.join(known, "id", "left_anti").where("name <> ''")
+    written = contained(sources, rest, "path", "text", "name").select(F.col("needle").alias("name")).distinct()
+    by = known.withColumn("validated_by", F.lit("index")).unionByName(rest.join(written, "name", "left_semi").select("id").distinct().withColumn("validated_by", F.lit("text")))
+    return decisions.join(by, "id", "left").withColumn("validated", F.col("validated_by").isNotNull())
 
 
 def scratchpad(pads: DataFrame, role: str) -> DataFrame:

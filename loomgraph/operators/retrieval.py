@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.functions.stem import folded, stemmed
+from loomgraph.sources.store import Store, Table
+from loomgraph.sources.tables import checkpointed
 
 #: Field weights, and the usual BM25 constants.
 WEIGHTS: Mapping[str, float] = {"name": 3.0, "name_tokens": 3.0, "signature": 2.0, "doc": 1.0}
 K1, B = 1.2, 0.75
+QUERY_WORDS = 10_000  # words of queries that every executor may hold
 
 
 def words_of(text: Column) -> Column:
@@ -46,19 +49,35 @@ def bm25(rows: DataFrame, queries: DataFrame, fields: Mapping[str, float] = WEIG
     return _scored(postings(rows, fields, key).join(size, key), corpus, queries, key)
 
 
+def met_slots(post: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query, slot, required, key, wtf, len): which rows meet which words of queries. A batch of more than ``QUERY_WORDS`` words is joined by shuffles, prefixes by their first letters."""
+    few = queries.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS
+    asked = F.broadcast(queries) if few else queries
+    columns = ["query", "slot", "required", key, "wtf", "len"]
+    exact = post.join(asked.where("not prefix"), "term").select(columns)
+    stems = asked.where("prefix").withColumnRenamed("term", "stem")
+    if few:
+        begins = post.join(stems, F.col("term").startswith(F.col("stem"))).select(columns)
+    else:  # of each word its first letters, as many as a prefix may have, are keys
+        words = post.select("term").distinct().withColumn("stem", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))))
+        begins = post.join(words.join(stems.select("stem").distinct(), "stem", "left_semi"), "term").join(stems, "stem").select(columns)
+    return exact.unionByName(begins).groupBy("query", "slot", "required", key).agg(F.sum("wtf").alias("wtf"), F.first("len").alias("len"))
+
+
 def _scored(post: DataFrame, corpus: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """``post`` has (key, term, wtf, len): of all terms, or of those that the queries ask for."""
-    asked = F.broadcast(queries)  # as many rows as a query has words
-    exact = post.join(asked.where("not prefix"), "term").select("query", "slot", "required", key, "wtf", "len")
-    begins = post.join(asked.where("prefix").withColumnRenamed("term", "stem"), F.col("term").startswith(F.col("stem"))).select("query", "slot", "required", key, "wtf", "len")
-    met = exact.unionByName(begins).groupBy("query", "slot", "required", key).agg(F.sum("wtf").alias("wtf"), F.first("len").alias("len"))
-    df = met.groupBy("query", "slot").agg(F.count("*").alias("df"))
+    met = met_slots(post, queries, key)
+    return scored_slots(met, met.groupBy("query", "slot").agg(F.count("*").alias("df")), corpus, queries, key)
+
+
+def scored_slots(met: DataFrame, df: DataFrame, corpus: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query, key, bm25) of ``met`` (as ``met_slots``), with how many rows meet each slot (query, slot, df) and the one row of ``corpus`` (n_rows, avg_len)."""
     needed = queries.groupBy("query").agg(F.count(F.when(F.col("required"), 1)).alias("needed"))
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     saturated = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = met.join(F.broadcast(df), ["query", "slot"]).crossJoin(F.broadcast(corpus)).withColumn("part", idf * saturated)  # corpus has one row
+    scored = met.join(df, ["query", "slot"]).crossJoin(F.broadcast(corpus)).withColumn("part", idf * saturated)  # corpus has one row
     total = scored.groupBy("query", key).agg(F.sum("part").alias("bm25"), F.count(F.when(F.col("required"), 1)).alias("have"), F.count(F.when(~F.col("required"), 1)).alias("extra"))
-    return total.join(F.broadcast(needed), "query").where(((F.col("have") == F.col("needed")) & (F.col("needed") > 0)) | (F.col("extra") > 0)).select("query", key, "bm25")
+    return total.join(needed, "query").where(((F.col("have") == F.col("needed")) & (F.col("needed") > 0)) | (F.col("extra") > 0)).select("query", key, "bm25")
 
 
 class TextIndex:
@@ -67,8 +86,10 @@ class TextIndex:
     With ``stems`` terms are English stems without accents, as the queries' then are too.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id", stems: bool = False):
-        self.spark, self.path, self.key, self.stems = spark, path.rstrip("/"), key, stems
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", stems: bool = False, key_type: str = "long"):
+        self.spark, self.key, self.stems = spark, key, stems
+        tables = {"postings": Table(f"`{key}` {key_type}, term string, wtf double, len long", order=("term", key)), "corpus": Table("n_rows long, avg_len double")}
+        self.store = Store(spark, path, tables)
 
     def _terms(self, rows: DataFrame, term: str = "term") -> DataFrame:
         if not self.stems:
@@ -77,17 +98,17 @@ class TextIndex:
         return rows.join(words.withColumn("_stem", stemmed(folded(F.col(term)))), term).withColumn(term, F.col("_stem")).drop("_stem")
 
     def write(self, rows: DataFrame, fields: Mapping[str, float] = WEIGHTS) -> TextIndex:
-        """Makes the index of ``rows`` anew."""
+        """Makes the index of ``rows`` anew, as the next version: who searches the one before isn't disturbed."""
         post = self._terms(postings(rows, fields, self.key)).groupBy(self.key, "term").agg(F.sum("wtf").alias("wtf"))
-        size = lengths(rows, fields, self.key)
-        laid = post.join(size, self.key).repartitionByRange("term", self.key).sortWithinPartitions("term", self.key)
-        laid.write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{self.path}/postings")
-        size.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        size = checkpointed(lengths(rows, fields, self.key))
+        corpus = size.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))
+        version = F.lit(self.store.version + 1).cast("long")
+        self.store.compact({"postings": post.join(size.withColumn("len", F.col("len").cast("long")), self.key).withColumn("_version", version), "corpus": corpus.withColumn("_version", version)})
         return self
 
     def postings(self, exact: list[str], stems: list[str]) -> DataFrame:
         """Postings of some terms, and of those that begin with some; both filters reach the files."""
-        held = self.spark.read.parquet(f"{self.path}/postings")
+        held = self.store.read("postings").drop("_version")
         wanted = F.col("term").isin(exact) if exact else F.lit(False)
         for s in stems:
             wanted = wanted | F.col("term").startswith(s)
@@ -99,7 +120,7 @@ class TextIndex:
         queries = plain.unionByName(queries.where("prefix").withColumn("term", folded(F.col("term")) if self.stems else F.col("term")))
         rows = queries.select("term", "prefix").distinct().collect()
         post = self.postings(sorted(r["term"] for r in rows if not r["prefix"]), sorted(r["term"] for r in rows if r["prefix"]))
-        return _scored(post, self.spark.read.parquet(f"{self.path}/corpus"), queries, self.key)
+        return _scored(post, self.store.read("corpus").drop("_version"), queries, self.key)
 
 
 def snippet(text: Column, term: Column, width: int = 12, before: int = 4) -> Column:

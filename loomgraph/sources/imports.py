@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,15 +83,26 @@ def from_store(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registered projects of a JSON file; none if it is missing or broken."""
     if not exists(spark, path):
-        return spark.createDataFrame([], REGISTRY)
+        if not exists(spark, f"{path}.before"):
+            return spark.createDataFrame([], REGISTRY)
+        path = f"{path}.before"  # a save was cut short
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':') for c in REGISTRY.split(', '))}>>")).alias("r"))
     return rows.select("r.*").where("path is not null")
 
 
 def save_registry(projects: DataFrame, path: str) -> None:
-    """The registry as one JSON array; it holds a row a project."""
+    """The registry as one JSON array, a row a project; written beside and switched, so ``projects`` may come from the same path."""
     rows = projects.select([F.col(c.split(" ")[0]) for c in REGISTRY.split(", ")])
-    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value")).coalesce(1).write.text(beside)
+    spark = projects.sparkSession
+    new, now, before = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, f"{path}.before"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(before, True)
+        fs.rename(now, before)
+    fs.rename(new, now)
+    fs.delete(before, True)
 
 
 def registered(projects: DataFrame, given: DataFrame) -> DataFrame:

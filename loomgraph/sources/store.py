@@ -24,10 +24,11 @@ CUT_ROWS = 1_000_000  # segments of fewer rows are not cut in folders
 
 @dataclass(frozen=True)
 class Table:
-    """A table's columns, the column its segments are cut by, and what rows of older schemas have in columns they lack (SQL)."""
+    """A table's columns, the column its segments are cut by or those they are laid in order of, and what rows of older schemas have in columns they lack (SQL)."""
 
     schema: str
     bucket: str | None = None
+    order: tuple[str, ...] = ()
     defaults: Mapping[str, str] = field(default_factory=dict)
 
 
@@ -134,18 +135,22 @@ class Store:
 
     def _segment(self, table: str, rows: DataFrame) -> dict | None:
         """Writes rows that have ``_version`` already; None if there are none."""
-        name, bucket = f"segment={uuid.uuid4().hex}", self.tables[table].bucket
-        rows = rows.select(*self._schema(table).names)
-        count = rows.count()
-        if not count:
-            return None
-        cut = bool(bucket) and count >= self.cut_rows
-        if cut:
-            rows = rows.withColumn("_bucket", bucket_of(bucket)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", bucket)
-            rows.write.partitionBy("_bucket").parquet(f"{self.path}/{table}/{name}")
+        name, spec = f"segment={uuid.uuid4().hex}", self.tables[table]
+        where, rows = f"{self.path}/{table}/{name}", rows.select(*self._schema(table).names)
+        cut = bool(spec.bucket) and rows.limit(self.cut_rows).count() >= self.cut_rows
+        if spec.order:
+            rows.repartitionByRange(*spec.order).sortWithinPartitions(*spec.order).write.option("parquet.block.size", str(8 << 20)).parquet(where)
+        elif cut:
+            laid = rows.withColumn("_bucket", bucket_of(spec.bucket)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", spec.bucket)
+            laid.write.partitionBy("_bucket").parquet(where)
         else:
             rows = rows.hint("rebalance")
-            (rows.sortWithinPartitions(bucket) if bucket else rows).write.parquet(f"{self.path}/{table}/{name}")
+            (rows.sortWithinPartitions(spec.bucket) if spec.bucket else rows).write.parquet(where)
+        count = self.spark.read.schema(self._schema(table)).parquet(where).count()  # from the files' footers
+        if not count:
+            fs, path = self._fs(where)
+            fs.delete(path, True)
+            return None
         return {"name": name, "rows": count, "schema": self.schema, "cut": cut}
 
     def commit(self, added: Mapping[str, DataFrame], note: Mapping | None = None) -> int:
@@ -183,7 +188,7 @@ class Store:
         for table, rows in live.items():
             new = self._segment(table, rows)
             segments[table] = [new] if new else []
-        self._write({**self.last, "version": self.version + 1, "segments": segments})
+        self._write({**self.last, "version": self.version + 1, "schema": self.schema, "segments": segments})
         return self.version
 
     def vacuum(self, keep: int = 1) -> int:

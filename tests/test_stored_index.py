@@ -130,7 +130,7 @@ def test_stream_that_is_killed_between_batches(spark, tmp_path, monkeypatch):
 # ---------------------------------------------------------------- schemas
 
 OLD = {"files": Table("path string, lang string", "path")}
-NEW = {"files": Table("path string, lang string, content_hash string, centrality double", "path", {"content_hash": "''", "centrality": "0.0"}), "meta": Table("key string, value string")}
+NEW = {"files": Table("path string, lang string, content_hash string, centrality double", "path", defaults={"content_hash": "''", "centrality": "0.0"}), "meta": Table("key string, value string")}
 
 
 def test_a_store_of_an_older_schema_is_taken_over_once(spark, tmp_path):

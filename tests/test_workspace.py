@@ -159,3 +159,61 @@ def test_long_and_deep_places(spark):
     places = spark.createDataFrame([(1, 7, 122), (2, 7, 499), (3, 7, 900), (4, 8, 4), (5, 9, 1), (6, 7, None)], "place_id long, file_id long, line long")
     got = {r["place_id"]: (r["symbol_id"], r["enclosed"]) for r in G.enclosing(places, symbols).collect()}
     assert got == {1: (3, True), 2: (1, True), 3: (1, False), 4: (4, False), 6: (1, False)}
+
+
+def test_lookup_by_kind_scores_among_all(spark, work, busy):
+    text = busy["name"].replace("_", " ")
+    columns = ["rank", "id", "kind", "bm25"]
+
+    def rows(index):
+        return [(r["rank"], r["id"], r["kind"], round(r["bm25"], 9)) for r in work.lookup(text, kind=busy["kind"], index=index).select(columns).orderBy("rank").collect()]
+
+    plain = rows(None)
+    assert plain and plain == rows(work.text_index(scratch(spark, "index"))) == rows(work.kept_index(scratch(spark, "segments")))
+    every = {r["id"]: round(r["bm25"], 9) for r in work.lookup(text, limit=100).collect()}
+    assert all(every.get(i, s) == s for _, i, _, s in plain)
+
+
+def test_impact_of_one_direction(work, busy):
+    both, _ = work.impact(busy["qualified_name"], 2)
+    rows = sorted(map(tuple, both.collect()))
+    for direction in ("upstream", "downstream"):
+        part, risk = work.impact(busy["qualified_name"], 2, direction)
+        assert sorted(map(tuple, part.collect())) == [r for r in rows if r[0] == direction]
+        assert risk.first()["downstream_count" if direction == "upstream" else "upstream_count"] == 0
+    with pytest.raises(ValueError, match="direction"):
+        work.impact(busy["qualified_name"], 2, "sideways")
+
+
+def test_update_graph_follows_a_tree(spark, work, tmp_path):
+    (tmp_path / "a.py").write_text("def one():\n    two_of()\n")
+    (tmp_path / "b.py").write_text("def two_of():\n    pass\n")
+    store = scratch(spark, "graph")
+    assert work.update_graph(str(tmp_path), store).edges.count() == 1
+    (tmp_path / "b.py").unlink()
+    (tmp_path / "c.py").write_text("def three():\n    one()\n")
+    kept = work.update_graph(str(tmp_path), store)
+    assert sorted(r["name"] for r in kept.symbols().collect()) == ["one", "three"] and kept.edges.count() == 1
+    assert work.update_graph(str(tmp_path), store).store.last["counts"]["sites_new"] == 0
+
+
+def test_an_index_in_use_can_be_made_again(spark, work, busy):
+    path = scratch(spark, "index")
+    first = work.text_index(path)
+    asked = spark.createDataFrame([("q", 0, "no_such_word", False, True), ("p", 0, busy["name"].split("_")[0], False, True)], "query string, slot int, term string, prefix boolean, required boolean")
+    found = first.search(asked)
+    work.text_index(path)
+    assert found.count() > 0 and first.store.refresh().version == 2
+
+
+def test_registry_saved_over_itself(spark, tmp_path):
+    from loomgraph.sources import imports
+
+    where = str(tmp_path / "registry.json")
+    given = spark.createDataFrame([("a", "/a", 1, None)], "name string, path string, symbol_count long, last_indexed timestamp")
+    for k in range(2):
+        more = spark.createDataFrame([(f"p{k}", f"/p{k}", k, None)], given.schema)
+        imports.save_registry(imports.registered(imports.load_registry(spark, where), given.unionByName(more)), where)
+    assert sorted(r["name"] for r in imports.load_registry(spark, where).collect()) == ["a", "p0", "p1"]
+    (tmp_path / "registry.json").rename(tmp_path / "registry.json.before")  # as if a save had been cut short
+    assert imports.load_registry(spark, where).count() == 3
