@@ -85,7 +85,7 @@ def cap_impact(g: Graph) -> DataFrame:
     f"SELECT l.direction, l.id, row_number() OVER (PARTITION BY l.direction ORDER BY l.depth, f.path, l.id) AS place FROM levels l {_WITH_SYMBOL}", f"{_TOP},{_LEVELS}"
 )
 def sort_multi(g: Graph) -> DataFrame:
-    return impact(g).select("direction", "id", F.row_number().over(Window.partitionBy("direction").orderBy("depth", "path", "id")).alias("place"))
+    return G.numbered(impact(g), ["depth", "path", "id"], "direction").select("direction", "id", "place")
 
 
 _TRACE = """
@@ -168,17 +168,27 @@ def orphans(g: Graph) -> DataFrame:
     return G.orphans(g.symbols, g.file_refs, g.calls).groupBy("kind").agg(F.count("*").alias("orphans"))
 
 
-@query("SELECT s.id, s.name, s.kind FROM symbols s WHERE s.id IN (SELECT source_id FROM calls WHERE source_id = target_id)")
+@query("SELECT s.id, s.name, s.kind FROM symbols s WHERE s.id IN (SELECT source_id FROM looped WHERE source_id = target_id)", "looped AS (SELECT source_id, target_id FROM calls UNION ALL SELECT id, id FROM symbols WHERE id % 50 = 0)")
 def self_loops(g: Graph) -> DataFrame:
-    return G.self_loops(g.symbols, g.calls)
+    """Symbols that call themselves; every fiftieth is made to."""
+    looped = g.calls.select("source_id", "target_id").union(g.symbols.where("id % 50 = 0").select("id", "id"))
+    return G.self_loops(g.symbols, looped)
 
 
-_SHARED = "SELECT source_id AS id FROM calls WHERE target_id IN (SELECT id FROM two WHERE r = 1) INTERSECT SELECT source_id FROM calls WHERE target_id IN (SELECT id FROM two WHERE r = 2)"
+_PAIR = """
+pair AS (SELECT target_id AS id, row_number() OVER (ORDER BY target_id) AS r FROM (SELECT DISTINCT target_id FROM calls JOIN top ON top.id = source_id) QUALIFY r <= 2)"""
+_SHARED = "SELECT source_id AS id FROM calls WHERE target_id IN (SELECT id FROM pair WHERE r = 1) INTERSECT SELECT source_id FROM calls WHERE target_id IN (SELECT id FROM pair WHERE r = 2)"
 
 
-@query(_SHARED, _TWO)
+def _pair(g: Graph, rank: int) -> DataFrame:
+    """(id) of the first or second symbol that the one with most calls calls."""
+    met = g.calls.join(F.broadcast(G.most_connected(g.calls).withColumnRenamed("id", "source_id")), "source_id").select(F.col("target_id").alias("id")).distinct()
+    return met.orderBy("id").limit(rank).orderBy(F.desc("id")).limit(1)
+
+
+@query(_SHARED, f"{_TOP},{_PAIR}")
 def set_intersect(g: Graph) -> DataFrame:
-    return G.shared_callers(g.calls, _called(g, 1), _called(g, 2))
+    return G.shared_callers(g.calls, _pair(g, 1), _pair(g, 2))
 
 
 @query(
@@ -188,19 +198,18 @@ def set_intersect(g: Graph) -> DataFrame:
     _TWO,
 )
 def semi_shared_callers(g: Graph) -> DataFrame:
-    """Callers of any symbol of one name and of any of another, with how many of those they call: two semi-joins, no pairs."""
-    def named(rank: int) -> DataFrame:
-        name = g.symbols.join(F.broadcast(_called(g, rank)), "id").select("name")
-        return g.symbols.join(F.broadcast(name), "name", "left_semi").select("id")
+    """Callers of any symbol of one name and of any of another, with how many of those they call: one pass over the calls, no pairs."""
+    two = g.calls.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(2)
+    ranked = two.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "id")))  # two rows
+    names = g.symbols.join(F.broadcast(ranked.select("id", "r")), "id").select("name", "r")
+    asked = g.symbols.join(F.broadcast(names), "name").select(F.col("id").alias("target_id"), "r")
+    met = g.calls.select("source_id", "target_id").join(asked, "target_id").groupBy("source_id").agg(F.countDistinct("target_id").alias("met"), F.countDistinct("r").alias("names"))
+    return met.where("names = 2").select("source_id", "met")
 
-    both = G.shared_callers(g.calls, named(1), named(2)).withColumnRenamed("id", "source_id")
-    asked = named(1).union(named(2)).distinct().withColumnRenamed("id", "target_id")
-    return g.calls.join(both, "source_id", "left_semi").join(asked, "target_id", "left_semi").groupBy("source_id").agg(F.countDistinct("target_id").alias("met"))
 
-
-@query(f"SELECT id, name FROM symbols WHERE id IN ({_SHARED})", _TWO)
+@query(f"SELECT id, name FROM symbols WHERE id IN ({_SHARED})", f"{_TOP},{_PAIR}")
 def shared_callers(g: Graph) -> DataFrame:
-    return G.shared_callers(g.calls, _called(g, 1), _called(g, 2)).join(g.symbols, "id").select("id", "name")
+    return G.shared_callers(g.calls, _pair(g, 1), _pair(g, 2)).join(g.symbols, "id").select("id", "name")
 
 
 @query("SELECT count(*) > 0 AS path_exists FROM edges WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM two WHERE r = 1)", f"{_TOP},{_TWO}")
@@ -600,3 +609,20 @@ def ins_decision_text(g: Graph) -> DataFrame:
     known = g.symbols.where("name > 'c'").select(F.col("qualified_name").alias("name"))
     third = g.file_refs.where("id % 3 = 0").select("path")
     return K.validated(g.decisions, known, _sources(g).join(third, "path", "left_semi").select("path", "text")).select("id", "validated", "validated_by")
+
+
+@query("SELECT s.id, s.name, f.path, '' AS content_hash, s.name_tokens, 0.0::DOUBLE AS centrality, count(e.target_id) AS calls, 2 AS schema, 2 AS version FROM symbols s JOIN files f ON f.id = s.file_id LEFT JOIN calls e ON e.source_id = s.id GROUP BY ALL")
+def open_store(g: Graph) -> DataFrame:
+    """A store written by the first schema, without hashes, words of names and centrality, is opened and taken over."""
+    from loomgraph.sources import graph_store
+    from loomgraph.sources.store import Store, Table
+    from loomgraph.sources.tables import scratch
+
+    path = scratch(g.spark, "store")
+    old = {"files": Table("id long, path string, lang string, size_bytes long, line_count long", "path"), "symbols": Table("id long, file_id long, name string, qualified_name string, kind string, start_line long, end_line long, signature string, doc string", "id"), "edges": Table("source_id long, target_id long, kind string", "source_id")}
+    tables = {"files": g.files, "symbols": g.symbols, "edges": g.edges}
+    Store(g.spark, path, old, 1).commit({k: checkpointed(rows.select(*[c.split(" ")[0] for c in old[k].schema.split(", ")])) for k, rows in tables.items()})
+    s = graph_store.GraphStore(g.spark, path, create=False)
+    calls = s.calls.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("calls"))
+    rows = s.symbols.join(s.files.select(F.col("id").alias("file_id"), "path", "content_hash"), "file_id").join(calls, "id", "left")
+    return rows.select("id", "name", "path", "content_hash", "name_tokens", "centrality", F.coalesce("calls", F.lit(0)).alias("calls"), F.lit(s.store.last["schema"]).alias("schema"), F.lit(s.store.version).alias("version"))

@@ -96,6 +96,24 @@ def within_budget(rows: DataFrame, cost: Column, order: list[Column], budget: in
     return rows.withColumn("running_cost", F.sum(cost).over(window)).where(F.col("running_cost") <= budget)
 
 
+def numbered(rows: DataFrame, order: list[str], by: str | None = None, name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 1) in ``order``, among those equal in ``by`` if given, a task numbering one range of the order.
+
+    The rows are laid in ranges and stored; what comes before a range follows from the
+    ranges' counts. ``order`` has to tell rows apart, or equal ones are numbered in any order.
+    """
+    keys = [*([by] if by else []), *order]
+    laid = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    groups = ["_range", *([by] if by else [])]
+    counts = laid.groupBy(*groups).agg(F.count("*").alias("_n"))  # a row for each range, and for each key that begins in it
+    window = Window.partitionBy(by) if by else Window.partitionBy()
+    before = counts.withColumn("_before", F.sum("_n").over(window.orderBy("_range")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    at = laid.withColumn("_at", inside)
+    same = [at[g].eqNullSafe(before[g]) for g in groups]
+    return at.join(before, same).select(*[at[c] for c in rows.columns], (F.col("_before") + F.col("_at")).alias(name))
+
+
 def with_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
 
