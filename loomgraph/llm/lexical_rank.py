@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import give_back, hashed_words, stored, text_buffers
+from loomgraph.llm.common import forget, give_back, hashed_words, stored, text_buffers
 
 TOP = 10
 K_PART, B_PART = 8, 75  # impact: 10**9 * tf div (1000 * tf + K_PART * m), m = 100 - B_PART + (B_PART * n * N) div L
@@ -207,7 +207,9 @@ def _one_pass(docs: DataFrame, texts: list[tuple[int, int, str]], top: int) -> D
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     keys = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(items.keys)], "item long, key0 long, key1 long")
-    return stored(ranked.join(F.broadcast(keys), "item").select("key0", "key1", "rank", "doc_id", "score"), "ranked")  # keys: at most PASS_ITEMS rows
+    out = stored(ranked.join(F.broadcast(keys), "item").select("key0", "key1", "rank", "doc_id", "score"), "ranked")  # keys: at most PASS_ITEMS rows
+    forget(found)
+    return out
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", top: int = TOP, pass_bytes: int = PASS_BYTES, pass_items: int = PASS_ITEMS) -> DataFrame:
@@ -232,5 +234,6 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str =
         rows = texts.where(F.pmod("key0", F.lit(passes)) == p).collect() if passes > 1 else texts.collect()
         part = _one_pass(docs, [(r["key0"], r["key1"], r["text"]) for r in rows], top)
         ranked = part if ranked is None else ranked.unionByName(part)
+    forget(texts)
     out = keyed.drop("_text").join(ranked, ["key0", "key1"])
     return out.select(F.col("_item").alias(key), "rank", "doc_id", "score")
