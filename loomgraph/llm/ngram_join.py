@@ -10,8 +10,11 @@ Three orders are used. Sets meet in the groups of the prefix tokens of the first
 (rare tokens first, by a frequency sketch of fixed size). A pair comes out of a group
 only if its sizes and its places in the first order allow the similarity and if the
 prefixes under the second and third order (seeded hashes) can share enough: 128-bit
-maps of those prefixes bound from above what they share. What all three orders let
-through is verified on the whole sets.
+maps of those prefixes bound from above what they share. Of sets too large for such
+maps more comes through; so before whole sets are compared, the second and third order
+are asked again with prefixes of half the set, whose maps grow with them (four bits a
+token): that bound holds for prefixes of any length, and is the sharper the longer they
+are. What all three orders let through is verified on the whole sets.
 
 Documents with equal sets are one node. Groups of near copies aren't expanded into
 pairs: a first round compares every member of a token's group with one hub, the member
@@ -40,6 +43,8 @@ FILTER_BITS = (15, 28)
 LOCAL_GROUP = 256  # a task sends on no more members of one token's group than these
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 MAPS = [f"map{order}{half}" for order in (2, 3) for half in "ab"]  # 128 bits for each further order
+HALVES = [f"half{order}" for order in (2, 3)]  # maps of half the set under each further order
+HALF_BITS = 4  # for each token of that half
 _BLOCK = 1 << 16  # counters in one row of the sketch
 
 
@@ -87,16 +92,52 @@ def _maps(items: np.ndarray, percent: int) -> list[int]:
     return out
 
 
+def _half_size(n: int | np.ndarray) -> int | np.ndarray:
+    return (n + 1) // 2
+
+
+def half_maps(items: np.ndarray) -> list[bytes]:
+    """For each of the second and third order a map of the first half of the tokens, of ``HALF_BITS`` bits a token or up to twice as many."""
+    size = _half_size(len(items))
+    bits = 1 << max(6, (HALF_BITS * size - 1).bit_length())
+    out = []
+    for seed in SEEDS[1:]:
+        keys = mix(items ^ np.uint64(seed))
+        first = np.partition(keys, size - 1)[:size] if size < len(keys) else keys
+        slots = np.zeros(bits, bool)
+        slots[(mix(first) & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(slots, bitorder="little").tobytes())
+    return out
+
+
+def halves_allow(n: int, a: list[bytes], m: int, b: list[bytes], percent: int) -> bool:
+    """Whether sets of n and m tokens can be similar by their half maps: each order has its say."""
+    need = (percent * (n + m) + 99 + percent) // (100 + percent)
+    p, q = _half_size(n), _half_size(m)
+    least = min(p + need - n, q + need - m)
+    for x, y in zip(a, b, strict=True):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(x) != len(y):  # slots are low bits of a hash, so the halves of the larger map fall together
+            if len(x) > len(y):
+                x = x.reshape(2, -1)[0] | x.reshape(2, -1)[1]
+            else:
+                y = y.reshape(2, -1)[0] | y.reshape(2, -1)[1]
+        lacks = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+        if min(p - lacks[0], q - lacks[1]) < least:
+            return False
+    return True
+
+
 # ---------------------------------------------------------------- sizes, nodes, frequency sketch
 
 
 def _measured(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """Rows of documents (doc_id, copy, n, node, maps), and of sketch blocks (block, counts): one pass.
+    """Rows of documents (doc_id, copy, n, node, maps, half maps), and of sketch blocks (block, counts): one pass.
 
     ``copy`` is a hash of the text, which tells rows of one doc_id apart.
     """
     shift = np.uint64(64 - bits)
-    names = ["doc_id", "copy", "n", "node", *MAPS, "block", "counts"]
+    names = ["doc_id", "copy", "n", "node", *MAPS, *HALVES, "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pending, held, seen = np.zeros(1 << bits, np.uint32), [], 0, set()
@@ -108,27 +149,30 @@ def _measured(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame
 
         for batch in batches:
             n, node, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((len(MAPS), batch.num_rows), np.int64)
+            halves: list[list[bytes | None]] = [[None] * batch.num_rows for _ in HALVES]
             for row, items in _sets(batch.column(2), words):
                 if not len(items):
                     continue
                 n[row], node[row], maps[:, row] = len(items), _node(items), _maps(items, percent)
                 if (key := int(node[row])) not in seen:
                     seen.add(key)
+                    for column, made in zip(halves, half_maps(items), strict=True):  # one row of a node in each task has them
+                        column[row] = made
                     pending.append(items)
                     held += len(items)
                 if held > 1 << 20:
                     count()
                     pending, held = [], 0
             none = batch.num_rows
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(node), *map(pa.array, maps), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(node), *map(pa.array, maps), *[pa.array(h, pa.binary()) for h in halves], pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
         if pending:
             count()
         blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, min(_BLOCK, 1 << bits))
         parts = [(i, pa.compress(b.tobytes(), "zstd", asbytes=True)) for i, b in enumerate(blocks) if b.any()]
-        yield pa.record_batch([pa.nulls(len(parts), pa.int64())] * (4 + len(MAPS)) + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+        yield pa.record_batch([pa.nulls(len(parts), pa.int64())] * (4 + len(MAPS)) + [pa.nulls(len(parts), pa.binary())] * len(HALVES) + [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
         give_back()
 
-    kinds = ", ".join(f"{c} long" for c in names[:-2])
+    kinds = ", ".join([f"{c} long" for c in names[: 4 + len(MAPS)]] + [f"{c} binary" for c in HALVES])
     return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, f"{kinds}, block int, counts binary")
 
 
@@ -342,6 +386,21 @@ def _passed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_other_orders(percent)).select("a", "b")
 
 
+def _halves_pass(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the second and third order let through by their half maps."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    maps = measured.where(F.col(HALVES[0]).isNotNull()).select("node", "n", *HALVES).join(needed, "node", "left_semi").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            keep = [halves_allow(n, [a2, a3], m, [b2, b3], percent) for n, a2, a3, m, b2, b3 in rows]
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    columns = ["a", "b", *[f"{side}_{c}" for side in "ab" for c in ("n", *HALVES)]]
+    return pairs.join(_side(maps, "a"), "a").join(_side(maps, "b"), "b").select(columns).mapInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- verification
 
 
@@ -428,14 +487,15 @@ def similar_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     packed = _prefix_rows(docs, levels, bits, words, percent, buckets)
     grouped = stored(packed.groupBy("bucket").applyInPandas(_grouped(percent), _GROUPED), "groups")
     pairs = stored(_passed(_hub_pairs(grouped), nodes, percent), "pairs")
+    likely = stored(_halves_pass(pairs, measured, percent), "pairs")
     members = stored(_members(grouped), "members")
     forget(grouped)
-    links = _linked(docs, pairs, words, percent)
+    links = _linked(docs, likely, words, percent)
     labels = stored(components(links), "labels")
     mixed = stored(_mixed(members, labels, nodes), "mixed")
     forget(members)
-    rest = stored(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    forget(mixed, pairs)
+    rest = stored(_halves_pass(_across(mixed, percent).join(pairs, ["a", "b"], "left_anti"), measured, percent), "pairs")
+    forget(mixed, pairs, likely)
     if rest.isEmpty():
         return ids, labels
     more = _linked(docs, rest, words, percent)

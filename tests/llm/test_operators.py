@@ -748,3 +748,28 @@ def test_quality_on_the_held_out_third(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_mil.digest(docs, labels).join(labels.where("quality is not null"), "doc_id").where("held_out").collect()
     assert len(rows) > 100 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+
+
+def _sets_of(rng, n, m, shared):
+    """Sets of n and m random tokens that have ``shared`` in common."""
+    every = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+    return every[:n], every[n - shared : n - shared + m]
+
+
+@pytest.mark.parametrize("n", [30, 60, 100, 200, 400, 1000, 5000])
+def test_further_orders_hold_at_any_size(n):
+    rng = np.random.default_rng(n)
+
+    def let_through(shared, m=n, times=100):
+        out = 0
+        for _ in range(times):
+            a, b = _sets_of(rng, n, m, shared)
+            out += ngram_join.halves_allow(n, ngram_join.half_maps(a), m, ngram_join.half_maps(b), 80)
+        return out
+
+    assert let_through(0) == 0 and let_through(n // 2) < 10
+    least = -(-80 * 2 * n // 180)  # what sets of similarity 0.8 share
+    assert let_through(least) == let_through(n) == 100
+    m = 100 * n // 80
+    assert let_through(n, m) == 100  # a part of a larger set, at 0.8
+    assert let_through(n // 2, m) < 10
