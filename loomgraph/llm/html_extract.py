@@ -67,13 +67,13 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILER_TAGS = frozenset("head nav footer aside form dialog fieldset menu".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _BOILER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion comment comments commentlist reply replies respond disqus sidebar side rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead banner copyright disclaimer skip hidden form search".split()
+    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion promoted comment comments commentlist discussion discussions reply replies respond disqus sidebar side rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer "
+    "cookie cookies cookiebar cookiebanner consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead banner copyright disclaimer skip hidden form search".split()
 )
 _HEADER_NAMES = frozenset("header topbar".split())
 #: Words that a boilerplate name may have before and after it within one class or id, as in site-footer or share-buttons.
 _BEFORE = frozenset("site main top bottom page primary secondary global post article entry blog single web google mobile desktop sticky fixed floating js wp user left right email mail the in".split())
-_AFTER = frozenset("list item items box container wrapper wrap inner outer links link posts post articles stories block section area slot unit bar buttons button icons icon group panel body text title top bottom left right column col primary secondary thread count toggle msg message".split())
+_AFTER = frozenset("content list item items box container wrapper wrap inner outer links link posts post articles stories block section area slot unit bar buttons button icons icon group panel body text title top bottom left right column col primary secondary thread count toggle msg message".split())
 #: Elements of these names hold articles of their own, which aren't the page's.
 _HOLDERS = frozenset("comment comments commentlist reply replies respond disqus sidebar side rail widget widgets related recommended recommendations sponsor sponsored promo promotion ad ads".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -273,11 +273,16 @@ def classify(blocks: list[Block]) -> None:
 def resolve(blocks: list[Block]) -> None:
     """Pass two: undecided blocks take the label of the nearest decided neighbours.
 
-    Within an article only the article's own blocks are neighbours (an advert in its
+    Where no block of the page is good, short ones have no neighbour to follow: those of
+    them that are hardly links are the text. Within an article only the article's own blocks are neighbours (an advert in its
     midst is none), and where none of them is decided its blocks are good. Elsewhere the page's ends are bad. Of two
     neighbours as near, a heading follows the next, other blocks the good one if
     they hold a stop word.
     """
+    if not any(b.label == "good" for b in blocks):
+        for b in blocks:
+            b.label = b.label or ("good" if b.article or b.linked <= FEW_LINKS * len(b.text) else "bad")
+        return
     n = len(blocks)
     before: list[tuple[int, str]] = []
     last: dict[int, tuple[int, str]] = {}

@@ -9,10 +9,12 @@ each bin becomes the smallest permitted length that holds its contents.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,7 @@ def best_fit(sizes: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, np.
 
 
 _BLANKS = r"[\x20\x09-\x0D]+"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _words() -> Column:
@@ -135,6 +138,15 @@ def sequences(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: i
     """
     longest = max(lengths)
     placed = stored(plan(docs, lengths, group_pieces), "plan").withColumn("_key", F.xxhash64("doc_id", "copy"))
-    texts = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("_key"), "text").dropDuplicates(["_key"])
-    both = placed.join(texts, "_key")
-    return both.select("doc_id", "piece", "size", "bin_id", "bin_length", "bin_offset", F.array_join(F.slice(_words(), F.col("piece") * longest + 1, F.lit(longest)), " ").alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _WORD.findall(text or "")  # a text is split once, whatever its length
+                parts = [" ".join(words[i : i + longest]) for i in range(0, len(words) + 1, longest)]
+                for at in range(0, len(parts), 1000):
+                    some = parts[at : at + 1000]
+                    yield pa.record_batch([pa.array([key] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string())], names=["_key", "piece", "words"])
+
+    cut = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("_key"), "text").mapInArrow(run, "_key long, piece int, words string").dropDuplicates(["_key", "piece"])
+    return placed.join(cut, ["_key", "piece"]).select("doc_id", "piece", "size", "bin_id", "bin_length", "bin_offset", "words")

@@ -773,3 +773,30 @@ def test_further_orders_hold_at_any_size(n):
     m = 100 * n // 80
     assert let_through(n, m) == 100  # a part of a larger set, at 0.8
     assert let_through(n // 2, m) < 10
+
+
+NAV = "<ul><li><a href='/'>Start</a></li><li><a href='/o'>Info</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<h1>News</h1><p>It rained today.</p><p>Nobody minded.</p>", "News It rained today. Nobody minded."), (f"{NAV}<h1>News</h1><p>It rained.</p>{NAV}", "News It rained."), (f"{NAV}<p>See <a href='/x'>all of the others</a></p>", ""),
+        (f"{NAV}<p>Short.</p><footer>Imprint</footer><div class='cookiebar'><p>We use them.</p></div>", "Short."), ("<p>One.</p><div class='promoted-content'><p>Buy.</p></div><div id='discussion'><p>I agree.</p></div>", "One."),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='promoted-content'><p>{LONG}</p></div><div class='cookiebar'><p>{LONG}</p></div><div id='discussion'><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<article><p>Tiny.</p></article>{NAV}", "Tiny."), (f"<div class='thread'><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_short_pages_and_unusual_names(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_sequences_of_a_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, None), (3, "a\tb\n c "), (3, "a b c")], "doc_id long, text string")
+    rows = packing.sequences(docs).orderBy("doc_id", "bin_id", "piece").collect()
+    assert len(rows) == 2 * 74 + 3 and sum(len(r["words"].split()) for r in rows) == 600_006
+    whole = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        whole.setdefault(r["doc_id"], []).append(r["words"])
+    assert " ".join(whole[1][::2]) == long and whole[3] == ["a b c"] * 2 and whole[2] == [""]
