@@ -13,7 +13,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import knowledge as K
 from loomgraph.sources import extract
 from loomgraph.sources.store import Store, StoreError, Table, newest
-from loomgraph.sources.tables import checkpointed
+from loomgraph.sources.tables import checkpointed, forget
 
 
 @dataclass
@@ -223,6 +223,7 @@ class StoredIndex:
         added = {k: rows if k in ("symbols", "sites") else checkpointed(rows) for k, rows in added.items()}
         counts = {"sites_new": sites.count(), "sites_read": held.count(), "sites_held": sum(s["rows"] for s in self.store.last.get("segments", {}).get("sites", []))}
         self.store.commit(added, {"counts": counts, "hints": hinted, "streams": {**done, **({stream: number} if number is not None else {})}})
+        forget(changed, read, symbols, sites, needed, firsts, *added.values())  # all that counts is in the store
         return self.store.last
 
     def compact(self) -> int:
@@ -231,7 +232,10 @@ class StoredIndex:
         edges = self._of_files(self.store.read("edges")).join(again, "callee", "left").where("_since is null or _version >= _since or confidence = 'exact'")
         live = {"files": self._files(), "edges": edges, "names": newest(self.store.read("names"), ["name"])}
         live |= {t: self._of_files(self.store.read(t)) for t in ("symbols", "sites", "errors")}
-        return self.store.compact({t: checkpointed(rows.select(*self.store.read(t).columns)) for t, rows in live.items()})
+        stored = {t: checkpointed(rows.select(*self.store.read(t).columns)) for t, rows in live.items()}
+        version = self.store.compact(stored)
+        forget(*stored.values())
+        return version
 
 
 def index_stream(files: DataFrame, index: StoredIndex, name: str = "stream") -> DataStreamWriter:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.sources.tables import checkpointed
+from loomgraph.sources.tables import checkpointed, forget
 
 UPSTREAM, DOWNSTREAM = "upstream", "downstream"
 MAX_DEPTH = 50
@@ -55,6 +55,7 @@ def impact_levels(edges: DataFrame, seeds: DataFrame, depth: int, *directions: s
         if level.isEmpty():
             break
         found = found.unionByName(level.withColumn("depth", F.lit(k)))
+    forget(steps)  # the levels are tables of their own
     return found
 
 
@@ -82,6 +83,8 @@ def trace(symbols: DataFrame, files: DataFrame, edges: DataFrame, entry: DataFra
         level = met.select("id").distinct()
         if level.isEmpty():
             break
+    if depth:
+        forget(steps)  # the levels are tables of their own
     return found.join(with_files(symbols, files), "id").select("id", "name", "kind", "path", "start_line", "depth", "edge_kind")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.functions.stem import folded, stemmed
 from loomgraph.sources.store import Store, Table
-from loomgraph.sources.tables import checkpointed
+from loomgraph.sources.tables import checkpointed, forget
 
 #: Field weights, and the usual BM25 constants.
 WEIGHTS: Mapping[str, float] = {"name": 3.0, "name_tokens": 3.0, "signature": 2.0, "doc": 1.0}
@@ -104,6 +104,7 @@ class TextIndex:
         corpus = size.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))
         version = F.lit(self.store.version + 1).cast("long")
         self.store.compact({"postings": post.join(size.withColumn("len", F.col("len").cast("long")), self.key).withColumn("_version", version), "corpus": corpus.withColumn("_version", version)})
+        forget(size)
         return self
 
     def postings(self, exact: list[str], stems: list[str]) -> DataFrame:

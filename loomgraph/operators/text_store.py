@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval as R
 from loomgraph.sources.store import Store, Table, newest
-from loomgraph.sources.tables import checkpointed
+from loomgraph.sources.tables import checkpointed, forget
 
 TABLES = {
     "rows": Table("key long, len long, gone boolean", "key"),
@@ -44,7 +44,9 @@ class SegmentIndex:
         now = self.store.last
         note = {"n": now.get("n", 0) + a["n"] - b["n"], "total": now.get("total", 0) + a["t"] - b["t"], "ever": now.get("ever", 0) + a["n"], "wrote": {"rows": a["n"], "postings": post.count()}}
         known = touched.join(old.select(F.col("key"), F.lit(True).alias("_live")), "key", "left").where("_live or not gone").drop("_live")
-        self.store.commit({"rows": checkpointed(known), "postings": post, "dead": old.select("key")}, note)
+        known = checkpointed(known)
+        self.store.commit({"rows": known, "postings": post, "dead": old.select("key")}, note)
+        forget(*([new] if new is not None else []), touched, old, post, known)  # all that counts is in the store
         if note["ever"] - note["n"] > self.dead_share * max(1, note["ever"]):
             self.compact()
         return self.store.last
@@ -57,7 +59,9 @@ class SegmentIndex:
         rows = newest(self.store.read("rows"), ["key"]).where("not gone")
         live = {"rows": checkpointed(rows), "postings": checkpointed(self._live(self.store.read("postings"))), "dead": self.store.read("dead").limit(0)}
         self.store.last = {**self.store.last, "ever": self.store.last["n"]}
-        return self.store.compact(live)
+        version = self.store.compact(live)
+        forget(*live.values())
+        return version
 
     @property
     def corpus(self) -> DataFrame:

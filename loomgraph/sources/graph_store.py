@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.operators import knowledge as K
 from loomgraph.sources.store import Store, Table
-from loomgraph.sources.tables import checkpointed, exists
+from loomgraph.sources.tables import checkpointed, exists, forget
 
 #: Schema 1 had neither hashes of files, words of names, centrality nor vectors.
 SCHEMA = 2
@@ -58,6 +58,7 @@ class GraphStore:
             columns = [F.col(f.name).cast(f.dataType) if f.name.lower() in given else F.expr(spec.defaults.get(f.name, "null")).cast(f.dataType) for f in schema.fields[:-1]]
             laid[name] = checkpointed(rows.select(*[c.alias(f.name) for c, f in zip(columns, schema.fields, strict=False)], F.lit(version).cast("long").alias("_version")))
         self.store.compact(laid)
+        forget(*laid.values())
         for name in ("files", "symbols", "edges", "domains", "domain_symbols", "constraints", "decisions", "vectors", "file_refs", "calls"):
             self.__dict__.pop(name, None)
         return self

@@ -11,13 +11,15 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 _LINE, _HASH, _BLOCK = r"//[^\n]*", r"#[^\n]*", r"/\*(?s:.*?)\*/"
-_DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
+_DOUBLE, _SINGLE = r'"(?:\\(?s:.)|[^"\\\n])*"', r"'(?:\\(?s:.)|[^'\\\n])*'"
 _LONG_DOUBLE, _LONG_SINGLE = r'"(?:\\(?s:.)|[^"\\])*"', r"'(?:\\(?s:.)|[^'\\])*'"
 _TRIPLE = r'"""(?s:.*?)"""'
 _DIRECTIVE = r"^[ \t]*\#(?:\\\n|[^\n])*"
 _TEMPLATE = r"`(?:\\(?s:.)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"
 #: A slash begins an expression where no value ends before it.
 _REGEX = r"(?P<before>(?:^|[=(,:;!&|?{}\[+\n]|\b(?:return|typeof|case))[ \t]*)(?P<regex>/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
+#: Literals between brackets, which may hold a pair of the same kind.
+_PERCENT = "%[wWiIqQrsx]?(?:" + "|".join(rf"\{a}(?:\\(?s:.)|[^\{a}\{b}\\]|\{a}[^\{a}\{b}]*\{b})*\{b}" for a, b in ("()", "[]", "{}", "<>")) + r"|\|[^|\n]*\|)"
 #: An opener that nothing closes, tried last; what follows is no code.
 _OPEN = r"(?P<open>{})(?s:.*)"
 
@@ -30,7 +32,7 @@ _NO_CODE: dict[str, list[str]] = {
     "java": [_LINE, _BLOCK, _TRIPLE, _DOUBLE, _SINGLE, _OPEN.format(r'/\*|"')],
     "csharp": [_LINE, _BLOCK, _DIRECTIVE, r'\$*"""(?s:.*?)"""', r'(?:\$@|@\$?)"(?:""|[^"])*"', _DOUBLE, _SINGLE, _OPEN.format(r'/\*|"')],
     "ruby": [r"^=begin\b(?s:.*?)^=end\b[^\n]*", r"^__END__$(?s:.*)", r"<<[~-]?(?P<quote>['\"]?)(?P<word>[A-Za-z_]\w*)(?P=quote)[^\n]*\n(?s:.*?)^[ \t]*(?P=word)$", r"(?<![\w$])\#[^\n]*", _LONG_DOUBLE, _LONG_SINGLE, r"`[^`]*`",
-        r"%[wWiIqQr]?(?:\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|<[^>]*>|\|[^|\n]*\|)", r"(?<=[=(,~\s])/(?![\s=])(?:\\.|[^/\\\n])+/[a-z]*", _OPEN.format(r"^=begin\b|[\"']")],
+        _PERCENT, r"(?<=[=(,~\s])/(?![\s=])(?:\\.|[^/\\\n])+/[a-z]*", _OPEN.format(r"^=begin\b|[\"']")],
     "php": [r"\?>(?s:.*?)(?:<\?(?:php\b|=)|\Z)", _LINE, r"\#(?!\[)[^\n]*", _BLOCK, r"<<<[ \t]*(?P<quote>['\"]?)(?P<word>[A-Za-z_]\w*)(?P=quote)\n(?s:.*?)^[ \t]*(?P=word)\b", _LONG_DOUBLE, _LONG_SINGLE, _OPEN.format(r"/\*|[\"']")],
     "kotlin": [_LINE, _BLOCK, _TRIPLE, _DOUBLE, r"'(?:\\(?:u....|.)|[^'\\\n])'", r"`[^`\n]*`", _OPEN.format(r'/\*|"')],
     "swift": [_LINE, _BLOCK, r'(?P<hashes>\#+)"(?s:.*?)"(?P=hashes)', _TRIPLE, _DOUBLE, _OPEN.format(r'/\*|"')],

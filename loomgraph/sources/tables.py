@@ -41,11 +41,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_FOLDER = "_step_folder"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` as a table of the shared folder: a later step reads it even if executors are lost."""
     path = scratch(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _FOLDER, path)
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Deletes ``checkpointed`` tables that nothing will read again."""
+    for step in steps:
+        if path := getattr(step, _FOLDER, None):
+            where = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:

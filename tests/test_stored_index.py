@@ -1,5 +1,6 @@
 """The stored index: versions, restarts, what a batch reads, schemas, merges, against index runs made anew."""
 
+import glob
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.jobs import index
 from loomgraph.sources.store import Store, StoreError, Table
+from loomgraph.sources.tables import shared_folder
 
 FILES = "path string, lang string, content_hash string, text string"
 
@@ -66,7 +68,9 @@ def test_a_small_batch_reads_few_call_sites(spark, tmp_path):
     texts = {f"m{k:03}.py": f"def only_{k}():\n    only_{(k + 1) % 200}()\n    only_{(k + 7) % 200}()\n" for k in range(200)}
     stored = index.StoredIndex(spark, str(tmp_path), cut_rows=100)
     assert stored.apply(frame(spark, texts))["counts"]["sites_new"] == 400
+    steps = len(glob.glob(f"{shared_folder(spark)}/step-*"))
     counts = stored.apply(frame(spark, {"m000.py": "def only_0():\n    only_5()\n"}))["counts"]
+    assert len(glob.glob(f"{shared_folder(spark)}/step-*")) == steps  # nothing is left behind
     assert counts == {"sites_new": 1, "sites_read": 0, "sites_held": 400}  # no name has another first symbol
     counts = stored.apply(frame(spark, {"m003.py": "\n\ndef only_3():\n    only_5()\n"}))["counts"]
     assert counts["sites_new"] == 1 and 2 <= counts["sites_read"] < 40
