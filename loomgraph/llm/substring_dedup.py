@@ -168,8 +168,21 @@ def _owned(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(key ^ mix(doc.astype(np.uint64)))
 
 
+def _later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of rows in order of key, then document: which are not of their key's first document."""
+    if not len(key):
+        return np.zeros(0, bool)
+    new = np.r_[True, key[1:] != key[:-1]]
+    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets: int) -> DataFrame:
-    """Runs packed by the hash of all their words; grouped: ``keys`` of the runs that stand for their equals, and ``gone`` the others."""
+    """Runs packed by the hash of all their words; grouped: ``keys`` of the runs that stand for their equals, and ``gone`` the others.
+
+    Of equal runs that a task holds, those of the smallest document alone go to the bucket
+    of their key, each once; the others are gone whatever else there is, and pass by the
+    groups under negative numbers. So a run that is copied without end is a row a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -177,7 +190,15 @@ def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets:
         def flush() -> pa.RecordBatch:
             key = np.array([r[0] for r in rows], np.uint64)
             doc, start, stop = (np.array([r[i] for r in rows], kind) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32)))
-            out = list(_packed(((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets, key, doc, start, stop))
+            order = np.lexsort((stop, start, doc, key))
+            key, doc, start, stop = key[order], doc[order], start[order], stop[order]
+            gone = _later(key, doc)
+            again = np.r_[False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (stop[1:] == stop[:-1])]
+            first, past = ~gone & ~again, gone & ~again
+            out = list(_packed(((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets, key[first], doc[first], start[first], stop[first]))
+            if past.any():
+                number = int(mix(key[past][:1] ^ doc[past][:1].astype(np.uint64))[0] >> np.uint64(34))
+                out.append((-1 - number, (b"", doc[past].tobytes(), start[past].tobytes(), stop[past].tobytes())))
             return pa.record_batch([pa.array([k for k, _ in out], pa.int32())] + [pa.array([c[i] for _, c in out], pa.binary()) for i in range(4)], names=["bucket", "keys", "docs", "starts", "stops"])
 
         for batch in batches:
@@ -189,13 +210,14 @@ def _run_rows(docs: DataFrame, known, bits: int, part: int, parts: int, buckets:
         if rows:
             yield flush()
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
+    def pick(at: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if at[0] < 0:
+            return frame[["keys", "docs", "starts", "stops"]]
         key, doc = _joined(frame, "keys", np.uint64), _joined(frame, "docs", np.int64)
         start, stop = _joined(frame, "starts", np.int32), _joined(frame, "stops", np.int32)
         order = np.lexsort((doc, key))
         key, doc, start, stop = key[order], doc[order], start[order], stop[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = _later(key, doc)
         return pd.DataFrame({"keys": [np.unique(_owned(key, doc)[~gone]).tobytes()], "docs": [doc[gone].tobytes()], "starts": [start[gone].tobytes()], "stops": [stop[gone].tobytes()]})
 
     schema = "keys binary, docs binary, starts binary, stops binary"

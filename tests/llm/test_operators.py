@@ -800,3 +800,15 @@ def test_sequences_of_a_very_long_text(spark):
     for r in sorted(rows, key=lambda r: r["piece"]):
         whole.setdefault(r["doc_id"], []).append(r["words"])
     assert " ".join(whole[1][::2]) == long and whole[3] == ["a b c"] * 2 and whole[2] == [""]
+
+
+def test_a_run_copied_without_end_is_a_row_a_task(spark):
+    text = " ".join(words(91, 80))
+    docs = spark.createDataFrame([(i, text) for i in range(300)] + [(7, text)] * 300 + [(None, text)] * 50, "doc_id long, text string").repartition(3)
+    shared = substring_dedup._keys(substring_dedup._shared_anchors(docs, 4))
+    known, bits = substring_dedup._held(docs, shared)
+    rows = substring_dedup._run_rows(docs, known, bits, 0, 1, 4).collect()
+    owned = sum(len(r["keys"]) // 8 for r in rows)
+    assert owned == 1 and sum(len(r["docs"]) // 8 for r in rows) >= 300
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest(docs).collect()}
+    assert got == {None: 0, 0: 0} | {i: 80 for i in range(1, 300)}
