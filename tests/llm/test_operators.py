@@ -153,12 +153,12 @@ def test_density_and_neighbours_decide(monkeypatch):
 def test_deep_and_long_pages():
     import time
 
-    began = time.perf_counter()
+    began = time.process_time()
     deep = "<div>" * 20_000 + LONG + "</div>" * 20_000
     assert html_extract.main_text(deep) == LONG
     assert html_extract.main_text("<ul>" + "<li><div>" * 20_000 + LONG) == LONG
     assert html_extract.main_text("<article>" + f"<p>{LONG}</p>" * 5_000).count(LONG) == 5_000
-    assert time.perf_counter() - began < 5
+    assert time.process_time() - began < 30  # a quadratic reading takes minutes
 
 
 def test_extract_keeps_every_page(spark):
