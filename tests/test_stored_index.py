@@ -45,7 +45,7 @@ def test_batches_give_what_a_run_anew_gives(spark, tmp_path, hinted):
     known = {f"f{k:02}.py": source(rng) for k in range(12)}
     stored = index.StoredIndex(spark, str(tmp_path / "s"), hints, merge_at=3, cut_rows=20)
     stored.apply(frame(spark, known))
-    for step in range(3):
+    for step in range(2):
         batch = {p: source(rng) for p in rng.sample(sorted(known), 2)} | {f"g{step}.py": source(rng), f"f{step:02}.py": None, "never.py": None}
         batch |= {"broken.py": "def f(:\n"} if step == 1 else {}
         batch |= {"f05.py": known["f05.py"]} if step == 0 else {}  # the same as before
@@ -65,15 +65,15 @@ def test_batches_give_what_a_run_anew_gives(spark, tmp_path, hinted):
 
 
 def test_a_small_batch_reads_few_call_sites(spark, tmp_path):
-    texts = {f"m{k:03}.py": f"def only_{k}():\n    only_{(k + 1) % 200}()\n    only_{(k + 7) % 200}()\n" for k in range(200)}
+    texts = {f"m{k:03}.py": f"def only_{k}():\n    only_{(k + 1) % 90}()\n    only_{(k + 7) % 90}()\n" for k in range(90)}
     stored = index.StoredIndex(spark, str(tmp_path), cut_rows=100)
-    assert stored.apply(frame(spark, texts))["counts"]["sites_new"] == 400
+    assert stored.apply(frame(spark, texts))["counts"]["sites_new"] == 180
     steps = len(glob.glob(f"{shared_folder(spark)}/step-*"))
     counts = stored.apply(frame(spark, {"m000.py": "def only_0():\n    only_5()\n"}))["counts"]
     assert len(glob.glob(f"{shared_folder(spark)}/step-*")) == steps  # nothing is left behind
-    assert counts == {"sites_new": 1, "sites_read": 0, "sites_held": 400}  # no name has another first symbol
+    assert counts == {"sites_new": 1, "sites_read": 0, "sites_held": 180}  # no name has another first symbol
     counts = stored.apply(frame(spark, {"m003.py": "\n\ndef only_3():\n    only_5()\n"}))["counts"]
-    assert counts["sites_new"] == 1 and 2 <= counts["sites_read"] < 40
+    assert counts["sites_new"] == 1 and 2 <= counts["sites_read"] < 25
     same_as_anew(spark, stored, texts | {"m000.py": "def only_0():\n    only_5()\n", "m003.py": "\n\ndef only_3():\n    only_5()\n"})
 
 
