@@ -21,6 +21,7 @@ GRAM = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PIECE = 1 << 20  # bytes of a text whose grams are made at once
+ROWS = 1 << 18  # rows of grams that are sent on at once
 
 
 def grams_of(raw: bytes, lower: bool = False, short: bool = False) -> np.ndarray:
@@ -45,12 +46,23 @@ def gram_rows(texts: DataFrame, key: str, text: str, lower: bool = False, short:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[tuple[int, np.ndarray]] = []
+            many = 0
+
+            def made(batch: pa.RecordBatch, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+                rows = np.repeat([i for i, _ in found], [len(g) for _, g in found])
+                return pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate([g for _, g in found]))], names=["key", "gram"])
+
             for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                if raw:
-                    grams = grams_of(raw, lower, short)
-                    for at in range(0, len(grams), 1 << 16):
-                        part = grams[at : at + (1 << 16)]
-                        yield pa.record_batch([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode(), pa.array(part)], names=["key", "gram"])
+                grams = grams_of(raw, lower, short) if raw else ()
+                for at in range(0, len(grams), ROWS):
+                    found.append((i, grams[at : at + ROWS]))
+                    many += len(found[-1][1])
+                    if many >= ROWS:
+                        yield made(batch, found)
+                        found, many = [], 0
+            if found:
+                yield made(batch, found)
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInArrow(run, f"key {kind}, gram long")
