@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ MIN_DOCS = 3  # documents that make a line a repeated one
 ADDED = ("n_lines", "n_dropped")
 #: Lines in more than one of so many rows of lines are joined by broadcast: there can't be more of them than this.
 FREQUENT = 100_000
+BATCH_BYTES = 4 << 20  # of text that is put together at once; a longer text is taken alone
 
 _SPACE = " \t\n\x0b\x0c\r"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,9 +64,34 @@ def dropped_places(lines: DataFrame, repeats: DataFrame) -> DataFrame:
     return every.groupBy("row0", "row1").agg(F.collect_set("place").alias("gone"))
 
 
-def kept_text(text: str, gone: list[int]) -> str:
+def kept_text(text: bytes, gone: list[int]) -> bytes:
     out = set(gone)
-    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in out)
+    return b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in out)
+
+
+def kept_lines(batch: pa.RecordBatch, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch whose last column has the places of lines to drop, cut where its texts reach ``BATCH_BYTES``; ``ADDED`` stand in their place.
+
+    Texts stay the bytes they are, and only those that lose lines are taken apart, so
+    little more than ``BATCH_BYTES`` is held besides the batch.
+    """
+    total, first = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(total, before + BATCH_BYTES, "right")))
+        part = batch.slice(first, end - first)
+        texts, gone = part.column(at), part.column(len(names))
+        n_lines = pc.add(pc.fill_null(pc.count_substring(texts, "\n"), 0).cast(pa.int64()), 1)
+        n_dropped = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+        lose = pc.and_(pc.greater(n_dropped, 0), texts.is_valid())
+        raw = texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary())
+        cut = [kept_text(t, g) for t, g in zip(raw.filter(lose).to_pylist(), gone.filter(lose).to_pylist(), strict=True)]
+        if cut:
+            raw = pc.replace_with_mask(raw, lose, pa.array(cut, raw.type))
+        columns = [part.column(i) for i in range(len(names))]
+        columns[at] = raw.cast(texts.type, safe=False)
+        yield pa.record_batch([*columns, n_lines, n_dropped], names=[*names, *ADDED])
+        first = end
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -84,17 +112,13 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     names = [fresh(n, docs.columns) for n in ("_row0", "_row1", "_gone")]
     rows = docs.withColumns({names[k]: F.xxhash64(F.lit(k), key, text) for k in (0, 1)})
     rows = rows.join(places.toDF(*names), names[:2], "left").select(*docs.columns, names[2])
-    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    columns = docs.columns
+    at, schema = columns.index(text), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()
-            columns = [batch.column(i) for i in range(len(docs_columns))]
-            columns[at] = pa.array([kept_text(t, g) if g else t for t, g in zip(texts, gone, strict=True)], pa.string())
-            columns += [pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())]
-            yield pa.record_batch(columns, names=[*docs_columns, *ADDED])
+            yield from kept_lines(batch, at, columns)
 
-    docs_columns = docs.columns
     return rows.mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -90,6 +91,33 @@ def test_other_limits_of_lines(spark):
     assert sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in rows) == [(1, "cd", 1), (2, "AB ", 1), (3, "ef", 0)]
 
 
+def test_lines_of_a_large_batch_are_put_together_in_pieces():
+    """A batch of 64 MB is what Spark hands over at most; the pieces and what is held at once stay far below."""
+    line = "ein längerer Satz – много слов и знаков, 漢字 und so weiter\n"
+    long = line * 13_000  # some 1 MB
+    rows = [long if i % 2 else None if i % 8 == 0 else f"{i}\n{long}" for i in range(64)] + [long * 6]
+    gone = [None if i % 3 else [0, 2] for i in range(65)]
+    batch = pa.record_batch([pa.array(range(65)), pa.array(rows), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text", "gone"])
+    tracemalloc.start()
+    kept, made = 0, []
+    before = pa.total_allocated_bytes()
+    for part in line_dedup.kept_lines(batch, 1, ["doc_id", "text"]):
+        assert part.num_rows == 1 or len("".join(t or "" for t in part["text"].to_pylist()).encode()) <= line_dedup.BATCH_BYTES
+        made += [(r["doc_id"], r["n_lines"], r["n_dropped"], sha(r["text"] or "")) for r in part.to_pylist()]
+        kept = max(kept, pa.total_allocated_bytes() - before)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cut = [(t or "").split("\n") for t in rows]
+    assert made == [(i, len(c), len(g or ()), sha("\n".join(x for k, x in enumerate(c) if k not in (g or ())))) for i, (c, g) in enumerate(zip(cut, gone, strict=True))]
+    assert kept < 16 << 20 and most < 64 << 20
+
+
+def test_lines_that_are_no_utf8_stay_as_they_are(spark):
+    docs = spark.createDataFrame([(i, b"\xff\xfe%d\n" % i + COMMON.encode()) for i in range(3)], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    rows = line_dedup.without_repeated_lines(docs).select("doc_id", F.hex("text").alias("text"), "n_lines", "n_dropped").collect()
+    assert sorted((r["doc_id"], bytes.fromhex(r["text"]), r["n_lines"], r["n_dropped"]) for r in rows) == [(i, b"\xff\xfe%d" % i + (b"\n" + COMMON.encode()) * (i == 2), 2, int(i < 2)) for i in range(3)]
+
+
 def test_no_lines(none):
     assert line_dedup.digest(none).collect() == []
     assert line_dedup.digest(none).columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
