@@ -7,7 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +237,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator
         yield first, hashes, at
 
 
-def placed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """As ``hashed_words``, with the bytes and each word's first and last place in them: (first text, bytes, starts, ends, hashes, offsets)."""
+def placed_words(data: np.ndarray, offsets: np.ndarray, lower: bool, cuts: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``hashed_words``, with the bytes and each word's first and last place in them: (first text, bytes, starts, ends, hashes, offsets).
+
+    ``cuts`` marks, of bytes in which texts begin at given places, those that begin a word without white space before them.
+    """
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _PIECE, "right")) - 1)
@@ -249,8 +252,12 @@ def placed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator
         first = np.ones(len(part) + 1, bool)
         first[1:] = np.r_[space, True][: len(part)]
         first[bounds] = True  # a text's first byte begins a word
-        begins = ~space & first[:-1]
         last = np.r_[space[1:], True] | first_at(bounds, len(part))
+        if cuts:
+            inside = cuts(part, bounds)
+            first[:-1] |= inside
+            last[:-1] |= inside[1:]
+        begins = ~space & first[:-1]
         starts, ends = np.flatnonzero(begins), np.flatnonzero(~space & last) + 1
         if len(part) <= 4 * _PIECE:
             hashes = _hash_words(part, starts, ends)

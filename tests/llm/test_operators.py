@@ -413,6 +413,62 @@ def test_ids_of_any_vocabulary(docs, texts, name):
     assert got == Counter((d, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 7])) for d, t in texts)
 
 
+def test_ids_where_letters_and_signs_meet():
+    """Letters that are several, or none, after NFC or in lower case; apostrophes; the sign that stands between words."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tokenizer = token_orc.WordEncoder(vocabulary), Tokenizer.from_file(vocabulary)
+    letters = [chr(c) for c in [*range(0x21, 0x500), 0x958, 0x1E9E, 0x2126, 0x212A, 0x3000, 0x6F22, 0xD55C, 0x1F600]]
+    texts = ["İ,", "-x's-y", "a\x01b", "\x01", "\x01 \x01.", "e\u0301,e=\u0338"] + [f"{c},{c}.a{c}-b_{c}9'{c} %{c}% {c}\u0301." for c in letters]
+    rng = np.random.default_rng(8)
+    odd = [*"abzAZ09'_-.,%=<|>\x00\x01\x7f \n\x0b\x1c", "'s", "'LL", *"éÉÜñМя×÷İŉǅʔ҂҃½²–“漢ᅡ\u0327\u0301\u00a0Σ😀क़"]
+    texts += ["".join(rng.choice(odd, rng.integers(0, 14))) for _ in range(4_000)]
+    got = [x for ids, sizes in encoder.encode(pa.array(texts), 2) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert encoder.by_words and len(got) == len(texts)
+    assert [t for t, x in zip(texts, got, strict=True) if x.tolist() != [*tokenizer.encode(t, add_special_tokens=False).ids, 2]] == []
+
+
+def test_bytes_of_two_texts_are_no_letter():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tokenizer = token_orc.WordEncoder(vocabulary), Tokenizer.from_file(vocabulary)
+    raw = [b"abc\xc3", b"\xa9, x", b"\xc3", b",\xc3,", b"", b"\xc3\xa9,"]
+    ids, sizes = next(encoder.encode(pa.array(raw, pa.binary()).cast(pa.string(), safe=False), 2))
+    want = [[*tokenizer.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for r in raw]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_words_with_signs_and_capitals_are_encoded_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    encoder = token_orc.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["größer Москва plain", "Größer, (größer) GRößER! москва: (москва).", "Plain,plain%%% PLAIN"]
+    list(encoder.encode(pa.array(texts), 2))
+    assert len(encoder.keys) == len({"größer", "Москва", "москва", "plain", ",", "(", ")", "!", ":", ").", "%%%"})
+
+
+def test_ids_are_read_once(spark, docs):
+    import public_tokenizers
+
+    path, seen = scratch_path(spark, "orc"), spark.sparkContext.accumulator(0)
+    token_orc.write_token_orc(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = token_orc.read_token_orc(spark, path)
+    assert len(token_orc.token_offsets(rows.mapInArrow(counted, rows.schema)).collect()) == docs.count() == seen.value
+
+
 # ---------------------------------------------------------------- 5
 
 
